@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobscope.functions.jobs import step_of
-from jobscope.scale import HOT_ROWS, Running, grouped_scan, skew_join
+from jobscope.scale import HOT_ROWS, Running, grouped_scan, hot_keys, skew_join
 from jobscope.session import cut_lineage
 
 # fixed values
@@ -64,10 +64,11 @@ def descendants(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     and a lost executor does not replay the walk.
     """
     found = []
+    hot = hot_keys(edges, ["dep"])
     frontier = cut_lineage(seeds.select("job_id").distinct())
     while not frontier.isEmpty():
         step = (
-            skew_join(edges, frontier.withColumnRenamed("job_id", "dep"), ["dep"], "left_semi")
+            skew_join(edges, frontier.withColumnRenamed("job_id", "dep"), ["dep"], "left_semi", hot=hot)
             .select("job_id")
             .distinct()
         )
@@ -92,8 +93,10 @@ def propagate_cancel(state: DataFrame, edges: DataFrame) -> DataFrame:
 
     state: job_id, state. edges: dep, job_id.
     """
+    # both are read once per level: keep them instead of what made them
+    state = cut_lineage(state)
     open_jobs = state.filter(~F.col("state").isin(DONE_STATES)).select("job_id")
-    open_edges = edges.join(open_jobs, ["job_id"], "left_semi")
+    open_edges = cut_lineage(edges.join(open_jobs, ["job_id"], "left_semi"))
     hit = descendants(state.filter(F.col("state") == "failed"), open_edges).withColumn("_hit", F.lit(True))
     return state.join(hit, ["job_id"], "left").select(
         *[c for c in state.columns if c != "state"],
@@ -244,10 +247,11 @@ def loop_paths(lines: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
             "_code": code,
         }
     )
+    hot = hot_keys(lines, ["script_id"], hot_rows)
     seen = grouped_scan(
         base, ["script_id"], ["line_no"],
         {"_last_mark": Running("last", F.when(F.col("_mark"), F.col("line_no")), before=True)},
-        hot_rows,
+        hot=hot,
     )
     covered = F.coalesce(F.col("_last_mark") == F.col("line_no") - 1, F.lit(False))
     opens = F.col("_mark") | (F.col("_code").startswith("for") & ~covered)
@@ -257,12 +261,9 @@ def loop_paths(lines: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     moves = seen.withColumns({"_open": opens, "_var": F.when(opens, var)}).withColumn(
         "_move", F.when(F.col("_open"), 1).when(F.col("_code").startswith("done"), -1).otherwise(0).cast("bigint")
     )
-    depth = cut_lineage(
-        grouped_scan(
-            moves, ["script_id"], ["line_no"],
-            {"depth": Running("sum", F.col("_move"))}, hot_rows,
-        ).withColumn("depth", F.greatest(F.col("depth"), F.lit(0)))
-    )
+    depth = grouped_scan(
+        moves, ["script_id"], ["line_no"], {"depth": Running("sum", F.col("_move"))}, hot=hot
+    ).withColumn("depth", F.greatest(F.col("depth"), F.lit(0)))
     deepest = depth.agg(F.max("depth")).first()[0] or 0
     if deepest == 0:
         path = F.array().cast("array<string>")
@@ -272,7 +273,7 @@ def loop_paths(lines: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         f"_at{d}": Running("last", F.when(F.col("_open") & (F.col("depth") == d), F.col("_var")))
         for d in range(1, deepest + 1)
     }
-    named = grouped_scan(depth, ["script_id"], ["line_no"], levels, hot_rows)
+    named = grouped_scan(depth, ["script_id"], ["line_no"], levels, hot=hot)
     path = F.slice(F.array(*levels), F.lit(1), F.col("depth").cast("int"))
     return named.select(*lines.columns, "depth", path.alias("loop_path"))
 

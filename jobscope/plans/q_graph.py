@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from jobscope.operators import graph as g
+from jobscope.operators.models import as_written
 from jobscope.plans.registry import query
 
 EDGES = """edges as (select distinct unnest(case when depend_on = 'null' then [] else string_split(depend_on, ':') end)::bigint as dep, job_id from graph)"""
@@ -158,7 +159,8 @@ def annotations(t):
 
 def _jobs(t):
     """Jobs of the loops 1..3 and 1..2 of every sound script."""
-    steps = g.annotations(t.script_lines).filter("violation is null").select("script_id", "step", "deps", "loop_path")
+    sound = g.annotations(t.script_lines).filter("violation is null")
+    steps = as_written(sound.select("script_id", "step", "deps", "loop_path"), "steps")
     i = F.explode(F.when(F.array_contains("loop_path", "i"), F.sequence(F.lit(1), F.lit(3))).otherwise(F.array(F.lit(0))))
     j = F.explode(F.when(F.array_contains("loop_path", "j"), F.sequence(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(0))))
     jobs = steps.withColumn("i", i).withColumn("j", j).select(

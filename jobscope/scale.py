@@ -4,10 +4,11 @@
                   max, last value) without sending a whole group to one task.
 ``skew_join``     equi-join whose hot keys are spread over several tasks.
 
-Both first count rows per key (map-side combined, keys only) and keep the keys
-with more than ``hot_rows`` rows. There are at most ``rows / hot_rows`` of
-them, which is what bounds the broadcasts below. When no key is hot the list
-is empty and adaptive execution drops the extra joins at run time.
+Both first count rows per key (one small job: map-side combined, keys only) and
+look for keys with more than ``hot_rows`` rows. There are at most
+``rows / hot_rows`` of them, which bounds what is collected and broadcast
+below. Without a hot key the result is the plain window or join. The count can
+be shared between calls on the same keys (``hot=``).
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from jobscope.session import cut_lineage
+
 HOT_ROWS = 4_000_000
 MAX_CHUNKS = 1024
 SAMPLES_PER_CHUNK = 32
@@ -39,14 +42,16 @@ def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], bounded: bool
     return left.join(renamed, _same_key(left, renamed, keys), "left").drop(*[f"_r_{k}" for k in keys])
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Keys with more than hot_rows rows and the number of parts to cut them into."""
-    return (
+    found = (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") > hot_rows)
         .withColumn("_parts", F.least(F.lit(MAX_CHUNKS), F.ceil(F.col("_n") / hot_rows)).cast("int"))
     )
+    # no more than rows / hot_rows rows
+    return df.sparkSession.createDataFrame(found.collect(), found.schema)
 
 
 def _cut_points(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot: DataFrame) -> DataFrame:
@@ -83,11 +88,9 @@ def _inner_on(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.join(renamed, _same_key(df, renamed, keys), "inner").drop(*[f"_r_{k}" for k in keys])
 
 
-def split_hot_groups(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def split_hot_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot: DataFrame) -> DataFrame:
     """Add ``_part``: null for ordinary groups, else the ordered part of a hot group."""
-    cuts = _cut_points(df, keys, order, hot_keys(df, keys, hot_rows))
+    cuts = cut_lineage(_cut_points(df, keys, order, hot))
     at = F.struct(*order)
     joined = attach(df, cuts, keys, bounded=True)
     coarse = F.size(F.filter("_coarse", lambda b: b <= at))
@@ -105,7 +108,7 @@ class Running:
     before: bool = False  # True: rows before the current one only
 
 
-def _agg(kind: str, col: str) -> Column:
+def _agg(kind: str, col: str | Column | None) -> Column:
     if kind == "count":
         return F.count(F.lit(1))
     if kind == "last":
@@ -119,12 +122,23 @@ def grouped_scan(
     order: Sequence[str],
     running: Mapping[str, Running],
     hot_rows: int = HOT_ROWS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Running values per group in ascending order of ``order`` (a total order)."""
+    hot = hot_keys(df, keys, hot_rows) if hot is None else hot
+    if hot.isEmpty():
+        w = Window.partitionBy(*keys).orderBy(*order)
+        return df.select(
+            *df.columns,
+            *[
+                _agg(r.kind, r.value).over(w.rowsBetween(Window.unboundedPreceding, -1 if r.before else 0)).alias(n)
+                for n, r in running.items()
+            ],
+        )
     base = df.withColumns(
         {f"_v_{n}": r.value for n, r in running.items() if r.value is not None}
     )
-    parts = split_hot_groups(base, keys, order, hot_rows)
+    parts = split_hot_groups(base, keys, order, hot)
     inside = Window.partitionBy(*keys, "_part").orderBy(*order)
     local = parts.withColumns(
         {
@@ -144,7 +158,7 @@ def grouped_scan(
         else:
             totals.append(_agg(r.kind, f"_v_{n}").alias(f"_t_{n}"))
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    carry = (
+    carry = cut_lineage(
         parts.filter(F.col("_part").isNotNull())
         .groupBy(*keys, "_part")
         .agg(*totals)
@@ -181,6 +195,7 @@ def skew_join(
     how: str = "inner",
     spread: Sequence[str] | None = None,
     hot_rows: int = HOT_ROWS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join (inner, left, left_semi, left_anti) that spreads hot left keys.
 
@@ -188,8 +203,11 @@ def skew_join(
     rows apart; a hash, not a random number, so a re-run task gives the same
     rows). The right rows of that key alone are repeated once per part.
     """
+    hot = hot_keys(left, on, hot_rows) if hot is None else hot
+    if hot.isEmpty():
+        return left.join(right, list(on), how)
+    hot = hot.select(*on, "_parts")
     spread = list(spread or [c for c in left.columns if c not in on])
-    hot = hot_keys(left, on, hot_rows).select(*on, "_parts")
     salt = F.expr(f"pmod(xxhash64({', '.join(f'`{c}`' for c in spread)}), _parts)").cast("int")
     salted = attach(left, hot, on, bounded=True).withColumn(
         "_salt", F.coalesce(salt, F.lit(0))
