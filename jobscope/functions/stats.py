@@ -8,11 +8,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_NEG_LOG10 = 400.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _chi2_tail(chi2: pd.Series) -> pd.Series:
     root = np.sqrt(np.maximum(chi2.to_numpy(dtype="float64", na_value=np.nan), 0.0) / 2.0)
     return pd.Series([math.erfc(r) for r in root])
@@ -23,7 +24,7 @@ def chi2_pvalue(chi2: Column) -> Column:
     return _chi2_tail(chi2.cast("double"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _fisher_tail(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     out = []
     for w, x, y, z in zip(a, b, c, d):

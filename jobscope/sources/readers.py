@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from urllib.parse import unquote
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from jobscope import schemas
 from jobscope.functions.units import elapsed_hours, tres_mem_gb
@@ -207,14 +213,8 @@ def file_inventory(spark: SparkSession, root: str, md5: bool = False) -> DataFra
     return out.withColumn("md5", _md5_of("path")) if md5 else out
 
 
-@F.pandas_udf("string")
-def _md5_of(paths):
-    import hashlib
-    from urllib.parse import unquote
-
-    import pandas as pd
-    from pyarrow import fs
-
+@F.pandas_udf(T.StringType())
+def _md5_of(paths: pd.Series) -> pd.Series:
     def one(uri: str) -> str:
         if uri.startswith("file:"):
             store, place = fs.LocalFileSystem(), unquote("/" + uri[5:].lstrip("/"))
