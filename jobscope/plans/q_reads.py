@@ -242,8 +242,8 @@ def peak_enrichment(t):
 
 
 @query(f"with {ENRICH} select peak_id from er where l2fc >= 1.2 and chi2 >= 1")
-def enriched_peaks(t):
-    return _enriched(t).filter((F.col("l2fc") >= 1.2) & (F.col("chi2") >= 1)).select("peak_id")
+def strong_peaks(t):
+    return iv.strong_peaks(_enriched(t), min_l2fc=1.2, min_chi2=1).select("peak_id")
 
 
 @query(f"with {ENRICH} select peak_id, round(entropy, 6) as entropy from er")

@@ -99,13 +99,13 @@ def read_samples(spark: SparkSession, path: str, stream: bool = False) -> DataFr
     else:
         lines = numbered_lines(spark, path)
     part = F.split(F.trim("line"), "\\s+")
-    name = F.element_at(F.split("file", "/"), -1)
 
     def num(i: int) -> Column:
         return F.get(part, F.lit(i)).try_cast("bigint")
 
     return lines.filter(F.size(part) >= 5).select(
-        F.regexp_extract(name, "job_([^.]+)", 1).alias("job_id"),
+        # job_<id>.memCPU.txt, or a folder job=<id>
+        F.regexp_extract("file", "/job[_=]([^./]+)[^/]*(/part-[^/]*)?$", 1).alias("job_id"),
         *([] if stream else [F.col("line_no").alias("seq")]),
         num(0).alias("minute"), num(1).alias("mem_mb"), num(2).alias("wasted_mb"),
         num(3).alias("saved_mb"), num(4).alias("cpu_pct"), num(5).alias("epoch"),

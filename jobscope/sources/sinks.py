@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def append_ledger(df: DataFrame, path: str) -> None:
-    """Append admitted rows, partitioned by finish date."""
-    # one writer per date and hash bucket, so that a busy day has several files
-    rows = df.withColumn("finish_date", F.to_date("finish_ts"))
-    rows.write.mode("append").partitionBy("finish_date").parquet(path)
+def append_ledger(df: DataFrame, path: str, by: str = "day") -> None:
+    """Append admitted rows, partitioned by finish ``day`` or ``month``.
+
+    The rebalance hint gathers a date's rows into few files and splits a busy
+    date over several writers.
+    """
+    pattern = {"day": "yyyy-MM-dd", "month": "yyyy-MM"}[by]
+    rows = df.withColumn("finish_date", F.date_format("finish_ts", pattern))
+    rows.hint("rebalance", "finish_date").write.mode("append").partitionBy("finish_date").parquet(path)
 
 
 def write_models(models: DataFrame, path: str) -> None:

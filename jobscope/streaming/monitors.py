@@ -32,9 +32,12 @@ def stream_peak(samples: DataFrame) -> DataFrame:
     return samples.groupBy("job_id").agg(F.max("mem_mb").alias("peak_mb"))
 
 
-def stream_near_limit(samples: DataFrame, jobs: DataFrame, watermark: str = "10 minutes") -> DataFrame:
+def stream_near_limit(samples: DataFrame, jobs: DataFrame, watermark: str = "30 days") -> DataFrame:
     """One alarm per job that comes near a limit.
 
+    The watermark is the longest time a job may run, so a job is not
+    forgotten while it can still send samples.
+
     jobs: job_id, start_ts, total_mem, total_min (static). The job table is
     left to the planner, which broadcasts it only when it is small.
     """
