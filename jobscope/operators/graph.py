@@ -60,21 +60,20 @@ def job_state(
 def descendants(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """Every job reachable from the seeds (seeds excluded unless reached).
 
-    One join per level. Each level is checkpointed, so the plan stays short
-    and a lost executor does not replay the walk.
+    One join and one grouping per level. Each level is checkpointed, so the
+    plan stays short and a lost executor does not replay the walk. edges are
+    read once per level: give a written table.
     """
     found = []
     hot = hot_keys(edges, ["dep"])
     frontier = cut_lineage(seeds.select("job_id").distinct())
     while not frontier.isEmpty():
-        step = (
-            skew_join(edges, frontier.withColumnRenamed("job_id", "dep"), ["dep"], "left_semi", hot=hot)
-            .select("job_id")
-            .distinct()
+        step = skew_join(edges, frontier.withColumnRenamed("job_id", "dep"), ["dep"], "left_semi", hot=hot)
+        # new jobs only, each once: one grouping for both
+        reached = _union([step.select("job_id", F.lit(False).alias("_old"))] + [d.withColumn("_old", F.lit(True)) for d in found])
+        frontier = cut_lineage(
+            reached.groupBy("job_id").agg(F.bool_or("_old").alias("_old")).filter(~F.col("_old")).select("job_id")
         )
-        for old in found:
-            step = step.join(old, ["job_id"], "left_anti")
-        frontier = cut_lineage(step)
         found.append(frontier)
         if len(found) == 16:
             found = [cut_lineage(_union(found))]

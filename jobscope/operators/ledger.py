@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobscope.scale import HOT_ROWS, Running, attach, grouped_scan, skew_join
+from jobscope.scale import HOT_ROWS, Running, grouped_scan, skew_join
+from jobscope.session import as_written
 
 KEY = ["program", "ref"]
 
@@ -101,7 +102,7 @@ def admit_records(
     )
     top = F.greatest("_max", "_seen")
     return (
-        attach(ranked, old, KEY)
+        ranked.join(as_written(old), KEY, "left")
         .filter(
             (F.coalesce(F.col("_have"), F.lit(0)) + F.col("_before") < cap)
             | (F.col("input_size") > top)
@@ -227,7 +228,7 @@ def scatter_grid(
         lo = F.col(f"{c}_lo") - F.when(flat, 0.5).otherwise(0.0)
         hi = F.col(f"{c}_hi") + F.when(flat, 0.5).otherwise(0.0)
         span = span.withColumns({f"{c}_a": lo - (hi - lo) * 0.05, f"{c}_b": hi + (hi - lo) * 0.05})
-    span = span.select("program", "x_a", "x_b", "y_a", "y_b")
+    span = as_written(span.select("program", "x_a", "x_b", "y_a", "y_b"))
     if deleted is not None:
         points = points.join(deleted.select("job_id").distinct(), ["job_id"], "left_anti")
     placed = skew_join(points, span, ["program"], spread=["job_id"], hot_rows=hot_rows)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from jobscope.operators.ledger import KEY, completed, ledger_points
 from jobscope.scale import HOT_ROWS, Running, attach, grouped_scan
-from jobscope.session import scratch_path
+from jobscope.session import as_written
 
 # fixed values: margins, floors and the smallest samples
 EXTRA_MEM_MB = 500
@@ -127,18 +127,6 @@ def model_table(ledger: DataFrame, extra: DataFrame | None = None) -> DataFrame:
     return table.join(extra_mem_margin(extra), KEY, "full")
 
 
-def as_written(df: DataFrame, name: str = "models") -> DataFrame:
-    """Write and read back, so that later joins are planned by the real size.
-
-    A table below the session's broadcast threshold is broadcast, a larger one
-    is shuffled; an aggregate is otherwise costed by the size of its input.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def score_models(requests: DataFrame, models: DataFrame) -> DataFrame:
     """Estimate per request with the reason; defaults where no model applies.
 

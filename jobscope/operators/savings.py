@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from jobscope.functions.jobs import step_of
 from jobscope.scale import attach, one_value
+from jobscope.session import as_written
 
 # fixed value: dollars per GB and hour
 RATE = 0.0013
@@ -33,7 +34,8 @@ def _to_top(df: DataFrame, run: Sequence[str], default: str, out: str) -> DataFr
     if not run:
         return df.withColumn(out, one_value(df, F.max(default)) - F.col(default))
     top = df.groupBy(*run).agg(F.max(default).alias("_top"))
-    return attach(df, top, run).withColumn(out, F.col("_top") - F.col(default)).drop("_top")
+    # one row per run: written first, so that a small table is broadcast
+    return attach(df, as_written(top), run).withColumn(out, F.col("_top") - F.col(default)).drop("_top")
 
 
 def savings_mem(ledger: DataFrame, run: Sequence[str] = ()) -> DataFrame:

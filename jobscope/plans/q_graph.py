@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from jobscope.operators import graph as g
-from jobscope.operators.models import as_written
 from jobscope.plans.registry import query
+from jobscope.session import as_written
 
 EDGES = """edges as (select distinct unnest(case when depend_on = 'null' then [] else string_split(depend_on, ':') end)::bigint as dep, job_id from graph)"""
 STATE = """st as (select g.job_id, g.depend_on, g.flag,

@@ -9,7 +9,7 @@ from jobscope.plans.q_ledger import ESTIMATE, PLACE, later_half
 from jobscope.plans.q_usage import NEAR
 from jobscope.plans.registry import ORACLES, day, query
 from jobscope.plans.views import Tables
-from jobscope.session import scratch_path
+from jobscope.session import as_written, scratch_path
 from jobscope.streaming import monitors as mon
 
 
@@ -94,6 +94,6 @@ ORACLES["stream_admit"] = ORACLES["admit_records"]
      cast(least(est_mem, case when p = 'highmem' then 999000 else 249000 end) as bigint) as to_mem, cast(least(est_min, 43200) as bigint) as to_min
     from pl""")
 def stream_score(t):
-    models = md.as_written(md.model_table(t.ledger, t.extra))
+    models = as_written(md.model_table(t.ledger, t.extra))
     scored = mon.stream_score(Streams(t, "orders").requests, models, t.policy)
     return finished(t, scored).select("job_id", "reason", "to_partition", "to_mem", "to_min")

@@ -38,3 +38,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def as_written(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write and read back, so that later joins are planned by the real size.
+
+    A table below the session's broadcast threshold is broadcast, a larger one
+    is shuffled; an aggregate is otherwise costed by the size of its input.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
