@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobscope.functions.jobs import step_of
-from jobscope.scale import HOT_ROWS, Running, grouped_scan, hot_keys, skew_join
+from jobscope.scale import HOT_ROWS, Hot, Running, grouped_scan, hot_keys, skew_join
 from jobscope.session import cut_lineage
 
 # fixed values
@@ -233,7 +233,7 @@ def _word(text: Column) -> Column:
     return F.substring_index(F.ltrim(text), " ", 1)
 
 
-def loop_paths(lines: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def loop_paths(lines: DataFrame, hot_rows: int = HOT_ROWS, hot: Hot | None = None) -> DataFrame:
     """Every line with the array of loop variables around it.
 
     ``#loopStart:v`` opens a loop and takes over the ``for`` line right below;
@@ -246,7 +246,7 @@ def loop_paths(lines: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
             "_code": code,
         }
     )
-    hot = hot_keys(lines, ["script_id"], hot_rows)
+    hot = hot_keys(lines, ["script_id"], hot_rows) if hot is None else hot
     seen = grouped_scan(
         base, ["script_id"], ["line_no"],
         {"_last_mark": Running("last", F.when(F.col("_mark"), F.col("line_no")), before=True)},
@@ -279,7 +279,11 @@ def loop_paths(lines: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 
 def annotations(lines: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Job steps of annotated scripts, with the first rule each one breaks."""
-    marked = loop_paths(lines, hot_rows).filter(F.ltrim("text").startswith("#@"))
+    # commands move no loop: only structural lines are shuffled
+    code = F.ltrim("text")
+    kept = lines.filter(code.rlike("^(#loopStart:|for|done|#@)"))
+    hot = hot_keys(kept, ["script_id"], hot_rows)
+    marked = loop_paths(kept, hot=hot).filter(code.startswith("#@"))
     part = F.split(F.regexp_replace(F.ltrim("text"), "^#@", ""), ",")
 
     def field(i: int) -> Column:
@@ -294,7 +298,7 @@ def annotations(lines: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     )
     repeated = grouped_scan(
         steps.withColumn("_id", F.col("step")), ["script_id", "_id"], ["line_no"],
-        {"_before": Running("count", before=True)}, hot_rows,
+        {"_before": Running("count", before=True)}, hot_rows, hot.within(),
     )
     options = F.col("options")
     rule = (
@@ -315,7 +319,7 @@ def _shared_prefix(a: str, b: str) -> Column:
     )
 
 
-def dependency_groups(steps: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def dependency_groups(steps: DataFrame, jobs: DataFrame, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
     """Step dependencies expanded to jobs, as (links, members).
 
     steps: script_id, step, deps (``1.2``), loop_path. jobs: script_id,
@@ -337,17 +341,19 @@ def dependency_groups(steps: DataFrame, jobs: DataFrame) -> tuple[DataFrame, Dat
     shared = wanted.join(other, ["script_id", "dep_step"]).select(
         "script_id", "step", "dep_step", _shared_prefix("_p", "_q").alias("shared")
     )
+    # without a hot script no finer key is hot either
+    hot = hot_keys(jobs, ["script_id"], hot_rows).within()
     asks = skew_join(
-        jobs.select("script_id", "step", "job_id", "values"), shared, ["script_id", "step"], spread=["job_id"]
+        jobs.select("script_id", "step", "job_id", "values"), shared, ["script_id", "step"], "inner", ["job_id"], hot_rows, hot
     ).select("script_id", "step", "job_id", "dep_step", F.slice("values", F.lit(1), F.col("shared")).alias("loop_values"))
     gives = skew_join(
         jobs.select("script_id", F.col("step").alias("dep_step"), F.col("job_id").alias("dep_job"), "values"),
         shared.select("script_id", "dep_step", "shared").distinct(),
-        ["script_id", "dep_step"], spread=["dep_job"],
+        ["script_id", "dep_step"], "inner", ["dep_job"], hot_rows, hot,
     ).select("script_id", "dep_step", F.slice("values", F.lit(1), F.col("shared")).alias("loop_values"), "dep_job")
     group = ["script_id", "dep_step", "loop_values"]
     sizes = gives.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n_deps"), F.min("dep_job").alias("first_dep"), F.max("dep_job").alias("last_dep")
     )
-    links = skew_join(asks, sizes, group, spread=["job_id"])
+    links = skew_join(asks, sizes, group, "inner", ["job_id"], hot_rows, hot)
     return links, gives

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobscope.scale import HOT_ROWS, Running, grouped_scan, skew_join
+from jobscope.scale import HOT_ROWS, Running, grouped_scan, hot_keys, skew_join
 from jobscope.session import as_written
 
 KEY = ["program", "ref"]
@@ -218,7 +218,11 @@ def scatter_grid(
     """
     x = F.coalesce(F.col("input_size").try_cast("double"), F.lit(0.0)) / (1024 * 1024)
     y = F.coalesce(F.col("mem_used").try_cast("double"), F.lit(0.0)) / 1024
-    points = stable_index(ledger.select("program", "job_id", "input_size", "mem_used"), hot_rows)
+    hot = hot_keys(ledger, ["program"], hot_rows)
+    points = grouped_scan(
+        ledger.select("program", "job_id", "input_size", "mem_used"),
+        ["program"], ["job_id"], {"idx": Running("count", before=True)}, hot=hot,
+    )
     points = points.withColumn("x", x).withColumn("y", y)
     span = points.groupBy("program").agg(
         *[f(c).alias(f"{c}_{n}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))]
@@ -231,7 +235,7 @@ def scatter_grid(
     span = as_written(span.select("program", "x_a", "x_b", "y_a", "y_b"))
     if deleted is not None:
         points = points.join(deleted.select("job_id").distinct(), ["job_id"], "left_anti")
-    placed = skew_join(points, span, ["program"], spread=["job_id"], hot_rows=hot_rows)
+    placed = skew_join(points, span, ["program"], spread=["job_id"], hot=hot)
 
     def cell(c: str, n: int) -> Column:
         at = (F.col(c) - F.col(f"{c}_a")) / (F.col(f"{c}_b") - F.col(f"{c}_a")) * (n - 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobscope.scale import HOT_ROWS, Running, attach, grouped_scan, skew_join
+from jobscope.scale import HOT_ROWS, Running, grouped_scan, hot_keys, skew_join
 from jobscope.session import cut_lineage
 
 # fixed values
@@ -49,12 +49,12 @@ def peak_usage(samples: DataFrame, acct: DataFrame) -> DataFrame:
 
 def sample_segments(samples: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Marker rows open a new segment; the minute index restarts there."""
+    hot = hot_keys(samples, ["job_id"], hot_rows)
     cut = grouped_scan(
-        samples, ["job_id"], ["ts", "seq"],
-        {"segment": Running("sum", F.col("is_marker").cast("bigint"))}, hot_rows,
+        samples, ["job_id"], ["ts", "seq"], {"segment": Running("sum", F.col("is_marker").cast("bigint"))}, hot=hot
     )
     counted = grouped_scan(
-        cut, ["job_id", "segment"], ["ts", "seq"], {"_before": Running("count", before=True)}, hot_rows
+        cut, ["job_id", "segment"], ["ts", "seq"], {"_before": Running("count", before=True)}, hot_rows, hot.within()
     )
     # the first segment has no marker row in front when monitoring began without one
     first = F.when(F.col("segment") == 0, 1).otherwise(0)
@@ -80,12 +80,13 @@ def _bucket_of(rank: Column, rows: Column, n: int) -> Column:
 
 def downsample_peaks(samples: DataFrame, n: int = 50, hot_rows: int = HOT_ROWS) -> DataFrame:
     """At most n rows per job: each keeps the peak memory and cpu of its bucket."""
+    hot = hot_keys(samples, ["job_id"], hot_rows)
     ranked = grouped_scan(
         samples.select("job_id", "ts", "seq", "mem_mb", "cpu_pct"),
-        ["job_id"], ["ts", "seq"], {"_rn": Running("count")}, hot_rows,
+        ["job_id"], ["ts", "seq"], {"_rn": Running("count")}, hot=hot,
     )
     sizes = samples.groupBy("job_id").agg(F.count(F.lit(1)).alias("_n"))
-    both = skew_join(ranked, sizes, ["job_id"], spread=["seq"], hot_rows=hot_rows)
+    both = skew_join(ranked, sizes, ["job_id"], spread=["seq"], hot=hot)
     bucket = F.when(F.col("_n") > n, _bucket_of(F.col("_rn"), F.col("_n"), n)).otherwise(F.col("_rn"))
     return (
         both.withColumn("bucket", bucket.cast("bigint"))

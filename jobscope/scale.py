@@ -42,7 +42,18 @@ def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], bounded: bool
     return left.join(renamed, _same_key(left, renamed, keys), "left").drop(*[f"_r_{k}" for k in keys])
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+@dataclass(frozen=True)
+class Hot:
+    """Hot keys of a table; ``rows`` (keys and _parts) is None without any."""
+
+    rows: DataFrame | None
+
+    def within(self) -> Hot | None:
+        """The same for finer keys: known only when no coarse key is hot."""
+        return self if self.rows is None else None
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Hot:
     """Keys with more than hot_rows rows and the number of parts to cut them into."""
     found = (
         df.groupBy(*keys)
@@ -50,8 +61,8 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Da
         .filter(F.col("_n") > hot_rows)
         .withColumn("_parts", F.least(F.lit(MAX_CHUNKS), F.ceil(F.col("_n") / hot_rows)).cast("int"))
     )
-    # no more than rows / hot_rows rows
-    return df.sparkSession.createDataFrame(found.collect(), found.schema)
+    rows = found.collect()  # no more than rows / hot_rows
+    return Hot(df.sparkSession.createDataFrame(rows, found.schema) if rows else None)
 
 
 def _cut_points(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot: DataFrame) -> DataFrame:
@@ -122,11 +133,11 @@ def grouped_scan(
     order: Sequence[str],
     running: Mapping[str, Running],
     hot_rows: int = HOT_ROWS,
-    hot: DataFrame | None = None,
+    hot: Hot | None = None,
 ) -> DataFrame:
     """Running values per group in ascending order of ``order`` (a total order)."""
     hot = hot_keys(df, keys, hot_rows) if hot is None else hot
-    if hot.isEmpty():
+    if hot.rows is None:
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.select(
             *df.columns,
@@ -138,7 +149,7 @@ def grouped_scan(
     base = df.withColumns(
         {f"_v_{n}": r.value for n, r in running.items() if r.value is not None}
     )
-    parts = split_hot_groups(base, keys, order, hot)
+    parts = split_hot_groups(base, keys, order, hot.rows)
     inside = Window.partitionBy(*keys, "_part").orderBy(*order)
     local = parts.withColumns(
         {
@@ -195,7 +206,7 @@ def skew_join(
     how: str = "inner",
     spread: Sequence[str] | None = None,
     hot_rows: int = HOT_ROWS,
-    hot: DataFrame | None = None,
+    hot: Hot | None = None,
 ) -> DataFrame:
     """Equi-join (inner, left, left_semi, left_anti) that spreads hot left keys.
 
@@ -204,16 +215,16 @@ def skew_join(
     rows). The right rows of that key alone are repeated once per part.
     """
     hot = hot_keys(left, on, hot_rows) if hot is None else hot
-    if hot.isEmpty():
+    if hot.rows is None:
         return left.join(right, list(on), how)
-    hot = hot.select(*on, "_parts")
+    parts = hot.rows.toDF(*on, "_n", "_parts").drop("_n")
     spread = list(spread or [c for c in left.columns if c not in on])
     salt = F.expr(f"pmod(xxhash64({', '.join(f'`{c}`' for c in spread)}), _parts)").cast("int")
-    salted = attach(left, hot, on, bounded=True).withColumn(
+    salted = attach(left, parts, on, bounded=True).withColumn(
         "_salt", F.coalesce(salt, F.lit(0))
     ).drop("_parts")
     copies = (
-        attach(right, hot, on, bounded=True)
+        attach(right, parts, on, bounded=True)
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1)))
         .drop("_parts")
     )

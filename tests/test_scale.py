@@ -41,7 +41,7 @@ def test_grouped_scan(t, same, hot_rows):
 def test_hot_group_is_cut(t):
     df = _skewed(t)
     n = df.filter("k is null").count()
-    parts = split_hot_groups(df, ["k"], ["o", "id"], hot_keys(df, ["k"], 50)).groupBy("k", "_part").count()
+    parts = split_hot_groups(df, ["k"], ["o", "id"], hot_keys(df, ["k"], 50).rows).groupBy("k", "_part").count()
     sizes = [r["count"] for r in parts.filter("k is null").collect()]
     assert sum(sizes) == n and len(sizes) > 3 and max(sizes) < n / 2
 
