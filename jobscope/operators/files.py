@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from jobscope.functions.jobs import input_refs, job_size
 from jobscope.scale import HOT_ROWS, Running, grouped_scan, skew_join
-from jobscope.session import cut_lineage
+from jobscope.session import as_written, cut_lineage
 
 # fixed values
 ARCHIVE_LIMIT_KIB = 1048576
@@ -135,18 +135,16 @@ def archive_batches(
     base = inventory.select("dir", "name", "size_kib")
     alone = base.filter(F.col("size_kib") > limit).withColumn("batch", F.lit(None).cast("bigint"))
     small = base.filter(F.col("size_kib") <= limit).withColumn("_num", _number_in_front(F.col("name")))
-    long_dirs = cut_lineage(
-        small.groupBy("dir").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > fold_rows).select("dir")
-    )
-    # at most rows / fold_rows folders are long
-    short = small.join(F.broadcast(long_dirs), ["dir"], "left_anti")
+    counts = small.groupBy("dir").agg(F.count(F.lit(1)).alias("_n"))
+    long_dirs = as_written(counts.filter(F.col("_n") > fold_rows).select("dir"), "long-folders")
+    short = small.join(long_dirs, ["dir"], "left_anti")
     out = alone.unionByName(
         short.groupBy("dir").applyInPandas(
             _fold_folder(limit), "dir string, name string, size_kib bigint, batch bigint"
         )
     )
     if not long_dirs.isEmpty():
-        out = out.unionByName(_chain_large(small.join(F.broadcast(long_dirs), ["dir"], "left_semi"), limit, hot_rows))
+        out = out.unionByName(_chain_large(small.join(long_dirs, ["dir"], "left_semi"), limit, hot_rows))
     return out
 
 

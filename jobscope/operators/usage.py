@@ -16,6 +16,8 @@ FALLBACK_RUN_S = 600
 WARMUP_S = 120
 LOW_MEM_MB = 100
 LOW_TIME_S = 120
+# a tree deeper than 2 ** 64 is a cycle of process ids: no root is found for it
+MAX_DOUBLINGS = 64
 
 
 def usage_vs_request(samples: DataFrame, jobs: DataFrame, default_mem: int = DEFAULT_MEM_MB, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -151,7 +153,9 @@ def process_rollup(procs: DataFrame) -> DataFrame:
         F.coalesce("end", F.when(F.coalesce("_hid", F.lit(True)), F.lit("none"))).alias("end"),
     )
     links = cut_lineage(links)
-    while not links.filter(F.col("end").isNull()).isEmpty():
+    for _ in range(MAX_DOUBLINGS):
+        if links.filter(F.col("end").isNull()).isEmpty():
+            break
         nxt = links.select(*ids, F.col("pid").alias("up"), F.col("up").alias("_up"), F.col("end").alias("_end"))
         links = cut_lineage(
             skew_join(links, nxt, [*ids, "up"], "left", spread=["pid"]).select(

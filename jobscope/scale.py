@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 from jobscope.session import cut_lineage
 
 HOT_ROWS = 4_000_000
-MAX_CHUNKS = 1024
-SAMPLES_PER_CHUNK = 32
-STRIDE = 32
+MAX_PARTS = 16384  # of an ordered group
+MAX_COPIES = 1024  # of the right rows of a hot join key
+VALUES_PER_PART = 16
+STRIDE = 128
 
 
 def _same_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -55,24 +56,26 @@ class Hot:
 
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Hot:
     """Keys with more than hot_rows rows and the number of parts to cut them into."""
-    found = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > hot_rows)
-        .withColumn("_parts", F.least(F.lit(MAX_CHUNKS), F.ceil(F.col("_n") / hot_rows)).cast("int"))
+    return hot_from_counts(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), hot_rows)
+
+
+def hot_from_counts(counts: DataFrame, hot_rows: int = HOT_ROWS) -> Hot:
+    """The same from a table of keys and their number of rows ``_n``."""
+    found = counts.filter(F.col("_n") > hot_rows).withColumn(
+        "_parts", F.least(F.lit(MAX_PARTS), F.ceil(F.col("_n") / hot_rows)).cast("int")
     )
     rows = found.collect()  # no more than rows / hot_rows
-    return Hot(df.sparkSession.createDataFrame(rows, found.schema) if rows else None)
+    return Hot(counts.sparkSession.createDataFrame(rows, found.schema) if rows else None)
 
 
 def _cut_points(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot: DataFrame) -> DataFrame:
     """Sorted cut points per hot key.
 
     The points only balance the parts; any points give the same result. They
-    come from a hash-chosen subset of about 32 order values per part, so the
+    come from a hash-chosen subset of about 16 order values per part, so the
     list per key is bounded whatever the size of the group.
     """
-    stride = F.greatest(F.lit(1).cast("bigint"), F.expr(f"_n div (_parts * {SAMPLES_PER_CHUNK})"))
+    stride = F.greatest(F.lit(1).cast("bigint"), F.expr(f"_n div (_parts * {VALUES_PER_PART})"))
     picked = (
         _inner_on(df.select(*keys, *[c for c in order if c not in keys]), hot, keys)
         .filter(F.expr(f"pmod(xxhash64({', '.join(f'`{c}`' for c in order)}), 9007199254740881L)") % stride == 0)
@@ -217,7 +220,7 @@ def skew_join(
     hot = hot_keys(left, on, hot_rows) if hot is None else hot
     if hot.rows is None:
         return left.join(right, list(on), how)
-    parts = hot.rows.toDF(*on, "_n", "_parts").drop("_n")
+    parts = hot.rows.toDF(*on, "_n", "_parts").withColumn("_parts", F.least("_parts", F.lit(MAX_COPIES))).drop("_n")
     spread = list(spread or [c for c in left.columns if c not in on])
     salt = F.expr(f"pmod(xxhash64({', '.join(f'`{c}`' for c in spread)}), _parts)").cast("int")
     salted = attach(left, parts, on, bounded=True).withColumn(

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from jobscope.scale import HOT_ROWS, hot_from_counts, skew_join
+from jobscope.session import as_written
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+
+def numbered_lines(spark: SparkSession, path: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(file, line_no from 1, line) of text files, also of files of many splits.
 
     The row number inside a split comes from the scan itself; the number of
@@ -24,19 +27,23 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
         )
 
     earlier = Window.partitionBy("file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    splits = (
+    splits = as_written(
         scan()
         .groupBy("file", "_at")
         .agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
-        .withColumn("_skip", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .select("file", "_at", "_first", "_n", "_skip")
+        .withColumn("_skip", F.coalesce(F.sum("_n").over(earlier), F.lit(0))),
+        "splits",
     )
+    # a packed file cannot be split: its lines are spread over the join
+    hot = hot_from_counts(splits.select("file", "_at", "_n"), hot_rows)
     inside = F.col("_id") - F.col("_first")
     wrong = inside.isNull() | (inside < 0) | (inside >= F.col("_n"))
     number = F.when(wrong, F.raise_error(F.lit("input splits changed between scans")).cast("bigint")).otherwise(
         F.col("_skip") + inside + 1
     )
-    return scan().join(splits, ["file", "_at"], "left").select("file", number.alias("line_no"), "line")
+    return skew_join(scan(), splits, ["file", "_at"], "left", spread=["_id"], hot=hot).select(
+        "file", number.alias("line_no"), "line"
+    )
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

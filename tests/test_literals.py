@@ -274,3 +274,22 @@ def test_savings_never_negative(t):
 def test_merge_keeps_every_peak(t):
     got = intervals.merge_intervals(t.peaks)
     assert got.agg(F.sum("peaks")).first()[0] == t.peaks.count()
+
+
+def test_interactive_is_left_out(spark):
+    df = spark.createDataFrame([("short",), ("interactive",), (None,)], "partition_name string")
+    assert [r[0] for r in efficiency.exclude_interactive(df).collect()] == ["short", None]
+
+
+def test_process_trees(spark):
+    rows = [
+        (1, 1, 10, 1, 100 * 1024, 1.5, "slurmstepd", True, False), (1, 1, 11, 10, 50 * 1024, 50.0, "sh", False, False),
+        (1, 1, 12, 11, 25 * 1024, 25.4, "tool", False, False), (1, 1, 13, 11, 999 * 1024, 99.0, "monitor", False, True),
+        (1, 1, 14, 13, 777 * 1024, 77.0, "ps", False, False), (1, 1, 20, 1, 10**9, 1.0, "other", False, False),
+        (1, 1, 30, 31, 1, 1.0, "cycle", False, False), (1, 1, 31, 30, 1, 1.0, "cycle", False, False),
+    ]
+    df = spark.createDataFrame(
+        rows, "job_id int, tick int, pid int, ppid int, rss_kb bigint, cpu_pct double, cmd string, is_root boolean, is_monitor boolean"
+    )
+    got = usage.process_rollup(df.filter("cmd <> 'cycle'")).first()
+    assert (got.mem_mb, got.cpu_pct, got.procs) == (175 + 5000 // 1024, 78, 4)

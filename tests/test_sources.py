@@ -34,6 +34,8 @@ def test_lines_of_many_splits(spark, tmp_path, tiny_splits):
     assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 5
     wrong = df.filter("file like '%a.txt'").filter(~F.col("line").startswith(F.concat(F.lit("line "), (F.col("line_no") - 1).cast("string"), F.lit(" "))))
     assert wrong.isEmpty()
+    packed = text.numbered_lines(spark, str(tmp_path), hot_rows=10)
+    assert df.exceptAll(packed).isEmpty() and packed.count() == 3001
     assert df.count() == 3001 and df.filter("file like '%b.txt'").first().line_no == 1
 
 
@@ -81,6 +83,11 @@ def test_samples(spark, tmp_path):
     ]
     seg = usage.sample_segments(got.drop("minute").withColumn("ts", F.lit(0))).orderBy("seq").select("segment", "minute")
     assert [tuple(r) for r in seg.collect()] == [(1, 0), (1, 1), (1, 2), (2, 0), (2, 1)]
+    live = readers.read_samples(spark, str(tmp_path), stream=True)
+    assert live.isStreaming
+    out, cp = str(tmp_path / "out"), str(tmp_path / "cp")
+    live.writeStream.format("parquet").option("path", out).option("checkpointLocation", cp).trigger(availableNow=True).start().awaitTermination()
+    assert spark.read.schema(live.schema).parquet(out).filter("job_id = '12' and not is_marker").agg(F.sum("mem_mb")).first()[0] == 450
     (tmp_path / "log").mkdir()
     (tmp_path / "log" / "99.memCpuLog").write_text("Timestamp ReservedRam(M) Ram(M)\n2024-01-02 03:04:05 1000 250.5 749.5 25.05 4 180.0\n")
     r = readers.read_timed_samples(spark, str(tmp_path / "log")).first()
