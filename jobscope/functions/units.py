@@ -62,17 +62,22 @@ def minutes_to_dhms(minutes: Column) -> Column:
 def elapsed_hours(text: Column) -> Column:
     """Accounting duration to hours. The form is told by the text length."""
     n = F.length(text)
+    clock = F.substring_index(text, "-", -1)
 
-    def at(start: int, length: int) -> Column:
-        digits = F.regexp_extract(F.substring(text, start, length), "^([0-9]+)", 1)
-        return F.coalesce(digits.try_cast("double"), F.lit(0.0))
+    def num(c: Column) -> Column:
+        return F.coalesce(c.try_cast("double"), F.lit(0.0))
 
-    def of(group: int) -> Column:
-        return F.coalesce(F.regexp_extract(text, "^([0-9]+)-([0-9]+):([0-9]+)", group).try_cast("double"), F.lit(0.0))
+    def at(start: int, length: int) -> Column:
+        return num(F.translate(F.substring(text, start, length), ":", ""))
 
-    head = F.coalesce(F.substring_index(text, ":", 1).try_cast("double"), F.lit(0.0))
+    head = num(F.substring_index(text, ":", 1))
+    long_form = (
+        num(F.substring_index(text, "-", 1)) * 24
+        + num(F.substring_index(clock, ":", 1))
+        + num(F.substring_index(F.substring_index(clock, ":", 2), ":", -1)) / 60
+    )
     return (
-        F.when(n > 9, of(1) * 24 + of(2) + of(3) / 60)
+        F.when(n > 9, long_form)
         .when(n == 9, head / 60 + at(4, 2) / 3600)
         .when(n > 6, head + at(4, 2) / 60 + at(7, 2) / 3600)
         .when(n < 6, head / 60)

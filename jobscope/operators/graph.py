@@ -237,32 +237,36 @@ def loop_paths(lines: DataFrame, hot_rows: int = HOT_ROWS, hot: Hot | None = Non
     """Every line with the array of loop variables around it.
 
     ``#loopStart:v`` opens a loop and takes over the ``for`` line right below;
-    ``for v`` opens one; ``done`` closes the innermost.
+    ``for v`` opens one; ``done`` closes the innermost. The lines from an
+    annotation to the next blank line are its command and move no loop.
     """
-    code = F.ltrim(F.col("text"))
-    base = lines.withColumns(
-        {
-            "_mark": code.startswith("#loopStart:"),
-            "_code": code,
-        }
-    )
+    order = (["script_id"], ["line_no"])
     hot = hot_keys(lines, ["script_id"], hot_rows) if hot is None else hot
+
+    def last_line(cond: Column) -> Running:
+        return Running("last", F.when(cond, F.col("line_no")), before=True)
+
+    base = lines.withColumn("_code", F.ltrim("text"))
+    code = F.col("_code")
+    note, mark = code.startswith("#@"), code.startswith("#loopStart:")
     seen = grouped_scan(
-        base, ["script_id"], ["line_no"],
-        {"_last_mark": Running("last", F.when(F.col("_mark"), F.col("line_no")), before=True)},
-        hot=hot,
+        base, *order,
+        {"_note": last_line(note), "_blank": last_line(F.trim("text") == ""), "_mark": last_line(mark)}, hot=hot,
     )
-    covered = F.coalesce(F.col("_last_mark") == F.col("line_no") - 1, F.lit(False))
-    opens = F.col("_mark") | (F.col("_code").startswith("for") & ~covered)
-    var = F.when(F.col("_mark"), _word(F.substring_index(F.col("_code"), ":", -1))).otherwise(
+    command = F.col("_note").isNotNull() & (F.col("_note") > F.coalesce(F.col("_blank"), F.lit(-1)))
+    covered = F.coalesce(F.col("_mark") == F.col("line_no") - 1, F.lit(False))
+    opens = (mark | (code.startswith("for") & ~covered)) & ~command
+    closes = code.startswith("done") & ~command
+    var = F.when(mark, _word(F.substring_index(code, ":", -1))).otherwise(
         _word(F.expr("substring(_code, instr(_code, ' ') + 1)"))
     )
     moves = seen.withColumns({"_open": opens, "_var": F.when(opens, var)}).withColumn(
-        "_move", F.when(F.col("_open"), 1).when(F.col("_code").startswith("done"), -1).otherwise(0).cast("bigint")
+        "_move", F.when(F.col("_open"), 1).when(closes, -1).otherwise(0).cast("bigint")
     )
-    depth = grouped_scan(
-        moves, ["script_id"], ["line_no"], {"depth": Running("sum", F.col("_move"))}, hot=hot
-    ).withColumn("depth", F.greatest(F.col("depth"), F.lit(0)))
+    level = grouped_scan(moves, *order, {"_sum": Running("sum", F.col("_move"))}, hot=hot)
+    # a stray "done" closes nothing: lift the running sum by how far it fell below zero
+    low = grouped_scan(level, *order, {"_low": Running("min", F.col("_sum"))}, hot=hot)
+    depth = low.withColumn("depth", F.col("_sum") - F.least(F.col("_low"), F.lit(0).cast("bigint")))
     deepest = depth.agg(F.max("depth")).first()[0] or 0
     if deepest == 0:
         path = F.array().cast("array<string>")
@@ -272,16 +276,16 @@ def loop_paths(lines: DataFrame, hot_rows: int = HOT_ROWS, hot: Hot | None = Non
         f"_at{d}": Running("last", F.when(F.col("_open") & (F.col("depth") == d), F.col("_var")))
         for d in range(1, deepest + 1)
     }
-    named = grouped_scan(depth, ["script_id"], ["line_no"], levels, hot=hot)
+    named = grouped_scan(depth, *order, levels, hot=hot)
     path = F.slice(F.array(*levels), F.lit(1), F.col("depth").cast("int"))
     return named.select(*lines.columns, "depth", path.alias("loop_path"))
 
 
 def annotations(lines: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Job steps of annotated scripts, with the first rule each one breaks."""
-    # commands move no loop: only structural lines are shuffled
+    # other lines move no loop and end no command: they are not shuffled
     code = F.ltrim("text")
-    kept = lines.filter(code.rlike("^(#loopStart:|for|done|#@)"))
+    kept = lines.filter(code.rlike("^(#loopStart:|for|done|#@|\\s*$)"))
     hot = hot_keys(kept, ["script_id"], hot_rows)
     marked = loop_paths(kept, hot=hot).filter(code.startswith("#@"))
     part = F.split(F.regexp_replace(F.ltrim("text"), "^#@", ""), ",")
@@ -332,25 +336,25 @@ def dependency_groups(steps: DataFrame, jobs: DataFrame, hot_rows: int = HOT_ROW
     lists the jobs of each group. A gather step over n jobs so costs n + 1
     rows, not one row per pair of jobs.
     """
-    wanted = steps.select(
-        "script_id", "step", F.col("loop_path").alias("_p"),
-        F.explode(F.filter(F.split("deps", "\\."), lambda d: (d != "") & (d != "0"))).alias("dep_step"),
-    ).distinct()
-    other = steps.select("script_id", F.col("step").alias("dep_step"), F.col("loop_path").alias("_q")).distinct()
+    once = steps.select("script_id", "step", "deps", "loop_path").dropDuplicates(["script_id", "step"])
+    deps = F.array_distinct(F.filter(F.split("deps", "\\."), lambda d: (d != "") & (d != "0")))
+    wanted = once.select("script_id", "step", F.col("loop_path").alias("_p"), F.explode(deps).alias("dep_step"))
+    other = once.select("script_id", F.col("step").alias("dep_step"), F.col("loop_path").alias("_q"))
     # the script's own steps: a handful of rows per script
     shared = wanted.join(other, ["script_id", "dep_step"]).select(
         "script_id", "step", "dep_step", _shared_prefix("_p", "_q").alias("shared")
     )
+    values = F.array_join(F.slice("values", F.lit(1), F.col("shared")).cast("array<string>"), ",")
     # without a hot script no finer key is hot either
     hot = hot_keys(jobs, ["script_id"], hot_rows).within()
     asks = skew_join(
         jobs.select("script_id", "step", "job_id", "values"), shared, ["script_id", "step"], "inner", ["job_id"], hot_rows, hot
-    ).select("script_id", "step", "job_id", "dep_step", F.slice("values", F.lit(1), F.col("shared")).alias("loop_values"))
+    ).select("script_id", "step", "job_id", "dep_step", values.alias("loop_values"))
     gives = skew_join(
         jobs.select("script_id", F.col("step").alias("dep_step"), F.col("job_id").alias("dep_job"), "values"),
         shared.select("script_id", "dep_step", "shared").distinct(),
         ["script_id", "dep_step"], "inner", ["dep_job"], hot_rows, hot,
-    ).select("script_id", "dep_step", F.slice("values", F.lit(1), F.col("shared")).alias("loop_values"), "dep_job")
+    ).select("script_id", "dep_step", values.alias("loop_values"), "dep_job")
     group = ["script_id", "dep_step", "loop_values"]
     sizes = gives.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n_deps"), F.min("dep_job").alias("first_dep"), F.max("dep_job").alias("last_dep")

@@ -131,8 +131,8 @@ def run_catalog(t):
     return g.run_catalog(runs, logs)
 
 
-PATHS = """case when line_no between 3 and 5 then 'i' when line_no = 2 and looped then 'i' when line_no between 6 and 8 then 'i.j'
-      when line_no in (9, 10) then 'i' else '' end"""
+PATHS = """case when line_no between 3 and 6 then 'i' when line_no = 2 and looped then 'i' when line_no between 7 and 10 then 'i.j'
+      when line_no between 11 and 13 then 'i' else '' end"""
 
 
 @query(f"""
@@ -146,7 +146,7 @@ def loop_paths(t):
     with f as (select *, string_split(substr(ltrim(text), 3), ',') as p from script_lines where starts_with(ltrim(text), '#@')),
     s as (select script_id, line_no, coalesce(p[1], '') as step, coalesce(p[2], '') as deps, replace(split_part(coalesce(p[3], ''), ':', 1), '.NoCheckpoint', '') as name,
       split_part(coalesce(p[4], ''), ':', 1) as ref, coalesce(p[5], '') as inputs, coalesce(p[6], '') as options,
-      case line_no when 4 then 'i' when 7 then 'i.j' when 10 then 'i' else '' end as path from f)
+      case line_no when 4 then 'i' when 8 then 'i.j' when 12 then 'i' else '' end as path from f)
     select *, case when step = '' or deps = '' or name = '' then 'missing_field' when contains(concat(name, ref, inputs), 'sbatch') then 'options_in_wrong_field'
       when options <> '' and not starts_with(options, 'sbatch') then 'bad_options' when contains(options, ' -a ') then 'job_array'
       when row_number() over (partition by script_id, step order by line_no) > 1 then 'duplicate_step' end as violation from s""")
@@ -174,7 +174,7 @@ def _jobs(t):
 JOBS = """ok as (select s.script_id from script_lines s group by 1),
     f as (select *, string_split(substr(ltrim(text), 3), ',') as p from script_lines where starts_with(ltrim(text), '#@')),
     a as (select script_id, line_no, p[1] as step, p[2] as deps, coalesce(p[3], '') as name, coalesce(p[6], '') as options,
-      case line_no when 4 then 1 when 7 then 2 when 10 then 1 else 0 end as d, row_number() over (partition by script_id, p[1] order by line_no) as rn from f),
+      case line_no when 4 then 1 when 8 then 2 when 12 then 1 else 0 end as d, row_number() over (partition by script_id, p[1] order by line_no) as rn from f),
     s as (select * from a where not (name = '' or (options <> '' and not starts_with(options, 'sbatch')) or contains(options, ' -a ') or rn > 1)),
     jb as (select script_id, step, deps, d, i, j, script_id * 1000 + cast(step as bigint) * 100 + i * 10 + j as job_id
       from s, unnest(case when d >= 1 then [1, 2, 3] else [0] end) t(i), unnest(case when d >= 2 then [1, 2] else [0] end) u(j)),

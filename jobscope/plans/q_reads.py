@@ -257,13 +257,18 @@ def chi2_pvalue(t):
 
 
 @query("""
-    with a as (select * from peaks where peak_id % 2 = 0 or l2fc > 1), b as (select * from peaks where l2fc <= 3)
+    with b as (select peak_id, chrom, strand, start_pos + 3 as start_pos, end_pos + 3 as end_pos, l2fc * 0.8::double as l2fc, neg_log10_p + 1 as neg_log10_p from peaks)
     select a.peak_id, b.peak_id as other_id, greatest(a.start_pos, b.start_pos) as start_pos, least(a.end_pos, b.end_pos) as end_pos,
      round(sqrt(a.l2fc * b.l2fc), 6) as l2fc_mean, least(a.neg_log10_p, b.neg_log10_p) as neg_log10_p
-    from a join b on a.chrom = b.chrom and a.strand = b.strand and a.start_pos < b.end_pos and b.start_pos < a.end_pos where a.l2fc > 0 and b.l2fc > 0""")
+    from peaks a join b on a.chrom = b.chrom and a.strand = b.strand and a.start_pos < b.end_pos and b.start_pos < a.end_pos where a.l2fc > 0 and b.l2fc > 0""")
 def reproducible_peaks(t):
-    a = t.peaks.filter("peak_id % 2 = 0 or l2fc > 1")
-    both = iv.reproducible_peaks(a, t.peaks.filter("l2fc <= 3"))
+    other = t.peaks.withColumns(
+        {
+            "start_pos": F.col("start_pos") + 3, "end_pos": F.col("end_pos") + 3,
+            "l2fc": F.col("l2fc") * 0.8, "neg_log10_p": F.col("neg_log10_p") + 1,
+        }
+    )
+    both = iv.reproducible_peaks(t.peaks, other)
     return r6(both.select("peak_id", F.col("b_peak_id").alias("other_id"), "start_pos", "end_pos", "l2fc_mean", "neg_log10_p"))
 
 

@@ -21,13 +21,17 @@ SCRIPT = """
           when 2 then case when o.o_custkey % 4 = 0 then '#loopStart:i' else '' end
           when 3 then case when o.o_custkey % 4 = 0 then 'for x in 1 2 3; do' else 'for i in 1 2 3; do' end
           when 4 then concat('    #@1,0,', case when o.o_orderkey % 13 = 0 then '' else 'map' end, ',genome:x,input,sbatch -p short -c 1')
-          when 5 then '    echo one'
-          when 6 then '    for j in 1 2; do'
-          when 7 then concat('        #@2,1,count.NoCheckpoint,,in', case when o.o_orderkey % 17 = 0 then ',srun -p short' else '' end)
-          when 8 then '        echo two'
-          when 9 then '    done'
-          when 10 then concat('    #@', case when o.o_orderkey % 19 = 0 then '2' else '3' end, ',2,', o.o_orderpriority, ',,sam')
-          when 11 then 'done'
+          when 5 then '    for k in 1 2; do echo one; done'
+          when 6 then '  '
+          when 7 then '    for j in 1 2; do'
+          when 8 then concat('        #@2,1,count.NoCheckpoint,,in', case when o.o_orderkey % 17 = 0 then ',srun -p short' else '' end)
+          when 9 then '        echo two'
+          when 10 then ''
+          when 11 then '    done'
+          when 12 then concat('    #@', case when o.o_orderkey % 19 = 0 then '2' else '3' end, ',2,', o.o_orderpriority, ',,sam')
+          when 13 then ''
+          when 14 then 'done'
+          when 15 then 'done # one too many'
           else concat('#@4,3.1,merge,,all,sbatch', case when o.o_orderkey % 23 = 0 then ' -a 1-4' else ' -t 50:0' end) end as text"""
 
 VIEWS = {
@@ -148,8 +152,8 @@ VIEWS = {
     },
     # one annotated script per order: a loop, a loop inside it, a gather step
     "script_lines": {
-        "spark": SCRIPT + " from {orders} o lateral view explode(sequence(1, 12)) t as n",
-        "duck": SCRIPT + " from {orders} o, unnest(range(1, 13)) t(n)",
+        "spark": SCRIPT + " from {orders} o lateral view explode(sequence(1, 16)) t as n",
+        "duck": SCRIPT + " from {orders} o, unnest(range(1, 17)) t(n)",
     },
     "procs": """
         select event_id @DIV@ 500 as job_id, cast(0 as bigint) as tick, event_id as pid,

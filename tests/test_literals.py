@@ -145,17 +145,22 @@ SCRIPT = """#!/bin/sh
 #loopStart:i
 for i in {1..3}; do
     #@1,0,step1,,input,sbatch -p short -c 1
-    echo one
+    for not a loop: still the command
+
     #loopStart:j
     for j in {1..2}; do
         #@2,1,step2,,input,sbatch -p short
         echo two
+
     done
     #@3,2,step3.NoCheckpoint,,input
     echo three
+
+done
 done
 for q in a b; do
     #@5,0,x,,sbatch -p short
+
 done
 #@4,3,step4,,input
 #@4,3,again,,input,run
@@ -168,11 +173,11 @@ def test_script(spark):
     ann = graph.annotations(lines)
     got = {(r.line_no): (r.step, r.name, r.loop_path, r.violation) for r in ann.collect()}
     assert got[4] == ("1", "step1", ["i"], None)
-    assert got[8] == ("2", "step2", ["i", "j"], None)
-    assert got[11] == ("3", "step3", ["i"], None)
-    assert got[15][2:] == (["q"], "options_in_wrong_field")
-    assert got[17][2:] == ([], None)
-    assert got[18][3] == "bad_options" and got[19][3] == "missing_field" and got[20][3] == "job_array"
+    assert got[9] == ("2", "step2", ["i", "j"], None)
+    assert got[13] == ("3", "step3", ["i"], None)
+    assert got[19][2:] == (["q"], "options_in_wrong_field")
+    assert got[22][2:] == ([], None)
+    assert got[23][3] == "bad_options" and got[24][3] == "missing_field" and got[25][3] == "job_array"
 
     steps = ann.filter("violation is null")
     jobs, n = [], 0

@@ -71,7 +71,7 @@ HOT = 25
         lambda t, **h: usage.near_limit(t.samples, t.sample_jobs, **h),
         lambda t, **h: usage.usage_vs_request(t.samples, t.sample_jobs, **h),
         lambda t, **h: graph.first_batch_hold(t.graph.withColumn("depend_on", F.lit("null")), **h),
-        lambda t, **h: graph.loop_paths(t.script_lines.withColumn("line_no", F.col("script_id") * 12 + F.col("line_no")).withColumn("script_id", F.lit(1)), **h),
+        lambda t, **h: graph.loop_paths(t.script_lines.withColumn("line_no", F.col("script_id") * 16 + F.col("line_no")).withColumn("script_id", F.lit(1)), **h),
         lambda t, **h: graph.annotations(t.script_lines, **h),
         lambda t, **h: intervals.merge_intervals(t.peaks, **h),
         lambda t, **h: intervals.overlap_join(
