@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobscope.functions.jobs import input_refs, job_size
-from jobscope.scale import HOT_ROWS, Running, grouped_scan, skew_join
+from jobscope.scale import HOT_ROWS, Running, grouped_scan, hot_from_counts, skew_join
 from jobscope.session import as_written, cut_lineage
 
 # fixed values
@@ -166,9 +166,12 @@ def log_digest(lines: DataFrame, error: bool = False, hot_rows: int = HOT_ROWS)
 
     ``part`` is all, head or tail; a line near both ends comes once for each.
     """
-    sizes = lines.groupBy("file").agg(
-        F.max("line_no").alias("_n"), F.sum(F.octet_length("line") + 1).alias("_bytes")
+    sizes = as_written(
+        lines.groupBy("file").agg(
+            F.count(F.lit(1)).alias("_n"), F.max("line_no").alias("_last"), F.sum(F.octet_length("line") + 1).alias("_bytes")
+        )
     )
+    hot = hot_from_counts(sizes.select("file", "_n"), hot_rows)
     tail = DIGEST_ERROR_LINES if error else DIGEST_LINES
     big = F.col("_bytes") >= DIGEST_BYTES
     head = F.lit(False) if error else big & (F.col("line_no") <= DIGEST_LINES)
@@ -176,11 +179,11 @@ def log_digest(lines: DataFrame, error: bool = False, hot_rows: int = HOT_ROWS)
         F.array(
             F.when(~big, "all"),
             F.when(head, "head"),
-            F.when(big & (F.col("line_no") > F.col("_n") - tail), "tail"),
+            F.when(big & (F.col("line_no") > F.col("_last") - tail), "tail"),
         )
     )
     return (
-        skew_join(lines, sizes, ["file"], spread=["line_no"], hot_rows=hot_rows)
+        skew_join(lines, sizes.drop("_n"), ["file"], spread=["line_no"], hot=hot)
         .withColumn("part", F.explode(parts))
         .select("file", "line_no", "line", "part")
     )

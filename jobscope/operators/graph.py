@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jobscope import scale
 from jobscope.functions.jobs import step_of
 from jobscope.scale import HOT_ROWS, Hot, Running, grouped_scan, hot_keys, skew_join
 from jobscope.session import cut_lineage
@@ -64,11 +65,15 @@ def descendants(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     plan stays short and a lost executor does not replay the walk. edges are
     read once per level: give a written table.
     """
-    found = []
-    hot = hot_keys(edges, ["dep"])
+    found, hot = [], None
     frontier = cut_lineage(seeds.select("job_id").distinct())
-    while not frontier.isEmpty():
-        step = skew_join(edges, frontier.withColumnRenamed("job_id", "dep"), ["dep"], "left_semi", hot=hot)
+    while rows := scale.small_count(frontier):
+        above = frontier.withColumnRenamed("job_id", "dep")
+        if rows <= scale.SMALL_ROWS:
+            step = edges.join(F.broadcast(above), ["dep"], "left_semi")
+        else:
+            hot = hot or hot_keys(edges, ["dep"])
+            step = skew_join(edges, above, ["dep"], "left_semi", hot=hot)
         # new jobs only, each once: one grouping for both
         reached = _union([step.select("job_id", F.lit(False).alias("_old"))] + [d.withColumn("_old", F.lit(True)) for d in found])
         frontier = cut_lineage(

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobscope.functions.jobs import umi_of
-from jobscope.scale import HOT_ROWS, one_value, skew_join
+from jobscope.scale import HOT_ROWS, hot_from_counts, skew_join
+from jobscope.session import as_written
 
 # fixed values: SAM flag bits
 PROPER, UNMAPPED, REVERSE, FIRST, SECOND, DUPLICATE = 0x2, 0x4, 0x10, 0x40, 0x80, 0x400
@@ -236,10 +237,11 @@ def fastq_split(records: DataFrame, k: int = 2, hot_rows: int = HOT_ROWS) -> Dat
     The length is the number of reads div k; what is left over forms one more
     part, as cutting a file by a fixed number of lines does.
     """
-    sizes = records.groupBy("file").agg((F.max("ordinal") + 1).alias("_n"))
+    sizes = as_written(records.groupBy("file").agg((F.max("ordinal") + 1).alias("_n")))
+    hot = hot_from_counts(sizes, hot_rows)
     size = F.greatest(F.lit(1), F.floor(F.col("_n") / k))
     return (
-        skew_join(records, sizes, ["file"], spread=["ordinal"], hot_rows=hot_rows)
+        skew_join(records, sizes, ["file"], spread=["ordinal"], hot=hot)
         .withColumn("part", F.floor(F.col("ordinal") / size).cast("bigint"))
         .drop("_n")
     )

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobscope.scale import HOT_ROWS, Running, grouped_scan, hot_keys, skew_join
-from jobscope.session import cut_lineage
+from jobscope.scale import HOT_ROWS, Running, grouped_scan, hot_from_counts, hot_keys, skew_join
+from jobscope.session import as_written, cut_lineage
 
 # fixed values
 DEFAULT_MEM_MB = 4096
@@ -82,12 +82,12 @@ def _bucket_of(rank: Column, rows: Column, n: int) -> Column:
 
 def downsample_peaks(samples: DataFrame, n: int = 50, hot_rows: int = HOT_ROWS) -> DataFrame:
     """At most n rows per job: each keeps the peak memory and cpu of its bucket."""
-    hot = hot_keys(samples, ["job_id"], hot_rows)
+    sizes = as_written(samples.groupBy("job_id").agg(F.count(F.lit(1)).alias("_n")))
+    hot = hot_from_counts(sizes, hot_rows)
     ranked = grouped_scan(
         samples.select("job_id", "ts", "seq", "mem_mb", "cpu_pct"),
         ["job_id"], ["ts", "seq"], {"_rn": Running("count")}, hot=hot,
     )
-    sizes = samples.groupBy("job_id").agg(F.count(F.lit(1)).alias("_n"))
     both = skew_join(ranked, sizes, ["job_id"], spread=["seq"], hot=hot)
     bucket = F.when(F.col("_n") > n, _bucket_of(F.col("_rn"), F.col("_n"), n)).otherwise(F.col("_rn"))
     return (

@@ -13,6 +13,7 @@ from jobscope.plans.registry import day, query, r6
 from jobscope.session import as_written, scratch_path
 from jobscope.sources import readers, sinks
 
+# fixed value: head of the ledger header
 LEDGER_HEAD = "1jobID,2inputSize,3memDefault,4timeDefaut,5memAllocated,6timeAllocated"
 
 

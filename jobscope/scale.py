@@ -24,6 +24,7 @@ from jobscope.session import cut_lineage
 HOT_ROWS = 4_000_000
 MAX_PARTS = 16384  # of an ordered group
 MAX_COPIES = 1024  # of the right rows of a hot join key
+SMALL_ROWS = 50_000  # a checked table up to this size is broadcast
 VALUES_PER_PART = 16
 STRIDE = 128
 
@@ -202,6 +203,11 @@ def grouped_scan(
     return joined.select(*df.columns, *[c.alias(n) for n, c in out.items()])
 
 
+def small_count(df: DataFrame) -> int:
+    """Number of rows up to SMALL_ROWS + 1; stops reading there."""
+    return len(df.select(F.lit(1)).take(SMALL_ROWS + 1))
+
+
 def skew_join(
     left: DataFrame,
     right: DataFrame,
@@ -213,11 +219,15 @@ def skew_join(
 ) -> DataFrame:
     """Equi-join (inner, left, left_semi, left_anti) that spreads hot left keys.
 
-    A hot left key is cut by a hash of ``spread`` (left columns that tell its
+    A right side of few rows is broadcast after a count that stops early; left
+    is then not shuffled and needs no look at its keys. Else a hot left key is cut by a hash of ``spread`` (left columns that tell its
     rows apart; a hash, not a random number, so a re-run task gives the same
     rows). The right rows of that key alone are repeated once per part.
     """
-    hot = hot_keys(left, on, hot_rows) if hot is None else hot
+    if hot is None:
+        if small_count(right) <= SMALL_ROWS:
+            return left.join(F.broadcast(right), list(on), how)
+        hot = hot_keys(left, on, hot_rows)
     if hot.rows is None:
         return left.join(right, list(on), how)
     parts = hot.rows.toDF(*on, "_n", "_parts").withColumn("_parts", F.least("_parts", F.lit(MAX_COPIES))).drop("_n")

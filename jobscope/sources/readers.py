@@ -239,7 +239,8 @@ def read_policy(spark: SparkSession, path: str, user_path: str | None = None) ->
         return spark.read.text(p).select(
             F.regexp_extract("value", pattern, 1).alias("var"),
             F.regexp_replace(F.regexp_extract("value", pattern, 2), "\"", "").alias("val"),
-            F.lit(rank).alias("rank"),
+            # the last assignment of a file counts
+            F.struct(F.lit(rank), F.monotonically_increasing_id()).alias("rank"),
         ).filter("var != ''")
 
     found = assignments(path, 0)

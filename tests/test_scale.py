@@ -4,10 +4,17 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from jobscope import scale
 from jobscope.operators import files, graph, intervals, ledger, models, reads, usage
 from jobscope.scale import Running, grouped_scan, hot_keys, skew_join, split_hot_groups
 
 
+@pytest.fixture
+def large(monkeypatch):
+    """No table counts as small."""
+    monkeypatch.setattr(scale, "SMALL_ROWS", 0)
+
+
 def _skewed(t):
     """A third of all rows in one null-keyed group, ties in the first order column."""
     e = t.events.withColumn("k", F.when(F.col("event_id") % 3 != 0, F.col("user_id") % 5))
@@ -47,7 +54,7 @@ def test_hot_group_is_cut(t):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_skew_join(t, spark, same, how):
+def test_skew_join(t, spark, same, how, large):
     left = t.events.select((F.col("user_id") % 3).alias("k"), "event_id")
     right = spark.createDataFrame([(0, "a"), (0, "b"), (2, "c")], "k bigint, x string")
     same(skew_join(left, right, ["k"], how, hot_rows=20), left.join(right, ["k"], how))
@@ -82,8 +89,10 @@ HOT = 25
         lambda t, **h: reads.fastq_split(t.events.select(F.lit("f").alias("file"), F.col("event_id").alias("ordinal")), **h),
     ],
 )
-def test_operator_with_hot_keys(t, same, run):
-    same(run(t, hot_rows=HOT), run(t))
+def test_operator_with_hot_keys(t, same, run, large, monkeypatch):
+    hot = run(t, hot_rows=HOT)
+    monkeypatch.undo()
+    same(hot, run(t))
 
 
 def test_long_folders_are_chained(t, same):
@@ -91,3 +100,14 @@ def test_long_folders_are_chained(t, same):
     for limit in (3000, 40000):
         want = files.archive_batches(inv, limit)
         same(files.archive_batches(inv, limit, fold_rows=10, hot_rows=15), want)
+
+
+def test_walks_with_large_frontiers(t, same, large, monkeypatch):
+    from jobscope.plans.q_graph import _state
+
+    edges, state = graph.job_edges(t.graph), _state(t).select("job_id", "state")
+    got = graph.propagate_cancel(state, edges)
+    monkeypatch.undo()
+    same(got, graph.propagate_cancel(state, edges))
+    monkeypatch.setattr(scale, "SMALL_ROWS", 0)
+    same(usage.process_rollup(t.procs), usage.process_rollup(t.procs))
