@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from jobscope import scale
 from jobscope.functions.jobs import step_of
 from jobscope.scale import HOT_ROWS, Hot, Running, grouped_scan, hot_keys, skew_join
-from jobscope.session import cut_lineage
+from jobscope.session import as_written, cut_lineage
 
 # fixed values
 FIRST_BATCH = 5
@@ -345,9 +345,12 @@ def dependency_groups(steps: DataFrame, jobs: DataFrame, hot_rows: int = HOT_ROW
     deps = F.array_distinct(F.filter(F.split("deps", "\\."), lambda d: (d != "") & (d != "0")))
     wanted = once.select("script_id", "step", F.col("loop_path").alias("_p"), F.explode(deps).alias("dep_step"))
     other = once.select("script_id", F.col("step").alias("dep_step"), F.col("loop_path").alias("_q"))
-    # the script's own steps: a handful of rows per script
-    shared = wanted.join(other, ["script_id", "dep_step"]).select(
-        "script_id", "step", "dep_step", _shared_prefix("_p", "_q").alias("shared")
+    # a handful of rows per script, needed by both sides below
+    shared = as_written(
+        wanted.join(other, ["script_id", "dep_step"]).select(
+            "script_id", "step", "dep_step", _shared_prefix("_p", "_q").alias("shared")
+        ),
+        "step-pairs",
     )
     values = F.array_join(F.slice("values", F.lit(1), F.col("shared")).cast("array<string>"), ",")
     # without a hot script no finer key is hot either

@@ -130,10 +130,12 @@ def model_table(ledger: DataFrame, extra: DataFrame | None = None) -> DataFrame:
 def score_models(requests: DataFrame, models: DataFrame) -> DataFrame:
     """Estimate per request with the reason; defaults where no model applies.
 
-    requests: job_id, program, ref, input_size (null: missing input, 0: none),
-    mem_default, min_default.
+    requests: job_id, program, ref, input_size (null: missing input),
+    mem_default, min_default and, if empty input files are to be told from no
+    input, has_input; without it a size of 0 means no input.
     """
     size = F.col("input_size")
+    none = ~F.col("has_input") if "has_input" in requests.columns else size == 0
 
     def line(p: str, floor: int) -> Column:
         value = F.round(F.col(f"{p}_a") * size + F.col(f"{p}_b") + 2 * F.col(f"{p}_stdfit"), 6)
@@ -142,8 +144,8 @@ def score_models(requests: DataFrame, models: DataFrame) -> DataFrame:
     in_range = (size <= F.col("x_max") + RANGE_SLACK) | (F.col("n") > TRUSTED_POINTS)
     reason = (
         F.when(size.isNull(), "missing_input")
-        .when((size == 0) & F.col("p90_mem").isNotNull(), "noinput_p90")
-        .when((size == 0) | F.col("n").isNull(), "no_model")
+        .when(none & F.col("p90_mem").isNotNull(), "noinput_p90")
+        .when(none | F.col("n").isNull(), "no_model")
         .when(in_range, "model")
         .otherwise("out_of_range")
     )

@@ -82,6 +82,8 @@ def test_estimate(spark):
     assert got[3] == ("no_model", 4096, 120)
     assert got[4] == ("missing_input", 4096, 120)
     assert got[5] == ("noinput_p90", 9 + 500, 4 + 10)
+    empty = req.filter("job_id = 5").withColumn("has_input", F.lit(True))
+    assert models.estimate_resources(empty, _model(spark)).first().reason == "model"
 
 
 def test_fit(spark):
