@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobscope.llm import decontaminate, line_dedup, mixture, ngram_join, toxicity
+from jobscope.llm import decontaminate, html_text, line_dedup, lm_score, mixture, ngram_join, pii, token_counts, topk, toxicity
 from jobscope.llm.common import read, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +114,58 @@ def op7_source_mixture(spark, sf_dir):
     from documents left join z using (doc_id) join c on c.a = doc_id""")
 def op10_ngram_jaccard(spark, sf_dir):
     return ngram_join.linked_documents(read(spark, sf_dir, "documents"), n=3, percent=90)
+
+
+@query("""
+    with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as v from embeddings
+               where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(embedding) > 0),
+    s as (select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.v, c.v) as bigint) as score
+          from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id and len(q.v) = len(c.v)),
+    r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
+    select query_id, rank, vec_id, score from r where rank <= 20""")
+def op6_exact_topk(spark, sf_dir):
+    vectors = read(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 20 == 0), k=20, scale=64.0)
+
+
+@query()
+def op4_lm_score(spark, sf_dir):
+    return lm_score.score(read(spark, sf_dir, "documents"), modulus=7, held_out=2)
+
+
+@query()
+def op8_html_text(spark, sf_dir):
+    made = html_text.main_text(read(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return made.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
+@query()
+def op9_pii_surrogates(spark, sf_dir):
+    made = pii.replace(read(spark, sf_dir, "documents"), keep=["doc_id"])
+    return made.select("doc_id", "safe.n_mentions", "safe.n_entities", F.array_join("safe.kinds", ",").alias("kinds"), "safe.text")
+
+
+def three_edits(text: Column) -> Column:
+    """Edits of every text: one replaces a stretch, one inserts a paragraph, one deletes."""
+    n = F.char_length(text)
+    quarter = F.floor(n / 4).cast("bigint")
+
+    def one(start: Column, end: Column, replacement: str) -> Column:
+        return F.struct(start.cast("bigint").alias("start"), end.cast("bigint").alias("end"), F.lit(replacement).alias("replacement"))
+
+    return F.when(
+        n > 0,
+        F.array(one(quarter, quarter + 12, "[edited] "), one(2 * quarter, 2 * quarter, "\n\nA new paragraph, 42 words.\n\n"), one(3 * quarter, 3 * quarter + 20, "")),
+    )
+
+
+@query()
+def op2_token_counts(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    trees = token_counts.count_trees(docs, ranks, pattern, keep=["doc_id", "text"])
+    made = token_counts.apply_edits(trees, three_edits(F.col("text")), ranks, pattern, keep=["doc_id", "tree"])
+    return made.select(
+        "doc_id", "tree.n_tokens", F.col("edited.tree.n_tokens").alias("n_tokens_edited"), F.col("edited.n_encoded").alias("n_encoded"),
+        F.coalesce(F.char_length("edited.text"), F.lit(0)).cast("bigint").alias("n_chars_edited"),
+    )
