@@ -37,14 +37,14 @@ def _hash(key: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("line"), key).alias("h2"))
 
 
-def line_hashes(text: Column, min_chars: int) -> Column:
-    """Hash of each line's key in order; null for a key that is too short to count."""
+def line_key(line: Column) -> Column:
+    blank = [F.lit(c) for c in BLANK]
+    ends = F.substring(line, 1, 1).isin(blank) | F.substring(line, -1, 1).isin(blank)
+    return ascii_lower(F.when(ends, F.btrim(line, F.lit(BLANK))).otherwise(line))
 
-    def one(line: Column) -> Column:
-        key = ascii_lower(F.btrim(line, F.lit(BLANK)))
-        return F.when(F.char_length(key) >= min_chars, _hash(key))
 
-    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), one)
+def split_lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
 class LineRuns:
@@ -123,10 +123,11 @@ def drop_common_lines(
     body = F.col(f"`{text}`")
     # a text is known by its hash: equal texts lose the same lines
     known = F.struct(F.xxhash64(body).alias("t1"), F.xxhash64(F.lit("text"), body).alias("t2"))
-    keyed = docs.select(known.alias("_t"), F.array_compact(F.array_distinct(line_hashes(body, min_chars))).alias("_h"))
+    keyed = docs.select(known.alias("_t"), F.explode(F.array_distinct(F.transform(split_lines(body), line_key))).alias("_key"))
     path = scratch_path(spark, "lines")
     (
-        keyed.select("_t.t1", "_t.t2", F.explode("_h").alias("_h"))
+        keyed.filter(F.char_length("_key") >= min_chars)
+        .select("_t.t1", "_t.t2", _hash(F.col("_key")).alias("_h"))
         .select("t1", "t2", "_h.h1", "_h.h2", F.pmod("t2", F.lit(batches)).cast("int").alias("batch"))
         .write.partitionBy("batch").parquet(path)
     )
@@ -148,12 +149,8 @@ def drop_common_lines(
         known["t1"].alias("t1"), known["t2"].alias("t2"),
     ).join(lost, ["t1", "t2"], "left")
     whole = F.coalesce(F.col("_text"), F.lit(""))
-    split = F.split(whole, "\n", -1)
-    marked = F.filter(
-        F.arrays_zip(split.alias("line"), line_hashes(F.col("_text"), min_chars).alias("h")),
-        lambda x: x["h"].isNull() | ~F.array_contains(F.col("_lost"), x["h"]),
-    )
-    frame = frame.select("_row", "_lost", whole.alias("_text"), F.when(F.col("_lost").isNotNull(), marked["line"]).alias("_kept"))
+    kept = F.filter(split_lines(F.col("_text")), lambda line: ~F.array_contains(F.col("_lost"), _hash(line_key(line))))
+    frame = frame.select("_row", "_lost", whole.alias("_text"), F.when(F.col("_lost").isNotNull(), kept).alias("_kept"))
     n_lines = F.size(F.split("_text", "\n", -1)).cast("bigint")
     made = F.struct(
         F.when(F.col("_lost").isNull(), F.col("_text")).otherwise(F.array_join("_kept", "\n")).alias("text"),
