@@ -1,21 +1,27 @@
 """N-gram Jaccard self-join by T-occurrence search (DivideSkip), for groups of linked documents.
 
-A document's set is its distinct word shingles, known by 64-bit hashes. Two
+A document's set is its distinct word shingles, known by 64-bit hashes (a set
+by one of its own). Two
 documents link when ``100 * |A & B| >= percent * |A | B|``.
 
 1. Equal sets are one class; everything below works on one set per class.
-2. All tokens get one global order, rare ones first: by a sketch of document
-   counts of fixed size (``SKETCH`` counters), then by hash. The sketch only
-   steers the order; any order gives the same links.
+2. All tokens get one global order, rare ones first, from two sketches of fixed
+   size (2 ** ``SKETCH_BITS`` counters each) over all documents: tokens that stand out as
+   frequent come last, the others go by the frequencies of their words (a
+   shingle of rare words is not shared by chance), then by hash. The sketches
+   only steer the order; any order gives the same links.
 3. Two linked sets of sizes n and m share at least T = percent of the larger
    tokens, so each has a shared token among its first n - T + 1. Those prefixes are the short
    lists of the inverted index. A list of two or more classes is a search unit;
    units of the same members are one.
-4. In a unit, a task runs the T-occurrence search: for each set the short lists
+4. Units are first looked at with a histogram of each set (tokens by their leading
+   ``SHAPE`` bits): the overlap is at most the sum of the smaller counts. Members
+   that no other one could link with go no further; their sets do not travel.
+5. In a unit, a task runs the T-occurrence search: for each set the short lists
    are merged and counted, what reached T - L is probed in the L long ones by
    binary search, and the exact test decides. Members that are already connected
    are not compared again, and a unit gives a spanning forest, not all pairs.
-5. A unit beyond ``UNIT_ROWS`` members or ``UNIT_TOKENS`` tokens is cut into
+6. A unit beyond ``UNIT_ROWS`` members or ``UNIT_TOKENS`` tokens is cut into
    blocks by hash, each searched alone first. When the components of that are
    known, members outside a unit's largest component meet all blocks of the
    unit, so every pair that could still join two components is looked at.
@@ -44,48 +50,49 @@ SLICE = 4 << 20  # bytes of text at a time
 UNIT_ROWS = 256
 UNIT_TOKENS = 1 << 20
 SEEN_BITS = 24
+SHAPE = 8  # leading bits of a token; counts are bytes
 MU = 0.0085  # DivideSkip's weight of a probe against a merge
 
 
-def _sets(batch: pa.RecordBatch, n: int):
-    """(row, set) of a batch with a column ``text``, slice by slice."""
-    buf = textnum.Buffer(batch.column("text"))
-    for i, j in buf.slices(SLICE):
-        part = textnum.Buffer(batch.column("text").slice(i, j - i))
-        yield from enumerate(textnum.shingles(*textnum.words(part), n), i)
+def _sets(batch: pa.RecordBatch, n: int, ranks: np.ndarray | None = None):
+    """(set, its tokens' word ranks) of every row of a batch with a column ``text``, slice by slice."""
+    column = batch.column("text")
+    for i, j in textnum.Buffer(column).slices(SLICE):
+        counts, hashes = textnum.words(textnum.Buffer(column.slice(i, j - i)))
+        yield from textnum.shingles(counts, hashes, n, None if ranks is None else ranks[_bucket(hashes)].astype(np.int32))
 
 
-def _key(tokens: np.ndarray) -> bytes:
-    """128 bits that tell sets apart."""
-    raw = tokens.tobytes()
-    return hashlib.blake2b(raw, digest_size=16).digest()
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def _buckets(sets: list[np.ndarray]) -> np.ndarray:
-    tokens = np.concatenate([np.zeros(0, np.uint64), *sets])
-    return np.bincount((tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
+def _key(tokens: np.ndarray) -> int:
+    """A number for a set: 64 bits of a hash of all its tokens."""
+    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "big", signed=True)
 
 
-def sketch(texts: DataFrame, n: int) -> np.ndarray:
-    """Rough rank (0 to 255, rare first) of every bucket of tokens, from all documents."""
+def sketch(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """By bucket, from all documents: the rank of words, and the level of tokens that stand out (0 for the rest)."""
+    width = 1 << SKETCH_BITS
 
     def count(batches):
-        total = np.zeros(1 << SKETCH_BITS, np.uint32)
-        some = False
+        total = np.zeros(2 * width, np.uint32)
         for batch in batches:
-            held: list[np.ndarray] = []
-            for _, tokens in _sets(batch, n):
-                held.append(tokens)
-                if len(held) == 2048:
-                    total += _buckets(held)
-                    held = []
-            total += _buckets(held)
-            some = True
-        if some:
-            yield counter_rows(total)
-
-    total = sum_counters(texts.mapInArrow(count, "block int, counts binary"), 1 << SKETCH_BITS)
-    return np.minimum(255, np.round(16 * np.log2(1.0 + total))).astype(np.uint8)
+            column = batch.column("text")
+            for i, j in textnum.Buffer(column).slices(SLICE):
+                counts, hashes = textnum.words(textnum.Buffer(column.slice(i, j - i)))
+                total[:width] += np.bincount(_bucket(hashes), minlength=width).astype(np.uint32)
+                tokens = [t for t, _ in textnum.shingles(counts, hashes, n)]
+                total[width:] += np.bincount(_bucket(np.concatenate(tokens)), minlength=width).astype(np.uint32)
+        yield counter_rows(total)
+
+    total = sum_counters(texts.mapInArrow(count, "block int, counts binary"), 2 * width).astype(float)
+    words, tokens = total[:width], total[width:]
+    usual = tokens.mean() + 6 * np.sqrt(tokens.mean()) + 8
+    return (
+        np.minimum(255, np.round(8 * np.log2(1.0 + words))).astype(np.uint8),
+        np.where(tokens > usual, np.minimum(255, np.round(4 * np.log2(1.0 + tokens))), 0).astype(np.uint8),
+    )
 
 
 def needed(n: int, m: int, percent: int) -> int:
@@ -154,31 +161,72 @@ def search(sets: list[np.ndarray], labels: list, percent: int) -> list[tuple[int
     return links
 
 
-def _search_units(rows: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) found in units; rows: unit, node, label, tokens; a unit's rows are one task's, one after another."""
+def _by_unit(rows: DataFrame, columns: list[str], work, schema: str, names: list[str], kinds: list[pa.DataType]) -> DataFrame:
+    """Run work(unit, lists of the columns) -> rows on each unit; a unit's rows meet in one task, one after another."""
 
     def run(batches):
-        unit, nodes, labels, sets = None, [], [], []
-        edges: list[tuple[bytes, bytes]] = []
+        unit, held, out = None, [[] for _ in columns], []
 
-        def close():
-            if len(nodes) > 1:
-                edges.extend((nodes[i], nodes[j]) for i, j in search(sets, labels, percent))
+        def made():
+            rows_ = list(zip(*out, strict=True)) or [()] * len(names)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows_, kinds, strict=True)], names)
 
         for batch in batches:
-            for u, node, label, raw in zip(*(batch.column(c).to_pylist() for c in ("unit", "node", "label", "tokens")), strict=True):
+            for u, *values in zip(*(batch.column(c).to_pylist() for c in ["unit", *columns]), strict=True):
                 if u != unit:
-                    close()
-                    unit, nodes, labels, sets = u, [], [], []
-                nodes.append(node)
-                labels.append(label)
-                sets.append(np.frombuffer(raw, np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.binary()) for k in (0, 1)], ["a", "b"])
-            edges = []
-        close()
-        yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.binary()) for k in (0, 1)], ["a", "b"])
+                    if len(held[0]) > 1:
+                        out.extend(work(unit, *held))
+                    unit, held = u, [[] for _ in columns]
+                for to, v in zip(held, values, strict=True):
+                    to.append(v)
+            yield made()
+        if len(held[0]) > 1:
+            out.extend(work(unit, *held))
+        yield made()
+
+    return rows.select("unit", *columns).repartition("unit").sortWithinPartitions("unit").mapInArrow(run, schema)
+
 
-    return rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a binary, b binary")
+def _search_units(rows: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) found in units; rows: unit, node, label, tokens."""
+
+    def work(_, nodes, labels, raw):
+        return [(nodes[i], nodes[j]) for i, j in search([np.frombuffer(x, np.uint64) for x in raw], labels, percent)]
+
+    return _by_unit(rows, ["node", "label", "tokens"], work, "a bigint, b bigint", ["a", "b"], [pa.int64(), pa.int64()])
+
+
+def _shape(tokens: np.ndarray) -> bytes | None:
+    """Tokens by leading bits; none for a set too large for counts of a byte."""
+    counts = np.bincount((tokens >> np.uint64(64 - SHAPE)).astype(np.int64), minlength=1 << SHAPE)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
+def _possible(units: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The rows (unit, node, label) of members that could link with another one of their unit, by size and shape."""
+
+    def work(unit, nodes, labels, sizes, shapes):
+        order = sorted(range(len(nodes)), key=sizes.__getitem__)
+        size = np.array([sizes[i] for i in order])
+        counts = np.array([np.frombuffer(shapes[i] or bytes(1 << SHAPE), np.uint8) for i in order])
+        unknown = np.array([shapes[i] is None for i in order])
+        stays = np.zeros(len(order), bool)
+        for r in range(1, len(order)):
+            n = int(size[r])
+            low = int(np.searchsorted(size, -(-percent * n // 100)))
+            if low < r:
+                most = np.minimum(counts[low:r], counts[r]).sum(1, dtype=np.int64)
+                fit = (most >= -(-percent * (n + size[low:r]) // (100 + percent))) | unknown[low:r] | unknown[r]
+                stays[low:r] |= fit
+                stays[r] |= fit.any()
+        return [(unit, nodes[i], labels[i]) for i, s in zip(order, stays.tolist(), strict=True) if s]
+
+    rows = units.join(classes.select("node", "size", "shape"), "node")
+    return _by_unit(
+        rows, ["node", "label", "size", "shape"], work, "unit string, node bigint, label bigint", ["unit", "node", "label"],
+        [pa.string(), pa.int64(), pa.int64()],
+    )
 
 
 def _sets_of(texts: DataFrame, members: DataFrame, n: int) -> DataFrame:
@@ -187,7 +235,7 @@ def _sets_of(texts: DataFrame, members: DataFrame, n: int) -> DataFrame:
     A bit map of fixed size keeps sets of other classes from travelling; the join after it is exact.
     """
     spark = texts.sparkSession
-    spot = F.conv(F.substring(F.hex("node"), 1, SEEN_BITS // 4), 16, 10).cast("bigint")
+    spot = F.shiftrightunsigned("node", 64 - SEEN_BITS)
     words = (
         members.select(spot.alias("s"))
         .groupBy(F.shiftright("s", 5).alias("w"))
@@ -203,21 +251,21 @@ def _sets_of(texts: DataFrame, members: DataFrame, n: int) -> DataFrame:
         bits = np.frombuffer(zlib.decompress(shared.value), np.uint32)
         for batch in batches:
             nodes, sets, held = [], [], 0
-            for _, tokens in _sets(batch, n):
+            for tokens, _ in _sets(batch, n):
                 if not len(tokens):
                     continue
                 node = _key(tokens)
-                s = int.from_bytes(node[: SEEN_BITS // 8], "big")
+                s = (node & (1 << 64) - 1) >> 64 - SEEN_BITS
                 if bits[s >> 5] >> np.uint32(s & 31) & np.uint32(1):
                     nodes.append(node)
                     sets.append(tokens.tobytes())
                     held += len(sets[-1])
                 if held > SLICE:
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())], ["node", "tokens"])
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "tokens"])
                     nodes, sets, held = [], [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())], ["node", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "tokens"])
 
-    return texts.mapInArrow(run, "node binary, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens"))
+    return texts.mapInArrow(run, "node bigint, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens"))
 
 
 def _block(k) -> F.Column:
@@ -226,8 +274,12 @@ def _block(k) -> F.Column:
 
 def links(docs: DataFrame, texts: DataFrame, n: int, percent: int, unit_rows: int, unit_tokens: int) -> DataFrame:
     """Links (a, b) between classes that connect all that is connected; docs: node, size, prefix."""
-    classes = docs.filter("size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    index = as_written(classes.select(F.posexplode("prefix").alias("place", "token"), "node", "size"), "prefix-index")
+    classes = as_written(
+        docs.filter("size > 0").groupBy("node")
+        .agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("shape").alias("shape")),
+        "classes",
+    )
+    index = classes.select(F.posexplode("prefix").alias("place", "token"), "node", "size")
     lists = as_written(
         index.groupBy("token")
         .agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("total"), F.min("size").alias("least"))
@@ -252,10 +304,14 @@ def links(docs: DataFrame, texts: DataFrame, n: int, percent: int, unit_rows: in
     )
     large = rows.filter("blocks > 1")
     alone = large.select(F.concat_ws("/", F.lit("l"), "token", _block(F.col("blocks"))).alias("unit"), "node")
-    units = as_written(small.unionByName(alone), "units")
-    sets = as_written(_sets_of(texts, rows.select("node").distinct(), n), "member-sets")
-    none = F.lit(None).cast("binary").alias("label")
-    found = as_written(_search_units(units.join(sets, "node").select("unit", "node", none, "tokens"), percent), "links")
+    none = F.lit(None).cast("bigint").alias("label")
+
+    def search_all(units: DataFrame) -> DataFrame:
+        units = as_written(_possible(units, classes, percent), "units")
+        sets = _sets_of(texts, units.select("node").distinct(), n)
+        return as_written(_search_units(units.join(sets, "node"), percent), "links")
+
+    found = search_all(small.unionByName(alone).select("unit", "node", none))
     if large.isEmpty():
         return found
     # what blocks kept apart: members outside the largest component of a unit meet all its blocks
@@ -281,8 +337,7 @@ def links(docs: DataFrame, texts: DataFrame, n: int, percent: int, unit_rows: in
         open_.withColumn("cell", F.explode(F.array_distinct(F.concat(as_other, as_any))))
         .select(F.concat_ws("/", F.lit("c"), "token", "cell.r", "cell.b").alias("unit"), "node", "label")
     )
-    more = as_written(_search_units(cells.join(sets, "node").select("unit", "node", "label", "tokens"), percent), "links")
-    return found.unionByName(more)
+    return found.unionByName(search_all(cells))
 
 
 def linked_documents(
@@ -297,31 +352,31 @@ def linked_documents(
     """Per row: the id, n_shingles, component_id (least id that links reach, its own included)."""
     spark = docs.sparkSession
     texts = docs.select(F.col(f"`{text}`").cast("string").alias("text"))
-    ranks = sketch(texts, n)
-    shared = spark.sparkContext.broadcast(ranks)
+    shared = spark.sparkContext.broadcast(sketch(texts, n))
 
     def describe(batches):
-        rank = shared.value
+        words, levels = shared.value
         for batch in batches:
-            nodes, sizes, prefixes = [], [], []
-            for _, tokens in _sets(batch, n):
+            nodes, sizes, prefixes, shapes = [], [], [], []
+            for tokens, weight in _sets(batch, n, words):
                 size = len(tokens)
                 sizes.append(size)
+                shapes.append(_shape(tokens))
                 nodes.append(_key(tokens) if size else None)
                 # the rarest size - T + 1 tokens, where T holds for the smallest partner
                 short = size - -(-percent * size // 100) + 1
-                order = np.lexsort((tokens, rank[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
+                order = np.lexsort((tokens, weight, levels[_bucket(tokens)]))
                 prefixes.append(tokens[order[:short]].view(np.int64) if size else np.zeros(0, np.int64))
             ends = np.cumsum([0, *map(len, prefixes)])
             flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), flat], ["id", "node", "size", "prefix"]
+                [batch.column("id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), flat, pa.array(shapes, pa.binary())], ["id", "node", "size", "prefix", "shape"]
             )
 
     id_type = dict(docs.dtypes)[doc_id]
     known = as_written(
         docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-        .mapInArrow(describe, f"id {id_type}, node binary, size bigint, prefix array<bigint>"),
+        .mapInArrow(describe, f"id {id_type}, node bigint, size int, prefix array<bigint>, shape binary"),
         "shingled",
     )
     classes = as_written(known.filter("size > 0").groupBy("node").agg(F.min("id").alias("least")), "classes")
@@ -329,8 +384,8 @@ def linked_documents(
     joined = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     low = joined.groupBy("label").agg(F.min("least").alias("component"))
     final = as_written(joined.join(low, "label").select("node", "component"), "components")
-    return known.drop("prefix").join(final, "node", "left").select(
-        F.col("id").alias(doc_id), F.col("size").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")
+    return known.select("id", "node", "size").join(final, "node", "left").select(
+        F.col("id").alias(doc_id), F.col("size").cast("bigint").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")
     )
 
 

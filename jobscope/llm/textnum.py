@@ -125,27 +125,33 @@ def words(buf: Buffer, space: np.ndarray = SPACE, lower: bool = True) -> tuple[n
     return counts, np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def shingles(counts: np.ndarray, hashes: np.ndarray, n: int) -> list[np.ndarray]:
-    """Per text: the sorted distinct hashes of n consecutive words.
+def shingles(counts: np.ndarray, hashes: np.ndarray, n: int, weights: np.ndarray | None = None) -> Iterator:
+    """Per text: the sorted distinct hashes of n consecutive words, and the sums of their words' weights, if given.
 
     A text of fewer words, but not none, is one shingle of all its words.
     """
-    result = []
     with np.errstate(over="ignore"):
-        gram = np.zeros(max(0, len(hashes) - n + 1), np.uint64)
+        size = max(0, len(hashes) - n + 1)
+        gram, weight = np.zeros(size, np.uint64), np.zeros(size, np.int32)
         for k in range(n):
-            gram = gram * np.uint64(_BASE) + hashes[k : k + len(gram)]
+            gram = gram * np.uint64(_BASE) + hashes[k : k + size]
+            if weights is not None:
+                weight += weights[k : k + size]
         gram = mix(gram + np.uint64(n))
         at = 0
         for c in counts.tolist():
             if c >= n:
-                result.append(np.unique(gram[at : at + c - n + 1]))
+                here = gram[at : at + c - n + 1]
+                if weights is None:
+                    yield np.unique(here), None
+                else:
+                    tokens, first = np.unique(here, return_index=True)
+                    yield tokens, weight[at : at + c - n + 1][first]
             elif c:
                 h = np.uint64(0)
                 for x in hashes[at : at + c]:
                     h = h * np.uint64(_BASE) + x
-                result.append(mix(np.array([h + np.uint64(c)])))
+                yield mix(np.array([h + np.uint64(c)])), np.zeros(1, np.int32)
             else:
-                result.append(np.zeros(0, np.uint64))
+                yield np.zeros(0, np.uint64), np.zeros(0, np.int32)
             at += c
-    return result
