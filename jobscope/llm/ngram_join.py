@@ -47,7 +47,7 @@ from jobscope.session import as_written
 
 SKETCH_BITS = 22
 SLICE = 4 << 20  # bytes of text at a time
-UNIT_ROWS = 256
+UNIT_ROWS = 1024
 UNIT_TOKENS = 1 << 20
 SEEN_BITS = 24
 SHAPE = 8  # leading bits of a token; counts are bytes
@@ -206,7 +206,7 @@ def _shape(tokens: np.ndarray) -> bytes | None:
 def _possible(units: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The rows (unit, node, label) of members that could link with another one of their unit, by size and shape."""
 
-    def work(unit, nodes, labels, sizes, shapes):
+    def work(_, nodes, labels, sizes, shapes):
         order = sorted(range(len(nodes)), key=sizes.__getitem__)
         size = np.array([sizes[i] for i in order])
         counts = np.array([np.frombuffer(shapes[i] or bytes(1 << SHAPE), np.uint8) for i in order])
@@ -220,7 +220,10 @@ def _possible(units: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                 fit = (most >= -(-percent * (n + size[low:r]) // (100 + percent))) | unknown[low:r] | unknown[r]
                 stays[low:r] |= fit
                 stays[r] |= fit.any()
-        return [(unit, nodes[i], labels[i]) for i, s in zip(order, stays.tolist(), strict=True) if s]
+        left = sorted(i for i, s in zip(order, stays.tolist(), strict=True) if s)
+        # units that the same members are left of become one
+        name = hashlib.blake2b(np.sort(np.array([nodes[i] for i in left], np.int64)).tobytes(), digest_size=16).hexdigest()
+        return [(name, nodes[i], labels[i]) for i in left]
 
     rows = units.join(classes.select("node", "size", "shape"), "node")
     return _by_unit(
@@ -307,7 +310,7 @@ def links(docs: DataFrame, texts: DataFrame, n: int, percent: int, unit_rows: in
     none = F.lit(None).cast("bigint").alias("label")
 
     def search_all(units: DataFrame) -> DataFrame:
-        units = as_written(_possible(units, classes, percent), "units")
+        units = as_written(_possible(units, classes, percent).distinct(), "units")
         sets = _sets_of(texts, units.select("node").distinct(), n)
         return as_written(_search_units(units.join(sets, "node"), percent), "links")
 
