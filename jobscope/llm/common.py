@@ -65,3 +65,63 @@ def sum_counters(rows: DataFrame, length: int) -> np.ndarray:
         part = np.frombuffer(zlib.decompress(r.counts), np.uint64)
         total[r.block * COUNTER_BLOCK : r.block * COUNTER_BLOCK + len(part)] = part
     return total
+
+
+BLOCK_KEYS = 1 << 18
+
+
+def key_bits(n_keys: int) -> int:
+    """Leading bits that cut so many keys into blocks of about BLOCK_KEYS; 64 blocks at least."""
+    return max(6, int(np.ceil(np.log2(max(1, n_keys / BLOCK_KEYS)))))
+
+
+def totals_back(rows: DataFrame, bits: int) -> DataFrame:
+    """(chunk, block, totals) for rows (chunk, keys, counts): what each key of a chunk counts over all chunks.
+
+    keys are a chunk's distinct sorted uint64, counts its uint32; both as bytes. Keys go to the
+    task of their block by their leading bits and the totals come back in the
+    chunk's order, so a frequent key is one entry per chunk and never a group of
+    rows. Block -1 of chunk -1 - b has the number of keys and the sum of counts of block b.
+    """
+
+    def deal(batches):
+        for batch in batches:
+            for chunk, raw, n in zip(*(batch.column(c).to_pylist() for c in ("chunk", "keys", "counts")), strict=True):
+                keys, counts = np.frombuffer(raw, np.uint64), np.frombuffer(n, np.uint32)
+                blocks, first = np.unique(keys >> np.uint64(64 - bits), return_index=True)
+                ends = np.append(first[1:], len(keys))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(blocks.astype(np.int32)), pa.array(np.full(len(blocks), chunk)),
+                        pa.array([keys[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()),
+                        pa.array([zlib.compress(counts[a:b].tobytes(), 1) for a, b in zip(first, ends, strict=True)], pa.binary()),
+                    ],
+                    ["block", "chunk", "keys", "counts"],
+                )
+
+    def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        block = key[0].as_py()
+        keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
+        counts = np.concatenate([np.frombuffer(zlib.decompress(x), np.uint32) for x in table.column("counts").to_pylist()])
+        found, where = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(where, weights=counts)
+        back = np.minimum(total, 2**32 - 1).astype(np.uint32)[where]
+        ends = np.cumsum([0, *map(len, keys)])
+        parts = [zlib.compress(back[a:b].tobytes(), 1) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        sums = np.array([int((total > 0).sum()), int(total.sum())], np.uint64).tobytes()
+        return pa.table({
+            "chunk": pa.array([*table.column("chunk").to_pylist(), -1 - block], pa.int64()),
+            "block": pa.array([*[block] * len(parts), -1], pa.int32()),
+            "totals": pa.array([*parts, sums], pa.binary()),
+        })
+
+    return (
+        rows.mapInArrow(deal, "block int, chunk bigint, keys binary, counts binary")
+        .groupBy("block").applyInArrow(add, "chunk bigint, block int, totals binary")
+    )
+
+
+def in_order(blocks: pa.Table) -> np.ndarray:
+    """A chunk's totals in the order of its keys."""
+    rows = sorted(zip(blocks.column("block").to_pylist(), blocks.column("totals").to_pylist(), strict=True))
+    return np.concatenate([np.zeros(0, np.uint32), *[np.frombuffer(zlib.decompress(x), np.uint32) for _, x in rows]])

@@ -3,8 +3,8 @@
 1. Texts are packed once into chunks of about ``SLICE`` bytes: the chunk's
    distinct words (64-bit hashes) and each text as places in that list. All
    later steps read the packed table.
-2. Word counts of the training texts are joined back per chunk and distinct
-   word, so counts, known words and the base score are exact.
+2. Word counts of the training texts come back to each chunk's distinct
+   words, so counts, known words and the base score are exact.
 3. Bigrams (with a start and an end) are counted by blocks of hash; each
    block's bigrams of ``MIN_COUNT`` and more go into a Bloom filter: a count of
    level j is kept as the j entries (bigram, 1) ... (bigram, j), level j standing for counts from
@@ -31,11 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobscope.llm import textnum
-from jobscope.llm.common import remainder
+from jobscope.llm.common import in_order, key_bits, remainder, totals_back
 from jobscope.session import as_written
 
 SLICE = 4 << 20
-FLUSH = 4 << 20  # bigrams held by a task
+FLUSH = 2 << 20  # bigrams held by a task
 BLOCK_TOKENS = 1 << 18
 MIN_COUNT = 2
 STEP = 1.5
@@ -106,19 +106,14 @@ def _bigrams(words: np.ndarray, previous: np.ndarray, current: np.ndarray) -> np
         return textnum.mix(table[previous] * np.uint64(0x9E3779B97F4A7C15) + textnum.mix(table[current]))
 
 
-def _word_counts(batches):
-    for row in _chunks(batches, PARTS):
-        held, counts, words, places = _unpack(row)
-        seen = np.bincount(places[np.repeat(~held, counts)], minlength=len(words))
-        some = seen > 0
-        yield pa.RecordBatch.from_arrays([pa.array(words[some].view(np.int64)), pa.array(seen[some].astype(np.int64))], ["word", "n"])
-
-
 def _chunk_words(batches):
-    for row in _chunks(batches, ["chunk", "words"]):
-        words = np.frombuffer(row["words"], np.int64)
+    """Distinct words of a chunk and how often its training texts have them."""
+    for row in _chunks(batches, ["chunk", *PARTS]):
+        held, counts, words, places = _unpack(row)
+        seen = np.bincount(places[np.repeat(~held, counts)], minlength=len(words)).astype(np.uint32)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(words), row["chunk"])), pa.array(np.arange(len(words), dtype=np.int32)), pa.array(words)], ["chunk", "place", "word"]
+            [pa.array([row["chunk"]], pa.int64()), pa.array([row["words"]], pa.binary()), pa.array([seen.tobytes()], pa.binary())],
+            ["chunk", "keys", "counts"],
         )
 
 
@@ -262,11 +257,19 @@ def score(
         "packed",
     )
     parts = packed.select(*PARTS)
-    known = as_written(parts.mapInArrow(_word_counts, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
-    n_words, n_types = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    n_train = packed.agg(F.sum(F.size(F.filter("held", lambda h: ~h)))).first()[0] or 0
+    n_train, n_keys = packed.agg(
+        F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0)), F.coalesce(F.sum(F.octet_length("words")), F.lit(0)) / 8
+    ).first()
+    known = as_written(
+        totals_back(packed.select("chunk", *PARTS).mapInArrow(_chunk_words, "chunk bigint, keys binary, counts binary"), key_bits(n_keys)),
+        "word-counts",
+    )
+    n_types = n_words = 0
+    for r in known.filter("block = -1").select("totals").toLocalIterator():  # a row per block
+        found = np.frombuffer(r.totals, np.uint64)
+        n_types, n_words = n_types + int(found[0]), n_words + int(found[1])
     total, distinct = n_words + n_train, n_types + (n_train > 0)
-    places = packed.select("chunk", "words").mapInArrow(_chunk_words, "chunk bigint, place int, word bigint").join(known, "word").select("chunk", "place", "n")
+    known = known.filter("block >= 0")
 
     bits = max(6, int(np.ceil(np.log2(max(1, total / BLOCK_TOKENS)))))
     filters = as_written(
@@ -292,7 +295,7 @@ def score(
     made = None
     for shared, low, high in parts_of_scores:
         part = as_written(
-            packed.groupBy("chunk").cogroup(places.groupBy("chunk")).applyInArrow(
+            packed.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(
                 _score_chunk(shared, low, high, bits, total, distinct, n_train, low == 0), schema
             ),
             "scores",
@@ -314,14 +317,13 @@ def score(
 def _score_chunk(shared, low, high, bits, total, distinct, n_train, first):
     made: list = []
 
-    def run(key: tuple[pa.Scalar, ...], chunk: pa.Table, places: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], chunk: pa.Table, totals: pa.Table) -> pa.Table:
         if not made:
             made.append(_Filter(shared.value, 1 << bits))
         mine = np.zeros(1 << bits, bool)
         mine[low:high] = True
         row = {c: chunk.column(c)[0].as_py() for c in PARTS}
-        known = np.zeros(len(row["words"]) // 8, np.int64)
-        known[places.column("place").to_numpy()] = places.column("n").to_numpy()
+        known = in_order(totals).astype(np.int64)
         n_tokens, n_known, base, scores, left_out = _scores(row, known, total, distinct, n_train, mine, made[0], bits, first)
         n = len(row["held"])
         nested = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * len(KAPPAS), pa.int32()), pa.array(np.ascontiguousarray(x).reshape(-1), pa.float64()))
