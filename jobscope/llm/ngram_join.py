@@ -37,11 +37,13 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobscope.llm import textnum
-from jobscope.llm.common import counter_rows, sum_counters
+from jobscope.llm.common import counter_rows, in_order, key_bits, sum_counters, totals_back
 from jobscope.llm.components import components
 from jobscope.session import as_written
 
@@ -275,19 +277,72 @@ def _block(k) -> F.Column:
     return F.pmod(F.xxhash64("node"), k)
 
 
+PACKED = "chunk bigint, nodes array<bigint>, sizes array<int>, shapes array<binary>, lengths array<int>, tokens binary"
+
+
+def _pack(batches):
+    """Classes of a batch as one row; tokens are their prefixes one after another."""
+    for number, batch in enumerate(b for b in batches if b.num_rows):
+        prefix = batch.column("prefix")
+        chunk = (TaskContext.get().partitionId() << 32) + number
+        flat = np.asarray(prefix.flatten().to_numpy(zero_copy_only=False), np.int64)
+        one = lambda c, k: pa.array([c.to_pylist()], pa.list_(k))
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([chunk], pa.int64()), one(batch.column("node"), pa.int64()), one(batch.column("size"), pa.int32()),
+                one(batch.column("shape"), pa.binary()), one(pc.list_value_length(prefix), pa.int32()), pa.array([flat.tobytes()], pa.binary()),
+            ],
+            ["chunk", "nodes", "sizes", "shapes", "lengths", "tokens"],
+        )
+
+
+def _chunk_tokens(batches):
+    for batch in batches:
+        for chunk, raw in zip(batch.column("chunk").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
+            keys, counts = np.unique(np.frombuffer(raw, np.uint64), return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([chunk], pa.int64()), pa.array([keys.tobytes()], pa.binary()), pa.array([counts.astype(np.uint32).tobytes()], pa.binary())],
+                ["chunk", "keys", "counts"],
+            )
+
+
+def _shared_tokens(key: tuple[pa.Scalar, ...], chunk: pa.Table, totals: pa.Table) -> pa.Table:
+    """The prefix tokens of a chunk that two classes or more have."""
+    tokens = np.frombuffer(chunk.column("tokens")[0].as_py(), np.uint64)
+    lengths = np.array(chunk.column("lengths")[0].as_py(), np.int64)
+    _, where = np.unique(tokens, return_inverse=True)
+    some = np.flatnonzero(in_order(totals)[where] > 1)
+    owner = np.repeat(np.arange(len(lengths)), lengths)[some]
+    begin = np.concatenate([[0], np.cumsum(lengths)])
+    return pa.table({
+        "token": pa.array(tokens[some].view(np.int64)),
+        "node": pa.array(np.array(chunk.column("nodes")[0].as_py(), np.int64)[owner]),
+        "size": pa.array(np.array(chunk.column("sizes")[0].as_py(), np.int32)[owner]),
+        "place": pa.array((some - begin[owner]).astype(np.int32)),
+    })
+
+
 def links(docs: DataFrame, texts: DataFrame, n: int, percent: int, unit_rows: int, unit_tokens: int) -> DataFrame:
     """Links (a, b) between classes that connect all that is connected; docs: node, size, prefix."""
-    classes = as_written(
+    packed = as_written(
         docs.filter("size > 0").groupBy("node")
-        .agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("shape").alias("shape")),
+        .agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("shape").alias("shape"))
+        .mapInArrow(_pack, PACKED),
         "classes",
     )
-    index = classes.select(F.posexplode("prefix").alias("place", "token"), "node", "size")
-    lists = as_written(
-        index.groupBy("token")
-        .agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("total"), F.min("size").alias("least"))
-        .filter("members > 1"),
-        "prefix-lists",
+    classes = packed.select(F.explode(F.arrays_zip("nodes", "sizes", "shapes")).alias("c")).select(
+        F.col("c.nodes").alias("node"), F.col("c.sizes").alias("size"), F.col("c.shapes").alias("shape")
+    )
+    n_tokens = packed.agg(F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0)) / 8).first()[0]
+    shared = totals_back(packed.select("chunk", "tokens").mapInArrow(_chunk_tokens, "chunk bigint, keys binary, counts binary"), key_bits(n_tokens))
+    index = as_written(
+        packed.select("chunk", "nodes", "sizes", "lengths", "tokens").groupBy("chunk")
+        .cogroup(shared.filter("block >= 0").groupBy("chunk"))
+        .applyInArrow(_shared_tokens, "token bigint, node bigint, size int, place int"),
+        "prefix-index",
+    )
+    lists = index.groupBy("token").agg(
+        F.count(F.lit(1)).alias("members"), F.sum("size").alias("total"), F.min("size").alias("least")
     )
     rows = as_written(
         index.join(lists, "token")
