@@ -88,6 +88,8 @@ def totals_back(rows: DataFrame, bits: int) -> DataFrame:
         for batch in batches:
             for chunk, raw, n in zip(*(batch.column(c).to_pylist() for c in ("chunk", "keys", "counts")), strict=True):
                 keys, counts = np.frombuffer(raw, np.uint64), np.frombuffer(n, np.uint32)
+                if not len(keys):
+                    continue
                 blocks, first = np.unique(keys >> np.uint64(64 - bits), return_index=True)
                 ends = np.append(first[1:], len(keys))
                 yield pa.RecordBatch.from_arrays(
