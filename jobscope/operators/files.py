@@ -24,14 +24,15 @@ def input_size(jobs: DataFrame, inventory: DataFrame, hot_rows: int = HOT_ROWS)
     """Total input size per job in KiB.
 
     jobs: job_id, inputs (list, ``none`` or ``,jobSize:N``); inventory: path,
-    size_kib. A job with a missing file gets no size and ``missing_input``.
+    size_kib. A job with a missing file gets no size and ``missing_input``. A
+    file counts once per job, however often it is named or listed.
     """
     literal = job_size(F.col("inputs"))
     none = F.col("inputs").isNull() | (F.col("inputs") == "none")
-    refs = F.when(~none, input_refs(F.col("inputs")))
+    refs = F.when(~none, F.array_distinct(input_refs(F.col("inputs"))))
     wanted = jobs.select("job_id", literal.alias("_literal"), F.explode_outer(refs).alias("path"))
     sized = skew_join(
-        wanted, inventory.select("path", "size_kib"), ["path"], "left", spread=["job_id"], hot_rows=hot_rows
+        wanted, inventory.groupBy("path").agg(F.max("size_kib").alias("size_kib")), ["path"], "left", spread=["job_id"], hot_rows=hot_rows
     )
     return sized.groupBy("job_id").agg(
         F.max("_literal").alias("_literal"),
@@ -129,11 +130,11 @@ def archive_batches(
     """Batch number per file of a folder, in name order (dir, name, size_kib).
 
     A batch is closed by the file that takes it over the limit. Files larger
-    than the limit are copied alone: batch is null. Folders of up to
+    than the limit, and those of unknown size, are copied alone: batch is null. Folders of up to
     ``fold_rows`` files are folded in one task each, longer ones by joins.
     """
     base = inventory.select("dir", "name", "size_kib")
-    alone = base.filter(F.col("size_kib") > limit).withColumn("batch", F.lit(None).cast("bigint"))
+    alone = base.filter((F.col("size_kib") > limit) | F.col("size_kib").isNull()).withColumn("batch", F.lit(None).cast("bigint"))
     small = base.filter(F.col("size_kib") <= limit).withColumn("_num", _number_in_front(F.col("name")))
     counts = small.groupBy("dir").agg(F.count(F.lit(1)).alias("_n"))
     long_dirs = as_written(counts.filter(F.col("_n") > fold_rows).select("dir"), "long-folders")

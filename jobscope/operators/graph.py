@@ -352,7 +352,12 @@ def dependency_groups(steps: DataFrame, jobs: DataFrame, hot_rows: int = HOT_ROW
         ),
         "step-pairs",
     )
-    values = F.array_join(F.slice("values", F.lit(1), F.col("shared")).cast("array<string>"), ",")
+    # commas and backslashes inside a value are escaped and null is written out, so different lists stay different
+    plain = F.transform(
+        F.slice("values", F.lit(1), F.col("shared")).cast("array<string>"),
+        lambda v: F.coalesce(F.regexp_replace(v, r"([\\,])", r"\\$1"), F.lit("\\N")),
+    )
+    values = F.array_join(plain, ",")
     # without a hot script no finer key is hot either
     hot = hot_keys(jobs, ["script_id"], hot_rows).within()
     asks = skew_join(

@@ -34,10 +34,18 @@ def _typed_ledger(df: DataFrame) -> DataFrame:
     )
 
 
+HEADER_ID = r"(?i)^\s*\d*job_?id\s*$"
+
+
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """Job ledger: headerless comma text; a header row is dropped wherever it is."""
+    """Job ledger: headerless comma text; a header row is dropped wherever it is.
+
+    Every other row stays: an array task (``123_4``) has the number of its job,
+    an id without a number in front is null.
+    """
     raw = spark.read.schema(schemas.LEDGER_TEXT).csv(path, mode="PERMISSIVE")
-    return _typed_ledger(raw.filter(F.col("job_id").try_cast("bigint").isNotNull()))
+    rows = raw.filter(F.col("job_id").isNull() | ~F.col("job_id").rlike(HEADER_ID))
+    return _typed_ledger(rows.withColumn("job_id", F.regexp_extract("job_id", r"^\s*(\d+)", 1)))
 
 
 def read_plot_records(spark: SparkSession, logs: str) -> DataFrame:
@@ -53,8 +61,8 @@ def read_accounting(spark: SparkSession, path: str, hot_rows: int = HOT_ROWS) ->
     """Accounting export as (jobs, steps).
 
     A job row names its user and has no MaxRSS; the rows below it without a
-    user are its steps. The export has no job id: the line of the job row
-    stands for it and is carried down to the steps.
+    user are its steps. The export has no job id: the whole path and the line of
+    the job row stand for it and are carried down to the steps.
     """
     lines = numbered_lines(spark, path)
     part = F.split("line", "\\|")
@@ -65,7 +73,7 @@ def read_accounting(spark: SparkSession, path: str, hot_rows: int = HOT_ROWS) ->
     is_job = (F.col("user_name") != "") & (F.col("max_rss") == "")
     owned = grouped_scan(
         rows, ["file"], ["line_no"], {"job_line": Running("last", F.when(is_job, F.col("line_no")))}, hot_rows
-    ).withColumn("job_id", F.concat_ws(":", F.element_at(F.split("file", "/"), -1), F.col("job_line")))
+    ).withColumn("job_id", F.concat_ws(":", "file", "job_line"))
 
     def gb(c: str) -> Column:
         return F.regexp_replace(c, "G$", "").try_cast("double")
@@ -173,8 +181,9 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_bed(spark: SparkSession, path: str, kind: str = "bed6") -> DataFrame:
+    """Intervals; a line that does not fit the columns is an error, never left out."""
     schema = {"bed6": schemas.BED6, "bedgraph": schemas.BEDGRAPH}[kind]
-    return spark.read.schema(schema).csv(path, sep="\t", mode="DROPMALFORMED", comment="#")
+    return spark.read.schema(schema).csv(path, sep="\t", mode="FAILFAST", comment="#")
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
