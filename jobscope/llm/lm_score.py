@@ -34,8 +34,8 @@ from jobscope.llm import textnum
 from jobscope.llm.common import in_order, key_bits, remainder, totals_back
 from jobscope.session import as_written
 
-SLICE = 4 << 20
-FLUSH = 2 << 20  # bigrams held by a task
+SLICE = 2 << 20
+FLUSH = 1 << 20  # bigrams held by a task
 BLOCK_TOKENS = 1 << 18
 MIN_COUNT = 2
 STEP = 1.5
@@ -54,7 +54,7 @@ def _pack(n_ids: str):
         for batch in batches:
             whole = textnum.Buffer(batch.column("text"))
             for i, j in whole.slices(SLICE):
-                counts, hashes = textnum.words(textnum.Buffer(batch.column("text").slice(i, j - i)))
+                counts, hashes = textnum.words(whole.rows(i, j))
                 vocabulary, places = np.unique(hashes, return_inverse=True)
                 small = len(vocabulary) <= 1 << 16
                 yield pa.RecordBatch.from_arrays(
@@ -222,14 +222,16 @@ def _scores(chunk: dict, known: np.ndarray, total: int, distinct: int, n_train:
     before = count[previous]
     seen = np.minimum(value[level], np.minimum(before, count[current]))
     base = p0[current]
+    n_known = add((count[current] > 0).astype(np.int64)) * first
     train = np.repeat(~held, counts + 1)
+    del block, key, level, current, previous
     scores, left_out = [], []
     for kappa in KAPPAS:
         scores.append(add(np.where(inside, np.log10((seen + kappa * base) / (before + kappa)), 0)))
         other = np.log10((np.maximum(seen - 1, 0) + kappa * base) / (np.maximum(before - 1, 0) + kappa))
         left_out.append(add(np.where(inside & train, other, 0)))
     return (
-        (counts + 1) * first, add((count[current] > 0).astype(np.int64)) * first, add(np.log10(base)) * first,
+        (counts + 1) * first, n_known, add(np.log10(base)) * first,
         np.array(scores).T, np.array(left_out).T,
     )
 

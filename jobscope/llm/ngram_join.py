@@ -48,7 +48,7 @@ from jobscope.llm.components import components
 from jobscope.session import as_written
 
 SKETCH_BITS = 22
-SLICE = 4 << 20  # bytes of text at a time
+SLICE = 1 << 20  # bytes of text at a time
 UNIT_ROWS = 1024
 UNIT_TOKENS = 1 << 20
 SEEN_BITS = 24
@@ -59,8 +59,9 @@ MU = 0.0085  # DivideSkip's weight of a probe against a merge
 def _sets(batch: pa.RecordBatch, n: int, ranks: np.ndarray | None = None):
     """(set, its tokens' word ranks) of every row of a batch with a column ``text``, slice by slice."""
     column = batch.column("text")
-    for i, j in textnum.Buffer(column).slices(SLICE):
-        counts, hashes = textnum.words(textnum.Buffer(column.slice(i, j - i)))
+    whole = textnum.Buffer(column)
+    for i, j in whole.slices(SLICE):
+        counts, hashes = textnum.words(whole.rows(i, j))
         yield from textnum.shingles(counts, hashes, n, None if ranks is None else ranks[_bucket(hashes)].astype(np.int32))
 
 
@@ -80,12 +81,12 @@ def sketch(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     def count(batches):
         total = np.zeros(2 * width, np.uint32)
         for batch in batches:
-            column = batch.column("text")
-            for i, j in textnum.Buffer(column).slices(SLICE):
-                counts, hashes = textnum.words(textnum.Buffer(column.slice(i, j - i)))
-                total[:width] += np.bincount(_bucket(hashes), minlength=width).astype(np.uint32)
-                tokens = [t for t, _ in textnum.shingles(counts, hashes, n)]
-                total[width:] += np.bincount(_bucket(np.concatenate(tokens)), minlength=width).astype(np.uint32)
+            whole = textnum.Buffer(batch.column("text"))
+            for i, j in whole.slices(SLICE):
+                counts, hashes = textnum.words(whole.rows(i, j))
+                np.add.at(total[:width], _bucket(hashes), 1)
+                for tokens, _ in textnum.shingles(counts, hashes, n):
+                    np.add.at(total[width:], _bucket(tokens), 1)
         yield counter_rows(total)
 
     total = sum_counters(texts.mapInArrow(count, "block int, counts binary"), 2 * width).astype(float)

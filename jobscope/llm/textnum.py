@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SEGMENT = 1 << 21  # bytes
+SEGMENT = 1 << 19  # bytes
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -49,16 +49,22 @@ class Buffer:
     def __init__(self, column: pa.Array | pa.ChunkedArray):
         if isinstance(column, pa.ChunkedArray):
             column = column.combine_chunks()
-        column = column.cast(pa.large_string())
         if column.null_count:
             column = column.fill_null("")
         _, offsets, data = column.buffers()
-        n = len(column)
+        n, kind = len(column), np.int64 if pa.types.is_large_string(column.type) else np.int32
+        # the offsets are copied, the bytes are not
         self.offsets = (
-            np.frombuffer(offsets, np.int64)[column.offset : column.offset + n + 1] if n else np.zeros(1, np.int64)
+            np.frombuffer(offsets, kind)[column.offset : column.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
         )
         self.data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
 
+    def rows(self, i: int, j: int) -> "Buffer":
+        """Some of the texts, over the same bytes."""
+        part = object.__new__(Buffer)
+        part.offsets, part.data = self.offsets[i : j + 1], self.data
+        return part
+
     def __len__(self) -> int:
         return len(self.offsets) - 1
 
