@@ -2,6 +2,7 @@
 
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 
 import numpy as np
@@ -68,6 +69,18 @@ def sum_counters(rows: DataFrame, length: int) -> np.ndarray:
 
 
 BLOCK_KEYS = 1 << 18
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Rows of a batch that goes to Python, for what is run inside: fewer, where rows are long."""
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
 
 
 def key_bits(n_keys: int) -> int:

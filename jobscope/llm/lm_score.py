@@ -31,10 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobscope.llm import textnum
-from jobscope.llm.common import in_order, key_bits, remainder, totals_back
+from jobscope.llm.common import batches_of, in_order, key_bits, remainder, totals_back
 from jobscope.session import as_written
 
 SLICE = 2 << 20
+TEXTS = 1000  # texts of a batch
+CHUNKS = 8  # chunks of a batch
 FLUSH = 1 << 20  # bigrams held by a task
 BLOCK_TOKENS = 1 << 18
 MIN_COUNT = 2
@@ -254,10 +256,16 @@ def score(
         F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"),
         F.coalesce(remainder(F.col(f"`{doc_id}`"), modulus) == held_out, F.lit(False)).alias("held"),
     )
-    packed = as_written(
-        rows.mapInArrow(_pack(id_type), f"chunk bigint, ids array<{id_type}>, held array<boolean>, counts array<bigint>, words binary, places binary"),
-        "packed",
-    )
+    with batches_of(spark, TEXTS):
+        packed = as_written(
+            rows.mapInArrow(_pack(id_type), f"chunk bigint, ids array<{id_type}>, held array<boolean>, counts array<bigint>, words binary, places binary"),
+            "packed",
+        )
+    with batches_of(spark, CHUNKS):
+        return _score_packed(spark, packed, doc_id, id_type, filter_bytes)
+
+
+def _score_packed(spark, packed: DataFrame, doc_id: str, id_type: str, filter_bytes: int) -> DataFrame:
     parts = packed.select(*PARTS)
     n_train, n_keys = packed.agg(
         F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0)), F.coalesce(F.sum(F.octet_length("words")), F.lit(0)) / 8
