@@ -181,15 +181,15 @@ def _filter(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 
 
 class _Filter:
-    """Some blocks' filters, to be probed together."""
+    """Some blocks' filters, to be probed together; the bytes are those of the broadcast."""
 
-    def __init__(self, rows: list, n_blocks: int):
-        self.bits = np.frombuffer(b"".join(r[2] for r in rows), np.uint8)
+    def __init__(self, found: tuple[list, bytes], n_blocks: int):
+        self.bits = np.frombuffer(found[1], np.uint8)
         self.size, self.base = np.zeros(n_blocks, np.uint64), np.zeros(n_blocks, np.int64)
         at = 0
-        for block, size, raw in rows:
+        for block, size, length in found[0]:
             self.size[block], self.base[block] = size, at * 8
-            at += len(raw)
+            at += length
 
     def levels(self, block: np.ndarray, key: np.ndarray) -> np.ndarray:
         found = np.zeros(len(block), np.int64)
@@ -299,6 +299,7 @@ def _score_packed(spark, packed: DataFrame, doc_id: str, id_type: str, filter_by
     parts_of_scores = []
     for g, blocks in enumerate(groups):
         found = [] if not blocks else [tuple(r) for r in filters.filter(F.col("block").between(blocks[0], blocks[-1])).collect()]
+        found = ([(block, size, len(raw)) for block, size, raw in found], b"".join(raw for *_, raw in found))
         shared = spark.sparkContext.broadcast(found)
         parts_of_scores.append((shared, starts[g], starts[g + 1]))
     schema = f"chunk bigint, row int, id {id_type}, held boolean, n_tokens bigint, n_known bigint, base double, scores array<double>, left_out array<double>"
