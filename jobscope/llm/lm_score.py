@@ -34,7 +34,7 @@ from jobscope.llm import textnum
 from jobscope.llm.common import batches_of, in_order, key_bits, remainder, totals_back
 from jobscope.session import as_written
 
-SLICE = 2 << 20
+SLICE = 1 << 20
 TEXTS = 1000  # texts of a batch
 CHUNKS = 8  # chunks of a batch
 FLUSH = 1 << 20  # bigrams held by a task
