@@ -251,7 +251,22 @@ def peak_entropy(t):
     return r6(iv.peak_entropy(_enriched(t)).select("peak_id", "entropy"))
 
 
-@query()
+# erfc by the trapezoidal rule with the correction for its pole; the exact test as a sum over lists
+@query(f"""
+    with {ENRICH},
+    g as (select er.peak_id, greatest(coalesce(chi2, 0), 0) / 2 as q, sqrt(greatest(coalesce(chi2, 0), 0) / 2) as z, er.chi2,
+      case when least(a + b, c + d) * least(a + c, b + d) / (a + b + c + d) < 5 then 'F' else 'C' end as test, a, b, c, d,
+      a + b + c + d as n, a + b as r, a + c as k from er join en on er.peak_id = en.peak_id),
+    s as (select *, case when z > 0 then 0.5 * z / pi() * (1 / q + 2 * list_sum(list_transform(range(1, 40), lambda i: exp(-i * i * 0.25::double) / (i * i * 0.25::double + q)))) end as tail from g),
+    ch as (select peak_id, chi2, test, case when z = 0 then 0 when z < 6 then greatest(0, -log10(tail * exp(-q) - 2 / (exp(4 * pi() * z) - 1)))
+      else q / ln(10) - log10(tail) end as strength from s where test = 'C'),
+    fi as (select *, list_transform(range(cast(greatest(0, r + k - n) as bigint), cast(least(r, k) as bigint) + 1), lambda i:
+      lgamma(r + 1) + lgamma(n - r + 1) + lgamma(k + 1) + lgamma(n - k + 1) - lgamma(n + 1)
+      - (case when i = 0 then 0 else lgamma(i + 1) end + lgamma(r - i + 1) + lgamma(k - i + 1) + lgamma(n - r - k + i + 1))) as lp from s where test = 'F'),
+    fs as (select peak_id, chi2, test, greatest(0, -log10(list_sum(list_transform(list_filter(lp, lambda v: v <= lp[cast(a - greatest(0, r + k - n) as bigint) + 1] + 1e-7),
+      lambda v: exp(v))))) as strength from fi),
+    al as (select * from ch union all select * from fs)
+    select peak_id, round(chi2, 6) as chi2, test, round(pow(10, -strength), 6) as p_value, round(least(strength, 400), 6) as neg_log10_p from al""")
 def chi2_pvalue(t):
     return r6(_enriched(t, pvalue=True).select("peak_id", "chi2", "test", "p_value", "neg_log10_p"))
 
