@@ -71,12 +71,13 @@ def admit_records(
     """New rows that enter the ledger when taken in finish order.
 
     A finished job enters if its (size, memory) is not there yet for its key
-    and the key has fewer than ``cap`` rows, or its size is the largest so far.
-    Rows turned down never hold the largest size, and a repeat of a row turned
-    down would be turned down too; so rank and running maximum over the
-    distinct new rows give the one-at-a-time result.
+    and the key has fewer than ``cap`` distinct records, or its size is the
+    largest so far. Rows turned down never hold the largest size, and a repeat
+    of a row turned down would be turned down too; so rank and running maximum
+    over the distinct new rows give the one-at-a-time result.
     """
-    old = ledger.groupBy(*KEY).agg(
+    held = as_written(ledger.select(*KEY, "input_size", "mem_used").distinct(), "records")
+    old = held.groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("_have"), F.max("input_size").alias("_max")
     )
     cand = completed(new).filter(F.col("input_size").isNotNull())
@@ -85,11 +86,7 @@ def admit_records(
         .agg(F.min_by(F.struct(*cand.columns), F.struct("finish_ts", "job_id")).alias("_row"))
         .select("_row.*")
     )
-    fresh = first.join(
-        ledger.select(*KEY, "input_size", "mem_used").distinct(),
-        [*KEY, "input_size", "mem_used"],
-        "left_anti",
-    )
+    fresh = first.join(held, [*KEY, "input_size", "mem_used"], "left_anti")
     ranked = grouped_scan(
         fresh,
         KEY,

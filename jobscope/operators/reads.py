@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from jobscope.functions.jobs import umi_of
 from jobscope.scale import HOT_ROWS, hot_from_counts, skew_join
-from jobscope.session import as_written
+from jobscope.session import as_written, cut_lineage
 
 # fixed values: SAM flag bits
 PROPER, UNMAPPED, REVERSE, FIRST, SECOND, DUPLICATE = 0x2, 0x4, 0x10, 0x40, 0x80, 0x400
@@ -286,7 +286,7 @@ BARCODES = [
     ("F05", "ANNNNGTATCCAGATCGGAAGAGCGTCGTGT"),
     ("NIL", "AGATCGGAAGAGCGTCGTGT"),
 ]
-MAX_SHAPES = 64
+SHAPES_PER_PLAN = 32  # more joins than that are planned in several steps
 
 
 def _masked(seq: Column, shape: str) -> Column:
@@ -310,9 +310,7 @@ def barcode_demux(reads: DataFrame, barcodes: DataFrame) -> DataFrame:
     """
     shape = F.regexp_replace("sequence", "[^N]", "-")
     shaped = barcodes.withColumn("_shape", shape)
-    shapes = [r[0] for r in shaped.select("_shape").distinct().limit(MAX_SHAPES + 1).collect()]
-    if len(shapes) > MAX_SHAPES:
-        raise ValueError(f"more than {MAX_SHAPES} barcode shapes")
+    shapes = [r[0] for r in shaped.select("_shape").distinct().collect()]
     shapes.sort(key=lambda s: (-len(s), s.count("N"), s))
     out, names = reads, []
     for i, s in enumerate(shapes):
@@ -322,4 +320,7 @@ def barcode_demux(reads: DataFrame, barcodes: DataFrame) -> DataFrame:
         names.append(f"_b{i}")
         # a shape without fixed bases would be an empty key; the join then matches all
         out = out.withColumn("_key", _masked(F.col("seq"), s)).join(of_shape, ["_key"], "left").drop("_key")
+        if len(names) == SHAPES_PER_PLAN:
+            best = F.coalesce(*names).alias("_best")
+            out, names = cut_lineage(out.select(*[c for c in out.columns if c not in names], best)), ["_best"]
     return out.withColumn("barcode", F.coalesce(*names, F.lit("unassigned"))).drop(*names)

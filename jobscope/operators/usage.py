@@ -16,8 +16,6 @@ FALLBACK_RUN_S = 600
 WARMUP_S = 120
 LOW_MEM_MB = 100
 LOW_TIME_S = 120
-# a tree deeper than 2 ** 64 is a cycle of process ids: no root is found for it
-MAX_DOUBLINGS = 64
 
 
 def usage_vs_request(samples: DataFrame, jobs: DataFrame, default_mem: int = DEFAULT_MEM_MB, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -130,13 +128,13 @@ def near_limit(samples: DataFrame, jobs: DataFrame, hot_rows: int = HOT_ROWS) ->
     )
 
 
-def process_rollup(procs: DataFrame) -> DataFrame:
-    """Memory and cpu per job and tick over the process trees below its roots.
+def process_ends(procs: DataFrame) -> DataFrame:
+    """Where the walk from each process to its parents ends: job_id, tick, pid, end.
 
-    procs: job_id, tick, pid, ppid, rss_kb, cpu_pct, cmd, is_root, is_monitor.
-    The monitor counts with a constant and hides what runs below it. Parents
-    are resolved by pointer doubling, so a tree of depth d takes log2(d)
-    joins.
+    ``end`` is root, none (a missing parent or a monitor above) or cycle (the
+    ids lead back to themselves). Parents are resolved by pointer doubling, so
+    a tree of depth d takes log2(d) joins; when as many steps as the largest
+    tick has processes reach no end, the rest is a cycle.
     """
     ids = ["job_id", "tick"]
     links = procs.select(
@@ -153,7 +151,8 @@ def process_rollup(procs: DataFrame) -> DataFrame:
         F.coalesce("end", F.when(F.coalesce("_hid", F.lit(True)), F.lit("none"))).alias("end"),
     )
     links = cut_lineage(links)
-    for _ in range(MAX_DOUBLINGS):
+    most = links.groupBy(*ids).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    for _ in range(int(most).bit_length()):
         if links.filter(F.col("end").isNull()).isEmpty():
             break
         nxt = links.select(*ids, F.col("pid").alias("up"), F.col("up").alias("_up"), F.col("end").alias("_end"))
@@ -164,6 +163,18 @@ def process_rollup(procs: DataFrame) -> DataFrame:
                 F.coalesce("end", "_end").alias("end"),
             )
         )
+    return links.select(*ids, "pid", F.coalesce("end", F.lit("cycle")).alias("end"))
+
+
+def process_rollup(procs: DataFrame) -> DataFrame:
+    """Memory and cpu per job and tick over the process trees below its roots.
+
+    procs: job_id, tick, pid, ppid, rss_kb, cpu_pct, cmd, is_root, is_monitor.
+    The monitor counts with a constant and hides what runs below it. A cycle
+    of process ids hangs below no root; ``process_ends`` names its processes.
+    """
+    ids = ["job_id", "tick"]
+    links = process_ends(procs)
     under = links.filter(F.col("end") == "root").select(*ids, "pid")
     rss = F.when(F.col("is_monitor"), F.lit(MONITOR_RSS_KB)).otherwise(F.col("rss_kb"))
     cpu = F.when(F.col("is_monitor"), F.lit(MONITOR_CPU)).otherwise(F.col("cpu_pct"))

@@ -72,7 +72,7 @@ def purge_program(t):
     ranked as (select *, count(*) over w - 1 as before_n,
       max(input_size) over (partition by program, ref order by finish_ts, job_id rows between unbounded preceding and 1 preceding) as seen
       from fresh window w as (partition by program, ref order by finish_ts, job_id rows unbounded preceding)),
-    have as (select program, ref, count(*) as n, max(input_size) as mx from old group by program, ref)
+    have as (select program, ref, count(*) as n, max(input_size) as mx from (select distinct program, ref, input_size, mem_used from old) group by program, ref)
     select r.job_id, r.program, r.ref, r.input_size, r.mem_used from ranked r left join have h on r.program = h.program and r.ref = h.ref
     where coalesce(h.n, 0) + before_n < 500 or greatest(h.mx, seen) is null or input_size > greatest(h.mx, seen)""")
 def admit_records(t):

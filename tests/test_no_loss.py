@@ -1,8 +1,11 @@
 """Rows that must not get lost or mixed: ids, pairs, sizes, group keys."""
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
-from jobscope.operators import files, graph, reads
+from jobscope.functions import stats
+from jobscope.operators import files, graph, ledger, reads, usage
 from jobscope.sources import readers
 
 
@@ -50,3 +53,32 @@ def test_group_key_with_commas(spark):
     links, members = graph.dependency_groups(steps, jobs)
     assert [r.n_deps for r in links.filter(F.col("job_id") == "k").collect()] == [1]
     assert members.select("loop_values").distinct().count() == 2
+
+
+def test_cycle_of_process_ids_is_named(spark):
+    rows = [
+        (1, 1, 10, 1, 1024, 1.0, "a", True, False), (1, 1, 11, 10, 2048, 2.0, "b", False, False),
+        (1, 1, 20, 21, 9999, 9.0, "c", False, False), (1, 1, 21, 20, 9999, 9.0, "d", False, False), (1, 1, 30, 99, 9, 9.0, "e", False, False),
+    ]
+    procs = spark.createDataFrame(rows, "job_id int, tick int, pid int, ppid int, rss_kb bigint, cpu_pct double, cmd string, is_root boolean, is_monitor boolean")
+    assert {r.pid: r.end for r in usage.process_ends(procs).collect()} == {10: "root", 11: "root", 20: "cycle", 21: "cycle", 30: "none"}
+    assert [(r.mem_mb, r.procs) for r in usage.process_rollup(procs).collect()] == [(3, 2)]
+
+
+def test_any_number_of_barcode_shapes(spark):
+    codes = spark.createDataFrame([(f"b{n}", "A" * n) for n in range(1, 80)], "barcode string, sequence string")
+    seqs = spark.createDataFrame([(1, "A" * 70 + "C"), (2, "AC"), (3, "C")], "id int, seq string")
+    assert {r.id: r.barcode for r in reads.barcode_demux(seqs, codes).collect()} == {1: "b70", 2: "b1", 3: "unassigned"}
+
+
+def test_cap_counts_distinct_records(spark):
+    schema = "job_id bigint, program string, ref string, input_size bigint, mem_used bigint, status string, finish_ts timestamp"
+    at = datetime(2024, 1, 1)
+    old = spark.createDataFrame([(i, "p", "r", 5, 7, "COMPLETED", at) for i in range(3)], schema)
+    new = spark.createDataFrame([(9, "p", "r", 4, 8, "COMPLETED", at)], schema)
+    assert [r.job_id for r in ledger.admit_records(new, old, cap=2).collect()] == [9]
+
+
+def test_far_tail_does_not_underflow(spark):
+    df = spark.createDataFrame([(1500.0,)], "x double")
+    assert abs(df.select(stats.chi2_neg_log10(F.col("x"))).first()[0] - 327.407256) < 1e-5
