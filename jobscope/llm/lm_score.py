@@ -296,23 +296,21 @@ def _score_packed(spark, packed: DataFrame, doc_id: str, id_type: str, filter_by
         held_bytes += r.n
     # every block belongs to one group, also those without a filter
     starts = [0, *[g[0] for g in groups[1:]], 1 << bits]
-    parts_of_scores = []
-    for g, blocks in enumerate(groups):
-        found = [] if not blocks else [tuple(r) for r in filters.filter(F.col("block").between(blocks[0], blocks[-1])).collect()]
-        found = ([(block, size, len(raw)) for block, size, raw in found], b"".join(raw for *_, raw in found))
-        shared = spark.sparkContext.broadcast(found)
-        parts_of_scores.append((shared, starts[g], starts[g + 1]))
     schema = f"chunk bigint, row int, id {id_type}, held boolean, n_tokens bigint, n_known bigint, base double, scores array<double>, left_out array<double>"
     made = None
-    for shared, low, high in parts_of_scores:
+    for g, blocks in enumerate(groups):
+        low, high = starts[g], starts[g + 1]
+        found = [] if not blocks else [tuple(r) for r in filters.filter(F.col("block").between(blocks[0], blocks[-1])).collect()]
+        shared = spark.sparkContext.broadcast(([(block, size, len(raw)) for block, size, raw in found], b"".join(raw for *_, raw in found)))
         part = as_written(
             packed.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(
                 _score_chunk(shared, low, high, bits, total, distinct, n_train, low == 0), schema
             ),
             "scores",
         )
+        shared.destroy()  # one group's filter at a time on the driver and the executors
         made = part if made is None else made.unionByName(part)
-    if len(parts_of_scores) > 1:
+    if len(groups) > 1:
         sums = [F.array(*[F.sum(F.col(c)[i]) for i in range(len(KAPPAS))]).alias(c) for c in ("scores", "left_out")]
         made = made.groupBy("chunk", "row").agg(
             F.first("id").alias("id"), F.first("held").alias("held"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base")], *sums
