@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jobscope.llm import textnum
-from jobscope.llm.common import counter_rows, fresh, remainder, sum_counters, types_of
+from jobscope.llm.common import batches_of, counter_rows, fresh, remainder, sum_counters, types_of
 from jobscope.session import as_written
 
 BITS = 18
@@ -39,6 +39,7 @@ MAX_ROWS = 20_000
 N_FEATURES = 1024
 THRESHOLD = 0.3
 SMALL_LABELS = 1_000_000  # rows of 16 bytes
+TEXTS = 2000  # texts of a batch
 
 
 @dataclass(frozen=True)
@@ -51,7 +52,7 @@ class Model:
 class _Grams:
     """Features of words; a word's are computed once, for the words of late."""
 
-    def __init__(self, kept: np.ndarray | None = None, limit: int = 200_000):
+    def __init__(self, kept: np.ndarray | None = None, limit: int = 100_000):
         self.known: dict[str, np.ndarray | None] = {}
         self.kept, self.limit = kept, limit
 
@@ -150,12 +151,13 @@ def train(
     def count(batches):
         grams, total = _Grams(), np.zeros(2 * width + 2, np.uint32)
         for batch in batches:
-            for raw, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                total[grams.of(raw) + y * width] += 1
+            for raw, y in zip(batch.column("text"), batch.column("y").to_pylist(), strict=True):
+                total[grams.of(raw.as_py()) + y * width] += 1
                 total[2 * width + y] += 1
         yield counter_rows(total)
 
-    total = sum_counters(rows.mapInArrow(count, "block int, counts binary"), 2 * width + 2).astype(float)
+    with batches_of(docs.sparkSession, TEXTS):
+        total = sum_counters(rows.mapInArrow(count, "block int, counts binary"), 2 * width + 2).astype(float)
     no, yes = total[2 * width], total[2 * width + 1]
     if not no or not yes:
         return Model(30.0 if yes else -30.0, np.zeros(width, np.float32))
@@ -176,14 +178,15 @@ def train(
     def describe(batches):
         grams = _Grams(np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool))
         for batch in batches:
-            found = [grams.of(raw).tolist() for raw in batch.column("text").to_pylist()]
+            found = [grams.of(raw.as_py()).tolist() for raw in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(found, pa.list_(pa.int32())), batch.column("at")], ["y", "features", "at"])
 
-    sample = (
-        rows.withColumn("at", F.xxhash64("text", "y"))
-        .mapInArrow(describe, "y int, features array<int>, at bigint")
-        .orderBy("at").limit(max_rows).collect()  # the documented bound
-    )
+    with batches_of(docs.sparkSession, TEXTS):
+        sample = (
+            rows.withColumn("at", F.xxhash64("text", "y"))
+            .mapInArrow(describe, "y int, features array<int>, at bigint")
+            .orderBy("at").limit(max_rows).collect()  # the documented bound
+        )
     place = {f: i for i, f in enumerate(chosen.tolist())}
     scale = ratio[chosen]
     prepared = []
@@ -208,7 +211,7 @@ def _score(model: Model, text: str, keep: list[str], schema: T.StructType, only_
         grams = _Grams(full != 0)
         for batch in batches:
             made = np.array(
-                [intercept + float(full[grams.of(raw or "")].sum()) for raw in batch.column(text).to_pylist()], float
+                [intercept + float(full[grams.of(raw.as_py() or "")].sum()) for raw in batch.column(text)], float
             )
             made = 1 / (1 + np.exp(-np.clip(made, -500, 500)))
             columns = [batch.column(c) for c in keep]
