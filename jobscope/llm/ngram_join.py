@@ -43,12 +43,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobscope.llm import textnum
-from jobscope.llm.common import counter_rows, in_order, key_bits, sum_counters, totals_back
+from jobscope.llm.common import batches_of, counter_rows, in_order, key_bits, sum_counters, totals_back
 from jobscope.llm.components import components
 from jobscope.session import as_written
 
 SKETCH_BITS = 22
 SLICE = 1 << 20  # bytes of text at a time
+TEXTS = 2000  # texts of a batch
 UNIT_ROWS = 1024
 UNIT_TOKENS = 1 << 20
 SEEN_BITS = 24
@@ -368,7 +369,8 @@ def links(docs: DataFrame, texts: DataFrame, n: int, percent: int, unit_rows: in
     def search_all(units: DataFrame) -> DataFrame:
         units = as_written(_possible(units, classes, percent).distinct(), "units")
         sets = _sets_of(texts, units.select("node").distinct(), n)
-        return as_written(_search_units(units.join(sets, "node"), percent), "links")
+        with batches_of(texts.sparkSession, TEXTS):
+            return as_written(_search_units(units.join(sets, "node"), percent), "links")
 
     found = search_all(small.unionByName(alone).select("unit", "node", none))
     if large.isEmpty():
@@ -411,7 +413,8 @@ def linked_documents(
     """Per row: the id, n_shingles, component_id (least id that links reach, its own included)."""
     spark = docs.sparkSession
     texts = docs.select(F.col(f"`{text}`").cast("string").alias("text"))
-    shared = spark.sparkContext.broadcast(sketch(texts, n))
+    with batches_of(spark, TEXTS):
+        shared = spark.sparkContext.broadcast(sketch(texts, n))
 
     def describe(batches):
         words, levels = shared.value
@@ -433,11 +436,12 @@ def linked_documents(
             )
 
     id_type = dict(docs.dtypes)[doc_id]
-    known = as_written(
-        docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-        .mapInArrow(describe, f"id {id_type}, node bigint, size int, prefix array<bigint>, shape binary"),
-        "shingled",
-    )
+    with batches_of(spark, TEXTS):
+        known = as_written(
+            docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+            .mapInArrow(describe, f"id {id_type}, node bigint, size int, prefix array<bigint>, shape binary"),
+            "shingled",
+        )
     classes = as_written(known.filter("size > 0").groupBy("node").agg(F.min("id").alias("least")), "classes")
     labels = components(links(known, texts, n, percent, unit_rows, unit_tokens))
     joined = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
