@@ -6,7 +6,7 @@
 2. Word counts of the training texts come back to each chunk's distinct
    words, so counts, known words and the base score are exact.
 3. Bigrams (with a start and an end) are counted by blocks of hash; each
-   block's bigrams of ``MIN_COUNT`` and more go into a Bloom filter: a count of
+   block's bigrams go into a Bloom filter, those seen once too: a count of
    level j is kept as the j entries (bigram, 1) ... (bigram, j), level j standing for counts from
    MIN_COUNT * STEP**(j - 1). The filter has ``BITS`` bits an entry.
 4. The filter is broadcast, ``FILTER_BYTES`` at most at a time; a larger one is
@@ -39,7 +39,7 @@ TEXTS = 1000  # texts of a batch
 CHUNKS = 8  # chunks of a batch
 FLUSH = 1 << 20  # bigrams held by a task
 BLOCK_TOKENS = 1 << 18
-MIN_COUNT = 2
+MIN_COUNT = 1  # of level 1: every bigram of the training texts is in the filter
 STEP = 1.5
 LEVELS = 40
 BITS = 12
@@ -163,7 +163,7 @@ def _spots(block: np.ndarray, key: np.ndarray, level: int) -> tuple[np.ndarray,
 
 
 def _filter(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """A block's Bloom filter: (bigram, 1) ... (bigram, level) for bigrams of MIN_COUNT and more."""
+    """A block's Bloom filter: (bigram, 1) ... (bigram, level) for every bigram."""
     block = key[0].as_py()
     keys = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("keys").to_pylist()])
     counts = np.concatenate([np.frombuffer(zlib.decompress(x), np.uint32) for x in table.column("counts").to_pylist()])

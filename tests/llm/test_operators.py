@@ -121,6 +121,17 @@ def test_lm_score(spark, docs):
     assert lm_score.score(empty(spark)).count() == 0
 
 
+def test_lm_score_of_bigrams_seen_once(spark):
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    rows = [(i, f"p{i} q{i}") for i in range(200) if zlib.crc32(str(i).encode()) % 7 != 2][:100]
+    a, b = rows[0][1].split(), rows[1][1].split()
+    rows += [(held[0], f"{a[0]} {a[1]}"), (held[1], f"{a[0]} {b[1]}")]
+    got = {r.doc_id: r for r in lm_score.score(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    once, never = got[held[0]], got[held[1]]
+    assert once.held_out and never.held_out and round(once.base_score, 9) == round(never.base_score, 9)
+    assert once.score > never.score + 0.01
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 20, 40])
 def test_decontamination(spark, docs, block_bytes):
     items = spark.createDataFrame([(1, "W3 AND w21 the w9"), (2, "shared, Line"), (3, ""), (4, None), (None, "one"), (10, "two-words")], "item_id bigint, text string")
