@@ -8,7 +8,7 @@
 3. Bigrams (with a start and an end) are counted by blocks of hash; each
    block's bigrams go into a Bloom filter, those seen once too: a count of
    level j is kept as the j entries (bigram, 1) ... (bigram, j), level j standing for counts from
-   MIN_COUNT * STEP**(j - 1). The filter has ``BITS`` bits an entry.
+   MIN_COUNT * STEP**(j - 1), as many levels as the training tokens ask for. The filter has ``BITS`` bits an entry.
 4. The filter is broadcast, ``FILTER_BYTES`` at most at a time; a larger one is
    worked off in groups of blocks whose parts of the score are added up. A
    bigram's count is found by probing for (bigram, 1), (bigram, 2) ... until one
@@ -41,13 +41,17 @@ FLUSH = 1 << 20  # bigrams held by a task
 BLOCK_TOKENS = 1 << 18
 MIN_COUNT = 1  # of level 1: every bigram of the training texts is in the filter
 STEP = 1.5
-LEVELS = 40
 BITS = 12
 PROBES = 6
 FILTER_BYTES = 64 << 20
 KAPPAS = (10.0, 30.0, 100.0, 300.0, 1000.0, 3000.0, 10000.0)
 START, END = np.uint64(0x53A7), np.uint64(0xE4D1)
-LOWEST = np.ceil(MIN_COUNT * STEP ** np.arange(LEVELS))  # least count of level 1, 2, ...
+
+
+def _lowest(most: int) -> np.ndarray:
+    """Least count of level 1, 2, ... for counts of up to ``most``."""
+    levels = 1 + max(0, int(np.ceil(np.log(max(1, most) / MIN_COUNT) / np.log(STEP))))
+    return np.ceil(MIN_COUNT * STEP ** np.arange(levels))
 
 
 def _pack(n_ids: str):
@@ -162,14 +166,14 @@ def _spots(block: np.ndarray, key: np.ndarray, level: int) -> tuple[np.ndarray,
     return h >> np.uint64(32), (h & np.uint64(0xFFFFFFFF)) | np.uint64(1)
 
 
-def _filter(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+def _filter(lowest: np.ndarray, key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """A block's Bloom filter: (bigram, 1) ... (bigram, level) for every bigram."""
     block = key[0].as_py()
     keys = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("keys").to_pylist()])
     counts = np.concatenate([np.frombuffer(zlib.decompress(x), np.uint32) for x in table.column("counts").to_pylist()])
     keys, where = np.unique(keys, return_inverse=True)
     total = np.bincount(where, weights=counts)
-    level = np.searchsorted(LOWEST, total, "right")
+    level = np.searchsorted(lowest, total, "right")
     size = max(64, int(level.sum()) * BITS)
     bits = np.zeros(-(-size // 8) * 8, bool)
     for j in range(1, int(level.max(initial=0)) + 1):
@@ -191,10 +195,10 @@ class _Filter:
             self.size[block], self.base[block] = size, at * 8
             at += length
 
-    def levels(self, block: np.ndarray, key: np.ndarray) -> np.ndarray:
+    def levels(self, block: np.ndarray, key: np.ndarray, most: int) -> np.ndarray:
         found = np.zeros(len(block), np.int64)
         left = np.flatnonzero(self.size[block] > 0)
-        for j in range(1, LEVELS + 1):
+        for j in range(1, most + 1):
             a, b = _spots(block[left], key[left], j)
             there = np.arange(len(left))
             for i in range(PROBES):
@@ -211,6 +215,7 @@ class _Filter:
 def _scores(chunk: dict, known: np.ndarray, total: int, distinct: int, n_train: int, mine: np.ndarray, probe: _Filter, bits: int, first: bool):
     """Per text: n_tokens, n_known, base, scores and leave-one-out scores by kappa (of bigrams in the blocks ``mine``)."""
     held, counts, words, places = _unpack(chunk)
+    lowest = _lowest(total)
     count = np.append(known, [n_train, n_train]).astype(float)  # of words, the end, the start
     p0 = (count + 1) / (total + 1.0 * (distinct + 1))
     previous, current = _with_ends(counts, places, len(words))
@@ -219,8 +224,8 @@ def _scores(chunk: dict, known: np.ndarray, total: int, distinct: int, n_train:
     block, key = _split_key(_bigrams(words, previous, current), bits)
     inside = mine[block]
     level = np.zeros(len(block), np.int64)
-    level[inside] = probe.levels(block[inside], key[inside])
-    value = np.concatenate([[0.0], np.sqrt(LOWEST * np.maximum(LOWEST, LOWEST * STEP - 1))])  # what a level stands for
+    level[inside] = probe.levels(block[inside], key[inside], len(lowest))
+    value = np.concatenate([[0.0], np.sqrt(lowest * np.maximum(lowest, lowest * STEP - 1))])  # what a level stands for
     before = count[previous]
     seen = np.minimum(value[level], np.minimum(before, count[current]))
     base = p0[current]
@@ -281,10 +286,11 @@ def _score_packed(spark, packed: DataFrame, doc_id: str, id_type: str, filter_by
     total, distinct = n_words + n_train, n_types + (n_train > 0)
     known = known.filter("block >= 0")
 
+    lowest = _lowest(total)  # no bigram is seen more often than there are tokens
     bits = max(6, int(np.ceil(np.log2(max(1, total / BLOCK_TOKENS)))))
     filters = as_written(
         parts.mapInArrow(_bigram_counts(bits), "block int, keys binary, counts binary")
-        .groupBy("block").applyInArrow(_filter, "block int, size bigint, bits binary"),
+        .groupBy("block").applyInArrow(lambda key, table: _filter(lowest, key, table), "block int, size bigint, bits binary"),
         "filters",
     )
     groups, held_bytes = [[]], 0
