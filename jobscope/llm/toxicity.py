@@ -6,11 +6,11 @@ into ``BITS`` bits; a feature is there or not.
 
 1. Over all labelled rows, in Spark: in how many documents of either class each
    feature occurs. From that the log-count ratios r.
-2. The ``n_features`` features that tell the classes apart best (by r and the
-   number of documents) are kept; both tables have a fixed size.
-3. A logistic regression on features times r, fitted by Newton steps on at most
-   ``max_rows`` labelled rows (those with the least hash of their text: the
-   documented bound of this sample). Weights are w * r.
+2. A logistic regression on features times r * |r|, over all features that training
+   has, fitted by L-BFGS steps on sparse rows: at most
+   ``max_rows`` distinct labelled texts (those of either class with the least
+   hash: the documented bound of this sample), each as heavy as it has rows. Weights are
+   w * r * |r|; a feature that none of those rows has gets the mean w.
 
 A text's score is the logistic function of its features' weights; long texts are
 worked off word by word, so memory follows the number of distinct words.
@@ -36,10 +36,11 @@ from jobscope.session import as_written
 BITS = 18
 SIZES = (3, 4, 5)
 MAX_ROWS = 20_000
-N_FEATURES = 1024
 THRESHOLD = 0.3
 SMALL_LABELS = 1_000_000  # rows of 16 bytes
 TEXTS = 2000  # texts of a batch
+PSEUDO = 30.0  # rows that a feature's log-count ratio is smoothed by
+FIT_FEATURES = 1 << 20  # features of rows that the fit looks at together
 
 
 @dataclass(frozen=True)
@@ -52,12 +53,12 @@ class Model:
 class _Grams:
     """Features of words; a word's are computed once, for the words of late."""
 
-    def __init__(self, kept: np.ndarray | None = None, limit: int = 100_000):
-        self.known: dict[str, np.ndarray | None] = {}
-        self.kept, self.limit = kept, limit
+    def __init__(self, limit: int = 100_000):
+        self.known: dict[str, np.ndarray] = {}
+        self.limit = limit
 
     def of(self, raw: str) -> np.ndarray:
-        """The distinct features of a text (only kept ones, if kept is given)."""
+        """The distinct features of a text."""
         words = list(set(raw.lower().split()))
         found = [np.zeros(0, np.int32)]
         for k in range(0, len(words), 20_000):
@@ -67,7 +68,7 @@ class _Grams:
                 if len(self.known) + len(new) > self.limit:
                     self.known, new = {}, part
                 self._add(new)
-            found += [g for g in map(self.known.__getitem__, part) if g is not None]
+            found += map(self.known.__getitem__, part)
         return np.unique(np.concatenate(found))
 
     def _add(self, words: list[str]) -> None:
@@ -81,19 +82,8 @@ class _Grams:
                 for k in range(n):
                     h = h * np.uint64(0x100000001B3) + line[k : k + len(h)]
                 grams.append((textnum.mix(h) >> np.uint64(64 - BITS)).astype(np.int32))
-        if self.kept is None:
-            for w, a, s in zip(words, begin.tolist(), size.tolist(), strict=True):
-                self.known[w] = np.concatenate([g[a : a + max(0, s + 3 - n)] for n, g in zip(SIZES, grams, strict=True)])
-            return
-        # few n-grams are kept: find those and their words, all others have none
-        self.known.update(dict.fromkeys(words))
-        for n, g in zip(SIZES, grams, strict=True):
-            spots = np.flatnonzero(self.kept[g])
-            owner = np.searchsorted(begin, spots, "right") - 1
-            inside = spots + n <= begin[owner] + size[owner] + 2
-            for i, f in zip(owner[inside].tolist(), g[spots[inside]].tolist(), strict=True):
-                old = self.known[words[i]]
-                self.known[words[i]] = np.array([f], np.int32) if old is None else np.append(old, np.int32(f))
+        for w, a, s in zip(words, begin.tolist(), size.tolist(), strict=True):
+            self.known[w] = np.concatenate([g[a : a + max(0, s + 3 - n)] for n, g in zip(SIZES, grams, strict=True)])
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, modulus: int, held_out: int) -> DataFrame:
@@ -109,28 +99,101 @@ def _labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label:
     return rows.join(known, "id").select("text", "y")
 
 
-def _newton(rows: list, n: int, steps: int = 12, ridge: float = 1.0) -> tuple[float, np.ndarray]:
-    """Intercept and weights of a ridge logistic regression on rows (y, positions, values)."""
+def _ratio(no: np.ndarray, yes: np.ndarray, n_no: float, n_yes: float) -> np.ndarray:
+    """Log-count ratios; ``PSEUDO`` rows are shared as the classes are, so a feature without a row has 0 and one of few rows little."""
+    n = n_no + n_yes
+    return np.where(no + yes > 0, np.log((yes + PSEUDO * n_yes / n) / n_yes) - np.log((no + PSEUDO * n_no / n) / n_no), 0)
+
+
+def _fit(y: np.ndarray, copies: np.ndarray, size: np.ndarray, at: np.ndarray, scale: np.ndarray, steps: int = 200, ridge: float = 1.0) -> tuple[float, np.ndarray]:
+    """Intercept and weights of a ridge logistic regression by L-BFGS.
+
+    Row i is there ``copies[i]`` times and has the next ``size[i]`` features of ``at``, each with
+    its value in ``scale``. A feature that no row has gets the mean weight of the others.
+    """
+    begin = np.concatenate([[0], np.cumsum(size)])
+    cuts = np.unique(np.append(np.searchsorted(begin, np.arange(FIT_FEATURES, begin[-1], FIT_FEATURES)), len(size)))
+    n = len(scale)
+
+    def cost(beta):
+        value, slope = beta[:n] * scale, np.append(ridge * beta[:n], 0.0)
+        total = 0.5 * ridge * float(beta[:n] @ beta[:n])
+        for a, b in zip([0, *cuts[:-1]], cuts, strict=True):
+            spots, some, z = at[begin[a] : begin[b]], size[a:b] > 0, np.full(b - a, beta[n])
+            if len(spots):
+                z[some] += np.add.reduceat(value[spots], (begin[a:b] - begin[a])[some])
+            total += float((copies[a:b] * (np.logaddexp(0, z) - y[a:b] * z)).sum())
+            wrong = copies[a:b] * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y[a:b])
+            slope[:n] += np.bincount(spots, weights=np.repeat(wrong, size[a:b]), minlength=n) * scale
+            slope[n] += wrong.sum()
+        return total, slope
+
+    share = float((y * copies).sum() / copies.sum())
     beta = np.zeros(n + 1)
-    y = np.array([r[0] for r in rows], float)
-    share = min(max(y.mean(), 1e-6), 1 - 1e-6)
     beta[n] = np.log(share / (1 - share))
-    penalty = np.append(np.full(n, ridge), 1e-9)
+    total, slope = cost(beta)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
     for _ in range(steps):
-        gradient, hessian = -penalty * beta, np.diag(penalty)
-        for k in range(0, len(rows), 4096):
-            x = np.zeros((len(rows[k : k + 4096]), n + 1))
-            x[:, n] = 1
-            for i, (_, at, value) in enumerate(rows[k : k + 4096]):
-                x[i, at] = value
-            p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-            gradient += x.T @ (y[k : k + 4096] - p)
-            hessian += (x * (p * (1 - p))[:, None]).T @ x
-        move = np.linalg.solve(hessian, gradient)
-        beta += move * min(1.0, 5.0 / max(1e-9, np.abs(move).max()))
-        if np.abs(move).max() < 1e-6:
+        if np.abs(slope).max() < 1e-4 * max(1.0, np.abs(beta).max()):
             break
-    return float(beta[n]), beta[:n]
+        move, parts = slope.copy(), []
+        for s, g, r in reversed(past):
+            parts.append(r * (s @ move))
+            move -= parts[-1] * g
+        move *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]) if past else 1 / max(1.0, float(np.linalg.norm(slope)))
+        for (s, g, r), part in zip(past, reversed(parts), strict=True):
+            move += (part - r * (g @ move)) * s
+        length, down = 1.0, float(slope @ move)
+        while True:
+            new = beta - length * move
+            new_total, new_slope = cost(new)
+            if new_total <= total - 1e-4 * length * down or length < 1e-10:
+                break
+            length /= 2
+        if new_total >= total:  # as exact as it gets
+            break
+        s, g = new - beta, new_slope - slope
+        if s @ g > 0:
+            past = [*past[-9:], (s, g, 1 / float(s @ g))]
+        beta, total, slope = new, new_total, new_slope
+    there = np.zeros(n, bool)
+    there[at] = True
+    return float(beta[n]), np.where(there, beta[:n], beta[:n][there].mean() if there.any() else 0.0)
+
+
+def _sample(rows: DataFrame, max_rows: int) -> list[tuple[int, int, bytes]]:
+    """(label, number of rows, features) of distinct labelled texts: all, or max_rows of them, both classes with their share."""
+    keyed = rows.withColumns({"a": F.xxhash64("text"), "b": F.xxhash64(F.lit("text"), "text")})
+    known = as_written(keyed.groupBy("y", "a", "b").agg(F.count(F.lit(1)).alias("n")), "labelled-texts")
+    distinct = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
+    room = dict(distinct)
+    if sum(distinct.values()) > max_rows:
+        room[1] = min(max(1, round(max_rows * distinct[1] / sum(distinct.values()))), max_rows - 1)
+        room[0] = max_rows - room[1]
+    chosen = [known.filter(F.col("y") == y).orderBy("a", "b").limit(n) for y, n in room.items()]
+    chosen = as_written(chosen[0].unionByName(chosen[1]), "training-texts")  # the documented bound
+
+    def describe(batches):
+        grams, done = _Grams(), set()
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("y", "a", "b")), strict=True))
+            new = []
+            for i, k in enumerate(keys):
+                if k not in done:  # copies of a text are described once
+                    done.add(k)
+                    new.append(i)
+            found = [grams.of(batch.column("text")[i].as_py()).astype(np.int32).tobytes() for i in new]
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c).take(pa.array(new, pa.int64())) for c in ("y", "a", "b", "n")], pa.array(found, pa.binary())], ["y", "a", "b", "n", "features"]
+            )
+
+    described = (
+        keyed.join(F.broadcast(chosen), ["y", "a", "b"]).select("y", "a", "b", "n", "text")
+        .mapInArrow(describe, "y int, a bigint, b bigint, n bigint, features binary").dropDuplicates(["y", "a", "b"])
+    )
+    with batches_of(rows.sparkSession, TEXTS):
+        found = sorted((r.a, r.b, r.y, r.n, bytes(r.features)) for r in described.toLocalIterator())
+    return [(y, n, features) for _, _, y, n, features in found]
 
 
 def train(
@@ -141,7 +204,6 @@ def train(
     label: str = "toxic",
     modulus: int = 4,
     held_out: int = 2,
-    n_features: int = N_FEATURES,
     max_rows: int = MAX_ROWS,
 ) -> Model:
     """Learn from labelled rows whose crc32(doc_id) mod modulus is not held_out."""
@@ -162,56 +224,24 @@ def train(
     if not no or not yes:
         return Model(30.0 if yes else -30.0, np.zeros(width, np.float32))
     q, p = total[:width], total[width : 2 * width]
-    ratio = np.log((p + 1) / (yes + 2)) - np.log((q + 1) / (no + 2))
-    # how much a feature tells: twice the log-likelihood ratio of its 2 x 2 table
-    both = (p + q) / (yes + no)
-    tells = np.zeros(width)
-    for seen, n in ((p, yes), (q, no)):
-        for part, expected in ((seen, n * both), (n - seen, n * (1 - both))):
-            tells += 2 * part * np.log(np.where(part > 0, part, 1) / np.where(part > 0, expected, 1))
-    chosen = np.sort(np.lexsort((np.arange(width), -tells))[:n_features])
-    chosen = chosen[tells[chosen] > 0]
-    kept = np.zeros(width, bool)
-    kept[chosen] = True
-    packed = np.packbits(kept).tobytes()
-
-    def describe(batches):
-        grams = _Grams(np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool))
-        for batch in batches:
-            found = [grams.of(raw.as_py()).tolist() for raw in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(found, pa.list_(pa.int32())), batch.column("at")], ["y", "features", "at"])
-
-    with batches_of(docs.sparkSession, TEXTS):
-        sample = (
-            rows.withColumn("at", F.xxhash64("text", "y"))
-            .mapInArrow(describe, "y int, features array<int>, at bigint")
-            .orderBy("at").limit(max_rows).collect()  # the documented bound
-        )
-    place = {f: i for i, f in enumerate(chosen.tolist())}
-    scale = ratio[chosen]
-    prepared = []
-    for r in sample:
-        at = np.array([place[f] for f in r.features], int)
-        prepared.append((r.y, at, scale[at]))
-    intercept, weights = _newton(prepared, len(chosen))
-    out = np.zeros(width, np.float32)
-    out[chosen] = weights * scale
-    return Model(intercept, out)
+    ratio = _ratio(q, p, no, yes)
+    scale = ratio * np.abs(ratio)
+    sample = _sample(rows, max_rows)
+    y, copies = np.array([r[0] for r in sample]), np.array([r[1] for r in sample], float)
+    features = [np.frombuffer(r[2], np.int32) for r in sample]
+    intercept, weights = _fit(y, copies, np.array([len(f) for f in features]), np.concatenate(features), scale)
+    return Model(intercept, (weights * scale).astype(np.float32))
 
 
 def _score(model: Model, text: str, keep: list[str], schema: T.StructType, only_below: bool):
     kinds = types_of(schema)
     intercept, weights, threshold = model.intercept, model.weights, model.threshold
-    spots = np.flatnonzero(weights).astype(np.int32)
-    values = weights[spots]
 
     def run(batches):
-        full = np.zeros(1 << BITS, np.float32)
-        full[spots] = values
-        grams = _Grams(full != 0)
+        grams = _Grams()
         for batch in batches:
             made = np.array(
-                [intercept + float(full[grams.of(raw.as_py() or "")].sum()) for raw in batch.column(text)], float
+                [intercept + float(weights[grams.of(raw.as_py() or "")].sum(dtype=float)) for raw in batch.column(text)], float
             )
             made = 1 / (1 + np.exp(-np.clip(made, -500, 500)))
             columns = [batch.column(c) for c in keep]

@@ -132,6 +132,12 @@ def test_lm_score_of_bigrams_seen_once(spark):
     assert once.score > never.score + 0.01
 
 
+def test_lm_score_has_levels_for_any_count():
+    for most in (1, 2, 10**6, 10**9, 10**13):
+        lowest = lm_score._lowest(most)
+        assert lowest[0] == 1 and lowest[-1] >= most and len(set(lowest)) == len(lowest)
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 20, 40])
 def test_decontamination(spark, docs, block_bytes):
     items = spark.createDataFrame([(1, "W3 AND w21 the w9"), (2, "shared, Line"), (3, ""), (4, None), (None, "one"), (10, "two-words")], "item_id bigint, text string")
@@ -269,6 +275,33 @@ def test_toxicity(spark):
     assert toxicity.score(frame, none).agg(F.max("score_")).first()[0] < 1e-6
 
 
+def test_toxicity_keeps_rare_words(spark):
+    """More biased n-grams than any fixed number of features: a rare toxic word keeps its weight."""
+    common = [f"{'red' if y else 'blue'}{k}{c}" for y in (0, 1) for k in range(40) for c in "xyzuvw"]
+    red, blue = " ".join(common[240:]), " ".join(common[:240])
+    rows = [(i, (red if i % 2 else blue) + (" qjzzk" if i % 20 == 1 else ""), int(i % 2)) for i in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    model = toxicity.train(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"))
+    grams = toxicity._Grams()
+    for text in ("qjzzk", red):
+        spots = sorted({*grams.of(text).tolist()} - {*grams.of(blue).tolist()})
+        assert (model.weights[spots] > 0).all()
+    # also a word that none of the sampled rows has
+    few = toxicity.train(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"), max_rows=2)
+    assert few.weights[grams.of("qjzzk")].any()
+
+
+def test_toxicity_with_a_text_of_many_copies(spark):
+    rows = [(i, "one text many times", 0) for i in range(300)] + [(1000 + i, f"plain number {i}" + (" gremlin" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    found = toxicity._sample(frame.select("text", F.col("toxic").alias("y")), 100)
+    assert len(found) == 100 and len(set(found)) == 100 and {r[0] for r in found} == {0, 1}
+    whole = toxicity._sample(frame.select("text", F.col("toxic").alias("y")), 1000)
+    assert len(whole) == 201 and sum(r[1] for r in whole) == 500
+    rare = frame.withColumn("toxic", (F.col("doc_id") == 1003).cast("int"))
+    assert {r[0] for r in toxicity._sample(rare.select("text", F.col("toxic").alias("y")), 50)} == {0, 1}
+
+
 def test_pipeline_stages(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     ids = {r.doc_id for r in docs.select("doc_id").collect()}
