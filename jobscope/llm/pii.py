@@ -9,7 +9,8 @@ sha2(key, type, canonical form, attempt):
   so separators, prefixes and lengths stay; octets of an address stay octets of
   as many digits; an e-mail keeps its last label, and equal hosts get equal hosts;
 * a name after a title becomes a name of the title's gender and of its own
-  script (Latin, Cyrillic, Greek) and number of parts, built from syllables.
+  script (Latin, Cyrillic, Greek) and number of parts, built from syllables. A name has any
+  number of parts; an initial becomes a whole word.
 
 Collision check: two entities of a type must not share a surrogate, and no
 surrogate may be an entity of the data. The distinct entities are kept in a
@@ -47,7 +48,9 @@ ENDINGS = {
     "greek": {"m": "ς", "f": "να", "n": "ρ"},
 }
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-NAME = r"\p{Lu}\p{Ll}++(?:[ -]\p{Lu}\p{Ll}++){0,2}"
+# an initial, or a word with inner capitals and apostrophes (not the one of a genitive s)
+PART = r"(?:\p{Lu}(?:\.|(?=[ -]\p{Lu}))|\p{Lu}(?:[\p{L}\p{M}]|['’](?=\p{Lu}|\p{Ll}{2}))++)"
+NAME = rf"{PART}(?:(?:[ -]|(?<=\.)){PART})*+"
 TYPES = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "ip": rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?\d)",
