@@ -34,7 +34,8 @@ from jobscope.session import as_written
 PATHS = 3
 DEEPEST = 256  # containers in containers; deeper ones belong to the last
 NEAR = 0.5  # what a block counts for a container one level further up
-RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes", "template", "svg", "math", "select"}
+RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes", "template", "select", "annotation", "annotation-xml"}
+IN_HEAD = RAW | {"html", "head", "base", "link", "meta"}  # whatever else begins, or text, ends an open head
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
 CONTAINERS = {"html", "body", "div", "section", "article", "main", "td", "blockquote", "center", "details", "figure", "dd"}
 BLOCKS = CONTAINERS | {
@@ -116,6 +117,8 @@ def blocks(html: str) -> list[tuple[tuple, str, int]]:
         k = html.find("<", at)
         if k < 0:
             k = end
+        if stack[-1].tag == "head" and html[at:k].strip():
+            del stack[-1]
         if k > at and not stack[-1].away:
             text = html[at:k]
             if "&" in text:
@@ -158,6 +161,8 @@ def blocks(html: str) -> list[tuple[tuple, str, int]]:
                 if tag not in BLOCKS and stack[i].tag in BLOCKS:
                     break
             continue
+        if stack[-1].tag == "head" and tag not in IN_HEAD:
+            del stack[-1]
         if tag in RAW:
             closed = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
             at = end if closed is None else closed.end()

@@ -210,6 +210,25 @@ def test_html(spark):
     assert html_text.extract("<div>" * 3000 + "deep", []) == "deep"
 
 
+def test_html_without_end_of_head():
+    for head in ("<head><title>T</title>", "<head><meta charset=utf-8><script>var a</script>\n", "<head><title>T</title></head>"):
+        assert html_text.extract(f"<html>{head}<body><article><p>One two three.</p></article></body></html>", []) == "One two three."
+        assert html_text.extract(f"<html>{head}<p>One two three.</p></html>", []) == "One two three."
+    assert html_text.extract("<html><head><title>T</title>One two three.", []) == "One two three."
+    formula = '<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation encoding="t">x=1</annotation></math>'
+    assert html_text.extract(f"<article><p>So {formula} and <svg><path d='M0'/><text>a label</text></svg> end.</p></article>", []) == "So x=1 and a label end."
+
+
+def test_pii_names_are_found_whole(spark):
+    names = ["Dr. Maria Anna Lopez Garcia", "Mrs. Anna McDonald", "Mr. O'Brien", "Mr. J. Smith", "Mr. J.R. Smithson", "Frau Anna-Lena Müller-Lüdenscheidt", "Mrs. D’Arcy"]
+    frame = spark.createDataFrame([(i, f"met {name}'s dog; {name}, too") for i, name in enumerate(names)], "doc_id bigint, text string")
+    for r in pii.replace(frame).collect():
+        safe = r.safe
+        assert (safe.n_mentions, safe.n_entities, safe.kinds) == (2, 1, ["name"]), r
+        assert not any(part in safe.text for part in re.findall(r"\w{3,}", names[r.doc_id].split(" ", 1)[1])), r
+        assert safe.text.endswith(", too") and "'s dog; " in safe.text
+
+
 def test_pii(spark):
     rows = [
         (1, "a.b@x.example.com, A.B@X.EXAMPLE.COM +1 (017) 555-7713 and +1-017-555-7713 at 10.200.3.45"), (2, None), (3, ""),
