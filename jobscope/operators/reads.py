@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobscope.functions.jobs import umi_of
-from jobscope.scale import HOT_ROWS, hot_from_counts, skew_join
+from jobscope.scale import HOT_ROWS, Running, grouped_scan, hot_from_counts, skew_join
 from jobscope.session import as_written, cut_lineage
 
 # fixed values: SAM flag bits
@@ -65,50 +65,52 @@ def region_filter(reads: DataFrame, genomes: DataFrame) -> DataFrame:
     return reads.join(genomes, ["genome", "rname"], "left_semi")
 
 
-def _mates(reads: DataFrame) -> tuple[DataFrame, list[str], list[str]]:
-    """First and second mates of a key, each sorted; the key's columns; the others.
+def _mates(reads: DataFrame, hot_rows: int) -> tuple[list[DataFrame], Column, list[str]]:
+    """First and second mates, numbered by place within a key; the condition that joins them; the columns besides the read name.
 
     A key is the sample (if there is one), the read name and, where the mate's
     place is known (``rnext``, ``mate_pos``), the two places of the pair.
     """
-    key = [c for c in ("sample", "qname") if c in reads.columns]
+    keys = [c for c in ("sample", "qname") if c in reads.columns]
     body = [c for c in reads.columns if c != "qname"]
     flag = F.col("flag")
-    groups = [F.col(c) for c in key]
+    columns = [*[F.col(c) for c in keys], F.struct("rname", "pos", "flag").alias("_at"), F.struct(*body).alias("_row")]
     if {"rnext", "mate_pos"} <= set(reads.columns):
         own = F.struct(F.col("rname").alias("c"), F.col("pos").alias("p"))
         other = F.struct(F.when(F.col("rnext") == "=", F.col("rname")).otherwise(F.col("rnext")).alias("c"), F.col("mate_pos").alias("p"))
-        groups.append(F.when(has_bits(flag, FIRST), F.struct(own.alias("a"), other.alias("b"))).otherwise(F.struct(other.alias("a"), own.alias("b"))).alias("_places"))
-    row = F.struct(F.struct("rname", "pos", "flag").alias("at"), F.struct(*body).alias("row"))
-    mates = reads.groupBy(*groups).agg(
-        *[F.array_sort(F.collect_list(F.when(has_bits(flag, m), row))).alias(n) for n, m in (("r1", FIRST), ("r2", SECOND))]
-    )
-    return mates, key, body
-
-
-def pair_mates(reads: DataFrame) -> DataFrame:
+        columns.append(F.when(has_bits(flag, FIRST), F.struct(own.alias("a"), other.alias("b"))).otherwise(F.struct(other.alias("a"), own.alias("b"))).alias("_places"))
+        keys.append("_places")
+    out = []
+    for name, bit in (("r1", FIRST), ("r2", SECOND)):
+        numbered = grouped_scan(reads.filter(has_bits(flag, bit)).select(*columns), keys, ["_at", "_row"], {"_k": Running("count")}, hot_rows)
+        out.append(numbered.select(*[F.col(c).alias(f"_{name}_{c}") for c in [*keys, "_k"]], F.col("_row").alias(f"_{name}")))
+    same = F.lit(True)
+    for c in [*keys, "_k"]:
+        same = same & F.col(f"_r1_{c}").eqNullSafe(F.col(f"_r2_{c}"))
+    return out, same, body
+
+
+def pair_mates(reads: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per pair with the first mate in r1_* and the second in r2_*.
 
     All pairs of a read name are kept: the k-th first mate of a key goes with
     the k-th second one, in order of place. What has no partner is in ``orphans``.
     """
-    mates, _, body = _mates(reads)
-    both = F.least(F.size("r1"), F.size("r2"))
-    zipped = F.arrays_zip(F.slice("r1", F.lit(1), both).alias("r1"), F.slice("r2", F.lit(1), both).alias("r2"))
-    return mates.select("qname", F.explode(zipped).alias("_p")).select(
-        "qname", *[F.col(f"_p.{r}.row.{c}").alias(f"{r}_{c}") for r in ("r1", "r2") for c in body]
+    (one, two), same, body = _mates(reads, hot_rows)
+    return one.join(two, same).select(
+        F.col("_r1_qname").alias("qname"), *[F.col(f"_{r}.{c}").alias(f"{r}_{c}") for r in ("r1", "r2") for c in body]
     )
 
 
-def orphans(reads: DataFrame) -> DataFrame:
+def orphans(reads: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Mates without a partner, and records that are neither first nor second mate; columns as they came."""
-    mates, _, body = _mates(reads)
-    left = lambda a, b: F.slice(a, F.size(b) + 1, F.greatest(F.lit(0), F.size(a) - F.size(b)))
-    alone = mates.select("qname", F.explode(F.concat(left("r1", "r2"), left("r2", "r1"))).alias("_m")).select(
-        "qname", *[F.col(f"_m.row.{c}").alias(c) for c in body]
-    )
+    (one, two), same, body = _mates(reads, hot_rows)
+
+    def alone(of: DataFrame, other: DataFrame, r: str) -> DataFrame:
+        return of.join(other, same, "left_anti").select(F.col(f"_{r}_qname").alias("qname"), *[F.col(f"_{r}.{c}").alias(c) for c in body])
+
     neither = reads.filter(~has_bits(F.col("flag"), FIRST) & ~has_bits(F.col("flag"), SECOND))
-    return alone.select(*reads.columns).unionByName(neither)
+    return alone(one, two, "r1").unionByName(alone(two, one, "r2")).select(*reads.columns).unionByName(neither)
 
 
 def _mapped(mate: str) -> Column:

@@ -57,6 +57,12 @@ def pair_mates(t):
     return pairs(t).select("qname", "r1_rname", "r1_pos", "r2_rname", "r2_pos")
 
 
+@query("select sample, count(*) as n_orphans from reads where mapped <> mate_mapped group by sample")
+def orphan_mates(t):
+    mapped = rd.flag_filter(mates(t), exclude=rd.UNMAPPED)
+    return rd.orphans(mapped).groupBy("sample").agg(F.count(F.lit(1)).alias("n_orphans"))
+
+
 @query(f"with {PAIRS} select rname, start, stop, strand, umi, min(qname) as qname from us group by rname, start, stop, strand, umi")
 def barcode_collapse(t):
     return rd.barcode_collapse(pairs(t)).select("rname", "start", "stop", "strand", "umi", "qname")

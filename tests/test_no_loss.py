@@ -32,6 +32,18 @@ def test_pairs_keep_every_record(spark):
     assert sorted((r.r1_pos, r.r2_pos) for r in reads.pair_mates(frame).collect()) == [(10, 50), (30, 70)]
 
 
+def test_pairs_of_a_hot_name(spark):
+    """A name (here a null one) with most rows is cut into parts; its pairs and orphans stay the same."""
+    rows = [(None, "s", 65 if i % 2 else 129, "c", i // 3, i) for i in range(301)] + [("q", "s", 65, "c", 1, 2), ("q", "s", 129, "c", 3, 4), (None, "s", 129, "c", 500, 501)]
+    frame = spark.createDataFrame(rows, "qname string, sample string, flag int, rname string, pos bigint, last_pos bigint")
+    plain, cut = reads.pair_mates(frame), reads.pair_mates(frame, hot_rows=20)
+    assert "collect_list" not in cut._jdf.queryExecution().toString()
+    found = [sorted(map(str, f.collect())) for f in (plain, cut)]
+    assert found[0] == found[1] and len(found[0]) == 151
+    alone = [sorted((r.pos, r.flag) for r in f.collect()) for f in (reads.orphans(frame), reads.orphans(frame, hot_rows=20))]
+    assert alone[0] == alone[1] and len(alone[0]) == 2
+
+
 def test_archive_keeps_unknown_sizes(spark):
     frame = spark.createDataFrame([("d", "a", 1), ("d", "b", None), ("d", "c", 2)], "dir string, name string, size_kib bigint")
     got = {r.name: r.batch for r in files.archive_batches(frame).collect()}
