@@ -401,7 +401,12 @@ def links(docs: DataFrame, texts: DataFrame, n: int, percent: int, unit_rows: in
     return found.unionByName(search_all(cells))
 
 
-def linked_documents(
+def _text_hashes(text: str):
+    body = F.col(f"`{text}`").cast("string")
+    return {"t1": F.xxhash64(body), "t2": F.xxhash64(F.lit("text"), body)}
+
+
+def _linked(
     docs: DataFrame,
     doc_id: str = "doc_id",
     text: str = "text",
@@ -409,8 +414,8 @@ def linked_documents(
     percent: int = 80,
     unit_rows: int = UNIT_ROWS,
     unit_tokens: int = UNIT_TOKENS,
-) -> DataFrame:
-    """Per row: the id, n_shingles, component_id (least id that links reach, its own included)."""
+) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, t1, t2, node, size) of docs, and the label and least id of each node's component."""
     spark = docs.sparkSession
     texts = docs.select(F.col(f"`{text}`").cast("string").alias("text"))
     with batches_of(spark, TEXTS):
@@ -432,28 +437,52 @@ def linked_documents(
             ends = np.cumsum([0, *map(len, prefixes)])
             flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), flat, pa.array(shapes, pa.binary())], ["id", "node", "size", "prefix", "shape"]
+                [batch.column("id"), batch.column("t1"), batch.column("t2"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), flat, pa.array(shapes, pa.binary())], ["id", "t1", "t2", "node", "size", "prefix", "shape"]
             )
 
     id_type = dict(docs.dtypes)[doc_id]
     with batches_of(spark, TEXTS):
         known = as_written(
-            docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-            .mapInArrow(describe, f"id {id_type}, node bigint, size int, prefix array<bigint>, shape binary"),
+            docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"), *[h.alias(c) for c, h in _text_hashes(text).items()])
+            .mapInArrow(describe, f"id {id_type}, t1 bigint, t2 bigint, node bigint, size int, prefix array<bigint>, shape binary"),
             "shingled",
         )
     classes = as_written(known.filter("size > 0").groupBy("node").agg(F.min("id").alias("least")), "classes")
     labels = components(links(known, texts, n, percent, unit_rows, unit_tokens))
     joined = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     low = joined.groupBy("label").agg(F.min("least").alias("component"))
-    final = as_written(joined.join(low, "label").select("node", "component"), "components")
-    return known.select("id", "node", "size").join(final, "node", "left").select(
+    final = as_written(joined.join(low, "label").select("node", "label", "component"), "components")
+    return known.select("id", "t1", "t2", "node", "size"), final
+
+
+def linked_documents(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    n: int = 5,
+    percent: int = 80,
+    unit_rows: int = UNIT_ROWS,
+    unit_tokens: int = UNIT_TOKENS,
+) -> DataFrame:
+    """Per row: the id, n_shingles, component_id (least id that links reach, its own included)."""
+    known, final = _linked(docs, doc_id, text, n, percent, unit_rows, unit_tokens)
+    return known.join(final, "node", "left").select(
         F.col("id").alias(doc_id), F.col("size").cast("bigint").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")
     )
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of docs whose id is the least of its component; columns as they came."""
-    kept = linked_documents(docs, doc_id, text, **options).filter(F.col(doc_id) == F.col("component_id")).select(F.col(doc_id).alias("_first")).distinct()
-    kept = as_written(kept, "kept-ids")
-    return docs.join(kept, F.col(f"`{doc_id}`") == F.col("_first"), "left_semi")
+    """One row of each component, that of the least id (null last), and all rows without a shingle; columns as they came."""
+    known, final = _linked(docs, doc_id, text, **options)
+    row = F.struct(F.col("id").isNull().alias("none"), "id", "t1", "t2", "n")
+    first = known.join(final, "node").groupBy("label", "id", "t1", "t2").agg(F.count(F.lit(1)).alias("n")).groupBy("label").agg(F.min(row).alias("w"))
+    bare = known.filter("size = 0").select("id", "t1", "t2").distinct().withColumn("n", F.lit(1).cast("bigint"))
+    kept = as_written(first.select("w.id", "w.t1", "w.t2", "w.n").unionByName(bare), "kept-rows")
+    kept = kept.select(*[F.col(c).alias(f"_kept_{c}") for c in kept.columns])
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("_kept_id"))
+    for c, h in _text_hashes(text).items():
+        same = same & (h == F.col(f"_kept_{c}"))
+    # rows of one id and one text are told apart by nothing else: any one of them stays
+    single = docs.join(kept.filter("_kept_n = 1"), same, "left_semi")
+    several = docs.join(kept.filter("_kept_n > 1"), same).dropDuplicates(["_kept_id", "_kept_t1", "_kept_t2"])
+    return single.unionByName(several.select(*[F.col(f"`{c}`") for c in docs.columns]))

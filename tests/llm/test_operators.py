@@ -279,6 +279,15 @@ def test_ngram_join_empty(spark):
     assert ngram_join.linked_documents(empty(spark)).count() == 0
 
 
+def test_one_of_each_of_null_and_repeated_ids(spark):
+    same, other = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(None, "only this one is without a copy here"), (None, other), (3, other), (1, same), (1, same + " end"), (1, same), (7, ""), (None, None), (7, "")]
+    got = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string"), n=5, percent=80).collect()
+    left = sorted(((r.doc_id, r.text) for r in got), key=str)
+    assert len(left) == 6 and left.count((7, "")) == 2 and rows[0] in left and (None, None) in left and (3, other) in left
+    assert sum((t or "").startswith("a0 ") for _, t in left) == 1
+
+
 def test_toxicity(spark):
     rows = [(i, f"some plain words {i} here" + (" you gremlin" if i % 3 == 0 else "") + (" odd" if i % 5 == 0 else ""), "en", "a", None) for i in range(300)]
     rows += [(900, None, None, None, None), (901, "", None, None, None), (902, "Gremlins!" * 3000, None, None, None)]
