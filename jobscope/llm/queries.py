@@ -1,4 +1,4 @@
-"""The ten dealt operators as registered queries, with their SQL for the other engine."""
+"""The dealt operators as registered queries, with their SQL for the other engine."""
 
 from __future__ import annotations
 
@@ -8,8 +8,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobscope.llm import decontaminate, html_text, line_dedup, lm_score, mixture, ngram_join, pii, token_counts, topk, toxicity
+from jobscope.llm import (
+    decontaminate, fill_middle, html_text, line_dedup, lm_score, mixture, ngram_join, pii, quality, token_counts, topk, toxicity, whitening,
+)
 from jobscope.llm.common import read, remainder
+from jobscope.session import as_written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -169,3 +172,42 @@ def op2_token_counts(spark, sf_dir):
         "doc_id", "tree.n_tokens", F.col("edited.tree.n_tokens").alias("n_tokens_edited"), F.col("edited.n_encoded").alias("n_encoded"),
         F.coalesce(F.char_length("edited.text"), F.lit(0)).cast("bigint").alias("n_chars_edited"),
     )
+
+
+@query()
+def op11_quality(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    described = as_written(quality.describe(docs, keep=["doc_id"]), "statistics")
+    model = quality.train(described, read(spark, sf_dir, "labels"), modulus=3, held_out=1)
+    return quality.score(described, model).select(
+        "doc_id",
+        F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+@query(r"""
+    with u as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as us,
+                      sha256('7:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+    d as (select *, len(us) as n, cast('0x' || h[1:8] as bigint) as h1, cast('0x' || h[9:16] as bigint) as h2,
+                 cast('0x' || h[17:24] as bigint) as h3, cast('0x' || h[25:32] as bigint) as h4 from u),
+    c as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+                 case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 100 then 'plain'
+                      when h4 % 100 < 50 then 'spm' else 'psm' end as form from d),
+    p as (select *, array_to_string(us[1:a], '') as p, array_to_string(us[a + 1:b], '') as m, array_to_string(us[b + 1:n], '') as s from c)
+    select doc_id, cast(n as bigint) as n, form,
+     case when form <> 'plain' then cast(length(p) as bigint) end as prefix_chars, case when form <> 'plain' then cast(length(m) as bigint) end as middle_chars,
+     sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+     sha256(text) as restored_sha256 from p""")
+def op12_fill_in_middle(spark, sf_dir):
+    made = fill_middle.transform(read(spark, sf_dir, "documents"), keep=["doc_id"], seed=7, rate=100, spm_rate=50)
+    return made.select(
+        "doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars", F.sha2("fim.text", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restore(F.col("fim.text"), F.col("fim.form")), 256).alias("restored_sha256"),
+    )
+
+
+@query()
+def op13_whitening(spark, sf_dir):
+    return whitening.whiten(read(spark, sf_dir, "embeddings"), components=32, scale=64.0)
