@@ -6,12 +6,13 @@ task gets by broadcast. Each text is normalised once to ``' w1 w2 ... '`` and
 scanned once; a match ends at a known word, so hits are word positions, which
 are then mapped to character offsets of the original text.
 
-The automaton is bounded: at most ``BLOCK_BYTES`` bytes of patterns each.
-A larger benchmark is worked off in blocks, one scan per block, with the hits so
-far carried in a written table.
+The automaton is bounded: at most ``BLOCK_BYTES`` bytes of patterns.
+A larger benchmark becomes several automata, each a broadcast of its own; a task
+holds one of them at a time and takes its batch of texts through all, so texts are read once.
 
-Defined results: a null text has no words; an item without words (or null, or
-without an id) has no window; equal windows of several items name all of them;
+Defined results: a null text has no words; an item without words (or null) has
+no window; the windows of an item without an id hit words like any other, but name
+no item; equal windows of several items name all of them;
 repeated rows are rows of their own; an empty benchmark or an empty table gives no hit. Columns
 of any name pass through.
 """
@@ -30,7 +31,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jobscope.llm.common import fresh, types_of
-from jobscope.session import as_written
 
 BLOCK_BYTES = 4 << 20
 # word bytes: digits, letters, everything outside ASCII; A-Z become a-z
@@ -56,17 +56,18 @@ def _patterns(words: list[bytes], window: int) -> Iterator[tuple[bytes, int]]:
 
 def _automata(items: DataFrame, item_id: str, text: str, window: int, block_bytes: int) -> Iterator[bytes]:
     """Pickled automata, each over at most ``block_bytes`` of patterns (one item at least)."""
-    found: dict[bytes, tuple[int, set[str]]] = {}
+    found: dict[bytes, tuple[int, set[str | None]]] = {}
     size = 0
 
     def built() -> bytes:
         made = ahocorasick.Automaton()
         for p, (n, ids) in found.items():
-            made.add_word(p.decode("latin-1"), (n, sorted(ids)))
+            made.add_word(p.decode("latin-1"), (n, sorted(ids, key=lambda x: (x is None, x))))
         made.make_automaton()
         return pickle.dumps(made)
 
-    rows = items.select(F.col(f"`{item_id}`").cast("string"), F.col(f"`{text}`")).dropna().toLocalIterator()
+    body = F.col(f"`{text}`")
+    rows = items.filter(body.isNotNull()).select(F.col(f"`{item_id}`").cast("string"), body.cast("string")).toLocalIterator()
     for name, value in rows:
         for p, n in _patterns(value.encode().translate(NORMAL).split(), window):
             if p not in found:
@@ -79,7 +80,7 @@ def _automata(items: DataFrame, item_id: str, text: str, window: int, block_byte
     yield built()
 
 
-def _runs(made, line: bytes, n_words: int, ids: list[str]) -> list[tuple[int, int, str]]:
+def _runs(made, line: bytes) -> list[tuple[int, int, str | None]]:
     """(first word, word after the last, item) of every occurrence of a window."""
     out = []
     gaps = None
@@ -91,7 +92,7 @@ def _runs(made, line: bytes, n_words: int, ids: list[str]) -> list[tuple[int, in
     return out
 
 
-def _describe(raw: bytes, n_words: int, runs: list[tuple[int, int, str]]) -> dict:
+def _describe(raw: bytes, n_words: int, runs: list[tuple[int, int, str | None]]) -> dict:
     if not runs:
         return {"n_words": n_words, "n_hit": 0, "item_ids": [], "spans": []}
     step = np.zeros(n_words + 1, np.int64)
@@ -106,7 +107,7 @@ def _describe(raw: bytes, n_words: int, runs: list[tuple[int, int, str]]) -> dic
         {"start": int(chars[at[a][0]]), "end": int(chars[at[b - 1][1]])}
         for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True)
     ]
-    return {"n_words": n_words, "n_hit": int(hit.sum()), "item_ids": sorted({x for *_, x in runs}), "spans": spans}
+    return {"n_words": n_words, "n_hit": int(hit.sum()), "item_ids": sorted({x for *_, x in runs if x is not None}), "spans": spans}
 
 
 def mark(
@@ -126,55 +127,30 @@ def mark(
     items with such windows, sorted; spans, the hit stretches of the original
     text as character offsets, end excluded.
     """
-    from pyspark import SparkContext
-
     keep = docs.columns if keep is None else keep
-    spark = docs.sparkSession
-    body, runs_so_far = fresh("_text", keep), fresh("_runs", keep)
+    body, out = fresh("_text", keep), fresh(out, keep)
     frame = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(body))
-    sc: SparkContext = spark.sparkContext
-    waiting = None
-    blocks = _automata(items, item_id, item_text, window, block_bytes)
-    current = next(blocks)
-    while current is not None:
-        waiting = next(blocks, None)
-        last = waiting is None
-        shared = sc.broadcast(current)
-        kept_fields = [frame.schema[c] for c in keep]
-        if last:
-            schema = T.StructType([*kept_fields, T.StructField(out, RESULT)])
-        else:
-            schema = T.StructType([*kept_fields, T.StructField(body, T.StringType()), T.StructField(runs_so_far, T.BinaryType())])
-        kinds = types_of(schema)
-        frame = frame.mapInArrow(_scan(shared, keep, body, runs_so_far, last, kinds), schema)
-        if not last:
-            frame = as_written(frame, "leaks")
-        current = waiting
-    return frame
-
-
-def _scan(shared, keep, body, runs_so_far, last, kinds):
+    shared = [docs.sparkSession.sparkContext.broadcast(raw) for raw in _automata(items, item_id, item_text, window, block_bytes)]
+    schema = T.StructType([*[frame.schema[c] for c in keep], T.StructField(out, RESULT)])
+    return frame.mapInArrow(_scan(shared, keep, body, types_of(schema)), schema)
+
+
+def _scan(shared, keep, body, kinds):
     def run(batches):
-        made = pickle.loads(shared.value)
+        only = pickle.loads(shared[0].value) if len(shared) == 1 else None
         for batch in batches:
-            texts = batch.column(body).to_pylist()
-            before = batch.column(runs_so_far).to_pylist() if runs_so_far in batch.schema.names else [None] * len(texts)
-            made_rows, carried = [], []
-            for value, old in zip(texts, before, strict=True):
-                raw = (value or "").encode()
-                split = raw.translate(NORMAL).split()
-                runs = pickle.loads(old) if old else []
-                if split and len(made):
-                    runs += _runs(made, b" " + b" ".join(split) + b" ", len(split), [])
-                if last:
-                    made_rows.append(_describe(raw, len(split), runs))
-                else:
-                    carried.append(pickle.dumps(runs) if runs else None)
-            columns = [batch.column(c) for c in keep]
-            if last:
-                columns.append(pa.array(made_rows, kinds.field(len(keep)).type))
-            else:
-                columns += [batch.column(body), pa.array(carried, pa.binary())]
+            texts = [(t or "").encode() for t in batch.column(body).to_pylist()]
+            runs: list[list] = [[] for _ in texts]
+            sizes = [0] * len(texts)
+            for part in shared:
+                made = only or pickle.loads(part.value)
+                for i, raw in enumerate(texts):
+                    split = raw.translate(NORMAL).split()
+                    sizes[i] = len(split)
+                    if split and len(made):
+                        runs[i] += _runs(made, b" " + b" ".join(split) + b" ")
+            found = [_describe(raw, n, r) for raw, n, r in zip(texts, sizes, runs, strict=True)]
+            columns = [*[batch.column(c) for c in keep], pa.array(found, kinds.field(len(keep)).type)]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
 
     return run
