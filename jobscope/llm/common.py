@@ -68,6 +68,37 @@ def sum_counters(rows: DataFrame, length: int) -> np.ndarray:
     return total
 
 
+SUM_BLOCK = 1 << 15  # sums of a row
+
+
+def sum_rows(total: np.ndarray) -> pa.RecordBatch:
+    """A task's sums (float64) in blocks."""
+    flat = np.ascontiguousarray(total, float).ravel()
+    parts = [flat[k : k + SUM_BLOCK].tobytes() for k in range(0, len(flat), SUM_BLOCK)]
+    return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["block", "sums"])
+
+
+def summed(rows: DataFrame, part, shape: tuple[int, ...]) -> np.ndarray:
+    """part(batches), an array of a fixed shape from every task, added up in Spark; that is all the driver gets."""
+
+    def run(batches):
+        yield sum_rows(part(batches))
+
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for raw in batch.column("sums").to_pylist():
+                here = np.frombuffer(raw)
+                total = here.copy() if total is None else total + here
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "sums"])
+
+    out = np.zeros(int(np.prod(shape)))
+    for r in rows.mapInArrow(run, "block int, sums binary").groupBy("block").applyInArrow(add, "block int, sums binary").collect():
+        here = np.frombuffer(bytes(r.sums))
+        out[r.block * SUM_BLOCK : r.block * SUM_BLOCK + len(here)] = here
+    return out.reshape(shape)
+
+
 BLOCK_KEYS = 1 << 18
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 

@@ -22,7 +22,6 @@ that class (0 without any); an empty table gives an empty one. Columns of any na
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jobscope.llm import textnum
-from jobscope.llm.common import fresh, remainder, types_of
+from jobscope.llm.common import fresh, remainder, summed, types_of
 from jobscope.session import as_written
 
 FEATURES = 512
@@ -43,7 +42,6 @@ BINS = 4096
 LOWEST, HIGHEST = -1.0, 2.0  # raw scores beyond fall into the outer bins
 SLICE = 1 << 20
 THRESHOLD = 0.5
-SUM_BLOCK = 1 << 15  # sums of a row that goes to Spark
 
 # kinds of bytes: fixed values
 KINDS = ["space", "line", "lower", "upper", "digit", "stop", "mark", "symbol", "other"]
@@ -146,29 +144,6 @@ def _unpack(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), N_STATISTICS).astype(float)
 
 
-def _summed(rows: DataFrame, length: int) -> np.ndarray:
-    """Rows (block, sums as bytes), added up in Spark; length, and so what the driver gets, is fixed."""
-
-    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            for raw in batch.column("sums").to_pylist():
-                part = np.frombuffer(raw)
-                total = part.copy() if total is None else total + part
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "sums"])
-
-    out = np.zeros(length)
-    for r in rows.groupBy("block").applyInArrow(add, "block int, sums binary").toLocalIterator():
-        part = np.frombuffer(bytes(r.sums))
-        out[r.block * SUM_BLOCK : r.block * SUM_BLOCK + len(part)] = part
-    return out
-
-
-def _in_blocks(total: np.ndarray) -> pa.RecordBatch:
-    parts = [total[k : k + SUM_BLOCK].tobytes() for k in range(0, len(total), SUM_BLOCK)]
-    return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["block", "sums"])
-
-
 @dataclass(frozen=True)
 class Model:
     mean: np.ndarray
@@ -238,9 +213,9 @@ def train(
         total = np.zeros(2 * N_STATISTICS + 2)
         for x, yes, n, _ in each(batches):
             total += np.concatenate([n @ x, n @ x**2, [n.sum(), yes.sum()]])
-        yield _in_blocks(total)
+        return total
 
-    total = _summed(rows.mapInArrow(moments, "block int, sums binary"), 2 * N_STATISTICS + 2)
+    total = summed(rows, moments, (2 * N_STATISTICS + 2,))
     n, yes = total[-2:]
     mean = total[:N_STATISTICS] / max(n, 1)
     variance = total[N_STATISTICS:-2] / max(n, 1) - mean**2
@@ -271,9 +246,9 @@ def _ridge(rows: DataFrame, each, blank: Model, width: int, n: float) -> tuple[n
                 mine = fold == f
                 part, w = z[mine], n[mine]
                 total[f] += np.concatenate([(part.T * w @ part)[upper], yes[mine] @ part, [yes[mine].sum()]])
-        yield _in_blocks(total.ravel())
+        return total
 
-    total = _summed(rows.mapInArrow(equations, "block int, sums binary"), FOLDS * size).reshape(FOLDS, size)
+    total = summed(rows, equations, (FOLDS, size))
     square = np.zeros((FOLDS, width, width))
     square[:, upper[0], upper[1]] = total[:, : len(upper[0])]
     square[:, upper[1], upper[0]] = total[:, : len(upper[0])]
@@ -301,9 +276,9 @@ def _calibrated(rows: DataFrame, each, blank: Model, weights: np.ndarray, by_fol
         for x, yes, n, fold in each(batches):
             spot = _bin((blank.features(x) * by_fold[fold]).sum(1))
             total += [np.bincount(spot, weights=w, minlength=BINS) for w in (yes, n)]
-        yield _in_blocks(total.ravel())
+        return total
 
-    total = _summed(rows.mapInArrow(count, "block int, sums binary"), 2 * BINS).reshape(2, BINS)
+    total = summed(rows, count, (2, BINS))
     spots, values = pools(total[0], total[1])
     knots = LOWEST + (spots + 0.5) / BINS * (HIGHEST - LOWEST)
     return Model(blank.mean, blank.scale, blank.directions, blank.phases, weights, knots, values)

@@ -69,7 +69,7 @@ WORDS = "regexp_extract_all(" + LOWER.format("text") + r", '[^\x00-\x2F\x3A-\x60
            from (select doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) as p from w, sizes where len(ws) >= n)),
     m as (select doc_id, p, iw.n, item_id from dw join iw on dw.n = iw.n and dw.win = iw.win),
     h as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(range(p, p + n)) as q from m) group by doc_id),
-    g as (select doc_id, count(*) as n_items, string_agg(s, ',' order by s) as ids
+    g as (select doc_id, count(s) as n_items, string_agg(s, ',' order by s) as ids
           from (select distinct doc_id, cast(item_id as varchar) as s from m) group by doc_id)
     select w.doc_id, coalesce(len(ws), 0) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
      sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
@@ -144,7 +144,7 @@ def op8_html_text(spark, sf_dir):
 
 @query()
 def op9_pii_surrogates(spark, sf_dir):
-    made = pii.replace(read(spark, sf_dir, "documents"), keep=["doc_id"])
+    made = pii.replace(read(spark, sf_dir, "documents"), key="a key of this query", keep=["doc_id"])
     return made.select("doc_id", "safe.n_mentions", "safe.n_entities", F.array_join("safe.kinds", ",").alias("kinds"), "safe.text")
 
 

@@ -13,7 +13,7 @@ into ``BITS`` bits; a feature is there or not.
    w * r * |r|; a feature that none of those rows has gets the mean w.
 
 A text's score is the logistic function of its features' weights; long texts are
-worked off word by word, so memory follows the number of distinct words.
+worked off in pieces that end with a word.
 
 Defined results: a null or empty text has no feature and gets the score of the
 intercept; labels other than 0 and 1, and rows without a label or text, teach
@@ -21,6 +21,7 @@ nothing; repeated rows teach as often as they occur; without a row of both
 classes every score is the share of class 1 (0 without any). Columns of any name pass through.
 """
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,7 +41,11 @@ THRESHOLD = 0.3
 SMALL_LABELS = 1_000_000  # rows of 16 bytes
 TEXTS = 2000  # texts of a batch
 PSEUDO = 30.0  # rows that a feature's log-count ratio is smoothed by
-FIT_FEATURES = 1 << 20  # features of rows that the fit looks at together
+PIECE = 1 << 18  # code points of a text that are looked at together
+MULTIPLIER = np.uint64(0x100000001B3)
+STEPS = 200
+PARTS = 8  # of the sample
+CLOSE = 1e-4  # greatest slope at the end, relative to the greatest weight
 
 
 @dataclass(frozen=True)
@@ -51,39 +56,43 @@ class Model:
 
 
 class _Grams:
-    """Features of words; a word's are computed once, for the words of late."""
+    """Distinct features of texts, whose places are marked in an array that is used again and again."""
 
-    def __init__(self, limit: int = 100_000):
-        self.known: dict[str, np.ndarray] = {}
-        self.limit = limit
+    def __init__(self):
+        self.mark = np.zeros(1 << BITS, np.int32)
 
     def of(self, raw: str) -> np.ndarray:
         """The distinct features of a text."""
-        words = list(set(raw.lower().split()))
-        found = [np.zeros(0, np.int32)]
-        for k in range(0, len(words), 20_000):
-            part = words[k : k + 20_000]
-            new = [w for w in part if w not in self.known]
-            if new:
-                if len(self.known) + len(new) > self.limit:
-                    self.known, new = {}, part
-                self._add(new)
-            found += map(self.known.__getitem__, part)
-        return np.unique(np.concatenate(found))
-
-    def _add(self, words: list[str]) -> None:
+        words = raw.lower().split()
+        found, begin, size = [], 0, 0
+        for k, w in enumerate(words):
+            size += len(w) + 1
+            if size > PIECE:
+                found.append(self._distinct(self._grams(words[begin : k + 1])))
+                begin, size = k + 1, 0
+        found.append(self._distinct(self._grams(words[begin:])))
+        return found[0] if len(found) == 1 else self._distinct(np.concatenate(found))
+
+    def _distinct(self, at: np.ndarray) -> np.ndarray:
+        number = np.arange(len(at), dtype=np.int32)
+        self.mark[at] = number  # the last of equal ones stays
+        return at[self.mark[at] == number]
+
+    def _grams(self, words: list[str]) -> np.ndarray:
         line = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        size = np.array([len(w) for w in words])
-        begin = np.concatenate([[0], np.cumsum(size + 1)[:-1]])  # the blank before each word
-        grams = []
+        blank = line == 32
+        found = []
         with np.errstate(over="ignore"):
-            for n in SIZES:
-                h = np.full(max(0, len(line) - n + 1), n, np.uint64)
-                for k in range(n):
-                    h = h * np.uint64(0x100000001B3) + line[k : k + len(h)]
-                grams.append((textnum.mix(h) >> np.uint64(64 - BITS)).astype(np.int32))
-        for w, a, s in zip(words, begin.tolist(), size.tolist(), strict=True):
-            self.known[w] = np.concatenate([g[a : a + max(0, s + 3 - n)] for n, g in zip(SIZES, grams, strict=True)])
+            h, inner = line[: max(0, len(line) - 1)] * MULTIPLIER + line[1:], np.zeros(max(0, len(line) - 1), bool)
+            for n in range(3, SIZES[-1] + 1):
+                # one code point more; the last but one is now inside and must be no blank
+                size = max(0, len(line) - n + 1)
+                inner = inner[:size] | blank[n - 2 : n - 2 + size]
+                h = h[:size] * MULTIPLIER + line[n - 1 :]
+                if n in SIZES:
+                    start = np.uint64(n * pow(int(MULTIPLIER), n, 1 << 64) % (1 << 64))
+                    found.append((textnum.mix(h[~inner] + start) >> np.uint64(64 - BITS)).astype(np.int32))
+        return np.concatenate(found)
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, modulus: int, held_out: int) -> DataFrame:
@@ -105,36 +114,14 @@ def _ratio(no: np.ndarray, yes: np.ndarray, n_no: float, n_yes: float) -> np.nda
     return np.where(no + yes > 0, np.log((yes + PSEUDO * n_yes / n) / n_yes) - np.log((no + PSEUDO * n_no / n) / n_no), 0)
 
 
-def _fit(y: np.ndarray, copies: np.ndarray, size: np.ndarray, at: np.ndarray, scale: np.ndarray, steps: int = 200, ridge: float = 1.0) -> tuple[float, np.ndarray]:
-    """Intercept and weights of a ridge logistic regression by L-BFGS.
-
-    Row i is there ``copies[i]`` times and has the next ``size[i]`` features of ``at``, each with
-    its value in ``scale``. A feature that no row has gets the mean weight of the others.
-    """
-    begin = np.concatenate([[0], np.cumsum(size)])
-    cuts = np.unique(np.append(np.searchsorted(begin, np.arange(FIT_FEATURES, begin[-1], FIT_FEATURES)), len(size)))
-    n = len(scale)
-
-    def cost(beta):
-        value, slope = beta[:n] * scale, np.append(ridge * beta[:n], 0.0)
-        total = 0.5 * ridge * float(beta[:n] @ beta[:n])
-        for a, b in zip([0, *cuts[:-1]], cuts, strict=True):
-            spots, some, z = at[begin[a] : begin[b]], size[a:b] > 0, np.full(b - a, beta[n])
-            if len(spots):
-                z[some] += np.add.reduceat(value[spots], (begin[a:b] - begin[a])[some])
-            total += float((copies[a:b] * (np.logaddexp(0, z) - y[a:b] * z)).sum())
-            wrong = copies[a:b] * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y[a:b])
-            slope[:n] += np.bincount(spots, weights=np.repeat(wrong, size[a:b]), minlength=n) * scale
-            slope[n] += wrong.sum()
-        return total, slope
-
-    share = float((y * copies).sum() / copies.sum())
+def _fit(cost, n: int, share: float, steps: int = STEPS) -> np.ndarray:
+    """n weights and an intercept that cost(beta) -> (value, slope) is least at, by L-BFGS."""
     beta = np.zeros(n + 1)
     beta[n] = np.log(share / (1 - share))
     total, slope = cost(beta)
     past: list[tuple[np.ndarray, np.ndarray, float]] = []
     for _ in range(steps):
-        if np.abs(slope).max() < 1e-4 * max(1.0, np.abs(beta).max()):
+        if np.abs(slope).max() < CLOSE * max(1.0, np.abs(beta).max()):
             break
         move, parts = slope.copy(), []
         for s, g, r in reversed(past):
@@ -156,13 +143,63 @@ def _fit(y: np.ndarray, copies: np.ndarray, size: np.ndarray, at: np.ndarray, sc
         if s @ g > 0:
             past = [*past[-9:], (s, g, 1 / float(s @ g))]
         beta, total, slope = new, new_total, new_slope
+    return beta
+
+
+def _loss(batches, value: np.ndarray, intercept: float) -> Iterator[pa.RecordBatch]:
+    """A task's logistic loss, and its slope by intercept and by feature's value; a row counts as often as it is there."""
+    total, rows = np.zeros(len(value) + 2), 0
+    for batch in batches:
+        y, copies = (batch.column(c).to_numpy().astype(float) for c in ("y", "n"))
+        spots = [np.frombuffer(raw.as_buffer(), np.int32) for raw in batch.column("features")]
+        z = intercept + np.array([value[at].sum() for at in spots])
+        total[-1] += (copies * (np.logaddexp(0, z) - y * z)).sum()
+        wrong = copies * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
+        total[-2] += wrong.sum()
+        for at, w in zip(spots, wrong.tolist(), strict=True):
+            total[at] += w  # features of a row are distinct
+        rows += batch.num_rows
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+
+def _learn(sample: DataFrame, scale: np.ndarray, ridge: float = 1.0) -> tuple[float, np.ndarray]:
+    """Intercept and weights of a ridge logistic regression over the sample's rows; each step is one Spark job.
+
+    A feature that no row has gets the mean weight of the others. The sample has ``PARTS``
+    parts, and that many sums come to the driver at a step.
+    """
+    spark, n = sample.sparkSession, len(scale)
+    yes, rows = sample.agg(F.sum(F.col("y") * F.col("n")), F.sum("n")).first()
+
+    def cost(beta):
+        shared, intercept = spark.sparkContext.broadcast(beta[:n] * scale), float(beta[n])
+        total = np.zeros(n + 2)
+        for r in sample.mapInArrow(lambda batches: _loss(batches, shared.value, intercept), "sums binary").collect():
+            total += np.frombuffer(bytes(r.sums))
+        shared.destroy()
+        slope = np.append(total[:n] * scale + ridge * beta[:n], total[n])
+        return total[n + 1] + 0.5 * ridge * float(beta[:n] @ beta[:n]), slope
+
+    beta = _fit(cost, n, yes / rows)
+
+    def seen(batches):
+        there, rows = np.zeros(n, bool), 0
+        for batch in batches:
+            for raw in batch.column("features"):
+                there[np.frombuffer(raw.as_buffer(), np.int32)] = True
+            rows += batch.num_rows
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(there).tobytes()], pa.binary())], ["bits"])
+
     there = np.zeros(n, bool)
-    there[at] = True
+    for r in sample.mapInArrow(seen, "bits binary").collect():
+        there |= np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8), count=n).astype(bool)
     return float(beta[n]), np.where(there, beta[:n], beta[:n][there].mean() if there.any() else 0.0)
 
 
-def _sample(rows: DataFrame, max_rows: int) -> list[tuple[int, int, bytes]]:
-    """(label, number of rows, features) of distinct labelled texts: all, or max_rows of them, both classes with their share."""
+def _sample(rows: DataFrame, max_rows: int) -> DataFrame:
+    """y, n (number of rows), features of distinct labelled texts: all, or max_rows of them, both classes with their share."""
     keyed = rows.withColumns({"a": F.xxhash64("text"), "b": F.xxhash64(F.lit("text"), "text")})
     known = as_written(keyed.groupBy("y", "a", "b").agg(F.count(F.lit(1)).alias("n")), "labelled-texts")
     distinct = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
@@ -192,8 +229,7 @@ def _sample(rows: DataFrame, max_rows: int) -> list[tuple[int, int, bytes]]:
         .mapInArrow(describe, "y int, a bigint, b bigint, n bigint, features binary").dropDuplicates(["y", "a", "b"])
     )
     with batches_of(rows.sparkSession, TEXTS):
-        found = sorted((r.a, r.b, r.y, r.n, bytes(r.features)) for r in described.toLocalIterator())
-    return [(y, n, features) for _, _, y, n, features in found]
+        return as_written(described.select("y", "n", "features").repartition(PARTS), "training-features")
 
 
 def train(
@@ -226,10 +262,8 @@ def train(
     q, p = total[:width], total[width : 2 * width]
     ratio = _ratio(q, p, no, yes)
     scale = ratio * np.abs(ratio)
-    sample = _sample(rows, max_rows)
-    y, copies = np.array([r[0] for r in sample]), np.array([r[1] for r in sample], float)
-    features = [np.frombuffer(r[2], np.int32) for r in sample]
-    intercept, weights = _fit(y, copies, np.array([len(f) for f in features]), np.concatenate(features), scale)
+    with batches_of(docs.sparkSession, TEXTS):
+        intercept, weights = _learn(_sample(rows, max_rows), scale)
     return Model(intercept, (weights * scale).astype(np.float32))
 
 

@@ -26,14 +26,14 @@ the vector are read, so other columns cannot clash.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobscope.llm.common import batches_of
+from jobscope.llm.common import batches_of, summed
 from jobscope.session import as_written
 
 SHIFT = 1_000_000
@@ -44,7 +44,6 @@ TOLERANCE = 64 * np.finfo(float).eps
 NO_VARIANCE = 1e-13  # of the greatest eigenvalue: no direction of the data
 ROUNDS = 400
 ROWS = 2048  # vectors of a packed matrix
-SUM_BLOCK = 1 << 14  # sums of a row that goes to Spark
 
 Product = Callable[[np.ndarray], np.ndarray]
 
@@ -59,12 +58,6 @@ def whole_numbers(vectors: DataFrame, vec_id: str, vector: str, scale: float) ->
     )
 
 
-def _rows(total: np.ndarray) -> pa.RecordBatch:
-    flat = np.ascontiguousarray(total, float).ravel()
-    parts = [flat[k : k + SUM_BLOCK].tobytes() for k in range(0, len(flat), SUM_BLOCK)]
-    return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["block", "sums"])
-
-
 def _summed(packed: DataFrame, shape: tuple[int, ...], part: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
     """part(centred rows), added up over all of them; one Spark job."""
 
@@ -73,21 +66,9 @@ def _summed(packed: DataFrame, shape: tuple[int, ...], part: Callable[[np.ndarra
         for batch in batches:
             for raw, d in zip(batch.column("x").to_pylist(), batch.column("d").to_pylist(), strict=True):
                 total = total + part(np.frombuffer(raw).reshape(-1, d))
-        yield _rows(total)
+        return total
 
-    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            for raw in batch.column("sums").to_pylist():
-                here = np.frombuffer(raw)
-                total = here.copy() if total is None else total + here
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "sums"])
-
-    out = np.zeros(int(np.prod(shape)))
-    for r in packed.mapInArrow(run, "block int, sums binary").groupBy("block").applyInArrow(add, "block int, sums binary").collect():
-        here = np.frombuffer(bytes(r.sums))
-        out[r.block * SUM_BLOCK : r.block * SUM_BLOCK + len(here)] = here
-    return out.reshape(shape)
+    return summed(packed, run, shape)
 
 
 def minres(product: Product, rhs: np.ndarray, steps: int) -> np.ndarray:

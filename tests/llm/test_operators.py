@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -145,13 +146,14 @@ def test_decontamination(spark, docs, block_bytes):
     want = []
     for i, t, _ in rows_of(docs):
         ws, hit, found = word(t), set(), set()
-        for name, text in ((1, "W3 AND w21 the w9"), (2, "shared, Line"), (10, "two-words")):
+        for name, text in ((1, "W3 AND w21 the w9"), (2, "shared, Line"), (None, "one"), (10, "two-words")):
             it = word(text)
             size = min(3, len(it))
             for k, p in itertools.product(range(len(it) - size + 1), range(len(ws) - size + 1)):
                 if ws[p : p + size] == it[k : k + size]:
                     hit |= set(range(p, p + size))
-                    found.add(str(name))
+                    if name is not None:  # an item without an id hits, but is not named
+                        found.add(str(name))
         want.append((i, len(ws), len(hit), sorted(found)))
     made = decontaminate.mark(docs, items, window=3, block_bytes=block_bytes, out="hits")
     got = [(r.doc_id, r.hits.n_words, r.hits.n_hit, r.hits.item_ids) for r in made.collect()]
@@ -222,7 +224,7 @@ def test_html_without_end_of_head():
 def test_pii_names_are_found_whole(spark):
     names = ["Dr. Maria Anna Lopez Garcia", "Mrs. Anna McDonald", "Mr. O'Brien", "Mr. J. Smith", "Mr. J.R. Smithson", "Frau Anna-Lena Müller-Lüdenscheidt", "Mrs. D’Arcy"]
     frame = spark.createDataFrame([(i, f"met {name}'s dog; {name}, too") for i, name in enumerate(names)], "doc_id bigint, text string")
-    for r in pii.replace(frame).collect():
+    for r in pii.replace(frame, "k").collect():
         safe = r.safe
         assert (safe.n_mentions, safe.n_entities, safe.kinds) == (2, 1, ["name"]), r
         assert not any(part in safe.text for part in re.findall(r"\w{3,}", names[r.doc_id].split(" ", 1)[1])), r
@@ -235,7 +237,7 @@ def test_pii(spark):
         (4, "Mrs. Anna Smith met Г-жа Иванова; a.b@x.example.com 4539 1488 0343 6467 4539148803436467"), (4, "v 4.0. 12.5 no"),
     ]
     frame = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("safe", F.lit("x"))
-    got = {(r.doc_id, r.text): r.safe_ for r in pii.replace(frame).collect()}
+    got = {(r.doc_id, r.text): r.safe_ for r in pii.replace(frame, "k").collect()}
     one, four = got[rows[0]], got[rows[3]]
     assert (one.n_mentions, one.n_entities) == (5, 3) and one.kinds == ["email", "ip", "phone"]
     mail = re.match(r"(\S+@\S+\.com), (\S+) \+1 \((\d{3})\) (\d{3})-(\d{4}) and \+1-(\d{3})-(\d{3})-(\d{4}) at \d{2}\.\d{3}\.\d\.\d{2}$", one.text)
@@ -244,13 +246,13 @@ def test_pii(spark):
     cards = re.findall(r"\d[\d ]{14,}\d", four.text)
     assert cards and "4539148803436467" not in four.text.replace(" ", "")
     assert got[rows[1]].text is None and got[rows[2]].text == "" and got[rows[4]].text == rows[4][1]
-    assert pii.replace(frame.limit(0)).count() == 0
+    assert pii.replace(frame.limit(0), "k").count() == 0
 
 
 def test_pii_collisions(spark):
     """One-digit places: distinct entities keep distinct surrogates, none of them an entity."""
     frame = spark.createDataFrame([(i, f"{i % 10}.{i // 10 % 10}.1.1") for i in range(60)], "doc_id bigint, text string")
-    made = pii.entities(frame).collect()
+    made = pii.entities(frame, "k").collect()
     assert len({r.made for r in made}) == len(made) == 60 and not {r.made for r in made} & {r.entity for r in made}
 
 
@@ -322,12 +324,73 @@ def test_toxicity_keeps_rare_words(spark):
 def test_toxicity_with_a_text_of_many_copies(spark):
     rows = [(i, "one text many times", 0) for i in range(300)] + [(1000 + i, f"plain number {i}" + (" gremlin" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(200)]
     frame = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
-    found = toxicity._sample(frame.select("text", F.col("toxic").alias("y")), 100)
+    def sample(rows, most):
+        return [(r.y, r.n, bytes(r.features)) for r in toxicity._sample(rows.select("text", F.col("toxic").alias("y")), most).collect()]
+
+    found = sample(frame, 100)
     assert len(found) == 100 and len(set(found)) == 100 and {r[0] for r in found} == {0, 1}
-    whole = toxicity._sample(frame.select("text", F.col("toxic").alias("y")), 1000)
+    whole = sample(frame, 1000)
     assert len(whole) == 201 and sum(r[1] for r in whole) == 500
     rare = frame.withColumn("toxic", (F.col("doc_id") == 1003).cast("int"))
-    assert {r[0] for r in toxicity._sample(rare.select("text", F.col("toxic").alias("y")), 50)} == {0, 1}
+    assert {r[0] for r in sample(rare, 50)} == {0, 1}
+
+
+def _plain_features(text):
+    """Character n-grams of distinct words with a blank at both ends, hashed one by one."""
+    found = set()
+    for w in set((text or "").lower().split()):
+        padded = f" {w} "
+        for n in toxicity.SIZES:
+            for k in range(len(padded) - n + 1):
+                h = n
+                for c in padded[k : k + n]:
+                    h = (h * 0x100000001B3 + ord(c)) % 2**64
+                h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+                h = (h ^ h >> 27) * 0x94D049BB133111EB % 2**64
+                found.add((h ^ h >> 31) >> 64 - toxicity.BITS)
+    return found
+
+
+def test_toxicity_against_plain_python(spark):
+    """The same features, counts, ratios and loss, one document at a time, and a dense Newton solution."""
+    texts = [None, "", " ", "É a", "a", "ab  ab\tAB", "word " * 99 + "x" * 300_000, "some More words\nhere \u2003 wide", "🙂🙂 ok"]
+    grams = toxicity._Grams()
+    for t in texts:
+        found = grams.of(t or "").tolist()
+        assert len(found) == len(set(found)) and set(found) == _plain_features(t)
+    rows = [(i, f"w{i % 7} common v{i % 5} z{i % 3}" + (" bad" if i % 3 == 0 else ""), int(i % 3 == 0 or i == 4)) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    model = toxicity.train(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"))
+    learned = [(_plain_features(t), y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    sizes = Counter(y for _, y in learned)
+    seen = {y: Counter(f for fs, z in learned if z == y for f in fs) for y in (0, 1)}
+    n = len(learned)
+    names = sorted({f for fs, _ in learned for f in fs})
+    scale = []
+    for f in names:
+        part = [math.log((seen[y][f] + toxicity.PSEUDO * sizes[y] / n) / sizes[y]) for y in (0, 1)]
+        scale.append((part[1] - part[0]) * abs(part[1] - part[0]))
+    x = np.array([[s * (f in fs) for f, s in zip(names, scale)] + [1.0] for fs, _ in learned])
+    y = np.array([y for _, y in learned], float)
+    beta, ridge = np.zeros(len(names) + 1), np.diag([1.0] * len(names) + [0.0])
+    for _ in range(30):  # Newton's steps on the same loss
+        p = 1 / (1 + np.exp(-x @ beta))
+        beta -= np.linalg.solve((x.T * (p * (1 - p))) @ x + ridge, x.T @ (p - y) + ridge @ beta)
+    assert model.intercept == pytest.approx(beta[-1], abs=1e-2)
+    want = 1 / (1 + np.exp(-np.array([sum(scale[names.index(f)] * beta[names.index(f)] for f in fs) for fs, _ in learned]) - beta[-1]))
+    ids = [i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    got = {r.doc_id: r.score for r in toxicity.score(frame, model).collect()}
+    assert [got[i] for i in ids] == pytest.approx(want.tolist(), abs=5e-3)
+
+
+def test_toxicity_of_empty_tables_and_null_ids(spark):
+    frame = spark.createDataFrame([(None, "a bad one"), (1, "bad thing"), (2, "good thing"), (None, None)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(None, 1), (1, 1), (2, 0)], "doc_id bigint, toxic int")
+    model = toxicity.train(frame, labels)
+    assert toxicity.score(frame, model).count() == 4 and toxicity.score(frame.limit(0), model).count() == 0
+    assert toxicity.clean(frame.limit(0), model).count() == 0
+    nothing = toxicity.train(frame.limit(0), labels)
+    assert {r.score for r in toxicity.score(frame, nothing).collect()} == {1 / (1 + math.exp(30))}
 
 
 def test_pipeline_stages(spark, sf, tmp_path):
