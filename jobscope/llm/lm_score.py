@@ -9,11 +9,12 @@
    block's bigrams go into a Bloom filter, those seen once too: a count of
    level j is kept as the j entries (bigram, 1) ... (bigram, j), level j standing for counts from
    MIN_COUNT * STEP**(j - 1), as many levels as the training tokens ask for. The filter has ``BITS`` bits an entry.
-4. The filter is broadcast, ``FILTER_BYTES`` at most at a time; a larger one is
-   worked off in groups of blocks whose parts of the score are added up. A
+4. The filter is broadcast in groups of blocks of at most ``FILTER_BYTES`` each, kept on the
+   workers' disks. A task takes some chunks at a time (``TOGETHER``) through all groups, one
+   group in memory after the other, so that texts are moved once however large the filter is. A
    bigram's count is found by probing for (bigram, 1), (bigram, 2) ... until one
-   is missing. Then P(w | v) = (c(v w) + kappa * P0(w)) / (c(v) + kappa), where P0
-   is the base model; kappa is the one of ``KAPPAS`` with the best
+   is missing. Then P(w | v) = (c(v w) + k * P0(w)) / (c(v) + k) with k = a * c(v)**b, where P0
+   is the base model; (a, b) is the pair of ``SMOOTHING`` with the best
    leave-one-out score over the training texts.
 
 Defined results: a null, empty or blank text is just the end token; a row
@@ -43,8 +44,9 @@ MIN_COUNT = 1  # of level 1: every bigram of the training texts is in the filter
 STEP = 1.5
 BITS = 12
 PROBES = 6
-FILTER_BYTES = 64 << 20
-KAPPAS = (10.0, 30.0, 100.0, 300.0, 1000.0, 3000.0, 10000.0)
+FILTER_BYTES = 32 << 20
+TOGETHER = 8  # chunks of a task that walk through the filter together
+SMOOTHING = ((30.0, 0.0), (300.0, 0.0), (3000.0, 0.0), (1.0, 0.5), (3.0, 0.5), (10.0, 0.5), (30.0, 0.5), (100.0, 0.5), (0.3, 0.75), (1.0, 0.75), (3.0, 0.75), (10.0, 0.75))
 START, END = np.uint64(0x53A7), np.uint64(0xE4D1)
 
 
@@ -212,35 +214,42 @@ class _Filter:
         return found
 
 
-def _scores(chunk: dict, known: np.ndarray, total: int, distinct: int, n_train: int, mine: np.ndarray, probe: _Filter, bits: int, first: bool):
-    """Per text: n_tokens, n_known, base, scores and leave-one-out scores by kappa (of bigrams in the blocks ``mine``)."""
-    held, counts, words, places = _unpack(chunk)
-    lowest = _lowest(total)
-    count = np.append(known, [n_train, n_train]).astype(float)  # of words, the end, the start
-    p0 = (count + 1) / (total + 1.0 * (distinct + 1))
-    previous, current = _with_ends(counts, places, len(words))
-    begin = np.concatenate([[0], np.cumsum(counts + 1)[:-1]])
-    add = lambda x: np.add.reduceat(x, begin) if len(begin) else np.zeros(0)
-    block, key = _split_key(_bigrams(words, previous, current), bits)
-    inside = mine[block]
-    level = np.zeros(len(block), np.int64)
-    level[inside] = probe.levels(block[inside], key[inside], len(lowest))
-    value = np.concatenate([[0.0], np.sqrt(lowest * np.maximum(lowest, lowest * STEP - 1))])  # what a level stands for
-    before = count[previous]
-    seen = np.minimum(value[level], np.minimum(before, count[current]))
-    base = p0[current]
-    n_known = add((count[current] > 0).astype(np.int64)) * first
-    train = np.repeat(~held, counts + 1)
-    del block, key, level, current, previous
-    scores, left_out = [], []
-    for kappa in KAPPAS:
-        scores.append(add(np.where(inside, np.log10((seen + kappa * base) / (before + kappa)), 0)))
-        other = np.log10((np.maximum(seen - 1, 0) + kappa * base) / (np.maximum(before - 1, 0) + kappa))
-        left_out.append(add(np.where(inside & train, other, 0)))
-    return (
-        (counts + 1) * first, n_known, add(np.log10(base)) * first,
-        np.array(scores).T, np.array(left_out).T,
-    )
+class _Chunk:
+    """Tokens of a chunk's texts and the levels found so far."""
+
+    def __init__(self, row: dict, known: np.ndarray, n_train: int, bits: int):
+        self.held, self.counts, words, places = _unpack(row)
+        self.count = np.append(known, [n_train, n_train]).astype(float)  # of words, the end, the start
+        self.previous, self.current = (x.astype(np.int32) for x in _with_ends(self.counts, places, len(words)))
+        block, self.key = _split_key(_bigrams(words, self.previous, self.current), bits)
+        self.block = block.astype(np.int32)
+        self.level = np.zeros(len(block), np.int8)
+
+    def probe(self, part: _Filter, low: int, high: int, most: int) -> None:
+        inside = np.flatnonzero((self.block >= low) & (self.block < high))
+        self.level[inside] = part.levels(self.block[inside].astype(np.int64), self.key[inside], most)
+
+    def scores(self, lowest: np.ndarray, total: int, distinct: int):
+        """Per text: n_tokens, n_known, base, scores and leave-one-out scores by smoothing."""
+        p0 = (self.count + 1) / (total + 1.0 * (distinct + 1))
+        begin = np.concatenate([[0], np.cumsum(self.counts + 1)[:-1]])
+        add = lambda x: np.add.reduceat(x, begin) if len(begin) else np.zeros(0)
+        value = np.concatenate([[0.0], np.sqrt(lowest * np.maximum(lowest, lowest * STEP - 1))])  # what a level stands for
+        before = self.count[self.previous]
+        seen = np.minimum(value[self.level], np.minimum(before, self.count[self.current]))
+        base = p0[self.current]
+        train = np.repeat(~self.held, self.counts + 1)
+        less, seen_less = np.maximum(before - 1, 0), np.maximum(seen - 1, 0)
+        scores, left_out = [], []
+        for a, b in SMOOTHING:
+            # a word never seen before leaves the base model
+            k, k_less = (a * np.maximum(c, 1.0) ** b for c in (before, less))
+            scores.append(add(np.log10((seen + k * base) / (before + k))))
+            left_out.append(add(np.where(train, np.log10((seen_less + k_less * base) / (less + k_less)), 0)))
+        return (
+            self.counts + 1, add((self.count[self.current] > 0).astype(np.int64)), add(np.log10(base)),
+            np.array(scores).T, np.array(left_out).T,
+        )
 
 
 def score(
@@ -300,53 +309,64 @@ def _score_packed(spark, packed: DataFrame, doc_id: str, id_type: str, filter_by
             held_bytes = 0
         groups[-1].append(r.block)
         held_bytes += r.n
-    # every block belongs to one group, also those without a filter
-    starts = [0, *[g[0] for g in groups[1:]], 1 << bits]
-    schema = f"chunk bigint, row int, id {id_type}, held boolean, n_tokens bigint, n_known bigint, base double, scores array<double>, left_out array<double>"
-    made = None
-    for g, blocks in enumerate(groups):
-        low, high = starts[g], starts[g + 1]
-        found = [] if not blocks else [tuple(r) for r in filters.filter(F.col("block").between(blocks[0], blocks[-1])).collect()]
-        shared = spark.sparkContext.broadcast(([(block, size, len(raw)) for block, size, raw in found], b"".join(raw for *_, raw in found)))
-        part = as_written(
-            packed.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(
-                _score_chunk(shared, low, high, bits, total, distinct, n_train, low == 0), schema
-            ),
-            "scores",
-        )
-        shared.destroy()  # one group's filter at a time on the driver and the executors
-        made = part if made is None else made.unionByName(part)
-    if len(groups) > 1:
-        sums = [F.array(*[F.sum(F.col(c)[i]) for i in range(len(KAPPAS))]).alias(c) for c in ("scores", "left_out")]
-        made = made.groupBy("chunk", "row").agg(
-            F.first("id").alias("id"), F.first("held").alias("held"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base")], *sums
-        )
-    chosen = made.agg(*[F.sum(F.col("left_out")[i]) for i in range(len(KAPPAS))]).first()
-    best = max(range(len(KAPPAS)), key=lambda i: (chosen[i] if chosen[i] is not None else 0.0, -i))
+    parts_of = []
+    for blocks in groups:  # one group on the driver at a time
+        if blocks:
+            found = [(r.block, r.size, bytes(r.bits)) for r in filters.filter(F.col("block").between(blocks[0], blocks[-1])).collect()]
+            shared = spark.sparkContext.broadcast(([(block, size, len(raw)) for block, size, raw in found], b"".join(raw for *_, raw in found)))
+            shared.unpersist()  # the driver keeps it on its disk
+            parts_of.append((shared, blocks[0], blocks[-1] + 1))
+            del found
+    schema = f"id {id_type}, held boolean, n_tokens bigint, n_known bigint, base double, scores array<double>, left_out array<double>"
+    together = F.expr(f"chunk div {TOGETHER}").alias("some")
+    made = as_written(
+        packed.select(together, "*").groupBy("some").cogroup(known.select(together, "*").groupBy("some")).applyInArrow(
+            _score_chunks(parts_of, bits, lowest, total, distinct, n_train), schema
+        ),
+        "scores",
+    )
+    chosen = made.agg(*[F.sum(F.col("left_out")[i]) for i in range(len(SMOOTHING))]).first()
+    best = max(range(len(SMOOTHING)), key=lambda i: (chosen[i] if chosen[i] is not None else 0.0, -i))
     return made.select(
         F.col("id").alias(doc_id), F.col("held").alias("held_out"), "n_tokens", "n_known",
         F.lit(total).cast("bigint").alias("train_tokens"), F.col("base").alias("base_score"), F.col("scores")[best].alias("score"),
     )
 
 
-def _score_chunk(shared, low, high, bits, total, distinct, n_train, first):
-    made: list = []
-
-    def run(key: tuple[pa.Scalar, ...], chunk: pa.Table, totals: pa.Table) -> pa.Table:
-        if not made:
-            made.append(_Filter(shared.value, 1 << bits))
-        mine = np.zeros(1 << bits, bool)
-        mine[low:high] = True
-        row = {c: chunk.column(c)[0].as_py() for c in PARTS}
-        known = in_order(totals).astype(np.int64)
-        n_tokens, n_known, base, scores, left_out = _scores(row, known, total, distinct, n_train, mine, made[0], bits, first)
-        n = len(row["held"])
-        nested = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * len(KAPPAS), pa.int32()), pa.array(np.ascontiguousarray(x).reshape(-1), pa.float64()))
-        return pa.table({
-            "chunk": pa.array([key[0].as_py()] * n, pa.int64()), "row": pa.array(range(n), pa.int32()),
-            "id": chunk.column("ids").combine_chunks().flatten(), "held": pa.array(row["held"], pa.bool_()),
-            "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "base": pa.array(base, pa.float64()),
-            "scores": nested(scores), "left_out": nested(left_out),
-        })
+def _score_chunks(parts_of, bits, lowest, total, distinct, n_train):
+    def run(_: tuple[pa.Scalar, ...], some: pa.Table, totals: pa.Table) -> pa.Table:
+        order, chunks = [], []
+        names = totals.column("chunk").to_numpy()
+        for i in range(some.num_rows):
+            chunk = some.column("chunk")[i].as_py()
+            mine = totals.take(pa.array(np.flatnonzero(names == chunk)))
+            order.append(i)
+            chunks.append(_Chunk({c: some.column(c)[i].as_py() for c in PARTS}, in_order(mine).astype(np.int64), n_train, bits))
+        for shared, low, high in parts_of:
+            part = _Filter(shared.value, 1 << bits)
+            for c in chunks:
+                c.probe(part, low, high, len(lowest))
+            del part
+            if len(parts_of) > 1:
+                vars(shared).pop("_value", None)  # its file stays, the memory is for the next
+        out = []
+        for i, c in zip(order, chunks, strict=True):
+            n_tokens, n_known, base, scores, left_out = c.scores(lowest, total, distinct)
+            n = len(c.held)
+            nested = lambda x, n=n: pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * len(SMOOTHING), pa.int32()), pa.array(np.ascontiguousarray(x).reshape(-1), pa.float64()))
+            out.append(pa.table({
+                "id": some.column("ids").slice(i, 1).combine_chunks().flatten(), "held": pa.array(c.held, pa.bool_()),
+                "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "base": pa.array(base, pa.float64()),
+                "scores": nested(scores), "left_out": nested(left_out),
+            }))
+        if not out:  # totals without a chunk do not occur
+            return pa.table({"id": pa.nulls(0, some.schema.field("ids").type.value_type), **{c: pa.array([], t) for c, t in EMPTY.items()}})
+        return pa.concat_tables(out)
 
     return run
+
+
+EMPTY = {
+    "held": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(),
+    "scores": pa.list_(pa.float64()), "left_out": pa.list_(pa.float64()),
+}

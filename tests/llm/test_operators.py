@@ -133,6 +133,42 @@ def test_lm_score_of_bigrams_seen_once(spark):
     assert once.score > never.score + 0.01
 
 
+def test_lm_score_against_exact_counts(spark):
+    """The score from exact bigram counts, levels and smoothing worked out in plain Python; false positives of the filter are few."""
+    import random
+
+    r = random.Random(5)
+    vocabulary = [f"v{k}" for k in range(60)]
+    rows = [(i, " ".join(r.choice(vocabulary[: 10 + i % 50]) for _ in range(r.randrange(0, 30)))) for i in range(400)]
+    rows += [(1000 + i, rows[i][1]) for i in range(0, 400, 7)]
+    held = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 == 2}
+    tokens = {i: ["<s>", *t.split(), "</s>"] for i, t in rows}
+    c1 = Counter(w for i, ws in tokens.items() if i not in held for w in ws[1:])
+    c2 = Counter(p for i, ws in tokens.items() if i not in held for p in zip(ws, ws[1:]))
+    n, v = sum(c1.values()), len(c1)
+    c1["<s>"] = c1["</s>"]
+    lowest = lm_score._lowest(n)
+
+    def value(c):
+        level = sum(c >= x for x in lowest)
+        return math.sqrt(lowest[level - 1] * max(lowest[level - 1], lowest[level - 1] * lm_score.STEP - 1)) if level else 0.0
+
+    def logs(ws, a, b, less):
+        total = 0.0
+        for u, w in zip(ws, ws[1:]):
+            before, seen = c1[u], min(value(c2[u, w]), c1[u], c1[w])
+            before, seen = max(before - less, 0), max(seen - less, 0)
+            k = a * max(before, 1.0) ** b
+            total += math.log10((seen + k * (c1[w] + 1) / (n + v + 1)) / (before + k))
+        return total
+
+    best = max(lm_score.SMOOTHING, key=lambda s: sum(logs(ws, *s, 1) for i, ws in tokens.items() if i not in held))
+    for limit in (1 << 25, 3000):  # one group, and several that a task walks through
+        got = {x.doc_id: x.score for x in lm_score.score(spark.createDataFrame(rows, "doc_id bigint, text string"), filter_bytes=limit).collect()}
+        off = [abs(got[i] - logs(ws, *best, 0)) for i, ws in tokens.items()]
+        assert len(got) == len(rows) and sum(x < 1e-6 for x in off) >= 0.85 * len(off) and max(off) < 3
+
+
 def test_lm_score_has_levels_for_any_count():
     for most in (1, 2, 10**6, 10**9, 10**13):
         lowest = lm_score._lowest(most)
