@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from jobscope.operators import models as md
@@ -28,6 +30,29 @@ class Streams(Tables):
         return super().__getattr__(name)
 
 
+def in_batches(t, df, by, parts=4):
+    """A table of the views as a stream of several micro-batches, oldest rows first; rows of one time stay together."""
+    spark = t.spark
+    path = scratch_path(spark, "stream-in")
+    rows = as_written(df, "stream-rows")
+    low, high = rows.agg(F.min(F.unix_seconds(by)), F.max(F.unix_seconds(by))).first()
+    step = ((high or 0) - (low or 0)) // parts + 1
+    for i in range(parts):  # one file each, so that a micro-batch is a part
+        part = rows.filter(F.expr(f"(unix_seconds({by}) - {low or 0}) div {step}") == i)
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def updated(t, df):
+    """Rows a stream gives in update mode; a batch that is run again replaces its own folder."""
+    path = scratch_path(t.spark, "stream")
+    q = df.writeStream.outputMode("update").foreachBatch(
+        lambda rows, i: rows.write.mode("overwrite").parquet(f"{path}/batch={i}")
+    ).option("checkpointLocation", scratch_path(t.spark, "stream-log")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return t.spark.read.schema(df.schema).parquet(path)
+
+
 def finished(t, df):
     """Rows a stream appends to a file sink."""
     path = scratch_path(t.spark, "stream")
@@ -49,13 +74,8 @@ def stream_usage(t):
 
 @query("select job_id, max(mem_mb) as peak_mb from samples group by job_id")
 def stream_peak(t):
-    path = scratch_path(t.spark, "peaks")
-    # a batch that is run again replaces its own folder
-    q = mon.stream_peak(Streams(t, "events").samples).writeStream.outputMode("update").foreachBatch(
-        lambda df, i: df.write.mode("overwrite").parquet(f"{path}/batch={i}")
-    ).option("checkpointLocation", scratch_path(t.spark, "stream-log")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return t.spark.read.parquet(path).groupBy("job_id").agg(F.max("peak_mb").alias("peak_mb"))
+    rises = updated(t, mon.stream_peak(in_batches(t, t.samples, "ts")))
+    return rises.groupBy("job_id").agg(F.max("peak_mb").alias("peak_mb"))
 
 
 @query(f"with {NEAR} select distinct job_id from f")
@@ -73,13 +93,23 @@ def stream_failure_burst(t):
     return finished(t, burst).select("program", "ref", F.unix_timestamp("start_ts").alias("start_s"), "fails")
 
 
+@query("""
+    with f as (select program, ref, job_id, finish_ts, lag(finish_ts, 5) over (partition by program, ref order by finish_ts, job_id) as sixth
+      from ledger where status <> 'COMPLETED'),
+    g as (select *, coalesce(sixth > finish_ts - interval 30 day, false) as above from f),
+    h as (select *, coalesce(lag(above) over (partition by program, ref order by finish_ts, job_id), false) as before from g)
+    select program, ref, job_id, strftime(finish_ts, '%Y-%m-%d %H:%M:%S') as alarm_at, 6 as fails from h where above and not before""")
+def stream_failure_alarm(t):
+    alarms = mon.stream_failure_alarm(in_batches(t, t.ledger, "finish_ts"), window=dt.timedelta(days=30))
+    return updated(t, alarms).select("program", "ref", "job_id", day("alarm_ts").alias("alarm_at"), "fails")
+
+
 @query()
 def stream_admit(t):
-    old, _ = later_half(t.ledger)
+    old, new = later_half(t.ledger)
     path = scratch_path(t.spark, "ledger-stream")
     mon.start_ledger(old, path)
-    _, new = later_half(Streams(t, "orders").ledger)
-    mon.stream_admit(new, path, scratch_path(t.spark, "stream-log"), availableNow=True).awaitTermination()
+    mon.stream_admit(in_batches(t, new, "finish_ts"), path, scratch_path(t.spark, "stream-log"), availableNow=True).awaitTermination()
     return t.spark.read.parquet(path).filter("batch >= 0").select("job_id", "program", "ref", "input_size", "mem_used")
 
 

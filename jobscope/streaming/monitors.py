@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import datetime as dt
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from jobscope.operators.ledger import FAILURE_BURST, KEY, admit_records, completed
 from jobscope.operators.models import score_models
@@ -27,9 +31,49 @@ def stream_usage(samples: DataFrame, watermark: str = "10 minutes", every: str =
     )
 
 
-def stream_peak(samples: DataFrame) -> DataFrame:
-    """Running peak per job; update mode. State is one number per job."""
-    return samples.groupBy("job_id").agg(F.max("mem_mb").alias("peak_mb"))
+def _milliseconds(t: dt.timedelta) -> int:
+    return t // dt.timedelta(milliseconds=1)
+
+
+def _batch_peaks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The highest and the last sample of each job in a batch."""
+    for batch in batches:
+        peaks = pa.Table.from_batches([batch]).group_by("job_id").aggregate([("ts", "max"), ("_ms", "max"), ("mem_mb", "max")])
+        yield from peaks.select(["job_id", "ts_max", "_ms_max", "mem_mb_max"]).rename_columns(["job_id", "ts", "_ms", "mem_mb"]).to_batches()
+
+
+def stream_peak(samples: DataFrame, longest: dt.timedelta = dt.timedelta(days=30), watermark: str = "1 hour") -> DataFrame:
+    """Running peak per job, a row whenever it rises; update mode.
+
+    State is one number per job, and is gone when the job has sent nothing for
+    ``longest``, the longest time a job may be silent. Samples of a job are brought
+    down to one row per batch of rows before they are shuffled.
+    """
+    fields = {f.name: f.dataType.simpleString() for f in samples.schema.fields}
+    combined = samples.select("job_id", "ts", F.unix_millis("ts").alias("_ms"), "mem_mb").mapInArrow(
+        _batch_peaks, f"job_id {fields['job_id']}, ts timestamp, _ms bigint, mem_mb {fields['mem_mb']}"
+    )
+    kept = _milliseconds(longest)
+
+    def rise(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        before, last = state.get if state.exists else (None, 0)
+        peak = before
+        for part in parts:
+            last = max(last, int(part["_ms"].max()))
+            top = part["mem_mb"].max()
+            if not pd.isna(top) and (peak is None or top > peak):
+                peak = top
+        state.update((peak, last))
+        state.setTimeoutTimestamp(max(last + kept, state.getCurrentWatermarkMs() + 1))
+        if peak is not None and peak != before:
+            yield pd.DataFrame({"job_id": [key[0]], "peak_mb": [peak]})
+
+    return combined.withWatermark("ts", watermark).groupBy("job_id").applyInPandasWithState(
+        rise, f"job_id {fields['job_id']}, peak_mb {fields['mem_mb']}", f"peak {fields['mem_mb']}, last bigint", "update", GroupStateTimeout.EventTimeTimeout
+    )
 
 
 def stream_near_limit(samples: DataFrame, jobs: DataFrame, watermark: str = "30 days") -> DataFrame:
@@ -69,23 +113,93 @@ def stream_failure_burst(
     )
 
 
+def stream_failure_alarm(
+    ledger: DataFrame,
+    n: int = FAILURE_BURST,
+    window: dt.timedelta = dt.timedelta(hours=1),
+    watermark: str = "1 hour",
+) -> DataFrame:
+    """The failed job with which a key passes n failures within the window; update mode.
+
+    The alarm comes in the micro-batch of that job, and again only after the number has
+    been at n or below. State per key is a ring of the last n failures' times, gone
+    one window after the last of them. Jobs of a micro-batch are taken in finish order; one that comes in
+    a later micro-batch than jobs that finished after it counts for those still to come.
+    """
+    fields = {f.name: f.dataType.simpleString() for f in ledger.schema.fields}
+    length = _milliseconds(window)
+
+    def watch(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        text, above = state.get if state.exists else ("", False)
+        ring = [int(x) for x in text.split(",") if x]
+        rows = sorted((int(ms), job) for part in parts for ms, job in zip(part["_ms"], part["job_id"], strict=True))
+        alarms = []
+        for ms, job in rows:
+            passed = len(ring) == n and ring[0] > ms - length
+            if passed and not above:
+                alarms.append((job, ms))
+            above = passed
+            ring = sorted([*ring, ms])[-n:]
+        state.update((",".join(map(str, ring)), above))
+        state.setTimeoutTimestamp(max(ring[-1] + length, state.getCurrentWatermarkMs()) + 1)
+        if alarms:
+            yield pd.DataFrame({**dict(zip(KEY, key, strict=True)), "job_id": [a[0] for a in alarms], "alarm_ms": [a[1] for a in alarms]})
+
+    alarms = (
+        ledger.filter(F.col("status") != "COMPLETED")
+        .select(*KEY, "job_id", "finish_ts", F.unix_millis("finish_ts").alias("_ms"))
+        .withWatermark("finish_ts", watermark)
+        .groupBy(*KEY)
+        .applyInPandasWithState(
+            watch, f"{', '.join(f'{k} {fields[k]}' for k in KEY)}, job_id {fields['job_id']}, alarm_ms bigint",
+            "ring string, above boolean", "update", GroupStateTimeout.EventTimeTimeout,
+        )
+    )
+    return alarms.select(*KEY, "job_id", F.timestamp_millis("alarm_ms").alias("alarm_ts"), F.lit(n + 1).alias("fails"))
+
+
+LEDGER_BUCKETS = 256
+
+
+def ledger_bucket() -> Column:
+    """Bucket of a key, the first folder level of a ledger that streams are admitted to."""
+    return F.pmod(F.xxhash64(*KEY), F.lit(LEDGER_BUCKETS)).cast("int")
+
+
 def start_ledger(ledger: DataFrame, ledger_path: str) -> None:
-    """Write the rows that are there before the first micro-batch."""
-    ledger.write.parquet(f"{ledger_path}/batch=-1")
+    """Write the rows that are there before the first micro-batch, by bucket of their key."""
+    rows = ledger.withColumns({"bucket": ledger_bucket(), "batch": F.lit(-1).cast("bigint")})
+    rows.repartition("bucket").write.partitionBy("bucket", "batch").parquet(ledger_path)
+    ledger.limit(0).write.parquet(f"{ledger_path}/bucket=-1/batch=-1")  # so that there always is a folder to read
+
+
+def earlier_rows(batch: DataFrame, batch_id: int, ledger_path: str) -> DataFrame:
+    """Ledger rows, of batches before this one, in the buckets of the batch's keys; no other folder is even listed."""
+    spark = batch.sparkSession
+    touched = sorted(r[0] for r in batch.select(ledger_bucket()).distinct().collect())  # LEDGER_BUCKETS at most
+    schema = T.StructType([*batch.schema.fields, T.StructField("bucket", T.IntegerType()), T.StructField("batch", T.LongType())])
+    folders = f"{ledger_path}/bucket={{{','.join(map(str, [-1, *touched]))}}}"
+    rows = spark.read.schema(schema).option("basePath", ledger_path).parquet(folders)
+    return rows.filter(F.col("batch") < batch_id).drop("bucket", "batch")
 
 
 def admit_batch(ledger_path: str) -> Callable[[DataFrame, int], None]:
     """foreachBatch step: admit a micro-batch against the ledger on disk.
 
-    A batch has a folder of its own, so a batch that is run again after a
-    failure replaces its rows instead of adding them twice.
+    Only the buckets of the batch's keys are read. A batch has folders of its own, one in each
+    bucket that it adds to, so a batch that is run again after a failure replaces its rows instead of adding them twice.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        schema = T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType())])
-        earlier = batch.sparkSession.read.schema(schema).parquet(ledger_path)
-        earlier = earlier.filter(F.col("batch") < batch_id).drop("batch")
-        admit_records(batch, earlier).write.mode("overwrite").parquet(f"{ledger_path}/batch={batch_id}")
+        batch = batch.persist()
+        made = admit_records(batch, earlier_rows(batch, batch_id, ledger_path))
+        made.withColumns({"bucket": ledger_bucket(), "batch": F.lit(batch_id).cast("bigint")}).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic"
+        ).partitionBy("bucket", "batch").parquet(ledger_path)
+        batch.unpersist()
 
     return step
 

@@ -1,5 +1,7 @@
 """Streams in several micro-batches give the batch result."""
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,3 +66,83 @@ def test_peak(spark, t, tmp_path, source, same):
     q.awaitTermination()
     got = spark.read.parquet(out).groupBy("job_id").agg(F.max("peak_mb").alias("peak_mb"))
     same(got, t.samples.groupBy("job_id").agg(F.max("mem_mb").alias("peak_mb")))
+
+
+def _updates(spark, tmp_path, df):
+    """Rows of every micro-batch, and the state rows after each."""
+    out, rows = [], []
+    q = df.writeStream.outputMode("update").foreachBatch(lambda part, i: out.append([tuple(r) for r in part.collect()])).option(
+        "checkpointLocation", str(tmp_path / "cp")
+    ).trigger(availableNow=True).start()
+    q.awaitTermination()
+    for progress in q.recentProgress:
+        rows.append(progress["stateOperators"][0]["numRowsTotal"])
+    return out, rows
+
+
+def _in_turn(spark, tmp_path, batches, schema):
+    path = str(tmp_path / "in")
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_state_of_silent_jobs_is_gone(spark, tmp_path):
+    at = lambda day, minute=0: dt.datetime(2024, 1, 1) + dt.timedelta(days=day, minutes=minute)
+    batches = [
+        [("a", at(0), 5), ("a", at(0, 1), 9), ("b", at(0), 1)],
+        [("a", at(1), 7), ("b", at(1), 3), ("c", at(1), None)],
+        [("d", at(40), 2)],  # the others have been silent for longer than they may
+        [("d", at(41), 4), ("e", at(41), 1)],
+    ]
+    stream = mon.stream_peak(_in_turn(spark, tmp_path, batches, "job_id string, ts timestamp, mem_mb bigint"), longest=dt.timedelta(days=30))
+    out, state = _updates(spark, tmp_path, stream)
+    rises = [sorted(x) for x in out if x]
+    assert rises == [[("a", 9), ("b", 1)], [("b", 3)], [("d", 2)], [("d", 4), ("e", 1)]]
+    assert max(state) >= 3 and state[-1] == 2
+
+
+def test_alarm_comes_with_the_failing_job(spark, tmp_path):
+    at = lambda minute: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=minute)
+    fail = lambda job, minute, key="p": (job, key, "r", "OOM", at(minute))
+    batches = [
+        [fail(1, 0), fail(2, 1), fail(3, 2), fail(9, 3, "q"), (50, "p", "r", "COMPLETED", at(3))],
+        [fail(4, 10), fail(5, 20)],
+        [fail(6, 59), fail(7, 59), fail(10, 59, "q")],  # the sixth within the hour, and one more
+        [fail(8, 200)],
+        [fail(20 + k, 300 + k) for k in range(6)],  # again, after a pause
+    ]
+    stream = mon.stream_failure_alarm(_in_turn(spark, tmp_path, batches, "job_id bigint, program string, ref string, status string, finish_ts timestamp"))
+    out, state = _updates(spark, tmp_path, stream)
+    alarms = [[r[:3] for r in x] for x in out]
+    alarms += [[]] * (5 - len(alarms))
+    assert alarms[:3] == [[], [], [("p", "r", 6)]] and sorted(sum(alarms[3:], [])) == [("p", "r", 25)]
+    assert max(state) == 2
+
+
+def test_admit_reads_the_touched_buckets_only(spark, t, tmp_path):
+    path = str(tmp_path / "ledger")
+    old, new = t.ledger.filter("finish_ts < '1998-01-01'"), t.ledger.filter("finish_ts >= '1998-01-01'")
+    mon.start_ledger(old, path)
+    one = new.filter("program = '1-URGENT' and ref = 'ref1'")
+    bucket = one.select(mon.ledger_bucket()).distinct().collect()
+    assert len(bucket) == 1
+    read = mon.earlier_rows(one, 0, path)
+    folders = {f.split("/bucket=")[1].split("/")[0] for f in read.inputFiles()}
+    assert folders <= {"-1", str(bucket[0][0])} and str(bucket[0][0]) in folders
+    assert read.count() == old.filter(F.pmod(F.xxhash64("program", "ref"), F.lit(mon.LEDGER_BUCKETS)) == bucket[0][0]).count() > 0
+
+
+def test_a_batch_that_is_run_again_changes_nothing(spark, t, tmp_path, same):
+    path = str(tmp_path / "ledger")
+    old, new = t.ledger.filter("finish_ts < '1998-01-01'"), t.ledger.filter("finish_ts >= '1998-01-01'")
+    mon.start_ledger(old, path)
+    step = mon.admit_batch(path)
+    first, second = new.filter("job_id % 2 = 0"), new.filter("job_id % 2 = 1")
+    step(first, 0)
+    step(second, 1)
+    once = spark.read.parquet(path).drop("bucket").collect()
+    step(second, 1)
+    step(first, 0)
+    again = spark.read.parquet(path).drop("bucket").collect()
+    assert sorted(map(str, once)) == sorted(map(str, again)) and len(once) > old.count()
