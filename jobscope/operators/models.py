@@ -82,23 +82,27 @@ def fit_models(points: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     ).select(*KEY, "m.*", "n", "x_min", "x_max", "x_mean", "x_median")
 
 
-def noinput_p90(ledger: DataFrame) -> DataFrame:
-    """Exact upper decile of memory and of minutes over finished jobs of a key.
+def value_counts(ledger: DataFrame) -> DataFrame:
+    """How many finished jobs of a key used so many whole MB (target mem) or minutes (target time).
 
-    Works on counts per distinct value. Values are whole MB and whole minutes,
-    bounded by the partition limits, so a key has few of them however many
-    rows it holds.
+    Values are bounded by the partition limits, so a key has few of them however many rows it holds.
     """
-    both = completed(ledger).select(
-        *KEY,
-        F.explode(
-            F.array(
-                F.struct(F.lit("mem").alias("target"), F.floor("mem_used").cast("bigint").alias("value")),
-                F.struct(F.lit("time").alias("target"), F.floor("min_used").cast("bigint").alias("value")),
-            )
-        ).alias("v"),
-    ).select(*KEY, "v.*")
-    counts = both.groupBy(*KEY, "target", "value").agg(F.count(F.lit(1)).alias("c"))
+    return (
+        completed(ledger).select(
+            *KEY,
+            F.explode(
+                F.array(
+                    F.struct(F.lit("mem").alias("target"), F.floor("mem_used").cast("bigint").alias("value")),
+                    F.struct(F.lit("time").alias("target"), F.floor("min_used").cast("bigint").alias("value")),
+                )
+            ).alias("v"),
+        ).select(*KEY, "v.*")
+        .groupBy(*KEY, "target", "value").agg(F.count(F.lit(1)).alias("c"))
+    )
+
+
+def upper_decile(counts: DataFrame) -> DataFrame:
+    """p90_mem and p90_min of a key from its value_counts."""
     group = Window.partitionBy(*KEY, "target")
     upto = group.orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, 0)
     ranked = counts.withColumns({"upto": F.sum("c").over(upto), "rows": F.sum("c").over(group)})
@@ -114,6 +118,11 @@ def noinput_p90(ledger: DataFrame) -> DataFrame:
     )
 
 
+def noinput_p90(ledger: DataFrame) -> DataFrame:
+    """Exact upper decile of memory and of minutes over finished jobs of a key, from counts per distinct value."""
+    return upper_decile(value_counts(ledger))
+
+
 def extra_mem_margin(extra: DataFrame) -> DataFrame:
     """Twice the largest extra memory seen per key."""
     return extra.groupBy(*KEY).agg((F.max("extra_mb") * 2).cast("bigint").alias("margin"))

@@ -7,9 +7,8 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -17,6 +16,7 @@ from jobscope.operators.ledger import FAILURE_BURST, KEY, admit_records, complet
 from jobscope.operators.models import score_models
 from jobscope.operators.policy import place_estimates
 from jobscope.operators.usage import limit_kind
+from jobscope.sources import buckets
 
 
 def stream_usage(samples: DataFrame, watermark: str = "10 minutes", every: str = "1 minute") -> DataFrame:
@@ -161,29 +161,15 @@ def stream_failure_alarm(
     return alarms.select(*KEY, "job_id", F.timestamp_millis("alarm_ms").alias("alarm_ts"), F.lit(n + 1).alias("fails"))
 
 
-LEDGER_BUCKETS = 256
-
-
-def ledger_bucket() -> Column:
-    """Bucket of a key, the first folder level of a ledger that streams are admitted to."""
-    return F.pmod(F.xxhash64(*KEY), F.lit(LEDGER_BUCKETS)).cast("int")
-
-
 def start_ledger(ledger: DataFrame, ledger_path: str) -> None:
     """Write the rows that are there before the first micro-batch, by bucket of their key."""
-    rows = ledger.withColumns({"bucket": ledger_bucket(), "batch": F.lit(-1).cast("bigint")})
-    rows.repartition("bucket").write.partitionBy("bucket", "batch").parquet(ledger_path)
-    ledger.limit(0).write.parquet(f"{ledger_path}/bucket=-1/batch=-1")  # so that there always is a folder to read
+    buckets.create(ledger, ledger_path)
+    buckets.write_batch(ledger, ledger_path, -1)
 
 
 def earlier_rows(batch: DataFrame, batch_id: int, ledger_path: str) -> DataFrame:
     """Ledger rows, of batches before this one, in the buckets of the batch's keys; no other folder is even listed."""
-    spark = batch.sparkSession
-    touched = sorted(r[0] for r in batch.select(ledger_bucket()).distinct().collect())  # LEDGER_BUCKETS at most
-    schema = T.StructType([*batch.schema.fields, T.StructField("bucket", T.IntegerType()), T.StructField("batch", T.LongType())])
-    folders = f"{ledger_path}/bucket={{{','.join(map(str, [-1, *touched]))}}}"
-    rows = spark.read.schema(schema).option("basePath", ledger_path).parquet(folders)
-    return rows.filter(F.col("batch") < batch_id).drop("bucket", "batch")
+    return buckets.read_buckets(batch.sparkSession, ledger_path, batch.schema, buckets.touched(batch), batch_id - 1).drop("batch")
 
 
 def admit_batch(ledger_path: str) -> Callable[[DataFrame, int], None]:
@@ -195,10 +181,7 @@ def admit_batch(ledger_path: str) -> Callable[[DataFrame, int], None]:
 
     def step(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
-        made = admit_records(batch, earlier_rows(batch, batch_id, ledger_path))
-        made.withColumns({"bucket": ledger_bucket(), "batch": F.lit(batch_id).cast("bigint")}).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy("bucket", "batch").parquet(ledger_path)
+        buckets.write_batch(admit_records(batch, earlier_rows(batch, batch_id, ledger_path)), ledger_path, batch_id)
         batch.unpersist()
 
     return step

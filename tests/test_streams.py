@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from jobscope.operators import ledger as lg
 from jobscope.operators import usage
+from jobscope.sources import buckets
 from jobscope.streaming import monitors as mon
 
 
@@ -125,12 +126,12 @@ def test_admit_reads_the_touched_buckets_only(spark, t, tmp_path):
     old, new = t.ledger.filter("finish_ts < '1998-01-01'"), t.ledger.filter("finish_ts >= '1998-01-01'")
     mon.start_ledger(old, path)
     one = new.filter("program = '1-URGENT' and ref = 'ref1'")
-    bucket = one.select(mon.ledger_bucket()).distinct().collect()
+    bucket = one.select(buckets.bucket_of()).distinct().collect()
     assert len(bucket) == 1
     read = mon.earlier_rows(one, 0, path)
     folders = {f.split("/bucket=")[1].split("/")[0] for f in read.inputFiles()}
     assert folders <= {"-1", str(bucket[0][0])} and str(bucket[0][0]) in folders
-    assert read.count() == old.filter(F.pmod(F.xxhash64("program", "ref"), F.lit(mon.LEDGER_BUCKETS)) == bucket[0][0]).count() > 0
+    assert read.count() == old.filter(F.pmod(F.xxhash64("program", "ref"), F.lit(buckets.BUCKETS)) == bucket[0][0]).count() > 0
 
 
 def test_a_batch_that_is_run_again_changes_nothing(spark, t, tmp_path, same):
