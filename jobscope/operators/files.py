@@ -23,21 +23,22 @@ FOLD_ROWS = 200_000
 def input_size(jobs: DataFrame, inventory: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Total input size per job in KiB.
 
-    jobs: job_id, inputs (list, ``none`` or ``,jobSize:N``); inventory: path,
-    size_kib. A job with a missing file gets no size and ``missing_input``. A
+    jobs: job_id, inputs (list, ``none`` or ``,jobSize:N``); inventory: path and
+    bytes, or size_kib where only that is known; the sum is rounded up, not each file. A job with a missing file gets no size and ``missing_input``. A
     file counts once per job, however often it is named or listed.
     """
     literal = job_size(F.col("inputs"))
     none = F.col("inputs").isNull() | (F.col("inputs") == "none")
     refs = F.when(~none, F.array_distinct(input_refs(F.col("inputs"))))
     wanted = jobs.select("job_id", literal.alias("_literal"), F.explode_outer(refs).alias("path"))
+    length = F.col("bytes") if "bytes" in inventory.columns else F.col("size_kib") * 1024
     sized = skew_join(
-        wanted, inventory.groupBy("path").agg(F.max("size_kib").alias("size_kib")), ["path"], "left", spread=["job_id"], hot_rows=hot_rows
+        wanted, inventory.groupBy("path").agg(F.max(length).alias("_bytes")), ["path"], "left", spread=["job_id"], hot_rows=hot_rows
     )
     return sized.groupBy("job_id").agg(
         F.max("_literal").alias("_literal"),
-        F.sum("size_kib").alias("_sum"),
-        F.bool_or(F.col("path").isNotNull() & F.col("size_kib").isNull()).alias("missing_input"),
+        (F.sum("_bytes") / 1024).alias("_sum"),
+        F.bool_or(F.col("path").isNotNull() & F.col("_bytes").isNull()).alias("missing_input"),
     ).select(
         "job_id",
         F.when(~F.col("missing_input"), F.coalesce(F.col("_literal"), F.ceil("_sum"), F.lit(0))).cast("bigint").alias("input_size"),

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobscope.functions.jobs import umi_of
-from jobscope.scale import HOT_ROWS, Running, grouped_scan, hot_from_counts, skew_join
-from jobscope.session import as_written, cut_lineage
+from jobscope.scale import HOT_ROWS, Running, grouped_scan, hot_from_counts, one_value, skew_join
+from jobscope.session import as_written
 
 # fixed values: SAM flag bits
 PROPER, UNMAPPED, REVERSE, FIRST, SECOND, DUPLICATE = 0x2, 0x4, 0x10, 0x40, 0x80, 0x400
@@ -288,41 +288,31 @@ BARCODES = [
     ("F05", "ANNNNGTATCCAGATCGGAAGAGCGTCGTGT"),
     ("NIL", "AGATCGGAAGAGCGTCGTGT"),
 ]
-SHAPES_PER_PLAN = 32  # more joins than that are planned in several steps
 
 
-def _masked(seq: Column, shape: str) -> Column:
-    """seq cut to the shape's length with N where the shape has N."""
-    pieces, i = [], 0
-    while i < len(shape):
-        j = i
-        while j < len(shape) and shape[j] == shape[i]:
-            j += 1
-        pieces.append(F.lit(shape[i:j]) if shape[i] == "N" else F.substring(seq, i + 1, j - i))
-        i = j
-    return F.concat(*pieces)
-
-
-def barcode_demux(reads: DataFrame, barcodes: DataFrame) -> DataFrame:
+def barcode_demux(reads: DataFrame, barcodes: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Barcode of each read: the longest barcode that is a prefix, N matching any base.
 
-    barcodes: barcode, sequence. Barcodes of one shape (length and places of
-    N) are matched by one equality join on the masked prefix; there are few
-    shapes however many barcodes or reads.
+    barcodes: barcode, sequence. A barcode's shape is its length and its places of N. The distinct
+    prefixes of the reads, as long as the longest barcode, are tried in every shape (few,
+    however many barcodes or reads) and meet the barcodes in one join on (shape, masked prefix); what they find
+    goes back to the reads by prefix, a frequent one spread over several tasks.
     """
     shape = F.regexp_replace("sequence", "[^N]", "-")
-    shaped = barcodes.withColumn("_shape", shape)
-    shapes = [r[0] for r in shaped.select("_shape").distinct().collect()]
-    shapes.sort(key=lambda s: (-len(s), s.count("N"), s))
-    out, names = reads, []
-    for i, s in enumerate(shapes):
-        of_shape = shaped.filter(F.col("_shape") == s).groupBy(F.col("sequence").alias("_key")).agg(
-            F.min("barcode").alias(f"_b{i}")
-        )
-        names.append(f"_b{i}")
-        # a shape without fixed bases would be an empty key; the join then matches all
-        out = out.withColumn("_key", _masked(F.col("seq"), s)).join(of_shape, ["_key"], "left").drop("_key")
-        if len(names) == SHAPES_PER_PLAN:
-            best = F.coalesce(*names).alias("_best")
-            out, names = cut_lineage(out.select(*[c for c in out.columns if c not in names], best)), ["_best"]
-    return out.withColumn("barcode", F.coalesce(*names, F.lit("unassigned"))).drop(*names)
+    order = F.struct((-F.char_length(shape)).alias("n"), F.regexp_count(shape, F.lit("N")).alias("m"), shape.alias("_shape"))
+    shapes = one_value(barcodes, F.sort_array(F.collect_set(order)))
+    longest = F.coalesce(one_value(barcodes, F.max(F.char_length("sequence"))), F.lit(0))
+    named = reads.withColumn("_longest", longest).withColumn("_prefix", F.substr("seq", F.lit(1), F.col("_longest"))).drop("_longest")
+    tried = named.select("_prefix").filter(F.col("_prefix").isNotNull()).distinct().withColumn("_shapes", shapes).select("_prefix", F.posexplode("_shapes").alias("_rank", "_one"))
+    size = F.char_length("_one._shape")
+    masked = F.array_join(
+        F.zip_with(F.split(F.substr("_prefix", F.lit(1), size), ""), F.split("_one._shape", ""), lambda c, s: F.when(s == "N", s).otherwise(c)), ""
+    )
+    keys = barcodes.groupBy(shape.alias("_shape"), F.col("sequence").alias("_key")).agg(F.min("barcode").alias("barcode"))
+    found = (
+        tried.select("_prefix", "_rank", F.col("_one._shape").alias("_shape"), F.when(size == 0, F.lit("")).otherwise(masked).alias("_key"))
+        .join(as_written(keys, "barcodes"), ["_shape", "_key"])
+        .groupBy("_prefix").agg(F.min_by("barcode", "_rank").alias("_found"))
+    )
+    back = skew_join(named, as_written(found, "prefixes"), ["_prefix"], "left", hot_rows=hot_rows)
+    return back.withColumn("barcode", F.coalesce("_found", F.lit("unassigned"))).select(*reads.columns, "barcode")

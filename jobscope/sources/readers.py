@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from jobscope import schemas
 from jobscope.functions.units import elapsed_hours, tres_mem_gb
 from jobscope.scale import HOT_ROWS, Running, grouped_scan
+from jobscope.sources.fastq import read_fastq  # noqa: F401
 from jobscope.sources.text import numbered_lines, read_lines
 
 
@@ -161,12 +162,17 @@ def read_sheet(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    """Alignments from SAM text. Positions are zero-based; last_pos from the CIGAR."""
+    """Alignments from SAM text. Positions are zero-based; last_pos from the CIGAR.
+
+    A line of too few fields is an error, never left out; blank lines are nothing.
+    """
     names = ["qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual"]
     part = F.split("line", "\t")
+    short = F.raise_error(F.concat(F.lit("no alignment in "), F.col("file"), F.lit(": "), F.substring("line", 1, 200))).cast("boolean")
     rows = (
         read_lines(spark, path)
-        .filter(~F.col("line").startswith("@") & (F.size(part) >= len(names)))
+        .filter(~F.col("line").startswith("@") & (F.trim("line") != ""))
+        .filter(F.when(F.size(part) >= len(names), True).otherwise(short))
         .select(*[part[i].alias(n) for i, n in enumerate(names)])
     )
     steps = F.expr("regexp_extract_all(cigar, '([0-9]+)[MDN=X]', 1)")
@@ -186,28 +192,8 @@ def read_bed(spark: SparkSession, path: str, kind: str = "bed6") -> DataFrame:
     return spark.read.schema(schema).csv(path, sep="\t", mode="FAILFAST", comment="#")
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(file, ordinal from 0, id, seq, qual) of plain, gz or bz2 FASTQ files.
-
-    Plain files are read in splits; the four lines of a read are put together
-    by line number, so a read may lie across two splits.
-    """
-    at = F.col("line_no") - 1
-    rec = numbered_lines(spark, path).withColumn("ordinal", F.floor(at / 4)).withColumn("_i", at % 4)
-
-    def line(i: int) -> Column:
-        return F.max(F.when(F.col("_i") == i, F.col("line")))
-
-    return (
-        rec.groupBy("file", "ordinal")
-        .agg(line(0).alias("_id"), line(1).alias("seq"), line(3).alias("qual"))
-        .filter(F.col("_id").startswith("@"))
-        .select("file", "ordinal", F.regexp_replace("_id", "^@", "").alias("id"), "seq", "qual")
-    )
-
-
 def file_inventory(spark: SparkSession, root: str, md5: bool = False) -> DataFrame:
-    """(path, dir, name, size_kib[, md5]) of every file below a folder.
+    """(path, dir, name, bytes, size_kib[, md5]) of every file below a folder.
 
     Contents are not loaded for the listing. Checksums are taken in pieces, so
     a file may be of any size.
@@ -217,6 +203,7 @@ def file_inventory(spark: SparkSession, root: str, md5: bool = False) -> DataFra
         "path",
         F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir"),
         F.element_at(F.split("path", "/"), -1).alias("name"),
+        F.col("length").alias("bytes"),
         F.ceil(F.col("length") / 1024).alias("size_kib"),
     )
     return out.withColumn("md5", _md5_of("path")) if md5 else out
