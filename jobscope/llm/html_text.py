@@ -2,16 +2,17 @@
 
 1. Each page is parsed once; its containers (elements that hold blocks of text)
    are scored by the text below them, nearer blocks counting more, links not,
-   and the page votes for the generalised tag-class path of the best.
+   and the page votes for the generalised tag-class path with the best sum.
 2. Spark counts the votes per host and path; a host keeps its ``PATHS`` most
    voted paths (a list of fixed length per host).
-3. Each page is parsed again and its text taken from the elements at the most
-   voted path it has, or from its own best container if it has none of them.
+3. Each page is parsed again and its text taken from all elements at the most
+   voted path it has, or at its own best path if it has none of them.
 
 A path is the tags from the root with their classes, digits left out, without
-paragraph and inline elements. Menus, headers, footers, sidebars, notices, adverts, forms,
-comments and the like are known by tag, role, class or id, and are left out
-wherever they are.
+paragraph and inline elements. Menus, headers, footers, sidebars, notices, adverts, forms and
+reader comments are known by tag, role, class or id, and are left out
+wherever they are. Of parts that are often repeated furniture, but may be the article's (``SOFT``), the host's pages
+decide too: a block of them goes if more than half of the pages, three at least, have the same text at the same path.
 
 Defined results: a null, empty or text-free page gives an empty text; a page
 without a host in its url (or with a null url) uses its own best container;
@@ -20,6 +21,7 @@ repeated rows vote as often as they occur; votes that tie go to the longer,
 then the lesser path. Columns of any name pass through.
 """
 
+import hashlib
 import re
 from html import unescape
 
@@ -32,6 +34,7 @@ from jobscope.llm.common import fresh, types_of
 from jobscope.session import as_written
 
 PATHS = 3
+REPEATED = 3  # pages at least that have a text, for it to be furniture
 DEEPEST = 256  # containers in containers; deeper ones belong to the last
 NEAR = 0.5  # what a block counts for a container one level further up
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes", "template", "select", "annotation", "annotation-xml"}
@@ -42,15 +45,18 @@ BLOCKS = CONTAINERS | {
     "p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "table", "tbody", "thead", "tfoot", "tr", "th", "pre",
     "address", "figcaption", "summary", "header", "footer", "nav", "aside", "form", "fieldset", "hr", "menu", "dialog", "hgroup", "caption",
 }
-AWAY = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "head", "label", "fieldset", "object", "audio", "video", "canvas", "map"}
+AWAY = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "head", "fieldset"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar", "form", "alertdialog", "toolbar"}
 NOISE = re.compile(
     r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menus|topbar|masthead|footer|sidebar|side-?bar|aside|rail|widget|widgets|ads?|adverts?|advertisement"
     r"|advertising|adsense|adbox|sponsor|sponsored|promo|promotion|banner|cookie|cookies|consent|gdpr|notice|notices|notification|alert|popup|modal|overlay"
-    r"|newsletter|subscribe|subscription|signup|login|share|sharing|social|comments?|commentlist|replies|reply|respond|disqus|discussion|related"
-    r"|recommended|recommendations|breadcrumbs?|pagination|pager|search|searchform|toolbar|skip|skip-link|hidden|copyright|legal|tags|meta)(?:$|[\s_-]|\d)",
+    r"|newsletter|subscribe|subscription|signup|login|comments?|commentlist|replies|reply|respond|disqus|breadcrumbs?|pagination|pager|search|searchform"
+    r"|toolbar|skip|skip-link)(?:$|[\s_-]|\d)",
     re.I,
 )
+SOFT = re.compile(
+    r"(?:^|[\s_-])(?:share|sharing|social|discussion|related|recommended|recommendations|hidden|copyright|legal|tags|meta)(?:$|[\s_-]|\d)", re.I
+)
 HEADER = re.compile(r"(?:^|[\s_-])(?:header|site-?header|page-?header)(?:$|[\s_-]|\d)", re.I)
 GOOD = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|main|text|article-?body)(?:$|[\s_-]|\d)", re.I)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -59,10 +65,11 @@ CLOSES = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt|dd", {"dl"}), "dd": ("d
 
 
 class _Node:
-    __slots__ = ("tag", "path", "away", "good", "inside", "container", "depth")
+    __slots__ = ("tag", "path", "away", "good", "inside", "container", "depth", "soft")
 
-    def __init__(self, tag, path, away, good, inside, container, depth):
+    def __init__(self, tag, path, away, good, inside, container, depth, soft=False):
         self.tag, self.path, self.away, self.good, self.inside, self.container, self.depth = tag, path, away, good, inside, container, depth
+        self.soft = soft
 
 
 def _open(tag: str, attributes: str, up: _Node) -> _Node:
@@ -86,17 +93,18 @@ def _open(tag: str, attributes: str, up: _Node) -> _Node:
         away = not up.inside
     if not away and marked and tag not in ("html", "body", "article", "main"):
         away = bool(NOISE.search(marked)) or not up.inside and bool(HEADER.search(marked))
+    soft = up.soft or bool(marked) and tag not in ("html", "body") and bool(SOFT.search(marked))
     good = 3.0 if tag in ("article", "main") or role in ("main", "article") else 2.0 if marked and GOOD.search(marked) else 1.0
     if tag not in CONTAINERS or up.depth >= DEEPEST:
-        return _Node(tag, up.path, away, good, inside, up.container, up.depth)
+        return _Node(tag, up.path, away, good, inside, up.container, up.depth, soft)
     label = tag + "".join(f".{c}" for c in sorted(re.sub(r"\d+", "", classes).split()))
-    node = _Node(tag, f"{up.path}/{label}", away, good, inside, None, up.depth + 1)
+    node = _Node(tag, f"{up.path}/{label}", away, good, inside, None, up.depth + 1, soft)
     node.container = (node, up.container)
     return node
 
 
-def blocks(html: str) -> list[tuple[tuple, str, int]]:
-    """(container chain, text, characters of links) of every block of text that is not away, in page order."""
+def blocks(html: str) -> list[tuple[tuple, str, int, int | None]]:
+    """(container chain, text, characters of links, name of a soft block) of every block of text that is not away, in page order."""
     root = _Node("", "", False, 1.0, False, None, 0)
     root.container = (root, None)
     stack, out, piece = [root], [], []
@@ -107,7 +115,8 @@ def blocks(html: str) -> list[tuple[tuple, str, int]]:
         if piece:
             text = " ".join("".join(piece).split())
             if text:
-                out.append((stack[-1].container, text, linked))
+                top = stack[-1]
+                out.append((top.container, text, linked, _name(top.path, text) if top.soft else None))
             piece.clear()
         linked = 0
 
@@ -196,50 +205,53 @@ def blocks(html: str) -> list[tuple[tuple, str, int]]:
     return out
 
 
-def best_container(found: list) -> _Node | None:
-    """The container with the most text below it, nearer blocks counting more."""
-    score: dict[int, float] = {}
-    nodes: dict[int, _Node] = {}
-    for chain, text, linked in found:
+def _name(path: str, text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(f"{path}\0{text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def best_path(found: list) -> str | None:
+    """The path whose containers have the most text below them in sum, nearer blocks counting more."""
+    score: dict[str, float] = {}
+    for chain, text, linked, _ in found:
         worth = max(0, len(text) - 2 * linked)
         weight = 1.0
         while chain is not None:
             node, chain = chain
-            score[id(node)] = score.get(id(node), 0.0) + worth * weight * node.good
-            nodes[id(node)] = node
+            score[node.path] = score.get(node.path, 0.0) + worth * weight * node.good
             weight *= NEAR
-    if not score:
-        return None
-    # dicts keep the order in which nodes were met: ties go to the first
-    return nodes[max(score, key=score.__getitem__)]
+    # dicts keep the order in which paths were met: ties go to the first
+    return max(score, key=score.__getitem__) if score else None
 
 
-def _below(chain, wanted) -> bool:
+def _below(chain, path: str) -> bool:
     while chain is not None:
-        if wanted(chain[0]):
+        if chain[0].path == path:
             return True
         chain = chain[1]
     return False
 
 
-def extract(html: str, paths: list[str]) -> str:
-    """Text at the first of the paths that the page has, else of its best container."""
-    found = blocks(html)
-    for path in paths:
-        text = [t for chain, t, _ in found if _below(chain, lambda n, p=path: n.path == p)]
+def extract(html: str, paths: list[str], furniture: set[int] | None = None) -> str:
+    """Text at the first of the paths that the page has, else at its best path, without soft blocks that are the host's furniture."""
+    found = [x for x in blocks(html) if not (furniture and x[3] in furniture)]
+    for path in [*paths, best_path(found)]:
+        text = [t for chain, t, *_ in found if path is not None and _below(chain, path)]
         if text:
             return "\n".join(text)
-    best = best_container(found)
-    return "" if best is None else "\n".join(t for chain, t, _ in found if _below(chain, lambda n: n is best))
+    return ""
 
 
 def _vote(batches):
+    """Of each page a row with its path, and a row for each soft block."""
     for batch in batches:
-        paths = []
-        for html in batch.column("html").to_pylist():
-            best = best_container(blocks(html)) if html else None
-            paths.append(None if best is None else best.path)
-        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(paths, pa.string())], ["host", "path"])
+        hosts, paths, names = [], [], []
+        for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            found = blocks(html) if html else []
+            soft = sorted({x[3] for x in found if x[3] is not None})
+            hosts += [host] * (1 + len(soft))
+            paths += [best_path(found), *[None] * len(soft)]
+            names += [None, *soft]
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(names, pa.int64())], ["host", "path", "soft"])
 
 
 def main_text(pages: DataFrame, url: str = "url", html: str = "html", keep: list[str] | None = None, out: str = "text") -> DataFrame:
@@ -248,26 +260,37 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html", keep: list
     out = fresh(out, keep)
     host = F.lower(F.regexp_extract(F.col(f"`{url}`"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     body = F.col(f"`{html}`").cast("string")
-    votes = (
+    votes = as_written(
         pages.select(host.alias("host"), body.alias("html")).filter("host <> ''")
-        .mapInArrow(_vote, "host string, path string").filter("path is not null")
-        .groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
+        .mapInArrow(_vote, "host string, path string, soft bigint")
+        .groupBy("host", "path", "soft").agg(F.count(F.lit(1)).alias("n")),
+        "votes",
     )
     order = Window.partitionBy("host").orderBy(F.desc("n"), F.desc(F.length("path")), "path")
-    winners = as_written(
-        votes.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= PATHS)
+    won = (
+        votes.filter("path is not null").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= PATHS)
         .groupBy("host").agg(F.sort_array(F.collect_list(F.struct("place", "path"))).alias("won"))
-        .select(F.col("host").alias("_host"), F.transform("won", lambda x: x["path"]).alias("_paths")),
+    )
+    sizes = votes.filter("soft is null").groupBy("host").agg(F.sum("n").alias("pages"))
+    # texts that most pages have: no more than twice as many as a page has
+    repeated = (
+        votes.filter(F.col("soft").isNotNull() & (F.col("n") >= REPEATED)).join(sizes, "host").filter(2 * F.col("n") > F.col("pages"))
+        .groupBy("host").agg(F.collect_list("soft").alias("furniture"))
+    )
+    winners = as_written(
+        won.join(repeated, "host", "left")
+        .select(F.col("host").alias("_host"), F.transform("won", lambda x: x["path"]).alias("_paths"), F.col("furniture").alias("_furniture")),
         "host-paths",
     )
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), body.alias("_html"), host.alias("_host_of"))
-    joined = rows.join(winners, F.col("_host_of") == F.col("_host"), "left").select(*[F.col("_row")[c].alias(c) for c in keep], F.col("_html").alias(fresh("_html", keep)), F.col("_paths").alias(fresh("_paths", keep)))
+    joined = rows.join(winners, F.col("_host_of") == F.col("_host"), "left").select(*[F.col("_row")[c].alias(c) for c in keep], F.col("_html").alias(fresh("_html", keep)), F.col("_paths").alias(fresh("_paths", keep)), F.col("_furniture").alias(fresh("_furniture", keep)))
     schema = T.StructType([*[pages.schema[c] for c in keep], T.StructField(out, T.StringType())])
-    kinds, raw, paths = types_of(schema), fresh("_html", keep), fresh("_paths", keep)
+    kinds, raw, paths, furniture = types_of(schema), fresh("_html", keep), fresh("_paths", keep), fresh("_furniture", keep)
 
     def run(batches):
         for batch in batches:
-            texts = [extract(h, p or []) if h else "" for h, p in zip(batch.column(raw).to_pylist(), batch.column(paths).to_pylist(), strict=True)]
+            rows = zip(*(batch.column(c).to_pylist() for c in (raw, paths, furniture)), strict=True)
+            texts = [extract(h, p or [], set(f or [])) if h else "" for h, p, f in rows]
             columns = [*[batch.column(c) for c in keep], pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
 
