@@ -1,11 +1,14 @@
 """Exact top-k by inner product with a pivot table.
 
-Vectors become integers, floor(scale * x). Rows that the data picks by hash are
-pivots; each candidate's distances to all of them are computed once per block.
-For a query q and candidate x every pivot p gives |q - x| >= |d(q, p) - d(x, p)|;
-the largest of these lower bounds gives, by 2 q.x = |q|^2 + |x|^2 - |q - x|^2, an
-upper bound of the score. Candidates are evaluated in the order of that bound
-until the next bound is below the k-th score found, so the result is exact.
+Vectors become integers, floor(scale * x). Pivots are rows of a hash-chosen sample, each the
+one farthest from the span of those before, as many as the vectors have dimensions (fewer where the sample spans less).
+
+The distances of a vector to all pivots, the pivot table, are computed once per block. They place it in the pivots'
+simplex: its coordinates in their span follow from the distances, and its height above the span. For a query q
+and a candidate x that gives the greatest lower bound of |q - x| that the pivots' distances allow, and by
+2 q.x = |q|^2 + |x|^2 - |q - x|^2 an upper bound of the score; for a block of queries the bounds are one
+matrix product. Candidates are evaluated in the order of their bound until the next bound is below the k-th
+score found, so the result is exact. With pivots of full rank the bound is tight and little more than k candidates are evaluated.
 
 Queries meet all candidates in blocks: a task gets a block of candidates and a
 block of queries and returns k candidates per query; those lists are merged by
@@ -16,6 +19,8 @@ are compared; rows with the query's id are its own and no candidates; equal scor
 go to the smaller id; a repeated query row is a query of its own; fewer candidates than k are all returned.
 """
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -23,10 +28,12 @@ from pyspark.sql import functions as F
 
 from jobscope.session import as_written
 
-PIVOTS = 32
-BLOCK = 4096  # candidates of a task
-QUERIES = 512  # queries of a task
-STEP = 256  # candidates evaluated at a time
+PIVOTS = 256  # at most
+SAMPLE = 4  # rows to choose each pivot from
+BLOCK = 8192  # candidates of a task
+QUERIES = 4096  # queries of a task
+TOGETHER = 128  # queries whose bounds are held together
+STEP = 32  # candidates beyond k that are evaluated at first
 
 
 def integers(vectors: DataFrame, vec_id: str, vector: str, scale: float) -> DataFrame:
@@ -43,42 +50,84 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
 
-def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    square = (x * x).sum(1)[:, None] + (pivots * pivots).sum(1)[None, :] - 2 * x @ pivots.T
-    return np.sqrt(np.maximum(square, 0))
-
-
-def search(ids, x, query_ids, q, pivots, k):
-    """(query, ids, scores) of each query's k best candidates of a block."""
-    at_x, at_q = _distances(x, pivots), _distances(q, pivots)
-    square_x, square_q = (x * x).sum(1), (q * q).sum(1)
+@dataclass(frozen=True)
+class Pivots:
+    """The first pivot, the others, and the inverse factor of their directions' products."""
+
+    first: np.ndarray
+    others: np.ndarray
+    inverse: np.ndarray
+
+    @staticmethod
+    def choose(rows: np.ndarray, most: int) -> "Pivots":
+        """Far apart: each pivot is the row farthest from the span of those before."""
+        first, rest = rows[0], rows[1:] - rows[0]
+        left, chosen, basis = rest.copy(), [], []
+        size = (rest * rest).sum(1).max(initial=0)
+        while len(chosen) < min(most, rows.shape[1]) and len(rest):
+            heights = (left * left).sum(1)
+            best = int(heights.argmax())
+            if heights[best] <= 1e-9 * size:
+                break
+            axis = left[best] / np.sqrt(heights[best])
+            for b in basis:  # once more, against rounding
+                axis = axis - (axis @ b) * b
+            basis.append(axis / np.linalg.norm(axis))
+            chosen.append(best)
+            left = left - np.outer(left @ basis[-1], basis[-1])
+        others = rest[chosen].reshape(len(chosen), rows.shape[1])
+        factor = np.linalg.cholesky(others @ others.T) if chosen else np.zeros((0, 0))
+        return Pivots(first, others + first, np.linalg.inv(factor))
+
+    def distances(self, x: np.ndarray) -> np.ndarray:
+        """The pivot table: squared distances to the first and to the others."""
+        p = np.vstack([self.first, self.others])
+        return np.maximum((x * x).sum(1)[:, None] + (p * p).sum(1)[None, :] - 2 * x @ p.T, 0)
+
+    def place(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Coordinates in the pivots' span, and heights above it, from the distances alone."""
+        directions = self.others - self.first
+        products = (table[:, :1] + (directions * directions).sum(1)[None, :] - table[:, 1:]) / 2
+        at = products @ self.inverse.T
+        return at, np.sqrt(np.maximum(table[:, 0] - (at * at).sum(1), 0))
+
+
+def search(ids, x, query_ids, q, pivots: Pivots, k: int):
+    """(query, ids, scores, number evaluated) of each query's k best candidates of a block."""
     by_id = np.argsort(ids, kind="stable")
-    ids, x, at_x, square_x = ids[by_id], x[by_id], at_x[by_id], square_x[by_id]
-    at_x = np.ascontiguousarray(at_x.T)
-    for i in range(len(q)):
-        low = np.zeros(len(x))
-        for p in range(len(pivots)):
-            np.maximum(low, np.abs(at_x[p] - at_q[i, p]), out=low)
+    ids, x = ids[by_id], x[by_id]
+    at_x, high_x = pivots.place(pivots.distances(x))
+    square_x, near_x = (x * x).sum(1), (at_x * at_x).sum(1)
+    for a in range(0, len(q), TOGETHER):
+        part = q[a : a + TOGETHER]
+        at_q, high_q = pivots.place(pivots.distances(part))
+        square_q = (part * part).sum(1)
+        low = (at_q * at_q).sum(1)[:, None] + near_x[None, :] - 2 * at_q @ at_x.T + np.square(high_q[:, None] - high_x[None, :])
+        size = square_q[:, None] + square_x[None, :]
         # distances are rounded: a little slack keeps the bound a bound
-        bound = (square_x + square_q[i] - np.square(np.maximum(low * (1 - 1e-9) - 1e-6, 0))) / 2 + 1e-6
-        bound[ids == query_ids[i]] = -np.inf
-        order = np.argpartition(-bound, min(len(x) - 1, STEP)) if len(x) > STEP else np.arange(len(x))
-        best_score, best_at, done = np.zeros(0), np.zeros(0, np.int64), 0
-        sorted_all = False
-        while done < len(order):
-            if done and not sorted_all:  # the first step did not settle it
-                rest = order[done:]
-                order[done:] = rest[np.argsort(-bound[rest], kind="stable")]
-                sorted_all = True
-            part = order[done : done + STEP]
-            if len(best_score) == k and bound[part].max() < best_score[-1]:
-                break
-            part = part[bound[part] > -np.inf]
-            score = np.concatenate([best_score, x[part] @ q[i]])
-            at = np.concatenate([best_at, part])
-            top = np.lexsort((at, -score))[:k]  # places are in the order of ids
-            best_score, best_at, done = score[top], at[top], done + STEP
-        yield query_ids[i], ids[best_at], best_score
+        bound = (size - low) / 2 + 1e-9 * size + 1e-6
+        bound[query_ids[a : a + TOGETHER, None] == ids[None, :]] = -np.inf
+        some = min(k + STEP, len(x))
+        early = np.argpartition(-bound, some - 1, axis=1)[:, :some]
+        scores = np.einsum("qd,qsd->qs", part, x[early])
+        scores[np.take_along_axis(bound, early, 1) == -np.inf] = -np.inf
+        least = np.full(len(part), -np.inf) if some < k else -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+        open_ = (bound >= least[:, None]) & (bound > -np.inf)
+        np.put_along_axis(open_, early, False, 1)
+        for i in range(len(part)):
+            spots, found = early[i], scores[i]
+            later = np.flatnonzero(open_[i])
+            if len(later):  # in the order of their bound, until it is below the k-th score
+                later = later[np.argsort(-bound[i][later], kind="stable")]
+                for b in range(0, len(later), STEP):
+                    more = later[b : b + STEP]
+                    if len(found) >= k and bound[i][more[0]] < -np.partition(-found, k - 1)[k - 1]:
+                        break
+                    spots, found = np.concatenate([spots, more]), np.concatenate([found, x[more] @ part[i]])
+            there = found > -np.inf
+            spots, found = spots[there], found[there]
+            top = np.lexsort((spots, -found))[:k]  # places are in the order of ids
+            yield query_ids[a + i], ids[spots[top]], found[top], len(spots)
 
 
 def top_k(
@@ -111,13 +160,15 @@ def top_k(
 
 def _one_length(candidates, asked, n, m, id_type, k, n_pivots, block, query_block):
     spark = candidates.sparkSession
-    pivots = np.array([r.v for r in candidates.orderBy(F.xxhash64("id"), "id").limit(n_pivots).select("v").collect()])
-    shared = spark.sparkContext.broadcast(pivots)
+    d = len(candidates.select("v").first().v)
+    most = min(n_pivots, d)
+    sample = candidates.orderBy(F.xxhash64("id"), "id").limit(SAMPLE * most + 1).select("v").collect()
+    shared = spark.sparkContext.broadcast(Pivots.choose(np.array([r.v for r in sample]), most))
     blocks, query_blocks = -(-n // block), -(-m // query_block)
-    spot = lambda c, x: F.pmod(F.xxhash64(F.lit("block"), F.col(c)), F.lit(x)).cast("int")
+    spot = lambda x: F.pmod(F.xxhash64(F.lit("block"), "id", "v"), F.lit(x)).cast("int")
     each = lambda x: F.explode(F.sequence(F.lit(0), F.lit(x - 1)))
-    left = candidates.select(spot("id", blocks).alias("b"), "id", "v").withColumn("c", each(query_blocks))
-    right = asked.select(spot("id", query_blocks).alias("c"), "id", "row", "v").withColumn("b", each(blocks))
+    left = candidates.select(spot(blocks).alias("b"), "id", "v").withColumn("c", each(query_blocks))
+    right = asked.select(spot(query_blocks).alias("c"), "id", "row", "v").withColumn("b", each(blocks))
 
     def run(key: tuple[pa.Scalar, ...], x: pa.Table, q: pa.Table) -> pa.Table:
         if not x.num_rows or not q.num_rows:
