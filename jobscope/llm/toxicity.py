@@ -45,6 +45,7 @@ PIECE = 1 << 18  # code points of a text that are looked at together
 MULTIPLIER = np.uint64(0x100000001B3)
 STEPS = 200
 PARTS = 8  # of the sample
+ROWS = 250  # of a batch of the sample
 CLOSE = 1e-4  # greatest slope at the end, relative to the greatest weight
 
 
@@ -146,12 +147,23 @@ def _fit(cost, n: int, share: float, steps: int = STEPS) -> np.ndarray:
     return beta
 
 
+def _packed(features: np.ndarray) -> bytes:
+    """Distinct features as the gaps between them, of two bytes where these suffice."""
+    gaps = np.diff(np.sort(features), prepend=0)
+    return b"\0" + gaps.astype("<u2").tobytes() if gaps.max(initial=0) < 1 << 16 else b"\1" + gaps.astype("<u4").tobytes()
+
+
+def _unpacked(raw) -> np.ndarray:
+    kind = "<u2" if raw[0:1].to_pybytes() == b"\0" else "<u4"
+    return np.frombuffer(raw, kind, offset=1).cumsum(dtype=np.int32)
+
+
 def _loss(batches, value: np.ndarray, intercept: float) -> Iterator[pa.RecordBatch]:
     """A task's logistic loss, and its slope by intercept and by feature's value; a row counts as often as it is there."""
     total, rows = np.zeros(len(value) + 2), 0
     for batch in batches:
         y, copies = (batch.column(c).to_numpy().astype(float) for c in ("y", "n"))
-        spots = [np.frombuffer(raw.as_buffer(), np.int32) for raw in batch.column("features")]
+        spots = [_unpacked(raw.as_buffer()) for raw in batch.column("features")]
         z = intercept + np.array([value[at].sum() for at in spots])
         total[-1] += (copies * (np.logaddexp(0, z) - y * z)).sum()
         wrong = copies * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
@@ -187,7 +199,7 @@ def _learn(sample: DataFrame, scale: np.ndarray, ridge: float = 1.0) -> tuple[fl
         there, rows = np.zeros(n, bool), 0
         for batch in batches:
             for raw in batch.column("features"):
-                there[np.frombuffer(raw.as_buffer(), np.int32)] = True
+                there[_unpacked(raw.as_buffer())] = True
             rows += batch.num_rows
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([np.packbits(there).tobytes()], pa.binary())], ["bits"])
@@ -219,7 +231,7 @@ def _sample(rows: DataFrame, max_rows: int) -> DataFrame:
                 if k not in done:  # copies of a text are described once
                     done.add(k)
                     new.append(i)
-            found = [grams.of(batch.column("text")[i].as_py()).astype(np.int32).tobytes() for i in new]
+            found = [_packed(grams.of(batch.column("text")[i].as_py())) for i in new]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c).take(pa.array(new, pa.int64())) for c in ("y", "a", "b", "n")], pa.array(found, pa.binary())], ["y", "a", "b", "n", "features"]
             )
@@ -262,8 +274,9 @@ def train(
     q, p = total[:width], total[width : 2 * width]
     ratio = _ratio(q, p, no, yes)
     scale = ratio * np.abs(ratio)
-    with batches_of(docs.sparkSession, TEXTS):
-        intercept, weights = _learn(_sample(rows, max_rows), scale)
+    sample = _sample(rows, max_rows)
+    with batches_of(docs.sparkSession, ROWS):
+        intercept, weights = _learn(sample, scale)
     return Model(intercept, (weights * scale).astype(np.float32))
 
 
