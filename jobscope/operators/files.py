@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +16,6 @@ DIGEST_LINES = 20
 DIGEST_ERROR_LINES = 10
 BLOCKING_CALLS = "read|write|select|poll|ppoll|epoll_wait|wait4|futex|nanosleep|clock_nanosleep"
 ANALYSIS_TYPES = ["Start-seq", "PRO-seq"]
-FOLD_ROWS = 200_000
 
 
 def input_size(jobs: DataFrame, inventory: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -65,89 +63,69 @@ def _number_in_front(name: Column) -> Column:
     return F.coalesce(F.regexp_extract(name, "^\\s*(-?[0-9]+(\\.[0-9]+)?)", 1).try_cast("double"), F.lit(0.0))
 
 
-def _fold_folder(limit: int):
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_num", "name"], kind="stable")
-        batch, total, out = 0, 0, []
-        for size in pdf["size_kib"].to_numpy():
-            out.append(batch)
-            total += int(size)
-            if total > limit:
-                batch, total = batch + 1, 0
-        pdf["batch"] = out
-        return pdf[["dir", "name", "size_kib", "batch"]]
-
-    return fold
-
-
-def _chain_large(files: DataFrame, limit: int, hot_rows: int) -> DataFrame:
-    """Batches of folders too long for one task.
+def _batch_starts(at: DataFrame, limit: int, hot_rows: int) -> DataFrame:
+    """(_dir, _pos) of the files that begin a batch; at: _dir, size_kib, _pos and running total _upto.
 
     Where a batch that starts at a file ends follows from running totals
     alone, so each file points to the start of the next batch. The starts that
-    are really used are found from the first file by pointer doubling:
-    log2(batches) joins, each spread over all files.
+    are really used are found from the first file by pointer doubling: after k
+    rounds the first 2^k of a folder are known, and how many there can be
+    follows from its total.
     """
-    order = ["_num", "name"]
-    at = grouped_scan(
-        files, ["dir"], order,
-        {"_pos": Running("count"), "_upto": Running("sum", F.col("size_kib"))}, hot_rows,
-    )
-    at = cut_lineage(at)
     # as-of lookup: position of the first running total beyond the start's own limit
-    need = at.select("dir", (F.col("_upto") - F.col("size_kib") + limit).alias("_key"), F.col("_pos").alias("_from"))
-    ends = at.select("dir", F.col("_upto").alias("_key"), F.lit(None).cast("bigint").alias("_from"), F.col("_pos").alias("_end"))
-    both = need.withColumn("_end", F.lit(None).cast("bigint")).unionByName(ends).withColumns(
-        {"_neg": -F.col("_key"), "_q": F.col("_from").isNotNull().cast("int"), "_id": F.coalesce("_from", "_end")}
-    )
+    none = F.lit(None).cast("bigint")
+    need = at.select("_dir", (F.col("_upto") - F.col("size_kib") + limit).alias("_key"), F.col("_pos").alias("_from"), none.alias("_end"))
+    ends = at.select("_dir", F.col("_upto").alias("_key"), none.alias("_from"), F.col("_pos").alias("_end"))
+    both = need.unionByName(ends).withColumns({"_neg": -F.col("_key"), "_id": F.coalesce("_from", "_end")})
     # descending totals, ends before questions of a smaller key; equal totals must not count
     looked = grouped_scan(
-        both.withColumn("_tie", F.when(F.col("_q") == 1, 0).otherwise(1)),
-        ["dir"], ["_neg", "_tie", "_id"],
+        both.withColumn("_tie", F.when(F.col("_from").isNull(), 1).otherwise(0)),
+        ["_dir"], ["_neg", "_tie", "_id"],
         {"_close": Running("min", F.col("_end"), before=True)}, hot_rows,
     )
-    jumps = cut_lineage(
-        looked.filter(F.col("_q") == 1).select("dir", F.col("_from").alias("_pos"), (F.col("_close") + 1).alias("_next"))
+    chain = cut_lineage(
+        looked.filter("_from is not null").select(
+            "_dir", F.col("_from").alias("_pos"), (F.col("_close") + 1).alias("_next"), (F.col("_from") == 1).alias("_start")
+        )
     )
-    starts = cut_lineage(at.select("dir").distinct().withColumn("_pos", F.lit(1).cast("bigint")))
-    while True:
-        reached = starts.join(jumps, ["dir", "_pos"]).filter("_next is not null").select("dir", F.col("_next").alias("_pos"))
-        fresh = cut_lineage(reached.join(starts, ["dir", "_pos"], "left_anti").distinct())
-        if fresh.isEmpty():
-            break
-        starts = cut_lineage(starts.unionByName(fresh))
-        hop = jumps.select("dir", F.col("_pos").alias("_next"), F.col("_next").alias("_then"))
-        jumps = cut_lineage(
-            jumps.join(hop, ["dir", "_next"], "left").select("dir", "_pos", F.col("_then").alias("_next"))
+    closed = F.least(F.max("_pos"), F.expr(f"max(_upto) div {max(1, limit + 1)}"))
+    most = at.groupBy("_dir").agg(closed.alias("n")).agg(F.max("n")).first()[0] or 0
+    for _ in range(int(most).bit_length()):
+        found = chain.filter("_start and _next is not null").select("_dir", F.col("_next").alias("_pos"), F.lit(True).alias("_found"))
+        hop = chain.select("_dir", F.col("_pos").alias("_next"), F.col("_next").alias("_then"))
+        chain = cut_lineage(
+            chain.join(hop, ["_dir", "_next"], "left").join(found, ["_dir", "_pos"], "left").select(
+                "_dir", "_pos", F.col("_then").alias("_next"), (F.col("_start") | F.coalesce("_found", F.lit(False))).alias("_start")
+            )
         )
-    marked = at.join(starts.withColumn("_start", F.lit(1).cast("bigint")), ["dir", "_pos"], "left")
-    numbered = grouped_scan(marked, ["dir"], ["_pos"], {"_n": Running("sum", F.col("_start"))}, hot_rows)
-    return numbered.select("dir", "name", "size_kib", (F.col("_n") - 1).alias("batch"))
+    return chain.filter("_start").select("_dir", "_pos")
 
 
-def archive_batches(
-    inventory: DataFrame, limit: int = ARCHIVE_LIMIT_KIB, fold_rows: int = FOLD_ROWS, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def archive_batches(inventory: DataFrame, limit: int = ARCHIVE_LIMIT_KIB, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Batch number per file of a folder, in name order (dir, name, size_kib).
 
     A batch is closed by the file that takes it over the limit. Files larger
-    than the limit, and those of unknown size, are copied alone: batch is null. Folders of up to
-    ``fold_rows`` files are folded in one task each, longer ones by joins.
+    than the limit, and those of unknown size, are copied alone: batch is null. Folders of
+    any length go the same way, none is read by one task alone.
     """
     base = inventory.select("dir", "name", "size_kib")
     alone = base.filter((F.col("size_kib") > limit) | F.col("size_kib").isNull()).withColumn("batch", F.lit(None).cast("bigint"))
-    small = base.filter(F.col("size_kib") <= limit).withColumn("_num", _number_in_front(F.col("name")))
-    counts = small.groupBy("dir").agg(F.count(F.lit(1)).alias("_n"))
-    long_dirs = as_written(counts.filter(F.col("_n") > fold_rows).select("dir"), "long-folders")
-    short = small.join(long_dirs, ["dir"], "left_anti")
-    out = alone.unionByName(
-        short.groupBy("dir").applyInPandas(
-            _fold_folder(limit), "dir string, name string, size_kib bigint, batch bigint"
+    small = base.filter(F.col("size_kib") <= limit).withColumns(
+        {
+            "_num": _number_in_front(F.col("name")), "size_kib": F.col("size_kib").cast("bigint"),
+            "_dir": F.coalesce(F.concat(F.lit("/"), "dir"), F.lit("")),  # files without a folder are one, too
+        }
+    )
+    at = cut_lineage(
+        grouped_scan(
+            small, ["_dir"], ["_num", "name", "size_kib"],
+            {"_pos": Running("count"), "_upto": Running("sum", F.col("size_kib"))}, hot_rows,
         )
     )
-    if not long_dirs.isEmpty():
-        out = out.unionByName(_chain_large(small.join(long_dirs, ["dir"], "left_semi"), limit, hot_rows))
-    return out
+    starts = _batch_starts(at, limit, hot_rows).withColumn("_start", F.lit(1).cast("bigint"))
+    marked = at.join(starts, ["_dir", "_pos"], "left")
+    numbered = grouped_scan(marked, ["_dir"], ["_pos"], {"_n": Running("sum", F.col("_start"))}, hot_rows)
+    return alone.unionByName(numbered.select("dir", "name", "size_kib", (F.col("_n") - 1).alias("batch")))
 
 
 def archive_list(batches: DataFrame) -> DataFrame:

@@ -122,6 +122,90 @@ def ready_jobs(edges: DataFrame, state: DataFrame, finished: DataFrame, hot_rows
     )
 
 
+# ---- the same over groups of jobs: links and members as dependency_groups gives them ----
+
+GROUP = ["script_id", "dep_step", "loop_values"]
+
+
+def group_edges(links: DataFrame, members: DataFrame) -> DataFrame:
+    """(dep, job_id) between nodes, each a job or a group: members lead to their group, a group to the jobs that wait for it.
+
+    n members and m waiting jobs are n + m edges. A node is a struct of the job's id
+    and the group's key, of which the other is null.
+    """
+    kind = links.schema["job_id"].dataType
+    group = F.struct(F.lit(None).cast(kind).alias("job"), *[F.col(c) for c in GROUP])
+    types = dict(links.dtypes)
+
+    def job(c: str) -> Column:
+        return F.struct(F.col(c).cast(kind).alias("job"), *[F.lit(None).cast(types[g]).alias(g) for g in GROUP])
+
+    into = members.select(job("dep_job").alias("dep"), group.alias("job_id")).distinct()
+    return into.unionByName(links.select(group.alias("dep"), job("job_id").alias("job_id")))
+
+
+def group_descendants(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """Jobs reachable from the seeds (job_id) over ``group_edges``."""
+    names = edges.schema["dep"].dataType
+    node = F.struct(
+        F.col("job_id").cast(names["job"].dataType).alias("job"),
+        *[F.lit(None).cast(names[g].dataType).alias(g) for g in GROUP],
+    )
+    found = descendants(seeds.select(node.alias("job_id")), edges)
+    return found.filter("job_id.job is not null").select(F.col("job_id.job").alias("job_id"))
+
+
+def group_cancel(state: DataFrame, links: DataFrame, members: DataFrame) -> DataFrame:
+    """``propagate_cancel`` where jobs wait for groups: a failed member cancels all that wait for its group."""
+    state = cut_lineage(state)
+    open_jobs = state.filter(~F.col("state").isin(DONE_STATES)).select("job_id")
+    edges = cut_lineage(group_edges(links.join(open_jobs, ["job_id"], "left_semi"), members))
+    hit = group_descendants(state.filter(F.col("state") == "failed"), edges).withColumn("_hit", F.lit(True))
+    return state.join(hit, ["job_id"], "left").select(
+        *[c for c in state.columns if c != "state"],
+        F.when(F.col("_hit"), "cancelled").otherwise(F.col("state")).alias("state"),
+    )
+
+
+def group_ready(
+    links: DataFrame, members: DataFrame, state: DataFrame, finished: DataFrame, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """``ready_jobs`` where jobs wait for groups: each group is counted down once, for all jobs that wait for it."""
+    now = finished.select(F.col("job_id").alias("dep_job")).distinct().withColumn("_now", F.lit(True))
+    ok = state.select(F.col("job_id").alias("dep_job"), (F.col("state") == "succeeded").alias("_ok"))
+    known = skew_join(members, ok.join(now, ["dep_job"], "full"), ["dep_job"], "left", spread=GROUP, hot_rows=hot_rows)
+    just = F.coalesce("_now", F.lit(False))
+    left = known.groupBy(*GROUP).agg(
+        F.count_if(~(just | F.coalesce("_ok", F.lit(False)))).alias("_left"), F.bool_or(just).alias("_touched")
+    )
+    return (
+        skew_join(links, left, GROUP, "left", ["job_id"], hot_rows)
+        .groupBy("job_id")
+        .agg(F.max(F.coalesce("_left", F.lit(1))).alias("_left"), F.bool_or("_touched").alias("_touched"))
+        .filter("_left = 0 and _touched")
+        .select("job_id")
+    )
+
+
+def group_lists(links: DataFrame, members: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(job_id, depend_on): one text per job that is the same only if it waits for the same jobs of the same groups.
+
+    A group is named by its key, its size and two sums over hashes of its
+    distinct members, so neither their order nor their number makes the text long.
+    """
+    def total(salt: str) -> Column:
+        return F.sum(F.xxhash64(F.lit(salt), "dep_job").cast("decimal(38,0)")).cast("string")
+
+    digest = members.select(*GROUP, "dep_job").distinct().groupBy(*GROUP).agg(
+        F.count(F.lit(1)).alias("_n"), total("a").alias("_a"), total("b").alias("_b")
+    )
+    named = skew_join(links.select("job_id", *GROUP), digest, GROUP, "left", ["job_id"], hot_rows)
+    # one entry per step that the job waits for
+    return named.groupBy("job_id").agg(
+        F.to_json(F.sort_array(F.collect_set(F.struct(*GROUP, "_n", "_a", "_b")))).alias("depend_on")
+    )
+
+
 def replace_job(graph: DataFrame, renamed: DataFrame) -> DataFrame:
     """Put new ids for old ones in nodes and dependency lists; renamed: old_id, new_id."""
     pairs = renamed.select(F.col("old_id").cast("string").alias("_old"), F.col("new_id").cast("string").alias("_new"))
@@ -187,25 +271,29 @@ def rerun_plan(
     prior: DataFrame,
     rerun_steps: Sequence[str] = (),
     rerun_all: bool = False,
+    groups: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """What to do with each job when a workflow is started again.
 
     prior: flag, depend_on, active (still queued or running). A job that
     succeeded and has nothing to re-run above it is skipped; a job that is
     still active is kept while its dependency list is unchanged and nothing
-    above it is submitted again; all others are submitted.
+    above it is submitted again; all others are submitted. With ``groups``
+    (links, members) these are the dependencies, and ``depend_on`` is any text
+    that tells dependency lists apart, as ``group_lists`` makes it.
     """
     won = markers.filter(F.col("kind") == "success").select("flag").distinct().withColumn("_won", F.lit(True))
     old = prior.select("flag", F.col("depend_on").alias("_deps"), F.col("active").alias("_active"))
     nodes = cut_lineage(graph.join(won, ["flag"], "left").join(old, ["flag"], "left"))
     again = F.lit(rerun_all) | step_of(F.col("flag")).isin(list(rerun_steps))
-    edges = cut_lineage(job_edges(graph))
+    edges = cut_lineage(job_edges(graph) if groups is None else group_edges(*groups))
+    walk = descendants if groups is None else group_descendants
     seeds = nodes.filter(F.col("_won").isNull() | again).select("job_id")
-    need = seeds.unionByName(descendants(seeds, edges)).distinct().withColumn("_need", F.lit(True))
+    need = seeds.unionByName(walk(seeds, edges)).distinct().withColumn("_need", F.lit(True))
     todo = cut_lineage(nodes.join(need, ["job_id"], "left"))
     unchanged = F.coalesce(F.col("_active"), F.lit(False)) & F.col("_deps").eqNullSafe(F.col("depend_on"))
     fresh = todo.filter(F.col("_need") & ~unchanged).select("job_id")
-    submit = fresh.unionByName(descendants(fresh, edges)).distinct().withColumn("_submit", F.lit(True))
+    submit = fresh.unionByName(walk(fresh, edges)).distinct().withColumn("_submit", F.lit(True))
     action = (
         F.when(F.col("_need").isNull(), "skip")
         .when(F.col("_submit").isNull(), "keep")
@@ -238,12 +326,16 @@ def _word(text: Column) -> Column:
     return F.substring_index(F.ltrim(text), " ", 1)
 
 
-def loop_paths(lines: DataFrame, hot_rows: int = HOT_ROWS, hot: Hot | None = None) -> DataFrame:
-    """Every line with the array of loop variables around it.
+def loop_paths(
+    lines: DataFrame, hot_rows: int = HOT_ROWS, hot: Hot | None = None, only: Column | None = None
+) -> DataFrame:
+    """Every line, or those that ``only`` holds for, with the array of loop variables around it.
 
     ``#loopStart:v`` opens a loop and takes over the ``for`` line right below;
     ``for v`` opens one; ``done`` closes the innermost. The lines from an
     annotation to the next blank line are its command and move no loop.
+    Loops may be nested to any depth: a line is a row per level around it, and
+    on each level the last loop opened is the one it lies in.
     """
     order = (["script_id"], ["line_no"])
     hot = hot_keys(lines, ["script_id"], hot_rows) if hot is None else hot
@@ -272,27 +364,50 @@ def loop_paths(lines: DataFrame, hot_rows: int = HOT_ROWS, hot: Hot | None = Non
     # a stray "done" closes nothing: lift the running sum by how far it fell below zero
     low = grouped_scan(level, *order, {"_low": Running("min", F.col("_sum"))}, hot=hot)
     depth = low.withColumn("depth", F.col("_sum") - F.least(F.col("_low"), F.lit(0).cast("bigint")))
-    deepest = depth.agg(F.max("depth")).first()[0] or 0
-    if deepest == 0:
-        path = F.array().cast("array<string>")
-        return depth.select(*lines.columns, "depth", path.alias("loop_path"))
-    # the loop at level d around a line is the last one opened at that level
-    levels = {
-        f"_at{d}": Running("last", F.when(F.col("_open") & (F.col("depth") == d), F.col("_var")))
-        for d in range(1, deepest + 1)
-    }
-    named = grouped_scan(depth, *order, levels, hot=hot)
-    path = F.slice(F.array(*levels), F.lit(1), F.col("depth").cast("int"))
-    return named.select(*lines.columns, "depth", path.alias("loop_path"))
+    # lines that are not asked for are only there to name the level they open
+    asked = F.lit(True) if only is None else F.coalesce(only, F.lit(False))
+    around = F.when(asked, F.sequence(F.lit(0).cast("bigint"), F.col("depth"))).when(F.col("_open"), F.array("depth"))
+    own = [*lines.columns, "depth"]
+    levels = depth.select("script_id", "line_no", "depth", F.struct(*own).alias("_own"), asked.alias("_asked"),
+                          F.when(F.col("_open"), F.col("_var")).alias("_var"), F.explode(around).alias("_level"))
+    levels = levels.select(
+        "script_id", "line_no", "_level", "_asked", F.when(F.col("_level") == 0, F.col("_own")).alias("_own"),
+        F.when(F.col("_level") == F.col("depth"), F.col("_var")).alias("_opened"),
+    )
+    named = grouped_scan(
+        levels, ["script_id", "_level"], ["line_no"], {"_loop": Running("last", F.col("_opened"))}, hot_rows, hot.within()
+    )
+    # as many rows as loops around the line; rows with one line number stay rows of their own
+    whole = named.filter("_asked").groupBy("script_id", "line_no").agg(
+        F.collect_list("_own").alias("_lines"),
+        F.sort_array(F.collect_set(F.when(F.col("_level") > 0, F.struct("_level", "_loop")))).alias("_path"),
+    )
+    path = F.slice(F.transform("_path", lambda x: x["_loop"]), F.lit(1), F.col("_line.depth").cast("int"))
+    return whole.select(F.explode("_lines").alias("_line"), "_path").select("_line.*", path.alias("loop_path"))
 
 
 def annotations(lines: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Job steps of annotated scripts, with the first rule each one breaks."""
-    # other lines move no loop and end no command: they are not shuffled
+    # other lines move no loop, end no command and break no rule: they are not shuffled
     code = F.ltrim("text")
-    kept = lines.filter(code.rlike("^(#loopStart:|for|done|#@|\\s*$)"))
+    kept = lines.filter(code.rlike("^(#loopStart:|for|done|#@|ssbatch|\\s*$)"))
     hot = hot_keys(kept, ["script_id"], hot_rows)
-    marked = loop_paths(kept, hot=hot).filter(code.startswith("#@"))
+
+    def next_line(cond: Column) -> Running:
+        return Running("min", F.when(cond, F.col("line_no")), before=True)
+
+    # read from the end: is the next ssbatch line inside the command of this annotation?
+    ahead = grouped_scan(
+        kept.withColumn("_back", -F.col("line_no")), ["script_id"], ["_back"],
+        {
+            "_submit": next_line(code.startswith("ssbatch")),
+            "_end": next_line(code.startswith("#@") | (F.trim("text") == "")),
+        }, hot=hot,
+    )
+    submits = F.coalesce(F.col("_submit") < F.col("_end"), F.col("_submit").isNotNull())
+    marked = loop_paths(
+        ahead.select(*lines.columns, submits.alias("_submits")), hot_rows, hot, only=code.startswith("#@")
+    )
     part = F.split(F.regexp_replace(F.ltrim("text"), "^#@", ""), ",")
 
     def field(i: int) -> Column:
@@ -303,7 +418,7 @@ def annotations(lines: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         field(0).alias("step"), field(1).alias("deps"),
         F.regexp_replace(F.substring_index(field(2), ":", 1), "\\.NoCheckpoint$", "").alias("name"),
         F.substring_index(field(3), ":", 1).alias("ref"), field(4).alias("inputs"),
-        field(5).alias("options"),
+        field(5).alias("options"), "_submits",
     )
     repeated = grouped_scan(
         steps.withColumn("_id", F.col("step")), ["script_id", "_id"], ["line_no"],
@@ -316,8 +431,9 @@ def annotations(lines: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         .when((options != "") & ~options.startswith("sbatch"), "bad_options")
         .when(options.contains(" --array=") | options.contains(" -a "), "job_array")
         .when(F.col("_before") > 0, "duplicate_step")
+        .when(F.col("_submits"), "ssbatch_command")
     )
-    return repeated.withColumn("violation", rule).drop("_id", "_before")
+    return repeated.withColumn("violation", rule).drop("_id", "_before", "_submits")
 
 
 def _shared_prefix(a: str, b: str) -> Column:

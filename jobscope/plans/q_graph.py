@@ -197,3 +197,60 @@ def expand_dependencies(t):
 def dependency_members(t):
     _, members = g.dependency_groups(*_jobs(t))
     return members.select("script_id", "dep_step", "dep_job").distinct()
+
+
+# jobs of the expanded scripts with a state made from their ids
+WAITS = f"""{JOBS},
+    js as (select distinct job_id, case job_id % 11 when 0 then 'failed' when 1 then 'running' when 2 then 'pending' when 3 then 'unknown' else 'succeeded' end as state from jb)"""
+
+
+def _expanded(t):
+    steps, jobs = _jobs(t)
+    jobs = as_written(jobs, "jobs")
+    state = F.element_at(F.array(*[F.lit(x) for x in ("failed", "running", "pending", "unknown")]), (F.col("job_id") % 11 + 1).cast("int"))
+    state = F.when(F.col("job_id") % 11 < 4, state).otherwise("succeeded")
+    links, members = g.dependency_groups(steps, jobs)
+    # both are walked several times
+    links, members = as_written(links, "links"), as_written(members, "members")
+    return links, members, jobs.select("job_id", state.alias("state")).distinct()
+
+
+@query(f"""
+    with {WAITS}, hit as (select job_id from js where state = 'failed' union
+      select p.job_id from hit h join pr p on p.dep_job = h.job_id join js on js.job_id = p.job_id where js.state not in ('succeeded', 'failed', 'cancelled'))
+    select job_id, case when state <> 'failed' and job_id in (select job_id from hit) then 'cancelled' else state end as state from js""")
+def cancel_expanded(t):
+    links, members, state = _expanded(t)
+    return g.group_cancel(state, links, members)
+
+
+@query(f"""
+    with {WAITS} select p.job_id from pr p join js on js.job_id = p.dep_job group by p.job_id
+    having bool_and(state in ('succeeded', 'running')) and bool_or(state = 'running')""")
+def ready_expanded(t):
+    links, members, state = _expanded(t)
+    return g.group_ready(links, members, state, state.filter("state = 'running'"))
+
+
+@query(f"""
+    with {WAITS},
+    n as (select job_id, state = 'succeeded' and job_id % 1000 // 100 <> 3 as done, state in ('running', 'pending') as act from js),
+    need as (select job_id from n where not done union select p.job_id from need x join pr p on p.dep_job = x.job_id),
+    sub as (select n.job_id from n join need on need.job_id = n.job_id where not (act and n.job_id % 5 <> 0)
+      union select p.job_id from sub x join pr p on p.dep_job = x.job_id)
+    select n.job_id, case when need.job_id is null then 'skip' when sub.job_id is null then 'keep' when act then 'resubmit' else 'submit' end as action
+    from n left join need on need.job_id = n.job_id left join sub on sub.job_id = n.job_id""")
+def rerun_expanded(t):
+    """Every fifth job waited for something else the last time; step 3 is run again."""
+    links, members, state = _expanded(t)
+    lists = g.group_lists(links, members)
+    flag = F.concat_ws(".", (F.col("job_id") % 1000).substr(1, 1), F.lit("0"), F.col("job_id"))
+    jobs = as_written(state.join(lists, ["job_id"], "left").withColumn("flag", flag), "expanded")
+    prior = jobs.select(
+        "flag", F.when(F.col("job_id") % 5 == 0, "other").otherwise(F.col("depend_on")).alias("depend_on"),
+        F.col("state").isin("running", "pending").alias("active"),
+    )
+    markers = jobs.filter("state = 'succeeded'").select("flag", F.lit("success").alias("kind"))
+    return g.rerun_plan(
+        jobs.select("job_id", "flag", "depend_on"), markers, prior, rerun_steps=["3"], groups=(links, members)
+    ).select("job_id", "action")

@@ -121,8 +121,8 @@ def test_partition(spark, sf):
 def test_archive(spark):
     sizes = [3, 4, 9, 1, 2, 50, 8, 1]
     inv = spark.createDataFrame([("d", f"{i:02d}", s) for i, s in enumerate(sizes)], "dir string, name string, size_kib bigint")
-    for fold_rows in (100, 2):
-        got = {r.name: r.batch for r in files.archive_batches(inv, 10, fold_rows=fold_rows, hot_rows=3).collect()}
+    for hot_rows in (100, 3):
+        got = {r.name: r.batch for r in files.archive_batches(inv, 10, hot_rows=hot_rows).collect()}
         assert [got[f"{i:02d}"] for i in range(8)] == [0, 0, 0, 1, 1, None, 1, 2]
 
 

@@ -95,11 +95,34 @@ def test_operator_with_hot_keys(t, same, run, large, monkeypatch):
     same(hot, run(t))
 
 
-def test_long_folders_are_chained(t, same):
+def _folded(rows, limit):
+    """Batches by walking through each folder: (dir, name, batch)."""
+    out, at = [], {}
+    for d, name, size in sorted(rows, key=lambda r: (str(r[0]), r[1])):
+        if size > limit:
+            out.append((d, name, None))
+            continue
+        batch, total = at.get(d, (0, 0))
+        out.append((d, name, batch))
+        at[d] = (batch + 1, 0) if total + size > limit else (batch, total + size)
+    return out
+
+
+def test_folders_are_chained(t, spark):
+    import random
+
     inv = t.inventory.select("dir", "name", F.col("size_kib").cast("bigint").alias("size_kib"))
-    for limit in (3000, 40000):
-        want = files.archive_batches(inv, limit)
-        same(files.archive_batches(inv, limit, fold_rows=10, hot_rows=15), want)
+    given = [tuple(r) for r in inv.collect()]
+    r = random.Random(5)
+    made = [(r.choice(["a", "b", None]), f"n{i:05d}", r.choice([0, 0, 1, 2, 7, 10, 11])) for i in range(700)]
+    key = lambda x: tuple((v is None, str(v)) for v in x)
+    for rows, limits in ((given, (40000,)), (made, (0, 10, 10**6))):
+        frame = spark.createDataFrame(rows, "dir string, name string, size_kib bigint")
+        for limit in limits:
+            want = sorted(_folded(rows, limit), key=key)
+            for hot_rows in (15, 10**6):
+                got = files.archive_batches(frame, limit, hot_rows=hot_rows).select("dir", "name", "batch").collect()
+                assert sorted((tuple(x) for x in got), key=key) == want
 
 
 def test_walks_with_large_frontiers(t, same, large, monkeypatch):
