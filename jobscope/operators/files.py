@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobscope.functions.jobs import input_refs, job_size
-from jobscope.scale import HOT_ROWS, Running, grouped_scan, hot_from_counts, skew_join
-from jobscope.session import as_written, cut_lineage
+from jobscope.scale import HOT_ROWS, Running, grouped_scan, skew_join
+from jobscope.session import cut_lineage
 
 # fixed values
 ARCHIVE_LIMIT_KIB = 1048576
@@ -145,26 +145,22 @@ def log_digest(lines: DataFrame, error: bool = False, hot_rows: int = HOT_ROWS)
     """Lines to send: everything of a short log, both ends of a long one.
 
     ``part`` is all, head or tail; a line near both ends comes once for each.
+    What may be sent is known before any join: the first lines, as a short log has
+    no more than ``DIGEST_BYTES`` of them, and the last ones by a rank limit that Spark applies before
+    the shuffle. The lines between them stay where they are.
     """
-    sizes = as_written(
-        lines.groupBy("file").agg(
-            F.count(F.lit(1)).alias("_n"), F.max("line_no").alias("_last"), F.sum(F.octet_length("line") + 1).alias("_bytes")
-        )
-    )
-    hot = hot_from_counts(sizes.select("file", "_n"), hot_rows)
+    sizes = lines.groupBy("file").agg(F.max("line_no").alias("_last"), F.sum(F.octet_length("line") + 1).alias("_bytes"))
     tail = DIGEST_ERROR_LINES if error else DIGEST_LINES
+    ends = lines.select("file", "line_no", "line")
+    first = ends.filter(F.col("line_no") <= DIGEST_BYTES).withColumn("_end", F.lit(False))
+    newest = Window.partitionBy("file").orderBy(F.desc("line_no"))
+    last = ends.withColumn("_rank", F.dense_rank().over(newest)).filter(F.col("_rank") <= tail).drop("_rank").withColumn("_end", F.lit(True))
     big = F.col("_bytes") >= DIGEST_BYTES
     head = F.lit(False) if error else big & (F.col("line_no") <= DIGEST_LINES)
-    parts = F.array_compact(
-        F.array(
-            F.when(~big, "all"),
-            F.when(head, "head"),
-            F.when(big & (F.col("line_no") > F.col("_last") - tail), "tail"),
-        )
-    )
+    part = F.when(F.col("_end"), F.when(big & (F.col("line_no") > F.col("_last") - tail), "tail")).otherwise(F.when(~big, "all").when(head, "head"))
     return (
-        skew_join(lines, sizes.drop("_n"), ["file"], spread=["line_no"], hot=hot)
-        .withColumn("part", F.explode(parts))
+        skew_join(first.unionByName(last), sizes, ["file"], spread=["line_no"], hot_rows=hot_rows)
+        .withColumn("part", part).filter(F.col("part").isNotNull())
         .select("file", "line_no", "line", "part")
     )
 
@@ -215,6 +211,26 @@ def dominant_call(lines: DataFrame, n: int = 100) -> DataFrame:
     )
 
 
+def read_descriptor(lines: DataFrame, n: int = 50) -> DataFrame:
+    """File descriptor that the last n ``read(`` lines of each trace name most often: file, fd, lines.
+
+    Of equally frequent ones it is the last as text. Lines without a number there
+    count among the n, but name none. At most n lines per file and task travel.
+    """
+    newest = Window.partitionBy("file").orderBy(F.desc("line_no"))
+    tail = (
+        lines.filter(F.col("line").contains("read(")).withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= n)
+    )
+    return (
+        tail.select("file", F.regexp_extract("line", r".*read\((\d+)", 1).alias("fd"))
+        .filter(F.col("fd") != "")
+        .groupBy("file", "fd")
+        .agg(F.count(F.lit(1)).alias("lines"))
+        .groupBy("file")
+        .agg(F.max_by("fd", F.struct("lines", "fd")).alias("fd"), F.max("lines").alias("lines"))
+    )
+
+
 def sbatch_directives(lines: DataFrame, cli: DataFrame | None = None) -> DataFrame:
     """Options per script from ``#SBATCH`` lines; the command line wins.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobscope.operators.ledger import KEY, completed, ledger_points
-from jobscope.scale import HOT_ROWS, Running, attach, grouped_scan
+from jobscope.scale import HOT_ROWS, Running, attach, grouped_scan, hot_keys, skew_join
 from jobscope.session import as_written
 
 # fixed values: margins, floors and the smallest samples
@@ -59,16 +59,21 @@ def fit_lines(per_size: DataFrame) -> DataFrame:
 
 
 def size_medians(per_size: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Exact median size per key by rank; no key is held in one buffer."""
-    ranked = grouped_scan(per_size.select(*KEY, "input_size"), KEY, ["input_size"], {"_rn": Running("count")}, hot_rows)
-    n = per_size.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"))
-    middle = F.col("_rn").isin(F.expr("(_n + 1) div 2"), F.expr("(_n + 2) div 2"))
-    return attach(ranked, n, KEY).filter(middle).groupBy(*KEY).agg(F.avg("input_size").alias("x_median"))
+    """Exact median size per key; no key is held in one buffer.
+
+    The middle is where the rank from below meets the rank from above, so no row count is joined.
+    """
+    hot = hot_keys(per_size, KEY, hot_rows)
+    sizes = per_size.select(*KEY, "input_size").withColumn("_down", -F.col("input_size"))
+    up = grouped_scan(sizes, KEY, ["input_size"], {"_up": Running("count")}, hot_rows, hot)
+    both = grouped_scan(up, KEY, ["_down"], {"_from_top": Running("count")}, hot_rows, hot)
+    middle = F.abs(F.col("_up") - F.col("_from_top")) <= 1
+    return both.filter(middle).groupBy(*KEY).agg(F.avg("input_size").alias("x_median"))
 
 
 def fit_models(points: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Model store: one row per (program, ref, target)."""
-    per_size = points_per_size(points)
+    per_size = as_written(points_per_size(points), "points")
     lines = attach(fit_lines(per_size), size_medians(per_size, hot_rows), KEY)
     one = [
         F.struct(
@@ -136,12 +141,13 @@ def model_table(ledger: DataFrame, extra: DataFrame | None = None) -> DataFrame:
     return table.join(extra_mem_margin(extra), KEY, "full")
 
 
-def score_models(requests: DataFrame, models: DataFrame) -> DataFrame:
+def score_models(requests: DataFrame, models: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Estimate per request with the reason; defaults where no model applies.
 
     requests: job_id, program, ref, input_size (null: missing input),
     mem_default, min_default and, if empty input files are to be told from no
-    input, has_input; without it a size of 0 means no input.
+    input, has_input; without it a size of 0 means no input. A key of very many
+    requests is spread over several tasks; a stream of requests is joined as it is.
     """
     size = F.col("input_size")
     none = ~F.col("has_input") if "has_input" in requests.columns else size == 0
@@ -159,7 +165,7 @@ def score_models(requests: DataFrame, models: DataFrame) -> DataFrame:
         .otherwise("out_of_range")
     )
     margin = F.coalesce("margin", F.lit(EXTRA_MEM_MB).cast("bigint"))
-    scored = requests.join(models, KEY, "left").withColumn("reason", reason)
+    scored = skew_join(requests, models, KEY, "left", spread=["job_id"], hot_rows=hot_rows).withColumn("reason", reason)
     pick = F.col("reason")
     return scored.select(
         *requests.columns,
@@ -177,4 +183,4 @@ def score_models(requests: DataFrame, models: DataFrame) -> DataFrame:
 
 def estimate_resources(requests: DataFrame, ledger: DataFrame, extra: DataFrame | None = None) -> DataFrame:
     """Fit on the ledger, then score every request."""
-    return score_models(requests, as_written(model_table(ledger, extra)))
+    return score_models(requests, model_table(ledger, extra))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobscope.functions.jobs import umi_of
@@ -65,29 +65,32 @@ def region_filter(reads: DataFrame, genomes: DataFrame) -> DataFrame:
     return reads.join(genomes, ["genome", "rname"], "left_semi")
 
 
-def _mates(reads: DataFrame, hot_rows: int) -> tuple[list[DataFrame], Column, list[str]]:
-    """First and second mates, numbered by place within a key; the condition that joins them; the columns besides the read name.
+def _mates(reads: DataFrame, hot_rows: int) -> tuple[DataFrame, list[str]]:
+    """A row for the k-th first mate (_r1) and the k-th second mate (_r2) of each key; the columns besides the read name.
 
     A key is the sample (if there is one), the read name and, where the mate's
-    place is known (``rnext``, ``mate_pos``), the two places of the pair.
+    place is known (``rnext``, ``mate_pos``), the two places of the pair. Both mates are numbered
+    in one scan, by place within a key.
     """
     keys = [c for c in ("sample", "qname") if c in reads.columns]
     body = [c for c in reads.columns if c != "qname"]
     flag = F.col("flag")
-    columns = [*[F.col(c) for c in keys], F.struct("rname", "pos", "flag").alias("_at"), F.struct(*body).alias("_row")]
+    mates = F.array_compact(F.array(F.when(has_bits(flag, FIRST), 1), F.when(has_bits(flag, SECOND), 2)))
+    columns = [*[F.col(c) for c in keys], F.struct("rname", "pos", "flag").alias("_at"), F.struct(*body).alias("_row"), F.explode(mates).alias("_mate")]
     if {"rnext", "mate_pos"} <= set(reads.columns):
         own = F.struct(F.col("rname").alias("c"), F.col("pos").alias("p"))
         other = F.struct(F.when(F.col("rnext") == "=", F.col("rname")).otherwise(F.col("rnext")).alias("c"), F.col("mate_pos").alias("p"))
         columns.append(F.when(has_bits(flag, FIRST), F.struct(own.alias("a"), other.alias("b"))).otherwise(F.struct(other.alias("a"), own.alias("b"))).alias("_places"))
         keys.append("_places")
-    out = []
-    for name, bit in (("r1", FIRST), ("r2", SECOND)):
-        numbered = grouped_scan(reads.filter(has_bits(flag, bit)).select(*columns), keys, ["_at", "_row"], {"_k": Running("count")}, hot_rows)
-        out.append(numbered.select(*[F.col(c).alias(f"_{name}_{c}") for c in [*keys, "_k"]], F.col("_row").alias(f"_{name}")))
-    same = F.lit(True)
-    for c in [*keys, "_k"]:
-        same = same & F.col(f"_r1_{c}").eqNullSafe(F.col(f"_r2_{c}"))
-    return out, same, body
+    first = F.col("_mate") == 1
+    numbered = grouped_scan(
+        reads.select(*columns), keys, ["_at", "_row", "_mate"],
+        {"_n1": Running("sum", first.cast("bigint")), "_n2": Running("sum", (~first).cast("bigint"))}, hot_rows,
+    )
+    # grouped by more than the keys it lies by already: no further shuffle without hot keys
+    return numbered.groupBy(*keys, F.when(first, F.col("_n1")).otherwise(F.col("_n2")).alias("_k")).agg(
+        F.max(F.when(first, F.col("_row"))).alias("_r1"), F.max(F.when(~first, F.col("_row"))).alias("_r2")
+    ), body
 
 
 def pair_mates(reads: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -96,21 +99,19 @@ def pair_mates(reads: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     All pairs of a read name are kept: the k-th first mate of a key goes with
     the k-th second one, in order of place. What has no partner is in ``orphans``.
     """
-    (one, two), same, body = _mates(reads, hot_rows)
-    return one.join(two, same).select(
-        F.col("_r1_qname").alias("qname"), *[F.col(f"_{r}.{c}").alias(f"{r}_{c}") for r in ("r1", "r2") for c in body]
+    mates, body = _mates(reads, hot_rows)
+    return mates.filter("_r1 is not null and _r2 is not null").select(
+        "qname", *[F.col(f"_{r}.{c}").alias(f"{r}_{c}") for r in ("r1", "r2") for c in body]
     )
 
 
 def orphans(reads: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Mates without a partner, and records that are neither first nor second mate; columns as they came."""
-    (one, two), same, body = _mates(reads, hot_rows)
-
-    def alone(of: DataFrame, other: DataFrame, r: str) -> DataFrame:
-        return of.join(other, same, "left_anti").select(F.col(f"_{r}_qname").alias("qname"), *[F.col(f"_{r}.{c}").alias(c) for c in body])
-
+    mates, body = _mates(reads, hot_rows)
+    single = mates.filter("_r1 is null or _r2 is null").withColumn("_row", F.coalesce("_r1", "_r2"))
+    alone = single.select("qname", *[F.col(f"_row.{c}").alias(c) for c in body]).select(*reads.columns)
     neither = reads.filter(~has_bits(F.col("flag"), FIRST) & ~has_bits(F.col("flag"), SECOND))
-    return alone(one, two, "r1").unionByName(alone(two, one, "r2")).select(*reads.columns).unionByName(neither)
+    return alone.unionByName(neither)
 
 
 def _mapped(mate: str) -> Column:
@@ -248,6 +249,20 @@ def sort_alignments(reads: DataFrame, by: str = "coordinate") -> DataFrame:
     return reads.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
+def sorted_positions(rows: DataFrame) -> DataFrame:
+    """Rows of a sorted frame with ``position``, their place from 1 in the whole order.
+
+    The rows are written once, as a second sort might cut its partitions elsewhere; then only
+    a count per partition is added up.
+    """
+    part = F.shiftright(F.col("_id"), 33)
+    placed = as_written(rows.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", part), "sorted")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    starts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.col("_id") - F.shiftleft(F.col("_part"), 33)
+    return placed.join(as_written(starts, "starts"), ["_part"]).withColumn("position", F.col("_start") + inside + 1).drop("_id", "_part", "_start")
+
+
 def merge_alignments(*dfs: DataFrame) -> DataFrame:
     out = dfs[0]
     for d in dfs[1:]:

@@ -84,6 +84,15 @@ def dominant_call(t):
     return fl.dominant_call(t.trace)
 
 
+@query(r"""
+    with r as (select file, line, row_number() over (partition by file order by line_no desc) as rn from trace where contains(line, 'read(')),
+    c as (select file, regexp_extract(line, 'read\(([0-9]+)', 1) as fd, count(*) as n from r where rn <= 50 group by 1, 2),
+    k as (select *, row_number() over (partition by file order by n desc, fd desc) as rk from c where fd <> '')
+    select file, fd, n as lines from k where rk = 1""")
+def read_descriptor(t):
+    return fl.read_descriptor(t.trace)
+
+
 @query("select concat('mapping/', sample, '.dedup.Processed.out.bam') as bam, condition, sample as label from manifest where sample is not null")
 def run_metadata(t):
     return fl.run_metadata(t.manifest)

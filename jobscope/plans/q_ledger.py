@@ -408,6 +408,16 @@ def exclude_users(t):
     return efficiency.exclude_users(t.acct_jobs, ["u1", "u40"]).select("job_id", "user_name")
 
 
+@query("""
+    select o_orderkey as job_id, case when o_orderpriority = '5-LOW' then null else concat('short,', o_orderpriority) end as partition_name
+    from orders where o_orderpriority <> '1-URGENT'""")
+def exclude_interactive(t):
+    name = F.when(F.col("o_orderpriority") == "1-URGENT", "interactive_long").when(
+        F.col("o_orderpriority") != "5-LOW", F.concat(F.lit("short,"), "o_orderpriority")
+    )
+    return efficiency.exclude_interactive(t.orders.select(F.col("o_orderkey").alias("job_id"), name.alias("partition_name")))
+
+
 TIER = """case when njobs_half * 1000 < njobs * 5 then case when (njobs > 100 and avg_req_gb >= 20) or (njobs > 30 and avg_req_gb >= 32)
        or (njobs >= 20 and avg_req_gb >= 48) or (njobs >= 10 and avg_req_gb >= 96) or (njobs > 5 and avg_req_gb >= 200) then 'bad' else 'neutral' end
       when njobs_half * 1000 > njobs * 20 or avg_req_gb < 16 then 'good' else 'neutral' end"""

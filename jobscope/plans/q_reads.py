@@ -150,6 +150,18 @@ def sort_alignments(t):
     )
 
 
+@query("""
+    with m as (select qname, 1 as mate, rname, pos, strand = '-' as down, mapped, mate_mapped, rname = mate_rname as same from reads
+      union all select qname, 2, mate_rname, mate_pos, strand = '+', mate_mapped, mapped, rname = mate_rname from reads),
+    f as (select *, 1 + 64 * mate + case when mapped and mate_mapped and same then 2 else 0 end + case when mapped then 0 else 4 end
+      + case when mate_mapped then 0 else 8 end + case when down then 16 else 0 end as flag from m)
+    select qname, mate, row_number() over (order by rname, pos, qname, flag) as position from f""")
+def sorted_positions(t):
+    return rd.sorted_positions(rd.sort_alignments(mates(t))).select(
+        "qname", F.when(rd.has_bits(F.col("flag"), rd.FIRST), 1).otherwise(2).alias("mate"), "position"
+    )
+
+
 @query("select frag_id, sample from reads")
 def merge_alignments(t):
     lanes = [t.reads.filter(F.col("event_type") == e) for e in ("click", "view", "purchase", "signup")]
@@ -225,6 +237,19 @@ def anchor_matrix(t):
     return iv.anchor_matrix(cov, sites, start=-200, width=5, bins=80)
 
 
+@query("""
+    with cov as (select rname as chrom, strand, pos, count(*) as v from reads group by 1, 2, 3),
+    c as (select p.peak_id as site_id, case when p.strand = '-' then p.start_pos - c.pos else c.pos - p.start_pos end + 200 as off, v
+      from peaks p join cov c on c.chrom = p.chrom and c.strand = p.strand)
+    select site_id, cast(sum(v) filter (where off < 200) as bigint) as before, cast(sum(v) filter (where off >= 200) as bigint) as after
+    from c where off >= 0 and off < 400 group by 1""")
+def anchor_matrix_wide(t):
+    cov = _points(t).groupBy("chrom", "strand", "pos").agg(F.count(F.lit(1)).alias("value"))
+    sites = t.peaks.select(F.col("peak_id").alias("site_id"), "chrom", "strand", F.col("start_pos").alias("pos"))
+    wide = iv.anchor_matrix(cov, sites, start=-200, width=200, bins=2, pivot=True)
+    return wide.withColumnsRenamed({"0": "before", "1": "after"})
+
+
 ENRICH = """ip as (select p.peak_id, count(*) as n from reads r join peaks p on p.chrom = r.rname and p.strand = r.strand and r.pos >= p.start_pos and r.pos < p.end_pos
       where event_type in ('click', 'view') group by 1),
     ct as (select p.peak_id, count(*) as n from reads r join peaks p on p.chrom = r.rname and p.strand = r.strand and r.pos >= p.start_pos and r.pos < p.end_pos
@@ -252,6 +277,11 @@ def strong_peaks(t):
     return iv.strong_peaks(_enriched(t), min_l2fc=1.2, min_chi2=1).select("peak_id")
 
 
+@query("select peak_id from peaks where l2fc >= 3 and neg_log10_p >= 3")
+def strong_peaks_by_p(t):
+    return iv.strong_peaks(t.peaks).select("peak_id")
+
+
 @query(f"with {ENRICH} select peak_id, round(entropy, 6) as entropy from er")
 def peak_entropy(t):
     return r6(iv.peak_entropy(_enriched(t)).select("peak_id", "entropy"))

@@ -10,6 +10,7 @@ from jobscope.operators import efficiency, ledger as lg, models as md
 from jobscope.plans.q_ledger import EFF, _accounting, _fit, PER_SIZE, later_half
 from jobscope.plans.q_reads import mates
 from jobscope.plans.registry import day, query, r6
+from jobscope.schemas import PROSEQ_SHEET
 from jobscope.session import as_written, scratch_path
 from jobscope.sources import readers, sinks
 
@@ -158,6 +159,51 @@ def file_inventory(t):
     ).agg(F.sum(good).alias("bytes"))
 
 
+@query("""
+    select o_orderkey % 40 as part, md5(concat(string_agg(cast(o_orderkey as varchar), chr(10) order by o_orderkey), chr(10))) as md5
+    from orders group by 1""")
+def file_checksums(t):
+    path = scratch_path(t.spark, "checked")
+    rows = t.orders.select((F.col("o_orderkey") % 40).alias("part"), "o_orderkey", F.col("o_orderkey").cast("string").alias("value"))
+    rows.repartition("part").sortWithinPartitions("part", "o_orderkey").drop("o_orderkey").write.partitionBy("part").text(path)
+    found = readers.file_inventory(t.spark, path, md5=True).filter(F.col("name").startswith("part-"))
+    return found.select(F.regexp_extract("dir", "part=([0-9]+)$", 1).cast("bigint").alias("part"), "md5")
+
+
+@query("""
+    select strftime(ts, '%Y-%m-%d %H:%M:%S') as at, cast(4096 as double) as reserved_mb, cast(mem_mb as double) as used_mb,
+     cast(4096 - mem_mb as double) as wasted_mb, cast(cpu_pct as double) as cpu_pct from samples""")
+def read_timed_samples(t):
+    s = lambda c: F.col(c).cast("string")
+    row = F.concat_ws(" ", day("ts"), F.lit("4096"), s("mem_mb"), (4096 - F.col("mem_mb")).cast("string"), F.lit("1.5"), F.lit("2"), s("cpu_pct"))
+    head = F.concat(F.lit("date time reserved used wasted ram cpus cpu\n"), row)
+    path = _write(t, t.samples.select(F.when(F.col("seq") % 100 == 0, head).otherwise(row)), "timed")
+    return readers.read_timed_samples(t.spark, path).select(day("ts").alias("at"), "reserved_mb", "used_mb", "wasted_mb", "cpu_pct")
+
+
+@query("select chrom, start_pos, end_pos, round(l2fc, 6) as value from peaks")
+def read_bedgraph(t):
+    path = scratch_path(t.spark, "bedgraph")
+    t.peaks.select("chrom", "start_pos", "end_pos", "l2fc").write.csv(path, sep="\t")
+    return r6(readers.read_bed(t.spark, path, "bedgraph"))
+
+
+@query("""
+    select c_name as sample_name, c_mktsegment as grp, case when c_custkey % 2 = 0 then 'PRO-seq' else 'Start-seq' end as analysis_type,
+     concat('f', c_custkey) as file_r1, case when c_custkey % 5 <> 0 then concat('g', c_custkey) end as file_r2 from customer""")
+def read_proseq_sheet(t):
+    fields = [f.split()[0] for f in PROSEQ_SHEET.split(", ")]
+    k = F.col("c_custkey")
+    given = {
+        "sample_name": F.col("c_name"), "grp": F.col("c_mktsegment"), "analysis_type": F.when(k % 2 == 0, "PRO-seq").otherwise("Start-seq"),
+        "file_r1": F.concat(F.lit("f"), k.cast("string")), "file_r2": F.when(k % 5 != 0, F.concat(F.lit("g"), k.cast("string"))),
+    }
+    blank = t.spark.createDataFrame([[None] * len(fields)], ", ".join(f"{f} string" for f in fields))
+    path = scratch_path(t.spark, "proseq")
+    t.customer.select(*[given.get(f, F.lit("x")).alias(f) for f in fields]).unionByName(blank).write.csv(path, header=True, emptyValue="")
+    return readers.read_sheet(t.spark, path, "proseq").select(*given)
+
+
 @query("select job_id, status, program, mem_used, cast(finish_ts as date)::varchar as finished from ledger")
 def append_ledger(t):
     path = scratch_path(t.spark, "ledger-table")
@@ -207,3 +253,17 @@ def read_policy(t):
     )
     policy, _ = readers.read_policy(t.spark, _write(t, limits.select(text), "config"))
     return policy
+
+
+@query("""
+    select cast(floor(max(o_totalprice)) as bigint) as default_mem, cast(count(*) as bigint) as default_min, cast(max(o_custkey) as bigint) as extra_mem,
+     cast(null as bigint) as extra_min, cast(min(o_orderkey) as bigint) as first_batch, cast(count(distinct o_custkey) as bigint) as failure_burst from orders""")
+def policy_defaults(t):
+    n = t.orders.agg(
+        F.floor(F.max("o_totalprice")).alias("defaultMem"), F.count(F.lit(1)).alias("defaultTime"), F.max("o_custkey").alias("defaultExtraMem"),
+        F.min("o_orderkey").alias("firstBatchCount"), F.count_distinct("o_custkey").alias("numberOfFailedJobsLastHourToRecalculateStats"),
+    )
+    lines = [F.concat(F.lit(f"export {c}="), F.col(c).cast("string"), F.lit(" # a default")) for c in n.columns]
+    # the last assignment counts; an empty one is none
+    text = F.concat_ws("\n", F.lit("export defaultMem=1"), *lines, F.lit("export defaultExtraTime="))
+    return readers.read_policy(t.spark, _write(t, n.select(text), "defaults"))[1]

@@ -69,3 +69,11 @@ def near_limit(t):
     from tree group by job_id""".replace("as procs", "as n_procs"))
 def process_rollup(t):
     return usage.process_rollup(t.procs).withColumnRenamed("procs", "n_procs")
+
+
+@query("""
+    with tree as (select job_id, pid, is_monitor from procs where is_root
+      union all select p.job_id, p.pid, p.is_monitor from procs p join tree x on p.job_id = x.job_id and p.ppid = x.pid where not x.is_monitor)
+    select p.job_id, p.pid, case when x.pid is null then 'none' else 'root' end as walk_end from procs p left join tree x on p.job_id = x.job_id and p.pid = x.pid""")
+def process_ends(t):
+    return usage.process_ends(t.procs).select("job_id", "pid", F.col("end").alias("walk_end"))

@@ -5,26 +5,31 @@
 ``skew_join``     equi-join whose hot keys are spread over several tasks.
 
 Both first count rows per key (one small job: map-side combined, keys only) and
-look for keys with more than ``hot_rows`` rows. There are at most
-``rows / hot_rows`` of them, which bounds what is collected and broadcast
-below. Without a hot key the result is the plain window or join. The count can
-be shared between calls on the same keys (``hot=``).
+look for keys with more than ``hot_rows`` rows. However large the table, at most
+``MAX_HOT`` keys and twice as many parts of them come to the driver and are broadcast
+below: where there would be more, parts get longer. Without a hot key the result is the
+plain window or join. The count can be shared between calls on the same keys (``hot=``).
+
+Adaptive execution splits a hot key of a plain sort-merge join by itself. ``skew_join`` is for
+joins that it leaves alone: those whose output is grouped or joined again by the same keys.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from jobscope.session import cut_lineage
+from jobscope.session import as_written, broadcast_bytes, cut_lineage, written_bytes
 
 HOT_ROWS = 4_000_000
-MAX_PARTS = 16384  # of an ordered group
+MAX_HOT = 1 << 15  # hot keys of a table
 MAX_COPIES = 1024  # of the right rows of a hot join key
-SMALL_ROWS = 50_000  # a checked table up to this size is broadcast
+SMALL_ROWS = 50_000  # rows of a table that may be broadcast, if its bytes allow it
 VALUES_PER_PART = 16
 STRIDE = 128
 
@@ -62,11 +67,12 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Ho
 
 def hot_from_counts(counts: DataFrame, hot_rows: int = HOT_ROWS) -> Hot:
     """The same from a table of keys and their number of rows ``_n``."""
-    found = counts.filter(F.col("_n") > hot_rows).withColumn(
-        "_parts", F.least(F.lit(MAX_PARTS), F.ceil(F.col("_n") / hot_rows)).cast("int")
-    )
-    rows = found.collect()  # no more than rows / hot_rows
-    return Hot(counts.sparkSession.createDataFrame(rows, found.schema) if rows else None)
+    top = counts.filter(F.col("_n") > hot_rows).orderBy(F.desc("_n")).limit(MAX_HOT + 1).collect()
+    # rows of a part: keys that are not among the largest have no more than this
+    size = max([hot_rows, *(r["_n"] for r in top[MAX_HOT:]), sum(r["_n"] for r in top) // MAX_HOT])
+    rows = [(*r, math.ceil(r["_n"] / size)) for r in top if r["_n"] > size]
+    schema = T.StructType([*counts.schema.fields, T.StructField("_parts", T.IntegerType())])
+    return Hot(counts.sparkSession.createDataFrame(rows, schema) if rows else None)
 
 
 def _cut_points(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot: DataFrame) -> DataFrame:
@@ -204,8 +210,8 @@ def grouped_scan(
 
 
 def small_count(df: DataFrame) -> int:
-    """Number of rows up to SMALL_ROWS + 1; stops reading there."""
-    return len(df.select(F.lit(1)).take(SMALL_ROWS + 1))
+    """Number of rows up to SMALL_ROWS + 1; no row comes to the driver."""
+    return df.limit(SMALL_ROWS + 1).count()
 
 
 def skew_join(
@@ -219,14 +225,18 @@ def skew_join(
 ) -> DataFrame:
     """Equi-join (inner, left, left_semi, left_anti) that spreads hot left keys.
 
-    A right side of few rows is broadcast after a count that stops early; left
-    is then not shuffled and needs no look at its keys. Else a hot left key is cut by a hash of ``spread`` (left columns that tell its
+    The right side is evaluated once and written. Has it few rows and fewer bytes than the session
+    broadcasts, the planner does so by the real size, left is not shuffled and needs
+    no look at its keys. Else a hot left key is cut by a hash of ``spread`` (left columns that tell its
     rows apart; a hash, not a random number, so a re-run task gives the same
     rows). The right rows of that key alone are repeated once per part.
     """
+    if left.isStreaming:
+        return left.join(right, list(on), how)
     if hot is None:
-        if small_count(right) <= SMALL_ROWS:
-            return left.join(F.broadcast(right), list(on), how)
+        right = as_written(right, "right")
+        if written_bytes(right) <= broadcast_bytes(right.sparkSession) and small_count(right) <= SMALL_ROWS:
+            return left.join(right, list(on), how)
         hot = hot_keys(left, on, hot_rows)
     if hot.rows is None:
         return left.join(right, list(on), how)

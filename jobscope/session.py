@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,3 +54,18 @@ def as_written(df: DataFrame, name: str = "table") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def written_bytes(df: DataFrame) -> int:
+    """Bytes of the files of a written table, from the listing alone."""
+    files = df.inputFiles()
+    if not files:
+        return 0
+    folder = files[0].rsplit("/", 1)[0]
+    return df.sparkSession.read.format("binaryFile").load(folder).agg(F.sum("length")).first()[0] or 0
+
+
+def broadcast_bytes(spark: SparkSession) -> int:
+    """The size up to which the planner broadcasts a table; -1 for never."""
+    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([kmgt]?)i?b?\s*", spark.conf.get("spark.sql.autoBroadcastJoinThreshold").lower()).groups()
+    return int(number) * 1024 ** " kmgt".index(unit or " ")

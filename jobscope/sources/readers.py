@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from urllib.parse import unquote
 
 import pandas as pd
@@ -192,21 +193,43 @@ def read_bed(spark: SparkSession, path: str, kind: str = "bed6") -> DataFrame:
     return spark.read.schema(schema).csv(path, sep="\t", mode="FAILFAST", comment="#")
 
 
+LOADED = 64 << 20  # bytes of a file that a task holds
+
+
 def file_inventory(spark: SparkSession, root: str, md5: bool = False) -> DataFrame:
-    """(path, dir, name, bytes, size_kib[, md5]) of every file below a folder.
+    """(path, dir, name, bytes, size_kib[, md5]) of every file below a folder, empty ones included.
 
-    Contents are not loaded for the listing. Checksums are taken in pieces, so
-    a file may be of any size.
+    Names that begin with a dot or an underscore are hidden from it, as from all readers of Spark.
+    Contents are not loaded for the listing. Checksums of files up to ``LOADED`` bytes are
+    taken by Spark's own reader, with any store and credentials the session has; larger ones are read
+    in pieces by the task, so a file may be of any size.
     """
+    def listed(some: DataFrame) -> DataFrame:
+        return some.select(
+            "path",
+            F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir"),
+            F.element_at(F.split("path", "/"), -1).alias("name"),
+            F.col("length").alias("bytes"),
+            F.ceil(F.col("length") / 1024).alias("size_kib"),
+            *([F.col("md5")] if md5 else []),
+        )
+
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    out = files.select(
-        "path",
-        F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir"),
-        F.element_at(F.split("path", "/"), -1).alias("name"),
-        F.col("length").alias("bytes"),
-        F.ceil(F.col("length") / 1024).alias("size_kib"),
-    )
-    return out.withColumn("md5", _md5_of("path")) if md5 else out
+    # Spark's sources leave out files of no bytes; their names are in the listing all the same
+    names = spark.createDataFrame([(_plain(p),) for p in files.inputFiles()], "path string")
+    empty = names.join(files.select("path"), ["path"], "left_anti").withColumn("length", F.lit(0).cast("bigint"))
+    if not md5:
+        return listed(files).unionByName(listed(empty))
+    # the source takes the filter: contents of large files are not loaded
+    loaded = files.filter(F.col("length") <= LOADED).withColumn("md5", F.md5("content"))
+    large = files.filter(F.col("length") > LOADED).drop("content").withColumn("md5", _md5_of("path"))
+    nothing = empty.withColumn("md5", F.md5(F.lit(b"")))
+    return listed(loaded).unionByName(listed(large)).unionByName(listed(nothing))
+
+
+def _plain(uri: str) -> str:
+    """A listed name as the path column has it."""
+    return re.sub("^file:/+", "file:/", unquote(uri))
 
 
 @F.pandas_udf(T.StringType())
@@ -215,7 +238,7 @@ def _md5_of(paths: pd.Series) -> pd.Series:
         if uri.startswith("file:"):
             store, place = fs.LocalFileSystem(), unquote("/" + uri[5:].lstrip("/"))
         else:
-            store, place = fs.FileSystem.from_uri(uri)
+            store, place = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
         digest = hashlib.md5()
         with store.open_input_stream(place, compression=None) as f:
             while piece := f.read(4 * 1024 * 1024):
