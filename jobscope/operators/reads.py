@@ -76,7 +76,7 @@ def _mates(reads: DataFrame, hot_rows: int) -> tuple[DataFrame, list[str]]:
     body = [c for c in reads.columns if c != "qname"]
     flag = F.col("flag")
     mates = F.array_compact(F.array(F.when(has_bits(flag, FIRST), 1), F.when(has_bits(flag, SECOND), 2)))
-    columns = [*[F.col(c) for c in keys], F.struct("rname", "pos", "flag").alias("_at"), F.struct(*body).alias("_row"), F.explode(mates).alias("_mate")]
+    columns = [*[F.col(c) for c in keys], F.col("rname").alias("_c"), F.col("pos").alias("_p"), F.col("flag").alias("_f"), F.struct(*body).alias("_row"), F.explode(mates).alias("_mate")]
     if {"rnext", "mate_pos"} <= set(reads.columns):
         own = F.struct(F.col("rname").alias("c"), F.col("pos").alias("p"))
         other = F.struct(F.when(F.col("rnext") == "=", F.col("rname")).otherwise(F.col("rnext")).alias("c"), F.col("mate_pos").alias("p"))
@@ -84,7 +84,7 @@ def _mates(reads: DataFrame, hot_rows: int) -> tuple[DataFrame, list[str]]:
         keys.append("_places")
     first = F.col("_mate") == 1
     numbered = grouped_scan(
-        reads.select(*columns), keys, ["_at", "_row", "_mate"],
+        reads.select(*columns), keys, ["_c", "_p", "_f", "_row", "_mate"],
         {"_n1": Running("sum", first.cast("bigint")), "_n2": Running("sum", (~first).cast("bigint"))}, hot_rows,
     )
     # grouped by more than the keys it lies by already: no further shuffle without hot keys
