@@ -54,11 +54,8 @@ def read_plot_records(t):
     return readers.read_plot_records(t.spark, _write(t, t.ledger.select(log), "logs")).select(*LEDGER_COLS)
 
 
-@query("""
-    with j as (select job_id, user_name, req_gb, nodes, eh + em / 60.0::double as h, 1 + job_id % 3 as k from acct_jobs)
-    select user_name, sum(k) as steps, count(*) as jobs, round(sum(req_gb), 6) as req_gb, round(sum(h), 6) as hours, round(sum(0.5::double * k * (k + 1) / 2), 6) as rss
-    from j group by user_name""".replace("sum(k) as steps", "cast(sum(k) as bigint) as steps"))
-def read_accounting(t):
+def _jobs_with_steps(t):
+    """Accounting text of all jobs, read back: a row per job with its number of steps and their memory."""
     s = lambda c: F.col(c).cast("string")
     tres = F.concat(F.lit("billing=9,cpu="), s("ncpus"), F.lit(",mem="), s("req_gb"), F.lit("G,node="), s("nodes"))
     job = F.concat_ws("|", s("nodes"), "user_name", F.lit(""), "elapsed", s("ncpus"), "total_cpu", "time_limit", tres)
@@ -67,14 +64,29 @@ def read_accounting(t):
     path = _write(t, t.acct_jobs.select(F.concat_ws("\n", job, F.array_join(steps, "\n"))), "accounting")
     jobs, parts = readers.read_accounting(t.spark, path)
     per_job = parts.groupBy("job_id").agg(F.count(F.lit(1)).alias("steps"), F.sum("max_rss_gb").alias("rss"))
+    return jobs.join(per_job, ["job_id"], "left")
+
+
+@query("""
+    with j as (select job_id, user_name, req_gb, nodes, eh + em / 60.0::double as h, 1 + job_id % 3 as k from acct_jobs)
+    select user_name, sum(k) as steps, count(*) as jobs, round(sum(req_gb), 6) as req_gb, round(sum(h), 6) as hours, round(sum(0.5::double * k * (k + 1) / 2), 6) as rss
+    from j group by user_name""".replace("sum(k) as steps", "cast(sum(k) as bigint) as steps"))
+def read_accounting(t):
     return r6(
-        jobs.join(per_job, ["job_id"], "left").groupBy("user_name").agg(
+        _jobs_with_steps(t).groupBy("user_name").agg(
             F.sum("steps").alias("steps"), F.count(F.lit(1)).alias("jobs"), F.sum("req_gb").alias("req_gb"),
             F.sum("hours").alias("hours"), F.sum("rss").alias("rss"),
         )
     )
 
 
+@query("""
+    select user_name, nodes, round(req_gb, 6) as req_gb, round(eh + em / 60.0::double, 6) as hours, ncpus, cast(1 + job_id % 3 as bigint) as steps,
+     round(0.5::double * (1 + job_id % 3) * (2 + job_id % 3) / 2, 6) as rss from acct_jobs""")
+def accounting_rows(t):
+    return r6(_jobs_with_steps(t).select("user_name", "nodes", "req_gb", "hours", "ncpus", "steps", "rss"))
+
+
 @query("""
     select cast(user_id % 16 as varchar) as job_id, case when is_marker then 0 else seq % 60 end as minute, case when is_marker then 0 else mem_mb end as mem_mb,
      case when is_marker then 0 else 4096 - mem_mb end as wasted_mb, is_marker, case when is_marker then cast(epoch(date_trunc('second', ts)) as bigint) end as epoch
