@@ -13,6 +13,7 @@ DEFAULT_MEM_MB = 4096
 MONITOR_RSS_KB = 5000
 MONITOR_CPU = 2.0
 FALLBACK_RUN_S = 600
+SECOND = 1_000_000  # microseconds
 WARMUP_S = 120
 LOW_MEM_MB = 100
 LOW_TIME_S = 120
@@ -31,19 +32,27 @@ def usage_vs_request(samples: DataFrame, jobs: DataFrame, default_mem: int = DEF
     )
 
 
-def peak_usage(samples: DataFrame, acct: DataFrame) -> DataFrame:
-    """Peak memory and minutes per job; acct: job_id, acct_mem, finish_ts."""
+def peak_usage(samples: DataFrame, acct: DataFrame, whole_seconds: bool = True) -> DataFrame:
+    """Peak memory and minutes per job; acct: job_id, acct_mem, finish_ts.
+
+    Both ends of a run count as full seconds, as an accounting export has them, or as they are.
+    """
     seen = samples.groupBy("job_id").agg(
         F.max("mem_mb").alias("_peak"),
         F.min(F.when(F.col("is_marker"), F.col("ts"))).alias("_start"),
     )
-    seconds = F.unix_timestamp("finish_ts") - F.coalesce(
-        F.unix_timestamp("_start"), F.unix_timestamp("finish_ts") - FALLBACK_RUN_S
-    )
+    def at(c: str) -> Column:
+        ts = F.col(c).cast("timestamp")
+        return F.unix_micros(F.date_trunc("second", ts) if whole_seconds else ts)
+
+    end, begin = at("finish_ts"), at("_start")
+    # in microseconds, without fractions
+    spent = end - F.coalesce(begin, end - FALLBACK_RUN_S * SECOND) + 59 * SECOND
+    minute = F.lit(60 * SECOND)
     return acct.join(seen, ["job_id"], "left").select(
         "job_id",
         F.coalesce(F.greatest("_peak", "acct_mem"), F.lit(0).cast("bigint")).alias("peak_mem"),
-        F.floor((seconds + 59) / 60).cast("bigint").alias("minutes"),
+        ((spent - F.pmod(spent, minute)) / minute).cast("bigint").alias("minutes"),
     )
 
 
