@@ -117,3 +117,18 @@ def test_gather_of_many_jobs(spark):
     assert got == {"failed": 1, "succeeded": n - 1, "cancelled": n + 1}
     last = state.filter("job_id = 77").select("job_id")
     assert [x.job_id for x in graph.group_ready(links, members, state, last, hot_rows=1000).collect()] == [n]
+
+
+@pytest.mark.parametrize("hot_rows", [5, 10**6])
+def test_few_loops_need_no_row_per_level(spark, hot_rows, monkeypatch):
+    """Scripts with few loops and one with many, in one table and in tasks of a few lines."""
+    monkeypatch.setattr(graph, "FLAT", 3)
+    monkeypatch.setattr(graph, "TASK_LINES", 4)
+    few = ["for a in x", "for b in x", "run", "done", "done", "done", "for c in x", "run"]
+    many = [f"for v{i} in x" for i in range(6)] + ["run", "done", "run"]
+    scripts = {1: few, 2: many, None: few}
+    frame = spark.createDataFrame([(k, i + 1, s) for k, text in scripts.items() for i, s in enumerate(text)], LINES)
+    got = {(x.script_id, x.line_no): x.loop_path for x in graph.loop_paths(frame, hot_rows=hot_rows).collect()}
+    assert got == {(k, i): p for k, text in scripts.items() for i, p in _walked(text)}
+    flat = graph.loop_paths(frame.filter("script_id = 1"))._jdf.queryExecution().analyzed().toString()
+    assert "_level" not in flat and "collect_list" not in flat
