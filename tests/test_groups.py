@@ -132,3 +132,16 @@ def test_few_loops_need_no_row_per_level(spark, hot_rows, monkeypatch):
     assert got == {(k, i): p for k, text in scripts.items() for i, p in _walked(text)}
     flat = graph.loop_paths(frame.filter("script_id = 1"))._jdf.queryExecution().analyzed().toString()
     assert "_level" not in flat and "collect_list" not in flat
+
+
+def test_walk_writes_no_checkpoint(spark, monkeypatch):
+    """Levels are written packed by column; a checkpoint of nodes takes more disk."""
+    links = spark.createDataFrame([(1, "2", 2, "1", "", 1)], LINKS)
+    members = spark.createDataFrame([(1, "1", "", 1)], MEMBERS)
+    state = spark.createDataFrame([(1, "failed"), (2, "pending")], "job_id bigint, state string")
+
+    def never(*args, **kwargs):
+        raise AssertionError("checkpoint")
+
+    monkeypatch.setattr(type(state), "checkpoint", never)
+    assert {x.job_id: x.state for x in graph.group_cancel(state, links, members).collect()} == {1: "failed", 2: "cancelled"}
