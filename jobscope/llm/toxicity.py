@@ -172,7 +172,8 @@ def _loss(batches, value: np.ndarray, intercept: float) -> Iterator[pa.RecordBat
             total[at] += w  # features of a row are distinct
         rows += batch.num_rows
     if rows:
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+        slope = total[:-2].astype(np.float32).tobytes()  # half the bytes for the driver, added up there in full
+        yield pa.RecordBatch.from_arrays([pa.array([total[-1]]), pa.array([total[-2]]), pa.array([slope], pa.binary())], ["loss", "wrong", "slope"])
 
 
 def _learn(sample: DataFrame, scale: np.ndarray, ridge: float = 1.0) -> tuple[float, np.ndarray]:
@@ -186,12 +187,16 @@ def _learn(sample: DataFrame, scale: np.ndarray, ridge: float = 1.0) -> tuple[fl
 
     def cost(beta):
         shared, intercept = spark.sparkContext.broadcast(beta[:n] * scale), float(beta[n])
-        total = np.zeros(n + 2)
-        for r in sample.mapInArrow(lambda batches: _loss(batches, shared.value, intercept), "sums binary").collect():
-            total += np.frombuffer(bytes(r.sums))
+        # Arrow batches pass through the driver's JVM as they are; rows would be there four times
+        made = sample.mapInArrow(lambda batches: _loss(batches, shared.value, intercept), "loss double, wrong double, slope binary").toArrow()
+        slope = np.zeros(n + 1)
+        for raw in made.column("slope"):
+            slope[:n] += np.frombuffer(raw.as_buffer(), np.float32)
+        slope[:n] *= scale
+        slope[:n] += ridge * beta[:n]
+        slope[n] = sum(made.column("wrong").to_pylist())
         shared.destroy()
-        slope = np.append(total[:n] * scale + ridge * beta[:n], total[n])
-        return total[n + 1] + 0.5 * ridge * float(beta[:n] @ beta[:n]), slope
+        return sum(made.column("loss").to_pylist()) + 0.5 * ridge * float(beta[:n] @ beta[:n]), slope
 
     beta = _fit(cost, n, yes / rows)
 
