@@ -5,10 +5,13 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -18,6 +21,8 @@ from jobscope.operators.policy import place_estimates
 from jobscope.operators.usage import limit_kind
 from jobscope.sources import buckets
 
+PEAK_BUCKETS = 1024
+
 
 def stream_usage(samples: DataFrame, watermark: str = "10 minutes", every: str = "1 minute") -> DataFrame:
     """Memory and cpu per job and minute; samples behind the watermark are dropped."""
@@ -42,37 +47,54 @@ def _batch_peaks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from peaks.select(["job_id", "ts_max", "_ms_max", "mem_mb_max"]).rename_columns(["job_id", "ts", "_ms", "mem_mb"]).to_batches()
 
 
-def stream_peak(samples: DataFrame, longest: dt.timedelta = dt.timedelta(days=30), watermark: str = "1 hour") -> DataFrame:
+def stream_peak(
+    samples: DataFrame, longest: dt.timedelta = dt.timedelta(days=30), watermark: str = "1 hour", buckets: int = PEAK_BUCKETS
+) -> DataFrame:
     """Running peak per job, a row whenever it rises; update mode.
 
     State is one number per job, and is gone when the job has sent nothing for
     ``longest``, the longest time a job may be silent. Samples of a job are brought
-    down to one row per batch of rows before they are shuffled.
+    down to one row per batch of rows before they are shuffled. Jobs are kept by bucket of
+    their id, each an Arrow table: a micro-batch calls Python once per bucket, not once per job.
     """
     fields = {f.name: f.dataType.simpleString() for f in samples.schema.fields}
     combined = samples.select("job_id", "ts", F.unix_millis("ts").alias("_ms"), "mem_mb").mapInArrow(
         _batch_peaks, f"job_id {fields['job_id']}, ts timestamp, _ms bigint, mem_mb {fields['mem_mb']}"
     )
     kept = _milliseconds(longest)
+    held = to_arrow_schema(samples.select("job_id", F.col("mem_mb").alias("peak"), F.lit(0).cast("bigint").alias("last")).schema)
 
     def rise(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        before = held.empty_table()
+        if state.exists:
+            before = pa.ipc.open_stream(state.get[0]).read_all()
+        if not state.hasTimedOut:
+            new = [
+                pa.Table.from_pandas(part[["job_id", "mem_mb", "_ms"]].set_axis(held.names, axis=1), held, preserve_index=False)
+                for part in parts
+            ]
+            both = pa.concat_tables([before.append_column("old", before["peak"]), *new], promote_options="default")
+            jobs = both.group_by("job_id").aggregate([("peak", "max"), ("last", "max"), ("old", "max")])
+            peak, old = jobs["peak_max"], jobs["old_max"]
+            rises = jobs.filter(pc.and_(pc.is_valid(peak), pc.fill_null(pc.greater(peak, old), True)))
+            if rises.num_rows:
+                yield rises.select(["job_id", "peak_max"]).rename_columns(["job_id", "peak_mb"]).to_pandas()
+            before = jobs.select(["job_id", "peak_max", "last_max"]).rename_columns(held.names)
+        now = state.getCurrentWatermarkMs()
+        before = before.filter(pc.greater_equal(before["last"], now - kept))
+        if not before.num_rows:
             state.remove()
             return
-        before, last = state.get if state.exists else (None, 0)
-        peak = before
-        for part in parts:
-            last = max(last, int(part["_ms"].max()))
-            top = part["mem_mb"].max()
-            if not pd.isna(top) and (peak is None or top > peak):
-                peak = top
-        state.update((peak, last))
-        state.setTimeoutTimestamp(max(last + kept, state.getCurrentWatermarkMs() + 1))
-        if peak is not None and peak != before:
-            yield pd.DataFrame({"job_id": [key[0]], "peak_mb": [peak]})
-
-    return combined.withWatermark("ts", watermark).groupBy("job_id").applyInPandasWithState(
-        rise, f"job_id {fields['job_id']}, peak_mb {fields['mem_mb']}", f"peak {fields['mem_mb']}, last bigint", "update", GroupStateTimeout.EventTimeTimeout
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, before.schema) as out:
+            out.write_table(before)
+        state.update((sink.getvalue().to_pybytes(),))
+        state.setTimeoutTimestamp(max(pc.min(before["last"]).as_py() + kept, now + 1))
+
+    return combined.withWatermark("ts", watermark).withColumn("_bucket", F.pmod(F.xxhash64("job_id"), F.lit(buckets))).groupBy(
+        "_bucket"
+    ).applyInPandasWithState(
+        rise, f"job_id {fields['job_id']}, peak_mb {fields['mem_mb']}", "jobs binary", "update", GroupStateTimeout.EventTimeTimeout
     )
 
 
@@ -113,6 +135,18 @@ def stream_failure_burst(
     )
 
 
+def _nth_before(ring: np.ndarray, ms: np.ndarray, n: int) -> np.ndarray:
+    """For each of the sorted times, the n-th latest of the ring's and those before it; the least number where there are fewer."""
+    none, ever = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+    found = np.full(len(ms), none)
+    # k of them from the sorted ring, the others from the times before
+    for k in range(max(0, n - len(ms)), min(n, len(ring)) + 1):
+        back = n - k
+        before = np.concatenate([np.full(min(back, len(ms)), none), ms[: max(0, len(ms) - back)]]) if back else np.full(len(ms), ever)
+        found = np.maximum(found, np.minimum(ring[-k] if k else ever, before))
+    return found
+
+
 def stream_failure_alarm(
     ledger: DataFrame,
     n: int = FAILURE_BURST,

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,3 +148,23 @@ def test_a_batch_that_is_run_again_changes_nothing(spark, t, tmp_path, same):
     step(first, 0)
     again = spark.read.parquet(path).drop("bucket").collect()
     assert sorted(map(str, once)) == sorted(map(str, again)) and len(once) > old.count()
+
+
+def test_many_jobs_share_few_calls(spark, tmp_path):
+    at = lambda day: dt.datetime(2024, 1, 1) + dt.timedelta(days=day)
+    batches = [
+        [(j, at(0), j) for j in range(3000)] + [(None, at(0), 5)],
+        [(j, at(1), j + j % 2) for j in range(1500)] + [(4000, at(1), None), (None, at(1), 6)],  # odd ones rise
+        [(7, at(40), 9), (8, at(40), 3)],  # the watermark follows: the others have been silent for too long
+        [(7, at(41), 1), (8, at(41), 12)],
+        [(j, at(41), 1) for j in range(3)],  # known no more, so a first peak
+    ]
+    stream = mon.stream_peak(_in_turn(spark, tmp_path, batches, "job_id bigint, ts timestamp, mem_mb bigint"), buckets=16)
+    out, state = _updates(spark, tmp_path, stream)
+    rises = [sorted(x, key=str) for x in out if x]
+    key = lambda rows: sorted(rows, key=str)
+    assert rises == [
+        key([(j, j) for j in range(3000)] + [(None, 5)]), key([(j, j + 1) for j in range(1, 1500, 2)] + [(None, 6)]),
+        [(7, 9)], [(8, 12)], key([(j, 1) for j in range(3)]),
+    ]
+    assert max(state) <= 16  # a row per bucket, not per job
