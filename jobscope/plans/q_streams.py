@@ -37,9 +37,9 @@ def in_batches(t, df, by, parts=4):
     rows = as_written(df, "stream-rows")
     low, high = rows.agg(F.min(F.unix_seconds(by)), F.max(F.unix_seconds(by))).first()
     step = ((high or 0) - (low or 0)) // parts + 1
-    for i in range(parts):  # one file each, so that a micro-batch is a part
+    for i in range(parts):  # one file each, so that a micro-batch is a part; the table is read by many tasks
         part = rows.filter(F.expr(f"(unix_seconds({by}) - {low or 0}) div {step}") == i)
-        part.coalesce(1).write.mode("append").parquet(path)
+        part.repartition(1).write.mode("append").parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 

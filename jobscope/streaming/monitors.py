@@ -169,18 +169,16 @@ def stream_failure_alarm(
             return
         text, above = state.get if state.exists else ("", False)
         ring = [int(x) for x in text.split(",") if x]
-        rows = sorted((int(ms), job) for part in parts for ms, job in zip(part["_ms"], part["job_id"], strict=True))
-        alarms = []
-        for ms, job in rows:
-            passed = len(ring) == n and ring[0] > ms - length
-            if passed and not above:
-                alarms.append((job, ms))
-            above = passed
-            ring = sorted([*ring, ms])[-n:]
-        state.update((",".join(map(str, ring)), above))
+        rows = pd.concat(part[["_ms", "job_id"]] for part in parts).sort_values(["_ms", "job_id"], ignore_index=True)
+        ms = rows["_ms"].to_numpy(np.int64)
+        passed = _nth_before(np.array(ring, np.int64), ms, n) > ms - length
+        begins = passed & ~np.append(above, passed[:-1])
+        ring = sorted([*ring, *ms[-n:].tolist()])[-n:]
+        state.update((",".join(map(str, ring)), bool(passed[-1])))
         state.setTimeoutTimestamp(max(ring[-1] + length, state.getCurrentWatermarkMs()) + 1)
-        if alarms:
-            yield pd.DataFrame({**dict(zip(KEY, key, strict=True)), "job_id": [a[0] for a in alarms], "alarm_ms": [a[1] for a in alarms]})
+        if begins.any():
+            alarms = rows[begins]
+            yield pd.DataFrame({**dict(zip(KEY, key, strict=True)), "job_id": alarms["job_id"], "alarm_ms": alarms["_ms"]})
 
     alarms = (
         ledger.filter(F.col("status") != "COMPLETED")

@@ -168,3 +168,17 @@ def test_many_jobs_share_few_calls(spark, tmp_path):
         [(7, 9)], [(8, 12)], key([(j, 1) for j in range(3)]),
     ]
     assert max(state) <= 16  # a row per bucket, not per job
+
+
+def test_alarm_ring_by_column_is_the_ring_row_by_row():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 5):
+        for _ in range(300):
+            ring = sorted(rng.integers(0, 40, rng.integers(0, n + 1)).tolist())
+            ms = np.sort(rng.integers(0, 40, rng.integers(1, 9)))
+            want, held = [], ring
+            for x in ms.tolist():
+                want.append(held[0] if len(held) == n else np.iinfo(np.int64).min)
+                held = sorted([*held, x])[-n:]
+            assert mon._nth_before(np.array(ring, np.int64), ms, n).tolist() == want
+
