@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from jobscope import schemas
 from jobscope.functions.units import elapsed_hours, tres_mem_gb
-from jobscope.scale import HOT_ROWS, Running, grouped_scan
+from jobscope.scale import HOT_ROWS
 from jobscope.sources.fastq import read_fastq  # noqa: F401
 from jobscope.sources.text import numbered_lines, read_lines
 
@@ -66,16 +66,14 @@ def read_accounting(spark: SparkSession, path: str, hot_rows: int = HOT_ROWS) ->
     user are its steps. The export has no job id: the whole path and the line of
     the job row stand for it and are carried down to the steps.
     """
-    lines = numbered_lines(spark, path)
     part = F.split("line", "\\|")
-    rows = lines.select(
-        "file", "line_no",
-        *[F.coalesce(F.get(part, F.lit(i)), F.lit("")).alias(f) for i, f in enumerate(schemas.ACCOUNTING_FIELDS)],
+    field = {f: F.coalesce(F.get(part, F.lit(i)), F.lit("")) for i, f in enumerate(schemas.ACCOUNTING_FIELDS)}
+    lines = numbered_lines(spark, path, hot_rows, (field["user_name"] != "") & (field["max_rss"] == ""))
+    owned = lines.select(
+        "file", "line_no", F.col("last_line").alias("job_line"), F.concat_ws(":", "file", "last_line").alias("job_id"),
+        *[c.alias(f) for f, c in field.items()],
     )
-    is_job = (F.col("user_name") != "") & (F.col("max_rss") == "")
-    owned = grouped_scan(
-        rows, ["file"], ["line_no"], {"job_line": Running("last", F.when(is_job, F.col("line_no")))}, hot_rows
-    ).withColumn("job_id", F.concat_ws(":", "file", "job_line"))
+    is_job = F.col("job_line") == F.col("line_no")
 
     def gb(c: str) -> Column:
         return F.regexp_replace(c, "G$", "").try_cast("double")

@@ -126,3 +126,28 @@ def test_models_of_other_keys_stay(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.read.parquet(path).select("program", "ref", "n").collect()) == [
         ("a", "r", 1), ("a", "s", 2), ("b", "r", 1),
     ]
+
+
+def test_steps_find_their_job_across_splits_without_a_sort(spark, tmp_path):
+    want = {}
+    for name, jobs in (("a", 300), ("b", 7)):
+        lines = ["1||7G|00:30:00|1|00:10:00||cpu=1"] * 40  # steps of no job
+        for j in range(jobs):
+            lines.append(f"1|u{j}||01:00:00|1|00:10:00|1-00:00:00|cpu=1,mem=2G")
+            want[(name, len(lines))] = list(range(1, j % 9 + 1))
+            lines += ["1||2G|00:30:00|1|00:10:00||cpu=1"] * (j % 9)
+        (tmp_path / f"{name}.txt").write_text("\n".join(lines) + "\n")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    try:
+        for batch, size in (("3", "700b"), ("10000", "700b"), ("7", "128m")):
+            for k, v in zip(before, (size, "1b", batch), strict=True):
+                spark.conf.set(k, v)
+            jobs, steps = readers.read_accounting(spark, str(tmp_path))
+            got = {r.job_id: [] for r in jobs.select("job_id").collect()}
+            for r in steps.collect():
+                got[r.job_id].append(r.step_no)
+            assert {(k.rsplit("/", 1)[1].split(".")[0], int(k.rsplit(":", 1)[1])): sorted(v) for k, v in got.items()} == want
+            assert "Window" not in steps._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
