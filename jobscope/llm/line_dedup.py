@@ -144,20 +144,23 @@ def drop_common_lines(
         .agg(F.collect_set(F.struct("h1", "h2")).alias("_lost")),
         "lost-lines",
     )
+    # the text travels once, also where it is kept
+    carried = {c: f"_k{i}" for i, c in enumerate(keep) if c != text}
     frame = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), body.alias("_text"),
-        known["t1"].alias("t1"), known["t2"].alias("t2"),
+        *[F.col(f"`{c}`").alias(k) for c, k in carried.items()], body.alias("_text"), known["t1"].alias("t1"), known["t2"].alias("t2")
     ).join(lost, ["t1", "t2"], "left")
     whole = F.coalesce(F.col("_text"), F.lit(""))
     kept = F.filter(split_lines(F.col("_text")), lambda line: ~F.array_contains(F.col("_lost"), _hash(line_key(line))))
-    frame = frame.select("_row", "_lost", whole.alias("_text"), F.when(F.col("_lost").isNotNull(), kept).alias("_kept"))
+    frame = frame.select(
+        *carried.values(), "_lost", F.col("_text").alias("_came"), whole.alias("_text"), F.when(F.col("_lost").isNotNull(), kept).alias("_kept")
+    )
     n_lines = F.size(F.split("_text", "\n", -1)).cast("bigint")
     made = F.struct(
         F.when(F.col("_lost").isNull(), F.col("_text")).otherwise(F.array_join("_kept", "\n")).alias("text"),
         n_lines.alias("n_lines"),
         F.when(F.col("_lost").isNull(), F.lit(0)).otherwise(n_lines - F.size("_kept")).cast("bigint").alias("n_dropped"),
     )
-    return frame.select(*[F.col("_row")[c].alias(c) for c in keep], made.alias(out))
+    return frame.select(*[F.col(carried.get(c, "_came")).alias(c) for c in keep], made.alias(out))
 
 
 def clean(docs: DataFrame, text: str = "text", **options) -> DataFrame:

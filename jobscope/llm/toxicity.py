@@ -28,10 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from jobscope.llm import textnum
-from jobscope.llm.common import batches_of, counter_rows, fresh, remainder, sum_counters, types_of
+from jobscope.llm.common import batches_of, counter_rows, fresh, remainder, sum_counters
 from jobscope.session import as_written
 
 BITS = 18
@@ -285,35 +284,28 @@ def train(
     return Model(intercept, (weights * scale).astype(np.float32))
 
 
-def _score(model: Model, text: str, keep: list[str], schema: T.StructType, only_below: bool):
-    kinds = types_of(schema)
-    intercept, weights, threshold = model.intercept, model.weights, model.threshold
+def _scores(model: Model):
+    """A function from the texts of batches to their scores."""
+    intercept, weights = model.intercept, model.weights
 
-    def run(batches):
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         grams = _Grams()
-        for batch in batches:
-            made = np.array(
-                [intercept + float(weights[grams.of(raw.as_py() or "")].sum(dtype=float)) for raw in batch.column(text)], float
-            )
-            made = 1 / (1 + np.exp(-np.clip(made, -500, 500)))
-            columns = [batch.column(c) for c in keep]
-            if not only_below:
-                columns.append(pa.array(made, pa.float64()))
-            out = pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
-            yield out.filter(pa.array(made < threshold)) if only_below else out
+        for batch in texts:
+            made = np.array([intercept + float(weights[grams.of(raw.as_py() or "")].sum(dtype=float)) for raw in batch], float)
+            yield pa.array(1 / (1 + np.exp(-np.clip(made, -500, 500))), pa.float64())
 
-    return run
+    return F.arrow_udf(run, "double")
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, out: str = "score") -> DataFrame:
     """The rows of docs (columns ``keep``, by default all) with the score, 0 to 1."""
     keep = docs.columns if keep is None else keep
-    body, out = fresh("_text", keep), fresh(out, keep)
-    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(out, T.DoubleType())])
-    frame = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(body))
-    return frame.mapInArrow(_score(model, body, keep, schema, False), schema)
+    return docs.select(*[F.col(f"`{c}`") for c in keep], _scores(model)(F.col(f"`{text}`")).alias(fresh(out, keep)))
 
 
 def clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The documents that score below the model's threshold, columns as they came."""
-    return docs.mapInArrow(_score(model, text, docs.columns, docs.schema, True), docs.schema)
+    """The documents that score below the model's threshold, columns as they came.
+
+    Only texts go to Python and only scores come back: a worker holds a batch of texts once.
+    """
+    return docs.filter(_scores(model)(F.col(f"`{text}`")) < model.threshold)

@@ -100,6 +100,15 @@ def test_line_dedup_empty_and_clean(spark, docs):
     assert made.columns == docs.columns and made.count() == docs.count()
 
 
+def test_line_dedup_moves_a_text_once(docs):
+    made = line_dedup.clean(docs)
+    assert made.columns == docs.columns
+    plan = made._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    # the projection whose rows the join moves holds each column plainly, the text once
+    moved = [line for line in plan if "Project" in line and " AS t1#" in line]
+    assert len(moved) == 1 and "struct(" not in moved[0] and moved[0].count(" AS _text#") == 1
+
+
 def test_lm_score(spark, docs):
     rows = [r[:2] for r in rows_of(docs)]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
@@ -340,6 +349,16 @@ def test_toxicity(spark):
     assert toxicity.score(frame, none).agg(F.max("score_")).first()[0] < 1e-6
 
 
+def test_toxicity_sends_only_texts_to_python(spark):
+    frame = spark.createDataFrame([(1, "a", "kind words", "x"), (2, "b", None, "y")], "doc_id long, Lang string, text string, source string")
+    model = toxicity.Model(0.0, np.zeros(1 << toxicity.BITS, np.float32), 0.6)
+    made = toxicity.clean(frame, model)
+    assert made.schema == frame.schema and made.count() == 2
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "ArrowEvalPython" in plan
+    assert toxicity.clean(frame, toxicity.Model(0.0, model.weights, 0.5)).count() == 0
+
+
 def test_toxicity_keeps_rare_words(spark):
     """More biased n-grams than any fixed number of features: a rare toxic word keeps its weight."""
     common = [f"{'red' if y else 'blue'}{k}{c}" for y in (0, 1) for k in range(40) for c in "xyzuvw"]
