@@ -1,6 +1,7 @@
 """Loops of any depth, and walks over groups of jobs instead of pairs."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -145,3 +146,49 @@ def test_walk_writes_no_checkpoint(spark, monkeypatch):
 
     monkeypatch.setattr(type(state), "checkpoint", never)
     assert {x.job_id: x.state for x in graph.group_cancel(state, links, members).collect()} == {1: "failed", 2: "cancelled"}
+
+
+def _brute_groups(steps, jobs):
+    """Sets of (script_id, job_id, dep_step, n_deps, first_dep, last_dep) and (script_id, dep_step, loop_values, dep_job), pair by pair."""
+    links, members = set(), set()
+    for script, step, deps, path in steps:
+        for dep in {d for d in deps.split(".") if d not in ("", "0")}:
+            other = [p for s, x, _, p in steps if (s, x) == (script, dep)]
+            if not other or script is None:
+                continue
+            n = next((i for i, (a, b) in enumerate(zip(path, other[0])) if a != b), min(len(path), len(other[0])))
+            text = lambda v: ",".join("\\N" if x is None else x.replace("\\", "\\\\").replace(",", "\\,") for x in v[:n])
+            theirs = [(text(v), j) for s, j, x, v in jobs if (s, x) == (script, dep)]
+            members |= {(script, dep, t, j) for t, j in theirs}
+            for s, j, x, v in jobs:
+                if (s, x) == (script, step) and (mine := [d for t, d in theirs if t == text(v)]):
+                    links.add((script, j, dep, len(mine), min(mine), max(mine)))
+    return links, members
+
+
+@pytest.mark.parametrize("kept", [False, True])
+@pytest.mark.parametrize("hot_rows", [5, 10**6])
+def test_groups_of_random_scripts(spark, hot_rows, kept):
+    """The same as pair by pair; scripts that fit a task need one shuffle, and no join that the driver could be asked to broadcast."""
+    r = random.Random(11)
+    steps, jobs = [], []
+    for script in (1, 2, 3, None):
+        for step in ("1", "2", "3", "4"):
+            path = ["i", "j", "k"][: r.randrange(4)]
+            steps.append((script, step, ".".join(r.choices(["0", "1", "2", "3", "4", "7", ""], k=3)), path))
+            for _ in range(6):
+                jobs.append((script, len(jobs), step, [r.choice(["a", "b", "a,b", "\\N", None]) for _ in path]))
+        jobs.append((script, len(jobs), "8", ["a"]))  # of no step
+    args = (
+        spark.createDataFrame(steps, "script_id bigint, step string, deps string, loop_path array<string>"),
+        spark.createDataFrame(jobs, "script_id bigint, job_id bigint, step string, values array<string>"),
+    )
+    links, members = graph.dependency_groups(*args, hot_rows=hot_rows, kept=kept)
+    want = _brute_groups(steps, jobs)
+    got = [(x.script_id, x.job_id, x.dep_step, x.n_deps, x.first_dep, x.last_dep) for x in links.collect()]
+    assert len(got) == len(set(got)) and set(got) == want[0]
+    got = [(x.script_id, x.dep_step, x.loop_values, x.dep_job) for x in members.collect()]
+    assert len(got) == len(set(got)) and set(got) == want[1]
+    if hot_rows > 5 and not kept:
+        plan = graph.dependency_groups(*args)[0]._jdf.queryExecution().sparkPlan().toString()
+        assert not re.search(r"(Hash|Merge|Loop|Product)\w*Join", plan) and plan.count("Exchange") == 1
