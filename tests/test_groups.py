@@ -192,3 +192,15 @@ def test_groups_of_random_scripts(spark, hot_rows, kept):
     if hot_rows > 5 and not kept:
         plan = graph.dependency_groups(*args)[0]._jdf.queryExecution().sparkPlan().toString()
         assert not re.search(r"(Hash|Merge|Loop|Product)\w*Join", plan) and plan.count("Exchange") == 1
+
+
+def test_a_level_of_a_walk_shuffles_no_edges(spark, monkeypatch):
+    """Links and members lie in buckets: only the nodes that a level begins at are shuffled to them."""
+    monkeypatch.setattr(graph.scale, "SMALL_ROWS", 0)
+    links, members, _ = _random_groups(spark, random.Random(3))
+    sides = graph.group_sides(links, members)
+    for edges, keys in zip(sides, (graph.GROUP, ["job_id"])):
+        step, _ = graph._under(edges, edges.select(*keys).distinct(), keys, 1)
+        plan = step._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHash" not in plan and "SortMergeJoin" not in plan
+        assert step._jdf.queryExecution().executedPlan().toString().count("Exchange") == 0
