@@ -204,3 +204,27 @@ def test_a_level_of_a_walk_shuffles_no_edges(spark, monkeypatch):
         plan = step._jdf.queryExecution().sparkPlan().toString()
         assert "BroadcastHash" not in plan and "SortMergeJoin" not in plan
         assert step._jdf.queryExecution().executedPlan().toString().count("Exchange") == 0
+
+
+def test_rerun_over_groups_is_rerun_over_pairs(spark, same):
+    """Also for jobs that are there twice, and with the columns that are asked for only."""
+    r = random.Random(5)
+    links, members, pairs = _random_groups(spark, r)
+    waits = {j: sorted(d for d, k in pairs.collect() if k == j) for j in range(60)}
+    rows = [(j, f"{j % 4}.0.{j}", ":".join(map(str, waits[j])) or "null") for j in [*range(60), 7]]
+    jobs = spark.createDataFrame(rows, "job_id bigint, flag string, depend_on string")
+    markers = spark.createDataFrame([(f, "success") for _, f, _ in rows if r.random() < 0.8], "flag string, kind string")
+    prior = spark.createDataFrame([(f, d if r.random() < 0.5 else "other", r.random() < 0.6) for _, f, d in rows[:60]], "flag string, depend_on string, active boolean")
+    want = graph.rerun_plan(jobs, markers, prior, rerun_steps=["3"])
+    assert want.columns == ["job_id", "flag", "depend_on", "action"]
+    assert len({x.action for x in want.collect()}) > 2
+    got = graph.rerun_plan(jobs, markers, prior, rerun_steps=["3"], groups=(links, members), columns=["job_id"])
+    same(got, want.select("job_id", "action"))
+
+
+def test_lists_stay_short(spark):
+    """A list's text travels with its job through every join: it doesn't grow with the groups' names or number."""
+    links = spark.createDataFrame([(1, "2", 10, str(k), "value" * 50, 1) for k in range(40)], LINKS)
+    members = spark.createDataFrame([(1, str(k), "value" * 50, k + m) for k in range(40) for m in (0, 100)], MEMBERS)
+    for hot_rows in (10**6, 1):
+        assert [len(x.depend_on) for x in graph.group_lists(links, members, hot_rows).collect()] == [24]
